@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, quality, secrets, sentencepiece_bpe, toxicity
+from . import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, quality, secrets, sentencepiece_bpe, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -59,7 +63,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_quality, op4_toxicity, op5_sentencepiece, op6_jaccard_join, op8_decontamination, op9_chat_format, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_quality, op4_toxicity, op5_sentencepiece, op6_jaccard_join, op7_suffix_dedup, op8_decontamination, op9_chat_format, op10_secret_scan)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD_LIST = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -82,6 +86,18 @@ ORACLES = {
         SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(set_size, 0) + 1 AS set_size, coalesce(n, 0) AS n_shingles
         FROM classes LEFT JOIN n USING (doc_id)
         LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links, count(*) FILTER (same) AS set_size FROM link GROUP BY a) USING (doc_id)""",
+    "op7_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        w AS (SELECT doc_id, p, md5(substr(x, 2 * p + 1, 200)) AS k FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 99)) AS p FROM d)),
+        later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS r FROM w) WHERE r > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 100)) AS b FROM later),
+        bytes AS (SELECT doc_id, b, substr(x, 2 * b + 1, 2) AS c FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2)) AS b FROM d)),
+        kept AS (SELECT doc_id, string_agg(c, '' ORDER BY b) AS x FROM bytes ANTI JOIN gone USING (doc_id, b) GROUP BY doc_id),
+        removed AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (start) AS n_spans
+                    FROM (SELECT doc_id, lag(b) OVER (PARTITION BY doc_id ORDER BY b) IS DISTINCT FROM b - 1 AS start FROM gone) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(d.x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(kept.x, ''))) AS kept_sha256
+        FROM d LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op8_decontamination": rf"""
         WITH item_words AS (SELECT item_id, {_WORD_LIST} AS w FROM benchmark),
         patterns AS (
