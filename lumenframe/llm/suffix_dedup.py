@@ -9,14 +9,14 @@ first ``LENGTH`` bytes. To distribute it, texts are cut so that suffixes which a
 1. Every window of ``LENGTH`` bytes has an anchor, the first of its grams of ``GRAM`` bytes
    with the least hash. The anchor depends on the window's bytes alone, so equal windows
    have equal grams at equal places. Windows that follow each other mostly share an
-   anchor: a run. One row per run goes out, keyed by the hash of its gram.
-2. A key that occurs once cannot belong to a repeated window; its runs are dropped, in a
-   stream over rows sorted by key. This drops most text, and nothing that could repeat.
-3. The bytes of the remaining runs go to the partition of their key and arrive sorted by
-   key, bytes and place. All but the first of equal byte strings are repeats throughout.
-   The distinct strings of a key form the text whose suffix array a task builds, a
-   bounded number of bytes at a time; equal windows among them are neighbours there, and
-   all but the earliest are repeats.
+   anchor: a run. One row per run goes out: the hash of its gram (the key), the hash of all
+   its bytes, and its place.
+2. Rows arrive sorted by key, content and place, and a task streams over them. All but the
+   first run of equal content (key and content: 112 bits) repeat throughout. A key with one
+   content has nothing else to compare and is dropped, as most keys are.
+3. The bytes of the remaining runs, one for each content, go to the partition of their key.
+   They form the text whose suffix array a task builds, a bounded number of bytes at a
+   time; equal windows among them are neighbours there, and all but the earliest repeat.
 4. A key with more than ``HOT_BYTES`` of distinct strings is not held in one task: its
    windows go out as rows of their own, keyed by 128 bits of their content, and are
    grouped by Spark with partial aggregation.
@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import saved
-from .textbuf import BYTE_VALUES, batch, chunks, mix, spans_of
+from .textbuf import BYTE_VALUES, batch, chunks, mix, span_hashes, spans_of
 
 LENGTH, GRAM = 100, 20
 TEXT_BYTES, HOT_BYTES = 1 << 20, 8 << 20
@@ -163,32 +163,55 @@ def anchor_runs(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     new = np.ones(len(p), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
-    return h[anchor[first]].view(np.int64), doc[first], p[first] - off[doc[first]], np.diff(np.append(first, len(p)))
+    # 48 bits are enough to bring equal grams together; others that meet them do no harm
+    return (h[anchor[first]] >> np.uint64(16)).view(np.int64), doc[first], p[first] - off[doc[first]], np.diff(np.append(first, len(p)))
+
+
+RUN_SCHEMA = "key long, content long, h long, start int, n int"
+SHARED_SCHEMA = "key long, h long, start int, n int"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, buf, off in chunks(batches):
         key, doc, start, n = anchor_runs(buf, off)
+        at = off[doc] + start
+        content = span_hashes(buf, at, at + n + LENGTH - 1).view(np.int64)
         h = rows.column("h").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(h[doc], pa.int64()), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["key", "h", "start", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key, pa.int64()), pa.array(content, pa.int64()), pa.array(h[doc], pa.int64()), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["key", "content", "h", "start", "n"]
+        )
+
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by key, content and place: repeats as a whole (key null), and the first run of each
+    content of keys with several. One row is held back between batches."""
 
-def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows, sorted by key, whose key occurs more than once; one row is held back between batches."""
-    held, twin = None, False
+    def out(key, h, start, n):
+        return pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()) if key is None else pa.array(key, pa.int64()), pa.array(h, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32())], names=["key", "h", "start", "n"])
+
+    last = held = None
+    twin = False
     for b in batches:
         if not b.num_rows:
             continue
-        rows = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-        key = rows.column("key").to_numpy()
-        like = key[1:] == key[:-1]
+        row = np.array([b.column(c).to_numpy().astype(np.int64) for c in ("key", "content", "h", "start", "n")])
+        before = np.concatenate([row[:, :1] - 1 if last is None else last, row[:, :-1]], axis=1)
+        last = row[:, -1:]
+        same = (row[:2] == before[:2]).all(axis=0)
+        again = same & (row[2:4] != before[2:4]).any(axis=0)  # a row that stands twice is one run
+        if again.any():
+            yield out(None, row[2, again], row[3, again], row[4, again])
+        first = row[:, ~same] if held is None else np.concatenate([held, row[:, ~same]], axis=1)
+        if not first.shape[1]:
+            continue
+        like = first[0, 1:] == first[0, :-1]
         keep = np.concatenate([[twin], like]) | np.concatenate([like, [False]])
-        held, twin = rows.slice(len(key) - 1), bool(keep[-1])
-        out = rows.slice(0, len(key) - 1).filter(pa.array(keep[:-1]))
-        if out.num_rows:
-            yield out
+        held, twin = first[:, -1:], bool(keep[-1])
+        own = first[:, :-1][:, keep[:-1]]
+        if own.shape[1]:
+            yield out(own[0], own[2], own[3], own[4])
     if held is not None and twin:
-        yield held
+        yield out(held[0], held[2], held[3], held[4])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,34 +288,24 @@ def _content_keys(strings: list[bytes], h: list[int], start: list[int]) -> pa.Re
 
 def _matcher(text_bytes: int, hot_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full: list[list] = [[], [], []]  # strings, handles and starts of finished keys with several distinct strings
+        full: list[list] = [[], [], []]  # strings, handles and starts of finished keys
         own: list[list] = [[], [], []]  # those of the key at hand
-        dup: list[list] = [[], [], []]  # strings that repeat as a whole
         size = own_size = 0
-        key, last, place, hot = None, None, None, False
+        key, hot = None, False
         for b in batches:
             columns = (b.column(c) for c in ("key", "bytes", "h", "start"))
             for k, s, h, at in zip(*(c.to_pylist() for c in columns), strict=True):
                 if k != key:
                     if hot and own[0]:
                         yield _content_keys(*own)
-                    elif not hot and len(own[0]) > 1:
+                    elif not hot:
                         for x, y in zip(full, own, strict=True):
                             x.extend(y)
                         size += own_size
                         if size >= text_bytes:
                             yield _earlier(*full)
                             full, size = [[], [], []], 0
-                    key, last, hot, own, own_size = k, None, False, [[], [], []], 0
-                if s == last:
-                    if (h, at) != place:  # the same string starts earlier: all its windows repeat
-                        dup[0].append(h), dup[1].append(at), dup[2].append(len(s) - LENGTH + 1)
-                    if len(dup[0]) >= 50_000:
-                        yield _mark(*dup)
-                        dup = [[], [], []]
-                    place = (h, at)
-                    continue
-                last, place = s, (h, at)
+                    key, hot, own, own_size = k, False, [[], [], []], 0
                 own[0].append(s), own[1].append(h), own[2].append(at)
                 own_size += len(s)
                 if own_size >= hot_bytes or (hot and own_size >= text_bytes):
@@ -301,12 +314,10 @@ def _matcher(text_bytes: int, hot_bytes: int):
                     own, own_size = [[], [], []], 0
         if hot and own[0]:
             yield _content_keys(*own)
-        elif not hot and len(own[0]) > 1:
+        elif not hot:
             full = [x + y for x, y in zip(full, own, strict=True)]
         if full[0]:
             yield _earlier(*full)
-        if dup[0]:
-            yield _mark(*dup)
 
     return run
 
@@ -341,16 +352,17 @@ def suffix_dedup(docs: DataFrame, text_bytes: int = TEXT_BYTES, hot_bytes: int =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = _with_handles(rows)
     texts = rows.select("h", "text")
-    runs = texts.mapInArrow(_runs, "key long, h long, start int, n int")
-    shared = runs.repartition("key").sortWithinPartitions("key").mapInArrow(_shared_keys, "key long, h long, start int, n int")
-    wanted = shared.groupBy("h").agg(F.collect_set(F.struct("key", "start", "n")).alias("runs"))
-    strings = texts.join(wanted, "h").select("h", "text", "runs").mapInArrow(_cut, "key long, bytes binary, h long, start int").repartition("key")
-    found = strings.sortWithinPartitions("key", "bytes", "h", "start").mapInArrow(_matcher(text_bytes, hot_bytes), "h long, start long, n long, k1 long, k2 long")
+    runs = texts.mapInArrow(_runs, RUN_SCHEMA).repartition("key").sortWithinPartitions("key", "content", "h", "start")
+    shared = saved(runs.mapInArrow(_shared, SHARED_SCHEMA))
+    wanted = shared.where("key is not null").groupBy("h").agg(F.collect_set(F.struct("key", "start", "n")).alias("runs"))
+    strings = texts.join(wanted, "h").select("h", "text", "runs").mapInArrow(_cut, "key long, bytes binary, h long, start int")
+    found = strings.repartition("key").sortWithinPartitions("key").mapInArrow(_matcher(text_bytes, hot_bytes), "h long, start long, n long, k1 long, k2 long")
     found = saved(found)
     # windows of hot keys: all but the earliest of equal content are repeats
     window = found.where("k1 is not null")
     first = window.groupBy("k1", "k2").agg(F.min(F.struct("h", "start")).alias("first"), F.count("*").alias("k")).where("k > 1").select("k1", "k2", "first")
     later = window.join(first, ["k1", "k2"]).where(F.struct("h", "start") > F.col("first")).select("h", "start", "n")
-    marks = found.where("k1 is null").select("h", "start", "n").unionByName(later)
+    whole = shared.where("key is null").select("h", F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n"))
+    marks = found.where("k1 is null").select("h", "start", "n").unionByName(later).unionByName(whole)
     by_doc = marks.groupBy("h").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     return rows.join(by_doc, "h", "left").select("doc_id", "text", "runs").mapInArrow(_remove, SCHEMA)
