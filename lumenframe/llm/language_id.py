@@ -95,7 +95,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total[lang] = total[lang] + part if lang in total else part
     for lang, v in total.items():
         g = np.flatnonzero(v)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int32)), pa.array(v[g])], names=["lang", "gram", "weight"])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int32)), pa.array(v[g], pa.float64())], names=["lang", "gram", "weight"])
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", dim: int = DIM) -> dict[str, np.ndarray]:
