@@ -9,6 +9,7 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_ROOTS: dict[str, str] = {}
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "lumenframe", **conf: str) -> SparkSession:
@@ -46,7 +47,9 @@ def ship(spark: SparkSession) -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables: the cluster's, or one of our own where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lumenframe-checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        _ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="lumenframe-checkpoints-")
+    return _ROOTS[app]
