@@ -130,3 +130,18 @@ def edge_weights(spark, sf_dir):
     """Share of each tile that lies inside the picture."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("tile"))
     return p.select("p_partkey", "tile", F.round(K.tile_weight(F.col("p_size") * 3, "tile"), 9).alias("weight"))
+
+
+@query(
+    f"""SELECT o_orderkey, CAST(round_even(o_custkey * 0.5, 0) AS BIGINT) AS even, (o_custkey - 700) % 11 + CASE WHEN (o_custkey - 700) % 11 < 0 THEN 11 ELSE 0 END AS wrapped, {unit_sql("sql", "o_orderkey")} AS u,
+               17 * greatest(0, CAST(ceil((o_custkey + 1 - 4) / 17.0) AS BIGINT)) + 5 AS padded, least(CAST(round_even((o_custkey % 300) * (149 / 299.0::DOUBLE), 0) AS BIGINT), 149) AS pose FROM orders"""
+)
+def sql_functions(spark, sf_dir):
+    """The SQL entry point: SQL functions over a view, inlined by the optimizer."""
+    from ..functions.sql import register
+
+    register(spark, sf_dir, ["orders"])
+    return spark.sql(
+        """SELECT o_orderkey, half_even(o_custkey * 0.5D) AS even, wrap_index(o_custkey - 700, 11) AS wrapped, unit_draw('sql', CAST(o_orderkey AS STRING)) AS u,
+                  padded_frames(o_custkey + 2) AS padded, pose_index(o_custkey % 300, 300, 150) AS pose FROM orders"""
+    )

@@ -36,23 +36,37 @@ def with_row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
 
 
 def file_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Key-value metadata of a Parquet file's footer: (key, value). Spark's reader does not show it; a footer is a few KB.
+    """Key-value metadata of a Parquet file's footer: (path, key, value); of a folder, that of its first data file.
 
-    The footer is read where Spark reads files: by a task, through Spark's own file source.
+    Spark's reader does not show it. Only the footer, a few KB, is read, through Spark's own
+    file systems, so any store that Spark reads will do.
     """
     import io
+    import struct
 
     import pyarrow.parquet as pq
 
-    def footers(batches):
-        import pandas as pd
-
-        for b in batches:
-            for name, tail, length in zip(b["path"], b["content"], b["length"], strict=True):
-                meta = pq.read_metadata(io.BytesIO(tail)).metadata or {}
-                yield pd.DataFrame([(name, k.decode(), v.decode("utf-8", "replace")) for k, v in meta.items() if k != b"ARROW:schema"], columns=["path", "key", "value"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content", "length").mapInPandas(footers, "path string, key string, value string")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    status = fs.getFileStatus(at)
+    if status.isDirectory():
+        inside = [x for x in fs.listStatus(at) if not x.getPath().getName().startswith(("_", "."))]
+        status = min(inside, key=lambda x: x.getPath().getName())
+
+    def tail(n: int) -> bytes:
+        stream = fs.open(status.getPath())
+        try:
+            stream.seek(status.getLen() - n)
+            return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n))
+        finally:
+            stream.close()
+
+    size = struct.unpack("<I", tail(8)[:4])[0]
+    meta = pq.read_metadata(io.BytesIO(b"PAR1" + tail(size + 8))).metadata or {}
+    name = status.getPath().toString()
+    rows = [(name, k.decode(), v.decode("utf-8", "replace")) for k, v in meta.items() if k != b"ARROW:schema"]
+    return spark.createDataFrame(rows, "path string, key string, value string")
 
 
 def json_metadata(spark: SparkSession, path: str, *spellings: str) -> dict | None:
