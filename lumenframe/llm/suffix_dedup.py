@@ -11,6 +11,8 @@ first ``LENGTH`` bytes. To distribute it, texts are cut so that suffixes which a
    have equal grams at equal places. Windows that follow each other mostly share an
    anchor: a run. One row per run goes out: the hash of its gram (the key), the hash of all
    its bytes, and its place.
+   Of equal runs that one task finds, only the first is keyed so; the others are known to
+   repeat, so a passage that many documents share reaches its partition a few times only.
 2. Rows arrive sorted by key, content and place, and a task streams over them. All but the
    first run of equal content (key and content: 112 bits) repeat throughout. A key with one
    content has nothing else to compare and is dropped, as most keys are.
@@ -46,7 +48,7 @@ from .tables import saved
 from .textbuf import BYTE_VALUES, batch, chunks, mix, span_hashes, spans_of
 
 LENGTH, GRAM = 100, 20
-TEXT_BYTES, HOT_BYTES = 1 << 20, 8 << 20
+TEXT_BYTES, HOT_BYTES, GATHER_BYTES = 1 << 20, 8 << 20, 24 << 20
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 _MARKS = pa.schema([("h", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
@@ -172,14 +174,33 @@ SHARED_SCHEMA = "key long, h long, start int, n int"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of all runs. Of runs that a task finds equal among ``GATHER_BYTES`` of text, only the first goes to the
+    partition of its key; the others are repeats for certain (``n`` negative) and are spread by document."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        key, content, h, start, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((start, h, content, key))
+        key, content, h, start, n = key[order], content[order], h[order], start[order], n[order]
+        like = np.zeros(len(key), bool)
+        like[1:] = (key[1:] == key[:-1]) & (content[1:] == content[:-1])
+        like[1:] &= (h[1:] != h[:-1]) | (start[1:] != start[:-1])  # a row that stands twice is one run
+        key = np.where(like, mix(h.view(np.uint64)).view(np.int64), key)
+        columns = (pa.array(key), pa.array(content), pa.array(h), pa.array(start.astype(np.int32)), pa.array(np.where(like, -n, n).astype(np.int32)))
+        return pa.RecordBatch.from_arrays(list(columns), names=["key", "content", "h", "start", "n"])
+
     for rows, buf, off in chunks(batches):
         key, doc, start, n = anchor_runs(buf, off)
         at = off[doc] + start
         content = span_hashes(buf, at, at + n + LENGTH - 1).view(np.int64)
-        h = rows.column("h").to_numpy()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key, pa.int64()), pa.array(content, pa.int64()), pa.array(h[doc], pa.int64()), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["key", "content", "h", "start", "n"]
-        )
+        held.append((key, content, rows.column("h").to_numpy()[doc].astype(np.int64), start, n))
+        size += len(buf)
+        if size >= GATHER_BYTES:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,6 +216,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not b.num_rows:
             continue
         row = np.array([b.column(c).to_numpy().astype(np.int64) for c in ("key", "content", "h", "start", "n")])
+        if (known := row[4] < 0).any():  # repeats that the sending task has found
+            yield out(None, row[2, known], row[3, known], -row[4, known])
+            row = row[:, ~known]
+            if not row.shape[1]:
+                continue
         before = np.concatenate([row[:, :1] - 1 if last is None else last, row[:, :-1]], axis=1)
         last = row[:, -1:]
         same = (row[:2] == before[:2]).all(axis=0)
