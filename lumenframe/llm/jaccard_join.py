@@ -246,7 +246,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, target: float =
     # components in blocks of bounded size; one group of rows for each pair of blocks
     placed = where.join(nodes, "node")
     shape = placed.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
-    wanted = placed.join(shape, "component").select("node", "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "size", "keys", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"))
+    # a table of its own: the join can then split a large component, or broadcast the shapes where they are few
+    wanted = placed.join(saved(shape), "component").select("node", "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "size", "keys", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"))
     texts = rows.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).select("_id", "text").join(wanted, "_id")
     sets = texts.select("node", "component", "blocks", "block", "size", "keys", "text").mapInArrow(_payload, "node binary, component binary, blocks int, block int, size long, keys array<long>, shingles binary")
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
