@@ -37,7 +37,7 @@ THRESHOLD = 0.7
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
-_FEATURES, PRIOR_TOKENS = DIM + 4, 8
+_FEATURES, PRIOR_TOKENS, GATHER = DIM + 4, 8, 65_536
 
 
 def _byte_kinds() -> tuple[np.ndarray, np.ndarray]:
@@ -127,11 +127,17 @@ def pooled(vectors: np.ndarray, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     if len(tok):
         first = np.searchsorted(doc, np.arange(n + 1))
         size = np.diff(first)
-        for a in range(0, n, 64):
-            x, y = first[a], first[min(n, a + 64)]
-            if x < y:
-                own = np.flatnonzero(size[a : a + 64]) + a
+        a = 0
+        while a < n:
+            # documents of at most GATHER tokens together; a longer one by its counts
+            b = max(a + 1, int(np.searchsorted(first, first[a] + GATHER, "right")) - 1)
+            x, y = first[a], first[b]
+            if y - x > GATHER:
+                out[a, :DIM] = np.bincount(tok[x:y], minlength=BUCKETS) @ vectors / (size[a] + PRIOR_TOKENS)
+            elif x < y:
+                own = np.flatnonzero(size[a:b]) + a
                 out[own, :DIM] = np.add.reduceat(vectors[tok[x:y]], first[own] - x, axis=0) / (size[own, None] + PRIOR_TOKENS)
+            a = b
         out[:, DIM] = np.log1p(size)
         out[:, DIM + 1] = np.linalg.norm(out[:, :DIM], axis=1)
         again = (tok[2:] == tok[:-2]) & (doc[2:] == doc[:-2]) & (tok[2:] >= 64)  # a shape token stands between two words

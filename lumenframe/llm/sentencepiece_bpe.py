@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .textbuf import batch, chunks, span_hashes
 
 SPACE = "▁"
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Words of more characters have a heap of their own; so many shorter ones advance together.
 LONG_WORD, TOGETHER = 256, 65_536
 _BIG = np.int64(1) << np.int64(62)

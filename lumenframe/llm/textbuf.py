@@ -12,7 +12,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Bytes whose prefix sums are held at once.
+HASH_BLOCK = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
@@ -65,7 +67,7 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = C
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base and of its inverse, modulo 2**64."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, CHUNK_BYTES)
+        size = max(n, 2 * HASH_BLOCK)
         out = []
         for base in (_BASE, _INV):
             p = np.full(size, base, np.uint64)
@@ -85,14 +87,24 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of ``values[starts:ends]`` for every span; equal content gives an equal hash wherever it stands."""
-    n = len(values)
-    p, inv = powers(n + 1)
-    acc = np.zeros(n + 1, np.uint64)
-    t = BYTE_VALUES[values]
-    t *= p[:n]
-    np.cumsum(t, out=acc[1:])
-    return mix((acc[ends] - acc[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+    """Hash of ``values[starts:ends]`` for every span, starts ascending; equal content gives an equal hash wherever it stands.
+
+    Prefix sums of a polynomial, over blocks of bytes, so that memory does not grow with the text.
+    """
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(starts, lo + HASH_BLOCK)))
+        a, b = starts[i:j] - lo, ends[i:j] - lo
+        part = BYTE_VALUES[values[lo : lo + int(b.max())]]
+        p, inv = powers(len(part) + 1)
+        acc = np.zeros(len(part) + 1, np.uint64)
+        part *= p[:-1]
+        np.cumsum(part, out=acc[1:])
+        out[i:j] = mix((acc[b] - acc[a]) * inv[a] + (b - a).astype(np.uint64))
+        i = j
+    return out
 
 
 def spans_of(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

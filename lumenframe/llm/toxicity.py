@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import samples
 from .quality import SCHEMA, THRESHOLD
-from .textbuf import BYTE_VALUES, WORDS, batch, chunks, mix, powers, spans_of
+from .textbuf import BYTE_VALUES, HASH_BLOCK, WORDS, batch, chunks, mix, powers, spans_of
 
 PARTS = (4, 5, 6, 7, 8)
 BUCKETS, KEPT, STEPS = 1 << 20, 300, 500
@@ -38,24 +38,31 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score",
 
 
 def word_features(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, document) of the words, then of each kind of word part."""
+    """(bucket, document) of words and then of each kind of word part, for one block of the chunk after another."""
     norm = WORDS[buf]
-    s, e = spans_of(norm != 0, off)
-    n = len(norm)
-    p, inv = powers(n + 1)
-    acc = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[norm] * p[:n], out=acc[1:])
-    doc, size = np.searchsorted(off, s, "right") - 1, e - s
-
-    def hashed(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
-        return (mix((acc[b] - acc[a]) * inv[a] + np.uint64(kind)) % np.uint64(BUCKETS)).astype(np.int64)
-
-    yield hashed(s, e, 1), doc
-    for k, length in enumerate(PARTS):
-        own = size > length
-        a, b, d = s[own], e[own], doc[own]
-        yield hashed(a, a + length, 2 + 2 * k), d
-        yield hashed(b - length, b, 3 + 2 * k), d
+    every, stop = spans_of(norm != 0, off)
+    docs = np.searchsorted(off, every, "right") - 1
+    i = 0
+    while i < len(every):  # so many bytes of words at a time
+        lo = int(every[i])
+        j = max(i + 1, int(np.searchsorted(every, lo + HASH_BLOCK)))
+        s, e, doc = every[i:j] - lo, stop[i:j] - lo, docs[i:j]
+        part = BYTE_VALUES[norm[lo : lo + int(e[-1])]]
+        p, inv = powers(len(part) + 1)
+        acc = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * p[:-1], out=acc[1:])
+
+        def hashed(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
+            return (mix((acc[b] - acc[a]) * inv[a] + np.uint64(kind)) % np.uint64(BUCKETS)).astype(np.int64)  # noqa: B023
+
+        yield hashed(s, e, 1), doc
+        size = e - s
+        for k, length in enumerate(PARTS):
+            own = size > length
+            a, b, d = s[own], e[own], doc[own]
+            yield hashed(a, a + length, 2 + 2 * k), d
+            yield hashed(b - length, b, 3 + 2 * k), d
+        i = j
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,14 +91,13 @@ def features(kept: np.ndarray, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     """log(1 + count) and rate of the kept buckets for every document of a chunk, and log(1 + words)."""
     place = np.full(BUCKETS, -1, np.int32)
     place[kept] = np.arange(len(kept))
-    n, out, words = len(off) - 1, None, None
+    n = len(off) - 1
+    out = np.zeros(n * len(kept), np.int64)
     for b, d in word_features(buf, off):
         i = place[b]
         own = i >= 0
-        words = np.bincount(d, minlength=n) if words is None else words
-        part = np.bincount(d[own] * len(kept) + i[own], minlength=n * len(kept))
-        out = part if out is None else out + part
-    out = out.reshape(n, len(kept))
+        np.add.at(out, d[own] * len(kept) + i[own], 1)
+    out, words = out.reshape(n, len(kept)), np.diff(np.searchsorted(spans_of(WORDS[buf] != 0, off)[0], off))
     return np.concatenate([np.log1p(out), out / (words[:, None] + 20.0) * 20, np.log1p(words)[:, None] / 4], axis=1).astype(np.float32)
 
 
