@@ -44,7 +44,7 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pre
 def _classes() -> np.ndarray:
     """Letter class of every code point: 0 for what is no letter."""
     t = np.zeros(0x110000, np.uint8)
-    for c in range(0x30000):
+    for c in range(0x32400):  # no letters are assigned above
         if not 0xD800 <= c < 0xE000 and chr(c).isalpha():
             low = ord(chr(c).lower()[0])
             t[c] = low - 96 if 97 <= low <= 122 else 27 + low % OTHERS
