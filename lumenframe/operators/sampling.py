@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions.scalar import C, col, integer_draw, unit
 from ..tables import saved
@@ -15,12 +16,26 @@ def numbered(df: DataFrame, order: list[str], name: str = "n", parts: int = 0) -
     Rows are range-partitioned, sorted and numbered inside their partition; that table is
     written once, so that partition sizes (one row each) and rows agree on who is where.
     """
-    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = saved(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
-    rows = dealt.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    rows, before = _dealt(df, order, parts)
     sizes = rows.groupBy("_part").agg(F.count("*").alias("_size")).select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    return rows.join(F.broadcast(sizes), "_part").withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(sizes), "_part").withColumn(name, place + F.col("_before")).drop("_part", "_id", "_before")
+
+
+def running_total(df: DataFrame, order: list[str], size: str, name: str = "before", parts: int = 0) -> DataFrame:
+    """Exclusive running sum of sizes over the whole table in a total order, dealt as in ``numbered``; null sizes add nothing."""
+    rows, before = _dealt(df, order, parts)
+    sizes = rows.groupBy("_part").agg(F.sum(size).alias("_size")).select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.withColumn("_own", F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    return own.join(F.broadcast(sizes), "_part").withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_part", "_id", "_own", "_before")
+
+
+def _dealt(df: DataFrame, order: list[str], parts: int) -> tuple[DataFrame, WindowSpec]:
+    """Range-partitioned, sorted rows with the number of their part, and the window over the parts before one."""
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = saved(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    return rows.withColumn("_part", F.shiftright("_id", 33)), Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def strided_shard(df: DataFrame, order: list[str], shard: int, shards: int) -> DataFrame:

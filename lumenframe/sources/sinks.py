@@ -50,10 +50,9 @@ def cache_writes(requests: DataFrame, key: str, rank: str, present: DataFrame) -
 
 def shard_numbers(df: DataFrame, order: list[str], size: str, most: int) -> DataFrame:
     """Shard of each row when shards are cut by running size: the number of whole limits before the row."""
-    from ..operators.packing import running_offsets
+    from ..operators.sampling import running_total
 
-    one = running_offsets(df.withColumn("_all", F.lit(0)), ["_all"], order, size, "_before").drop("_all")
-    return one.withColumn("shard", F.floor(F.col("_before") / most).cast("long")).drop("_before")
+    return running_total(df, order, size, "_before").withColumn("shard", F.floor(F.col("_before") / most).cast("long")).drop("_before")
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

@@ -126,6 +126,10 @@ def test_other_sinks(spark, tmp_path):
     assert sinks.unexpected(d, want, "path", "sha256").count() == 2
     shards = sinks.shard_numbers(spark.createDataFrame([(i, 4) for i in range(5)], "i long, n long"), ["i"], "n", 8)
     assert [r.shard for r in shards.orderBy("i").collect()] == [0, 0, 1, 1, 2]
+    many = sinks.shard_numbers(spark.range(1000).select(F.col("id").alias("i"), F.when(F.col("id") % 7 > 0, F.col("id") % 5).alias("n")), ["i"], "n", 50)
+    size = [i % 5 if i % 7 else 0 for i in range(1000)]
+    assert [r.shard for r in many.orderBy("i").collect()] == [sum(size[:i]) // 50 for i in range(1000)]
+    assert sinks.shard_numbers(spark.createDataFrame([], "i long, n long"), ["i"], "n", 8).count() == 0
     assert json.loads(spark.createDataFrame([(1, [2])], "a long, b array<long>").select(sinks.scalar_json(spark.createDataFrame([(1, [2])], "a long, b array<long>"))).first()[0]) == {"a": 1}
     done = sinks.acknowledgements(spark.createDataFrame([("t",), ("u",)], "token string"), spark.createDataFrame([("t", "ok")], "token string, status string"), "token")
     assert {r.token: r.status for r in done.collect()} == {"t": "ok", "u": "pending"}
