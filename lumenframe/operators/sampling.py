@@ -25,10 +25,10 @@ def numbered(df: DataFrame, order: list[str], name: str = "n", parts: int = 0) -
 def running_total(df: DataFrame, order: list[str], size: str, name: str = "before", parts: int = 0) -> DataFrame:
     """Exclusive running sum of sizes over the whole table in a total order, dealt as in ``numbered``; null sizes add nothing."""
     rows, before = _dealt(df, order, parts)
-    sizes = rows.groupBy("_part").agg(F.sum(size).alias("_size")).select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    sizes = rows.groupBy("_part").agg(F.sum(size).alias("_size")).select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_parts_before"))
     inside = Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
     own = rows.withColumn("_own", F.coalesce(F.sum(size).over(inside), F.lit(0)))
-    return own.join(F.broadcast(sizes), "_part").withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_part", "_id", "_own", "_before")
+    return own.join(F.broadcast(sizes), "_part").withColumn(name, (F.col("_own") + F.col("_parts_before")).cast("long")).drop("_part", "_id", "_own", "_parts_before")
 
 
 def _dealt(df: DataFrame, order: list[str], parts: int) -> tuple[DataFrame, WindowSpec]:
