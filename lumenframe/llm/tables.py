@@ -40,12 +40,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     mark = None
     while True:
         both = now.unionByName(now.select(v.alias("u"), u.alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # a table of its own: a join with it can split the many rows of a hub
+        least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where(v > u).join(least, "u").select(v.alias("u"), F.col("m").alias("v")).distinct()
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(m, "u").where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
         after = saved(small.unionByName(m.select("u", F.col("m").alias("v"))).distinct())
         dropped(now)
+        dropped(least)
         now = after
         r = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if mark == (r.n, r.s):
