@@ -146,10 +146,10 @@ def chosen_text(first: C, second: C, dynamic: C, draw: C) -> Column:
     return F.when(a.isNull(), b).when(b.isNull(), a).when(col(dynamic) & (col(draw) < 0.5), b).otherwise(a)
 
 
-def short_clips(df: DataFrame, length: str, window: int = 77, most: int = 1000) -> DataFrame:
-    """One row per window of at most ``window`` units: clip, start, stop. ``most`` guards against corrupt lengths."""
-    count = F.least(F.greatest(F.ceil(F.col(length) / window), F.lit(1)).cast("int"), F.lit(most))
-    out = df.withColumn("clip", F.explode(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1)))
+def short_clips(df: DataFrame, length: str, window: int = 77) -> DataFrame:
+    """One row per window of at most ``window`` units, to the end of the clip: clip, start, stop."""
+    count = F.greatest(F.ceil(F.col(length) / window), F.lit(1)).cast("long")
+    out = df.withColumn("clip", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
     return out.withColumns({"start": F.col("clip") * window, "stop": F.least((F.col("clip") + 1) * window, F.col(length).cast("long"))})
 
 

@@ -18,6 +18,12 @@ def test_short_clips_cover_every_frame_once(spark):
     assert sum(b - a for *_, a, b in got) == 297 + 77 + 10 + 150
 
 
+def test_short_clips_have_no_cap(spark):
+    df = spark.createDataFrame([(0, 128_657)], "view long, n long")
+    got = values(filters.short_clips(df, "n").orderBy("clip"), "clip", "start", "stop")
+    assert got == [(i, 77 * i, min(77 * (i + 1), 128_657)) for i in range(1671)]
+
+
 def test_temporal_layout_of_77_frames(spark):
     df = timebase.temporal_layout(spark.createDataFrame([(77,)], "n long"), "n").cache()
     assert df.count() == 27 and df.where("valid").count() == 23
