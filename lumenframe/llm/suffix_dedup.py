@@ -289,12 +289,13 @@ def _windows(strings: list[bytes], h: list[int], start: list[int]) -> tuple[np.n
 
 
 def _earlier(strings: list[bytes], h: list[int], start: list[int]) -> pa.RecordBatch:
-    """Marks of the windows that an earlier one equals, by the suffix array of the strings."""
+    """Marks of the windows that one at an earlier place equals, by the suffix array of the strings."""
     text, at, handle, pos = _windows(strings, h, start)
     number = repeats(text.astype(np.int64) + 1, at)
     order = np.lexsort((pos, handle, number))
     later = np.zeros(len(at), bool)
-    later[order[1:]] = number[order[1:]] == number[order[:-1]]
+    a, b = order[:-1], order[1:]
+    later[b] = (number[b] == number[a]) & ((handle[b] != handle[a]) | (pos[b] != pos[a]))  # a row that stands twice is one string
     return _as_runs(handle[later], pos[later])
 
 

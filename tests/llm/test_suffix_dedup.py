@@ -51,6 +51,20 @@ def test_shared_passages_and_hot_keys(spark, hot):
     assert got(spark.createDataFrame(rows, "doc_id long, text string"), hot_bytes=hot, text_bytes=200) == brute(rows)
 
 
+@pytest.mark.parametrize("hot", [S.HOT_BYTES, 400])
+def test_repeated_row_of_the_first_owner(spark, hot):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    passage = words(60)[:240]
+    first = words(30) + passage + words(30)
+    rows = [(1, first), (1, first), (2, words(30) + passage[20:200] + words(30)), (3, words(40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    result = got(df, hot_bytes=hot)
+    assert result == brute(rows)
+    assert [x[2] for x in result] == [0, 0, 180, 0]
+
+
 def test_whole_table_equals_sql(spark, data):
     from duck import same
 
