@@ -42,7 +42,7 @@ _LATENTS = "SELECT o_orderkey, o_custkey % 150 + 1 AS frames, unnest(range(0, 5
 )
 def block_intervals(spark, sf_dir):
     """Blocks of clips as intervals, from their latents."""
-    o = table(spark, sf_dir, "orders").where("o_custkey % 150 > 0 and o_orderkey % 4 = 0").select("o_orderkey", (F.col("o_custkey") % 150 + 1).alias("frames"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 150 + 1).alias("frames"))
     l = T.temporal_layout(o, "frames").withColumn("raw", T.source_block("start", F.lit(5)))  # noqa: E741
     l = l.withColumn("block", T.clamped_block("raw", "valid", ["o_orderkey"]))  # noqa: E741
     return T.block_intervals(l, ["o_orderkey"], "latent", "block", "start", "frames")
