@@ -96,9 +96,10 @@ def running_peak(df: DataFrame, by: list[str], order: list[str], value: str, nam
     return df.withColumn(name, F.max(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def rate_groups(df: DataFrame, rate: str, member: str) -> DataFrame:
-    """Members by learning rate, in order, with their number."""
-    return df.groupBy(rate).agg(F.array_sort(F.collect_list(member)).alias("members"), F.count("*").alias("n"))
+def rate_groups(df: DataFrame, rate: str, member: str, block: int = 10_000) -> DataFrame:
+    """Members by learning rate, in order, with their number; a row for each range of ``block`` ids, so that no row holds a large group."""
+    ids = F.col(member) - F.pmod(F.col(member), F.lit(block))
+    return df.groupBy(rate, ids.alias("_b")).agg(F.array_sort(F.collect_list(member)).alias("members"), F.count("*").alias("n")).drop("_b")
 
 
 def moving_average(df: DataFrame, by: list[str], order: list[str], value: str, decay: float, warm_up: bool = False, name: str = "ema") -> DataFrame:

@@ -31,3 +31,14 @@ def test_block_intervals_equal_the_sql_on_its_orders(spark, data):
 
     own = table(spark, data, "orders").where("o_custkey % 150 > 0 and o_orderkey % 4 = 0").select("o_orderkey")
     same(entry.queries()["block_intervals"](spark, data).join(own, "o_orderkey", "left_semi"), ORACLES["block_intervals"], data)
+
+
+def test_rate_groups_and_walks_of_every_part(spark, tmp_path):
+    parts = [(i, i % 7 + 1) for i in range(12_000)]
+    d = written(spark, tmp_path, "part", parts, "p_partkey long, p_size int")
+    rows = sorted((r.rate, r.members, r.n) for r in entry.queries()["rate_groups"](spark, d).collect())
+    assert all(r[2] == len(r[1]) and r[1][0] // 10_000 == r[1][-1] // 10_000 for r in rows)
+    for rate in range(5):
+        assert [m for r, members, _ in rows if r == rate for m in members] == [k for k, size in parts if size % 5 == rate]
+    steps = entry.queries()["momentum_walk"](spark, d).groupBy("p_partkey").count()
+    assert sorted(tuple(r) for r in steps.collect()) == parts
