@@ -4,13 +4,15 @@ The encoder keeps the agenda of the library: all adjacent symbol pairs whose
 concatenation is a piece, ordered by score, then from left to right; the best pair is
 merged and its neighbours enter the agenda, until none is left. No piece has the space
 mark anywhere but at its start (``BpeModel`` checks this), and many ASCII characters stand
-side by side in no piece, so texts fall into words that nothing merges across, and each
-distinct word of a chunk is encoded once. The agendas of all distinct words of a chunk
-advance together, one merge per word and round, in arrays; very long words have a heap.
+side by side in no piece, so texts fall into words that nothing merges across, and a task
+encodes each distinct word once (it remembers ``KNOWN_BYTES`` of them). Words are told
+apart by their bytes. The agendas of new words advance together, one merge per word and
+round, in arrays; very long words have a heap.
 
-Every distinct word that is encoded is also encoded by the sentencepiece library and the
-two are compared. Where they differ, the ids of the library stand and ``agrees`` is false
-for the documents that hold the word.
+Every distinct word is also encoded by the sentencepiece library, and every document's ids
+are decoded by the library's ``decode``, which gives the decoded text. ``agrees`` says
+whether the ids of all its words and the operator's own decoding equal the library's; the
+operator's ids stand in any case.
 
 Defined results: null counts as empty; an empty text has the end id alone; unknown
 characters become their UTF-8 bytes as byte pieces; texts that repeat, and rows that
@@ -30,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbuf import batch, chunks, span_hashes
+from .textbuf import batch, chunks
 
 SPACE = "▁"
 CHUNK = 4 << 20
 #: Words of more characters have a heap of their own; so many shorter ones advance together.
 LONG_WORD, TOGETHER = 256, 65_536
+KNOWN_BYTES = 8 << 20
 _BIG = np.int64(1) << np.int64(62)
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean"
@@ -89,9 +92,10 @@ class BpeModel:
             while self.key[at] >= 0:
                 at, n = (at + 1) & ((1 << self.bits) - 1), n + 1
             self.key[at], self.merged[at], self.rank[at], self.probes = k, m, r, max(self.probes, n)
+        self.library = spm.SentencePieceProcessor(model_proto=proto.SerializeToString())
         # the library for single words: it must not put a space before each
         norm.add_dummy_prefix = False
-        self.library = spm.SentencePieceProcessor(model_proto=proto.SerializeToString())
+        self.words = spm.SentencePieceProcessor(model_proto=proto.SerializeToString())
         # pairs of bytes, by 256 * first + second, that are ASCII and side by side in no piece
         self.apart = np.zeros(1 << 16, bool)
         self.apart.reshape(256, 256)[:128, :128] = True
@@ -266,41 +270,68 @@ def _rows(ids: np.ndarray, bounds: np.ndarray, table: list[bytes]) -> list[bytes
     return [out[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
+class _Words:
+    """Encodings of the words that a task has met. Words are told apart by their bytes."""
+
+    def __init__(self, m: BpeModel):
+        self.m, self.known, self.size = m, {}, 0
+        self.ids: list[list[int]] = []
+        self.shown: list[bytes] = []  # decimal ids, each with a space behind it
+        self.plain: list[bytes] = []  # decoded bytes
+        self.agrees: list[bool] = []
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word; new ones are encoded, and compared with the library's ids."""
+        new = [w for w in words if w not in self.known]
+        if self.size + sum(map(len, new)) > KNOWN_BYTES:
+            self.__init__(self.m)
+            new = words
+        if new:
+            texts = [w.decode() for w in new]
+            ids, bounds = self.m.encode_words(texts)
+            own, cut = ids.tolist(), bounds.tolist()
+            lists = [own[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            self.known.update(zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True))
+            self.size += sum(map(len, new))
+            self.ids += lists
+            self.shown += _rows(ids, bounds, self.m.shown)
+            self.plain += _rows(ids, bounds, self.m.surface)
+            self.agrees += [x == y for x, y in zip(lists, self.m.words.encode(texts, num_threads=1), strict=True)]
+        return np.array([self.known[w] for w in words], np.int64)
+
+
+def _distinct(starts: np.ndarray, buf: np.ndarray, fresh: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """(distinct words, number of each word among them), by comparison of their bytes. A word at a document's start
+    has the space mark that the library puts before a text."""
+    offsets = pa.py_buffer(np.append(starts, len(buf)).astype(np.int32))
+    coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(np.ascontiguousarray(buf))]).dictionary_encode()
+    key, number = np.unique(coded.indices.to_numpy().astype(np.int64) * 2 + fresh, return_inverse=True)
+    words = coded.dictionary.to_pylist()
+    return [b" " + words[k >> 1] if k & 1 else words[k >> 1] for k in key.tolist()], number
+
+
 def _encoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        end = str(m.eos).encode()
+        end, seen = str(m.eos).encode(), _Words(m)
         for rows, buf, off in chunks(batches, limit=CHUNK):
             starts = _word_starts(m, buf, off)
-            ends = np.append(starts[1:], len(buf)) if len(starts) else starts
-            # a word at a document's start gets the space mark that the library puts before a text
-            fresh = np.isin(starts, off[:-1])
-            h = span_hashes(buf, starts, ends) ^ (fresh.astype(np.uint64) * np.uint64(0x5851F42D4C957F2D))
-            _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-            whole = buf.tobytes()
-            texts = [whole[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-            for k in np.flatnonzero(fresh[first]).tolist():
-                texts[k] = " " + texts[k]
-            ids, bounds = m.encode_words(texts)
-            theirs = m.library.encode(texts, num_threads=1)
-            counts = np.array([len(x) for x in theirs], np.int64)
-            checked = np.fromiter(chain.from_iterable(theirs), np.int64, int(counts.sum()))
-            wrong = np.zeros(len(texts), bool)
-            if not (np.array_equal(np.diff(bounds), counts) and np.array_equal(ids, checked)):
-                b = bounds.tolist()
-                wrong[:] = [ids[x:y].tolist() != t for x, y, t in zip(b[:-1], b[1:], theirs, strict=True)]
-                ids, bounds = checked, np.concatenate([[0], np.cumsum(counts)])
-            count = np.diff(bounds)
-            shown, plain = _rows(ids, bounds, m.shown), _rows(ids, bounds, m.surface)
-            lo = np.searchsorted(starts, off)
-            total, amiss = np.concatenate([[0], np.cumsum(count[inverse])]), np.concatenate([[0], np.cumsum(wrong[inverse])])
-            word, digests, decoded = inverse.tolist(), [], []
-            for a, b in zip(lo[:-1].tolist(), lo[1:].tolist(), strict=True):
-                own = word[a:b]
-                digests.append(hashlib.sha256(b"".join([shown[w] for w in own]) + end).hexdigest())
-                text = b"".join([plain[w] for w in own])[1:]  # without the space that encoding put first
-                decoded.append(hashlib.sha256(text.decode("utf-8", "replace").encode()).hexdigest())
-            yield batch(_ARROW, doc_id=rows.column("doc_id"), n_tokens=total[lo[1:]] - total[lo[:-1]] + 1, ids_sha256=digests, decoded_sha256=decoded, agrees=amiss[lo[1:]] == amiss[lo[:-1]])
+            lo = np.searchsorted(starts, off).tolist()
+            number: list[int] = []
+            if len(starts):
+                distinct, place = _distinct(starts, buf, np.isin(starts, off[:-1]))
+                number = seen.numbers(distinct)[place].tolist()
+            counts, digests, decoded, agrees = [], [], [], []
+            for a, b in zip(lo[:-1], lo[1:], strict=True):
+                own = number[a:b]
+                ids = [*chain.from_iterable([seen.ids[w] for w in own]), m.eos]
+                text = m.library.decode(ids).encode()
+                plain = b"".join([seen.plain[w] for w in own])[1:]  # without the space that encoding put first
+                counts.append(len(ids))
+                digests.append(hashlib.sha256(b"".join([seen.shown[w] for w in own]) + end).hexdigest())
+                decoded.append(hashlib.sha256(text).hexdigest())
+                agrees.append(all([seen.agrees[w] for w in own]) and plain.decode("utf-8", "replace").encode() == text)
+            yield batch(_ARROW, doc_id=rows.column("doc_id"), n_tokens=counts, ids_sha256=digests, decoded_sha256=decoded, agrees=agrees)
 
     return run
 

@@ -50,3 +50,28 @@ def test_other_vocabularies_are_refused(tmp_path):
     (tmp_path / "m").write_bytes(m.SerializeToString())
     with pytest.raises(ValueError):
         S.BpeModel(str(tmp_path / "m"))
+
+
+def thue_morse(n):
+    t = "a"
+    while len(t) < n:
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_are_told_apart_by_their_bytes(spark, path, library, n):
+    texts = thue_morse(n)
+    got = {r.doc_id: r for r in S.encode_decode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), path).collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t, add_eos=True)
+        assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()) and got[i].agrees
+
+
+def test_forgetting_words_changes_nothing(spark, data, path, monkeypatch):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").toArrow().to_batches()
+    whole = [b.to_pylist() for b in S._encoder(path)(iter(docs))]
+    monkeypatch.setattr(S, "KNOWN_BYTES", 1000)
+    monkeypatch.setattr(S, "CHUNK", 1 << 14)
+    parts = [r for b in S._encoder(path)(iter(docs)) for r in b.to_pylist()]
+    assert parts == [r for x in whole for r in x] and all(r["agrees"] for r in parts)
