@@ -1,12 +1,15 @@
 """Chat formatting in budgeted windows.
 
-A conversation becomes one or more training windows. The running sum of its turns' tokens
-chooses turn-aligned spans: a turn belongs to the span in which the sum before it falls,
-so a span's new turns hold at most ``span`` tokens plus what is left of its last turn;
-turns are never cut. Every window starts with the conversation's system turn, repeats at
-most ``history`` tokens of the turns before its span, whole turns only, and then has the
-new turns. The loss mask covers the texts of assistant turns where they are new; repeated
-ones are masked out, so each target counts once.
+A conversation becomes one or more training windows. The prefix sums of its turns' tokens
+choose turn-aligned spans: a window takes new turns as long as system turn, repeated
+history and new turns together hold at most ``span`` tokens, and is cut before the turn
+that does not fit. Every window starts with the conversation's system turn and repeats, of
+the turns before its own, the latest that hold at most ``history`` tokens and leave room
+for its first new turn; whole turns only. The loss mask covers the texts of assistant
+turns where they are new; repeated ones are masked out, so each target counts once. Turns
+are never cut: only a turn that does not fit into the span beside the system turn makes a
+window of more tokens, in which it is the only new turn and nothing but the system turn is
+repeated (``n_tokens`` shows it).
 
 Template: ``### role:``, a line break, the text, ``</turn>``, a line break. Inside a text a
 backslash is doubled and the control strings ``###`` and ``</turn>`` get a backslash before
@@ -14,12 +17,13 @@ them; a role has its backslashes, colons and line breaks marked the same way. ``
 reads a window back.
 
 Rows are dealt by conversation and sorted by turn; a task streams over them and holds one
-window of one conversation, however long the conversation is.
+window of one conversation, however long the conversation is. Texts are read back by
+searching for the next end mark, in memory of their own size.
 
 Defined results: null texts and roles count as empty; a null conv_id is a conversation of
 its own; rows of the same conversation and turn are turns of their own, in the order of
-role and text; an empty input gives no windows; a turn longer than the span is a window's
-only new turn; columns besides those named are ignored.
+role and text; a system turn after the first is a turn like any other; an empty input gives
+no windows; columns besides those named are ignored.
 """
 
 from __future__ import annotations
@@ -35,27 +39,25 @@ from pyspark.sql import functions as F
 
 SPAN, HISTORY = 1024, 256
 TURN_END = "</turn>"
-_CONTROL = re.compile(r"\\|###|</turn>")
 _ROLE_CONTROL = re.compile(r"[\\:\n]")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
-_TURN = re.compile(r"### ((?:\\.|[^\\:])*):\n((?:\\.|(?!</turn>)[^\\])*)</turn>\n", re.DOTALL)
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 
-WINDOW_SCHEMA = "conv_id long, window long, first_turn long, n_repeated long, n_new long, formatted string, loss array<struct<start: long, end: long>>"
+WINDOW_SCHEMA = "conv_id long, window long, first_turn long, n_repeated long, n_new long, n_tokens long, formatted string, loss array<struct<start: long, end: long>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_WINDOW = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("first_turn", pa.int64()), ("n_repeated", pa.int64()), ("n_new", pa.int64()), ("formatted", pa.string()), ("loss", _SPANS)])
+_WINDOW = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("first_turn", pa.int64()), ("n_repeated", pa.int64()), ("n_new", pa.int64()), ("n_tokens", pa.int64()), ("formatted", pa.string()), ("loss", _SPANS)])
 DIGEST_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"
 _DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_windows", pa.int64())])
 _FLUSH = 256
 
 
 def n_tokens(text: str) -> int:
-    """Tokens of a turn for the budget: words and single marks; any count that adds up over turns would do."""
-    return sum(1 for _ in _TOKEN.finditer(text))
+    """Tokens of a turn for the budget: words, single marks, and the turn's end; any count that adds up over turns would do."""
+    return 1 + sum(1 for _ in _TOKEN.finditer(text))
 
 
 def escape(text: str) -> str:
-    return _CONTROL.sub(lambda m: "\\" + m.group(), text)
+    return text.replace("\\", "\\\\").replace("###", "\\###").replace(TURN_END, "\\" + TURN_END)
 
 
 def escape_role(role: str) -> str:
@@ -78,15 +80,29 @@ def render(turns: list[tuple[str, str]], n_repeated: int) -> tuple[str, list[dic
     return "".join(parts), loss
 
 
+def _unescaped(text: str, mark: str, start: int) -> int:
+    """Where ``mark`` next stands with an even number of backslashes before it, or -1."""
+    at = text.find(mark, start)
+    while at >= 0:
+        k = at
+        while k > start and text[k - 1] == "\\":
+            k -= 1
+        if (at - k) % 2 == 0:
+            return at
+        at = text.find(mark, at + 1)
+    return -1
+
+
 def parse(formatted: str) -> list[tuple[str, str]]:
     """(role, text) of every turn of a window."""
     out, at = [], 0
     while at < len(formatted):
-        m = _TURN.match(formatted, at)
-        if not m:
+        colon = _unescaped(formatted, ":\n", at + 4) if formatted.startswith("### ", at) else -1
+        end = _unescaped(formatted, TURN_END + "\n", colon + 2) if colon >= 0 else -1
+        if end < 0:
             raise ValueError(f"no turn starts at {at}")
-        out.append((unescape(m.group(1)), unescape(m.group(2))))
-        at = m.end()
+        out.append((unescape(formatted[at + 4 : colon]), unescape(formatted[colon + 2 : end])))
+        at = end + len(TURN_END) + 1
     return out
 
 
@@ -95,44 +111,47 @@ class _Windows:
 
     def __init__(self, conv: int | None, span: int, history: int):
         self.conv, self.span, self.history = conv, span, history
-        self.sum, self.turn, self.no, self.at = 0, 0, 0, 0
+        self.turn = self.no = self.first = self.sum = 0  # ``sum``: tokens of all turns so far
         self.system: tuple[str, str] | None = None
-        self.system_at = -1
+        self.system_at, self.system_tokens = -1, 0
         self.new: list[tuple[str, str]] = []
-        self.first = 0
-        self.past: deque[tuple[int, tuple[str, str], int]] = deque()  # (place, turn, tokens) before the open span
-        self.past_tokens = 0
-        self.sizes: list[int] = []
+        self.past: deque[tuple[int, tuple[str, str], int]] = deque()  # (place, turn, sum before it): the latest that fit the history
+        self.begin = self.before = 0  # sum before the first new turn; tokens repeated in front of it
 
     def add(self, role: str, text: str) -> list[tuple]:
-        out = []
-        slot = self.sum // self.span
-        if self.new and slot != self.at:
+        out, n = [], n_tokens(text)
+        if self.new and self.before + self.sum + n - self.begin > self.span:
             out.append(self.close())
-        self.at = slot
         if not self.new:
-            self.first = self.turn
-        n = n_tokens(text)
+            self._open(n)
         self.new.append((role, text))
-        self.sizes.append(n)
+        self.past.append((self.turn, (role, text), self.sum))
         self.sum += n
         if role == "system" and self.system is None:
-            self.system, self.system_at = (role, text), self.turn
+            self.system, self.system_at, self.system_tokens = (role, text), self.turn, n
         self.turn += 1
+        while self.past and self.sum - self.past[0][2] > self.history:
+            self.past.popleft()
         return out
 
+    def _open(self, n: int) -> None:
+        """Choose what is repeated before a first new turn of n tokens."""
+        system = self.system_tokens if self.system is not None else 0
+        least = self.sum - min(self.history, max(0, self.span - n - system))
+        self.shown = [t for place, t, before in self.past if before >= least and place != self.system_at]
+        kept = [(place, before) for place, _, before in self.past if before >= least]
+        self.before = system + (self.sum - kept[0][1] if kept else 0)
+        if self.system is not None:
+            self.shown.insert(0, self.system)
+            if any(place == self.system_at for place, _ in kept):
+                self.before -= system
+        self.first, self.begin = self.turn, self.sum
+
     def close(self) -> tuple:
-        repeated = [t for place, t, _ in self.past if place != self.system_at]
-        if self.system is not None and self.system_at < self.first:
-            repeated.insert(0, self.system)
-        text, loss = render(repeated + self.new, len(repeated))
-        row = (self.conv, self.no, self.first, len(repeated), len(self.new), text, loss)
-        for i, (t, n) in enumerate(zip(self.new, self.sizes, strict=True)):
-            self.past.append((self.first + i, t, n))
-            self.past_tokens += n
-        while self.past and self.past_tokens > self.history:
-            self.past_tokens -= self.past.popleft()[2]
-        self.new, self.sizes, self.no = [], [], self.no + 1
+        turns = self.shown + self.new
+        text, loss = render(turns, len(self.shown))
+        row = (self.conv, self.no, self.first, len(self.shown), len(self.new), self.before + self.sum - self.begin, text, loss)
+        self.new, self.no = [], self.no + 1
         return row
 
 

@@ -1,4 +1,7 @@
 import hashlib
+import random
+import re
+import tracemalloc
 from collections import defaultdict
 
 import pytest
@@ -53,12 +56,64 @@ def test_windows_keep_system_and_mask_repeats(spark):
         assert len(w.loss) == sum(r == "assistant" for r, _ in turns[w.n_repeated :])
         for s in w.loss:
             assert C.unescape(w.formatted[s.start : s.end]) in [x for _, x in turns[w.n_repeated :]]
-        new = sum(C.n_tokens(x) for _, x in turns[w.n_repeated :][:-1])
-        assert new < 60
+        assert w.n_tokens == sum(C.n_tokens(x) for _, x in turns) <= 60
         assert sum(C.n_tokens(x) for _, x in turns[1 : w.n_repeated]) <= 50
     assert sum(w.n_new for w in ws) == 20
 
 
+def brute_windows(turns, span, history):
+    """(first turn, turn after the last, places of repeated turns, tokens) of every window, from prefix sums of the whole conversation."""
+    cost = [len(re.findall(r"\w+|[^\w\s]", x)) + 1 for _, x in turns]
+    total = [sum(cost[:i]) for i in range(len(cost) + 1)]
+    system = next((i for i, (r, _) in enumerate(turns) if r == "system"), None)
+    out, i = [], 0
+    while i < len(turns):
+        head = [system] if system is not None and system < i else []
+        room = min(history, max(0, span - cost[i] - sum(cost[k] for k in head)))
+        repeated = head + [k for k in range(i) if total[i] - total[k] <= room and k not in head]
+        used = sum(cost[k] for k in repeated)
+        j = max(j for j in range(i + 1, len(turns) + 1) if j == i + 1 or used + total[j] - total[i] <= span)
+        out.append((i, j, repeated, used + total[j] - total[i]))
+        i = j
+    return out
+
+
+@pytest.mark.parametrize("span, history", [(1024, 256), (40, 15), (12, 30), (1, 0), (64, 64)])
+def test_windows_equal_brute_force(spark, span, history):
+    rand, rows = random.Random(5), []
+    for c in range(25):
+        at = rand.choice([0, 0, 3, None])
+        for t in range(rand.randint(1, 40)):
+            rows.append((c, t, "system" if t == at else rand.choice(["user", "assistant", "system" if rand.random() < 0.1 else "tool"]), rand.choice(["", "w " * rand.randint(0, 90), "a-b.", "</turn> x"]), "x", "y"))
+    got = defaultdict(list)
+    for w in C.format_conversations(spark.createDataFrame(rows, SCHEMA), span, history).collect():
+        got[w.conv_id].append(w)
+    for c, ws in got.items():
+        turns = [(r, x) for k, _, r, x, *_ in rows if k == c]
+        want = brute_windows(turns, span, history)
+        ws.sort(key=lambda w: w.window)
+        assert [(w.first_turn, w.first_turn + w.n_new, w.n_repeated, w.n_tokens) for w in ws] == [(i, j, len(h), n) for i, j, h, n in want]
+        assert [C.parse(w.formatted) for w in ws] == [[turns[k] for k in [*h, *range(i, j)]] for i, j, h, _ in want]
+        assert all(n <= span or (j == i + 1 and len(h) <= 1) for i, j, h, n in want)
+
+
+def test_whole_table(spark, data):
+    from lumenframe.llm import queries
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{data}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    rows += [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+    assert {r.conv_id: tuple(r)[1:5] for r in queries.op9_chat_format(spark, data).collect()} == want(rows)
+
+
+def test_very_long_turns():
+    text = "\\\\ some words ### and </turn> marks " * 150_000  # 5 MB
+    long = C.render([("user", text), ("assistant", "\\" * 1_000_000)], 0)[0]
+    tracemalloc.start()
+    assert C.parse(long) == [("user", text), ("assistant", "\\" * 1_000_000)]
+    assert tracemalloc.get_traced_memory()[1] < 12 * len(long)
+    tracemalloc.stop()
+
+
 @pytest.mark.parametrize("text", NASTY)
 def test_escape_is_reversible(text):
     e = C.escape(text)
