@@ -2,16 +2,16 @@
 
 Base kinds are ``assign`` (a value given to a password-like name), ``access`` (access key
 ids) and ``hex`` (long lower-case hex runs). Further candidates are maximal runs of
-token characters of at least ``MIN_RUN`` characters. Over such a run a window of
-``WINDOW`` characters slides; the counts of its characters, and the entropy with them, are
-updated by the character that leaves and the one that enters. Each character class has
-its own alphabet and threshold: ``hex`` runs, ``digits``, ``base64`` (letters of both
-cases and digits together). Neighbouring windows above the threshold join to one span of
-kind ``entropy``, unless the allow-list covers it. Entropy spans only add: they never
-remove or change base spans, and what lies inside a base span is not reported again.
+token characters of at least ``WINDOW`` characters. Over such a run a window of
+``WINDOW`` characters slides; the counts of its characters and of its character kinds, and
+the entropy with them, are updated by the character that leaves and the one that enters.
+The kinds in the window, not in the run, give its class (``window_class``), and each class
+has a threshold of its own. Neighbouring windows that reach it join to one span of kind
+``entropy``. Entropy spans only add: they never remove or change base spans, and what lies
+inside a base span is not reported again.
 
-Allow-list: UUIDs, and runs with one of ``ALLOWED_PARTS`` in them (placeholders in
-documentation). It suppresses entropy spans only.
+Allow-list: UUIDs, and the placeholder words of ``ALLOWED_PARTS``. It suppresses the
+windows that overlap a listed stretch and no others, and entropy spans only.
 
 Defined results: null and empty texts have no spans; offsets are code points, end
 exclusive; rows that repeat an id are scanned each on its own; columns besides id and
@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from math import log2
 
 import pyarrow as pa
@@ -39,13 +41,13 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 WINDOW = 20
-MIN_RUN = 20
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Bits per character that a window must reach, by class; a digit or hex window can have 3.3 or 4 at most.
-THRESHOLDS = {"digits": 3.1, "hex": 3.3, "base64": 3.9}
-ALLOWED_PARTS = ("example", "placeholder", "changeme", "xxxxxxxx")
-UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-_HEX_CHARS, _DIGITS = frozenset("0123456789abcdefABCDEF"), frozenset("0123456789")
+#: Bits per character that a window must reach, by class; ten digits can have 3.3 at most, sixteen 4, twenty symbols 4.3.
+THRESHOLDS = {"digits": 3.1, "hex": 3.3, "single": 3.8, "mixed": 3.9, "letters": 4.05}
+#: The most marks (``+/_=-``) in a window; more are a ruler or a path.
+MOST_MARKS = 4
+ALLOWED = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|example|placeholder|changeme|xxxxxxxx", re.IGNORECASE | re.ASCII)
+_KIND = {c: k for k, own in enumerate(("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/_=-")) for c in own}
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_entropy", pa.int64())])
@@ -63,57 +65,70 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def char_class(run: str) -> str | None:
-    """The class that sets the threshold; words and single-case names have none."""
-    chars = set(run)
-    if chars <= _DIGITS:
+def window_class(kinds: list[int]) -> str | None:
+    """The class of a window with so many digits, a-f, other lower-case, A-F, other upper-case letters and marks.
+
+    Words have none: letters of one case alone, or with fewer than three digits.
+    """
+    digits, low_hex, low, up_hex, up, marks = kinds
+    lower, upper = low_hex + low, up_hex + up
+    if marks > MOST_MARKS:
+        return None
+    if not lower and not upper:
         return "digits"
-    if chars <= _HEX_CHARS and chars & _DIGITS:
-        return "hex"
-    if chars & _DIGITS and any(c.islower() for c in chars) and any(c.isupper() for c in chars):
-        return "base64"
-    return None
+    if lower and upper:
+        return "mixed" if digits else "letters"
+    if digits < 3:
+        return None
+    return "single" if low or up else "hex"
 
 
-def hot_windows(run: str, width: int, least: float) -> list[tuple[int, int]]:
-    """Joined windows of ``run`` whose entropy is at least ``least`` bits; counts change by one character a step.
+def hot_windows(run: str, allowed: list[tuple[int, int]], width: int = WINDOW) -> list[tuple[int, int]]:
+    """Joined windows of ``run`` whose entropy reaches the threshold of their class and that overlap no allowed stretch.
 
-    With counts c, entropy is log2(width) - sum(c log2 c) / width.
+    With counts c, entropy is log2(width) - sum(c log2 c) / width; counts change by one character a step.
     """
-    if len(run) < width:
-        return []
-    gain = [0.0] + [c * log2(c) for c in range(1, width + 1)]
+    gain = [0.0] + [c * log2(c) for c in range(1, width + 2)]
+    most = {k: (log2(width) - least) * width + 1e-9 for k, least in THRESHOLDS.items()}
+    loosest = max(most.values())
     counts: dict[str, int] = {}
-    total, most, out = 0.0, (log2(width) - least) * width + 1e-9, []
+    kinds = [0] * 6
+    total, free, out = 0.0, 0, []
+    listed = iter([*allowed, (len(run) + width, 0)])
+    start, end = next(listed)
     for i, c in enumerate(run):
         k = counts.get(c, 0)
         total += gain[k + 1] - gain[k]
         counts[c] = k + 1
+        kinds[_KIND[c]] += 1
         if i >= width:
             gone = run[i - width]
             k = counts[gone]
             total += gain[k - 1] - gain[k]
             counts[gone] = k - 1
-        if i >= width - 1 and total <= most:
-            start = i - width + 1
-            if out and start <= out[-1][1]:
+            kinds[_KIND[gone]] -= 1
+        while start <= i:  # from here on, windows must start behind this stretch
+            free = end
+            start, end = next(listed)
+        a = i - width + 1
+        if a >= free and total <= loosest and (kind := window_class(kinds)) and total <= most[kind]:
+            if out and a <= out[-1][1]:
                 out[-1] = (out[-1][0], i + 1)
             else:
-                out.append((start, i + 1))
+                out.append((a, i + 1))
     return out
 
 
 def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     out = []
+    starts = [s for s, _, _ in base]
+    reach = list(accumulate((e for _, _, e in base), max))  # how far base spans go that start up to here
     for m in RUN.finditer(text):
         run = m.group()
-        if run.isalpha() or (kind := char_class(run)) is None:
-            continue
-        if UUID.fullmatch(run) or any(x in run.lower() for x in ALLOWED_PARTS):
-            continue
-        for a, b in hot_windows(run, WINDOW, THRESHOLDS[kind]):
+        for a, b in hot_windows(run, [x.span() for x in ALLOWED.finditer(run)]):
             a, b = a + m.start(), b + m.start()
-            if not any(s <= a and b <= e for s, _, e in base):
+            k = bisect_right(starts, a)
+            if not k or reach[k - 1] < b:
                 out.append((a, 3, b))
     return out
 

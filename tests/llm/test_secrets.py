@@ -35,21 +35,74 @@ def entropy(w):
     return -sum(w.count(c) / len(w) * log2(w.count(c) / len(w)) for c in set(w))
 
 
-def test_incremental_entropy_equals_direct():
+def hot(w):
+    """Whether a window of 20 characters is one of high entropy, from the window alone."""
+    marks, digits = re.findall(r"[+/_=-]", w), re.findall(r"[0-9]", w)
+    if len(marks) > 4:
+        return False
+    if not re.search(r"[A-Za-z]", w):
+        least = 3.1
+    elif re.search(r"[a-z]", w) and re.search(r"[A-Z]", w):
+        least = 3.9 if digits else 4.05
+    elif len(digits) < 3:
+        return False
+    else:
+        least = 3.8 if re.search(r"[G-Zg-z]", w) else 3.3
+    return entropy(w) >= least - 1e-9
+
+
+def brute_spans(t):
+    """All spans, window by window."""
+    base = brute(t)
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t):
+        listed = [x.span() for x in re.finditer(r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}|example|placeholder|changeme|xxxxxxxx", m.group())]
+        joined = []
+        for i in range(len(m.group()) - 19):
+            if hot(m.group()[i : i + 20]) and not any(i < e and s < i + 20 for s, e in listed):
+                if joined and i <= joined[-1][1]:
+                    joined[-1][1] = i + 20
+                else:
+                    joined.append([i, i + 20])
+        out += [(a + m.start(), 3, b + m.start()) for a, b in joined if not any(s <= a + m.start() and b + m.start() <= e for s, _, e in base)]
+    return ",".join(f"{('assign', 'access', 'hex', 'entropy')[k]}:{s}:{e}" for s, k, e in sorted(base + out))
+
+
+def test_incremental_windows_equal_direct_ones():
     r = random.Random(7)
-    for _ in range(200):
-        run = "".join(r.choice("abcdefghijABCDEFGH0123456789") for _ in range(r.randint(20, 60)))
-        least = r.choice([3.3, 3.6, 3.9])
-        hot = {i for i in range(len(run) - 19) if entropy(run[i : i + 20]) >= least - 1e-9}
-        spans = S.hot_windows(run, 20, least)
-        covered = {i for a, b in spans for i in range(a, b)}
-        assert covered == {k for i in hot for k in range(i, i + 20)}
+    parts = ["abcdefgh", "0123456789", "XYZQWERT", "example", "EXAMPLE", "xxxxxxxx", "-", "_", "/", "123e4567-e89b-12d3-a456-426614174000", " ", "deadbeef", "é", "token=", "q7x2m9v4k8w3z5p6r1t0y2u4"]
+    alphabets = ["abcdefghijABCDEFGH0123456789", "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEF0123456789-"]
+    for _ in range(1500):
+        t = "".join(r.choice(parts) if r.random() < 0.4 else "".join(r.choice(a) for _ in range(r.randint(1, 30))) for a in r.choices(alphabets, k=r.randint(1, 8)))
+        base = S.base_spans(t)
+        assert S.show(sorted(base + S.entropy_spans(t, base))) == brute_spans(t), t
+
+
+def test_classes_are_those_of_the_window():
+    found = lambda t: [(a, b) for a, _, b in S.entropy_spans(t, [])]
+    assert found("q7x2m9v4k8w3z5p6r1t0y2u4") == [(0, 24)]
+    assert found("qWzXeCrVtBnYmUiOpLkJhG") == [(0, 22)]
+    assert found("0a1b2c3d-4e5f60718293") == [(0, 21)]
+    assert found("example" + "xK9mQ2vB7nR4tY8wZ3pL6sD1fG5hJ0") == [(7, 37)]
+    assert found("some/long/path/to/a/file/with/marks") == found("antidisestablishmentarianism") == found("=" * 60) == []
+
+
+def test_whole_table_and_odd_rows(spark, data, odd_docs, plain):
+    from lumenframe.llm import queries
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = queries.op10_secret_scan(spark, data).collect()
+    assert len(got) == len(docs) and {r.doc_id: r.spans for r in got} == {k: brute_spans(t or "") for k, t in docs.items()}
+    assert all(r.n_assign + r.n_access + r.n_hex == len(brute(docs[r.doc_id] or "")) and r.base_sha256 == hashlib.sha256(S.show(brute(docs[r.doc_id] or "")).encode()).hexdigest() for r in got)
+    long = "word " * 200_000 + "token: abcdefgh " + "q7x2m9v4k8w3z5p6r1t0y2u4" * 2000
+    r = S.secret_scan(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()
+    assert r.n_entropy == 1 and r.spans == brute_spans(long)
 
 
 def test_entropy_adds_spans_and_the_allow_list_suppresses():
     key = "xK9mQ2vB7nR4tY8wZ3pL6"
     assert [k for _, k, _ in S.entropy_spans(f"value {key} end", [])] == [3]
-    assert S.entropy_spans("value exampleK9mQ2vB7nR4tY8w end", []) == []
+    assert S.entropy_spans("value exampleK9mQ2vB7nR4tY8w end", []) == []  # what is left is too short
     assert S.entropy_spans("id 123e4567-e89b-12d3-a456-426614174000 end", []) == []
     assert S.entropy_spans("thequickbrownfoxjumpsoverlazydogs", []) == []
     assert S.entropy_spans(key, [(0, 0, len(key))]) == []
