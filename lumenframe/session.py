@@ -45,10 +45,12 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for written intermediate tables: the cluster's, or one of our own where none is set."""
+    """The shared folder for written intermediate tables: the cluster's; on one machine, a folder of our own where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         _ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="lumenframe-checkpoints-")

@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 
 from .session import checkpoint_root
 
+_OPEN: list[list[DataFrame]] = []
+
 
 def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps neither repeat its work nor depend on executors."""
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark).rstrip('/')}/lumenframe/{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark).rstrip('/')}/lumenframe/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_path = path
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 
@@ -25,3 +31,14 @@ def dropped(df: DataFrame) -> None:
         jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that ``saved`` writes inside are deleted at the end; results that read them must be written before."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for df in _OPEN.pop():
+            dropped(df)
