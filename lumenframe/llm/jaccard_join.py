@@ -1,27 +1,38 @@
 """N-gram Jaccard join: a MinHash LSH forest with exact verification.
 
 A document is the set of its five-word shingles (words as in decontamination; a text of
-fewer words, but not none, is one shingle). Documents with the same set form one class and
-go on as one node. A forest of ``TREES`` prefix tries holds the nodes: in tree t, the path
-of a node is a sequence of ``DEEPEST`` MinHash values. Two nodes are candidates where their
-paths share a prefix in some tree. The prefix starts at full depth and is shortened, one
-value at a time, until the chance that a pair at the threshold is found reaches the target
-recall; since a longer match implies every shorter one, the last depth has all candidates
-of the depths before. Nodes that share a prefix are neighbours once sorted by it.
-
-Candidates are verified exactly. Buckets give star edges, not pairs; their connected
-components are cut into blocks of bounded size, and each pair of blocks of a component is
-one group of rows in which a task compares the shingle sets. So a component of any size is
-spread over many tasks, no rows stand for pairs, and every link is counted.
+fewer words, but not none, is one shingle). Words are told apart by their bytes and named
+by 64 bits of their BLAKE2b digest, a shingle by a mix of its words' names: two shingles
+that differ are taken for equal with a chance of 2**-64 a pair. Documents with the same set
+(128 bits name it) form one class and go on as one node.
+
+The forest has ``TREES`` prefix tries. In tree t the path of a node is a string of MinHash
+values, in byte order, so that a prefix of the string is a node of the trie. A trie is a
+table of (prefix, least member, members), and two nodes that share a prefix are candidates.
+Every node shortens its prefixes on its own: it starts at the longest length at which the
+chance to meet a partner at the threshold reaches the target recall (``prefix_depth``), and
+goes on, one value at a time down to ``SHORTEST``, while the shorter prefixes match at most
+``FEW`` nodes in all trees together. So nodes in sparse parts of the tries end at short
+prefixes and a higher recall, nodes in crowded parts at the length that the target asks
+for, and never below the target. Parts of a trie in which a node is alone are cut off first.
+
+Candidates are verified exactly before anything is linked. A node's home is the least node
+that its prefixes lead to; a home's nodes are cut into blocks of bounded size. Pairs of
+blocks of one home, and pairs of blocks of different homes that share a prefix, are groups
+of rows in which a task compares the shingle sets; a pair of nodes meets in one group only.
+A node goes to another home's block only if it has a candidate there, so candidates that
+merely hang together bring no rows together. Components are then made of verified links. No
+rows stand for pairs, and every link is counted.
 
 Result, one row per document: doc_id, class_id (least doc_id of the component of verified
 links), n_links (other documents with a similarity of at least the threshold: copies of
 the set and members of linked classes), set_size, n_shingles.
 
 Defined results: null counts as empty; a document without a word is alone, with no links,
-whatever others are empty; rows that repeat an id and a text are copies of each other; a
-null id counts as the least id and makes a null class_id; an empty input gives an empty
-result; columns besides id and text are ignored, whatever their names.
+whatever others are empty; rows that repeat an id and a text are copies of each other; rows
+that share an id but not the text are documents of their own; a null id counts as the least
+id and makes a null class_id; an empty input gives an empty result; columns besides id and
+text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,13 +45,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import components, saved
-from .textbuf import chunks, mix, per_doc, words
+from .tables import components, saved, unused
+from .textbuf import chunks, mix, strong_words
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, DEEPEST, TARGET = 24, 8, 0.9999
-BLOCK_NODES, BLOCK_SHINGLES = 384, 400_000
+TREES, DEEPEST, SHORTEST, TARGET = 24, 8, 3, 0.9999
+FEW = 16
+BLOCK_NODES, BLOCK_SHINGLES = 1024, 1_000_000
 _STEP = np.uint64(0xC6BC279692B5C323)
+_NO_ID = -(1 << 63)
 
 
 def recall(depth: int, trees: int, similarity: float) -> float:
@@ -49,6 +62,7 @@ def recall(depth: int, trees: int, similarity: float) -> float:
 
 
 def prefix_depth(target: float = TARGET, trees: int = TREES, deepest: int = DEEPEST, similarity: float = THRESHOLD) -> int:
+    """The longest prefix that reaches the target recall; every node looks at least as far."""
     depth = deepest
     while depth > 1 and recall(depth, trees, similarity) < target:
         depth -= 1
@@ -56,18 +70,19 @@ def prefix_depth(target: float = TARGET, trees: int = TREES, deepest: int = DEEP
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct shingle hashes, first index of each document and the total), sorted within each document."""
-    _, _, _, h, first = words(buf, off)
+    """(distinct shingle names, first index of each document and the total), sorted within each document."""
+    h, first = strong_words(buf, off)
     n, count = len(off) - 1, np.diff(first)
     size = np.where(count >= width, count - width + 1, np.minimum(count, 1))
     doc = np.repeat(np.arange(n), size)
     at = np.repeat(first[:-1] - (np.cumsum(size) - size), size) + np.arange(len(doc))
     reach = np.minimum(count, width)[doc]
-    out = np.zeros(len(doc), np.uint64)
+    out = reach.astype(np.uint64)
     for j in range(width):
-        own = reach > j
-        out[own] = out[own] * _STEP + h[at[own] + j]
-    out = mix(out + reach.astype(np.uint64))
+        if len(own := np.flatnonzero(reach > j)) == len(out):
+            out = mix(out + h[at + j])
+        else:
+            out[own] = mix(out[own] + h[at[own] + j])
     order = np.lexsort((out, doc))
     out = out[order]
     new = np.ones(len(out), bool)
@@ -75,10 +90,11 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int = WORDS) -> tuple[
     return out[new], np.searchsorted(doc[new], np.arange(n + 1))
 
 
-def prefixes(sets: np.ndarray, first: np.ndarray, depth: int, trees: int = TREES) -> np.ndarray:
-    """Hash of every document's prefix in every tree; documents without a shingle have zeros."""
+def paths(sets: np.ndarray, first: np.ndarray, depth: int, trees: int = TREES) -> np.ndarray:
+    """A row of bytes per document and tree: the tree's number, then two bytes for each MinHash value."""
     n = len(first) - 1
-    out = np.zeros((n, trees), np.uint64)
+    out = np.zeros((n, trees, 1 + 2 * depth), np.uint8)
+    out[:, :, 0] = np.arange(trees)
     own = np.flatnonzero(np.diff(first))
     if not len(own):
         return out
@@ -88,24 +104,25 @@ def prefixes(sets: np.ndarray, first: np.ndarray, depth: int, trees: int = TREES
     a, b = r.integers(0, 1 << 31, (2, trees, depth), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     heads = first[own]
     for t in range(trees):
-        key = np.full(len(own), t + 1, np.uint64)
         for d in range(depth):
             # two 32-bit halves, multiplied by odd numbers of their own: a cheap new order of the set
             least = np.minimum.reduceat(x * a[t, d] + (low ^ b[t, d]) * np.uint32(0x9E3779B1), heads)
-            key = key * _STEP + least
-        out[own, t] = mix(key)
+            least = (least ^ least >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
+            out[own, t, 1 + 2 * d], out[own, t, 2 + 2 * d] = least >> np.uint32(24), least >> np.uint32(16) & np.uint32(255)
     return out
 
 
 def _signer(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = 1 + 2 * depth
         for rows, buf, off in chunks(batches):
             sets, first = shingle_sets(buf, off)
             n = np.diff(first)
             nodes = _node_names(sets, first)
-            keys = prefixes(sets, first, depth).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * TREES), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(n, pa.int64()), lists], names=["doc_id", "node", "n", "keys"])
+            flat = paths(sets, first, depth)
+            strings = pa.Array.from_buffers(pa.binary(), len(n) * TREES, [None, pa.py_buffer(np.arange(len(n) * TREES + 1, dtype=np.int32) * width), pa.py_buffer(flat.tobytes())])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * TREES), strings)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_key"), pa.array(nodes, pa.binary()), pa.array(n, pa.int64()), lists], names=["doc_id", "text_key", "node", "n", "paths"])
 
     return run
 
@@ -121,15 +138,12 @@ def _node_names(sets: np.ndarray, first: np.ndarray) -> list[bytes]:
 
 def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingle sets in place of texts."""
-    names = ["node", "component", "blocks", "block", "size", "keys"]
+    names = ["node", "size", "routes"]
     for rows, buf, off in chunks(batches):
         sets, first = shingle_sets(buf, off)
         cut = first.tolist()
-        # where rows share an id, the text of another row may come along: it has another name
-        own = [k for k, (x, y) in enumerate(zip(_node_names(sets, first), rows.column("node").to_pylist(), strict=True)) if x == y]
-        packed = [sets[cut[k] : cut[k + 1]].tobytes() for k in own]
-        kept = rows.take(pa.array(own, pa.int64()))
-        yield pa.RecordBatch.from_arrays([kept.column(c) for c in names] + [pa.array(packed, pa.binary())], names=[*names, "shingles"])
+        packed = [sets[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([rows.column(c) for c in names] + [pa.array(packed, pa.binary())], names=[*names, "shingles"])
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -151,14 +165,11 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def links(sets_a, keys_a, sets_b, keys_b, threshold: Fraction) -> np.ndarray:
-    """Boolean matrix: candidates (a shared prefix) whose exact similarity reaches the threshold."""
-    near = np.zeros((len(sets_a), len(sets_b)), bool)
-    for t in range(keys_a.shape[1]):
-        near |= keys_a[:, t, None] == keys_b[None, :, t]
+def links(sets_a: list[np.ndarray], sets_b: list[np.ndarray], threshold: Fraction) -> np.ndarray:
+    """Boolean matrix: pairs whose exact similarity reaches the threshold."""
     na, nb = np.array([len(s) for s in sets_a], np.int64), np.array([len(s) for s in sets_b], np.int64)
     p, q = threshold.numerator, threshold.denominator
-    near &= (np.minimum(na[:, None], nb) * q >= np.maximum(na[:, None], nb) * p) & (na[:, None] > 0)
+    near = (np.minimum(na[:, None], nb) * q >= np.maximum(na[:, None], nb) * p) & (na[:, None] > 0)
     pairs = np.argwhere(near)
     if not len(pairs):
         return near
@@ -170,26 +181,27 @@ def links(sets_a, keys_a, sets_b, keys_b, threshold: Fraction) -> np.ndarray:
     return near & (both * q >= (na[:, None] + nb - both) * p)
 
 
+_GROUP = ["left_home", "left_block", "right_home", "right_block"]
+
+
 def _verifier(threshold: Fraction):
-    def solve(rows: list[dict]) -> list[tuple[bytes, bytes, int]]:
-        """(node, least node it hangs together with here, documents linked) for each node of a group."""
-        rows = list({r["node"]: r for r in rows}.values())
-        diagonal = rows[0]["left"] == rows[0]["right"]
-        a = [r for r in rows if r["block"] == r["left"]]
-        b = a if diagonal else [r for r in rows if r["block"] == r["right"]]
+    def solve(rows: list[tuple]) -> list[tuple[bytes, bytes, int]]:
+        """(node, least node it hangs together with here, documents linked) for each node of a group of (node, size, side, shingles)."""
+        diagonal = rows[0][2] == 2
+        a = [r for r in rows if r[2] != 1]
+        b = a if diagonal else [r for r in rows if r[2] == 1]
         if not a or not b:
             return []
-        unpack = lambda own: ([np.frombuffer(r["shingles"], np.uint64) for r in own], np.array([r["keys"] for r in own], np.int64))
-        (sa, ka), (sb, kb) = unpack(a), unpack(b)
-        m = links(sa, ka, sb, kb, threshold)
+        sa = [np.frombuffer(r[3], np.uint64) for r in a]
+        m = links(sa, sa if diagonal else [np.frombuffer(r[3], np.uint64) for r in b], threshold)
         every = a if diagonal else a + b
         if diagonal:
             np.fill_diagonal(m, False)
             i, j = np.nonzero(np.triu(m))
-            degree = m @ np.array([r["size"] for r in a], np.int64)
+            degree = m @ np.array([r[1] for r in a], np.int64)
         else:
             i, j = np.nonzero(m)
-            degree = np.concatenate([m @ np.array([r["size"] for r in b], np.int64), m.T @ np.array([r["size"] for r in a], np.int64)])
+            degree = np.concatenate([m @ np.array([r[1] for r in b], np.int64), m.T @ np.array([r[1] for r in a], np.int64)])
             j = j + len(a)
         parent = list(range(len(every)))
 
@@ -204,8 +216,8 @@ def _verifier(threshold: Fraction):
         least: dict[int, bytes] = {}
         for k, r in enumerate(every):
             c = root(k)
-            least[c] = min(least.get(c, r["node"]), r["node"])
-        return [(r["node"], least[root(k)], int(degree[k])) for k, r in enumerate(every) if degree[k]]
+            least[c] = min(least.get(c, r[0]), r[0])
+        return [(r[0], least[root(k)], int(degree[k])) for k, r in enumerate(every) if degree[k]]
 
     def table(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.int64())], names=["node", "least", "links"])
@@ -214,16 +226,20 @@ def _verifier(threshold: Fraction):
         group, key, out = [], None, []
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
-                for r in batch.slice(k, 512).to_pylist():
-                    if (now := (r["component"], r["left"], r["right"])) != key:
-                        if group:
+                part = batch.slice(k, 512)
+                keys = zip(*(part.column(c).to_pylist() for c in _GROUP), strict=True)
+                rows = zip(*(part.column(c).to_pylist() for c in ("node", "size", "side", "shingles")), strict=True)
+                for now, row in zip(keys, rows, strict=True):
+                    if now != key:
+                        if len(group) > 1:
                             out += solve(group)
                         group, key = [], now
                         if len(out) > 4096:
                             yield table(out)
                             out = []
-                    group.append(r)
-        if group:
+                    if not group or group[-1][0] != row[0]:  # a row that stands twice comes twice
+                        group.append(row)
+        if len(group) > 1:
             out += solve(group)
         if out:
             yield table(out)
@@ -231,42 +247,113 @@ def _verifier(threshold: Fraction):
     return run
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _prefix(depth: int, path: str = "path"):
+    return F.substring(path, 1, 1 + 2 * depth)
+
+
+def candidate_groups(nodes: DataFrame, depth: int, shortest: int = SHORTEST, few: int = FEW) -> DataFrame:
+    """(node, prefix, hub) of every prefix that two nodes or more share and that one of them is to look at.
+
+    ``nodes`` has node and paths. All nodes look at prefixes of ``depth`` values; those with few matches at shorter ones too.
+    """
+    shortest = min(shortest, depth)
+    every = nodes.select("node", F.explode("paths").alias("path"))
+    # branches of the tries with more than one node; the others are cut off
+    shared = every.groupBy(_prefix(shortest).alias("branch")).agg(F.count("*").alias("members")).where("members > 1").select("branch")
+    live = saved(every.join(shared, _prefix(shortest) == F.col("branch"), "left_semi").select("node", "path"))
+    levels = F.explode(F.array(*[F.struct(F.lit(d).alias("level"), _prefix(d).alias("prefix")) for d in range(depth, shortest - 1, -1)])).alias("l")
+    steps = live.select("node", levels).select("node", "l.level", "l.prefix")
+    trie = saved(steps.groupBy("prefix").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1"))
+    steps = saved(steps.join(trie, "prefix"))
+    # how short a node's prefixes become: matches only grow on the way
+    matches = [F.sum(F.when(F.col("level") == d, F.col("members") - 1).otherwise(0)).alias(f"m{d}") for d in range(shortest, depth)]
+    reach = F.lit(depth)
+    for d in range(depth - 1, shortest - 1, -1):
+        reach = F.when((reach == d + 1) & (F.col(f"m{d}") <= few), F.lit(d)).otherwise(reach)
+    if matches:
+        ends = steps.groupBy("node").agg(*matches).select("node", reach.alias("end")).where(F.col("end") < depth)
+        asked = steps.where(F.col("level") < depth).join(ends, "node").where("level >= end").select("prefix").distinct()
+        steps = steps.where(F.col("level") == depth).unionByName(steps.where(F.col("level") < depth).join(asked, "prefix", "left_semi").select(*steps.columns))
+    return steps.select("node", "prefix", "hub")
+
+
+def _routes(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, doc_id, text_key, size and the groups of the verification that it goes to."""
+    placed = groups.groupBy("node").agg(F.min("hub").alias("home")).join(nodes.select("node", "doc_id", "text_key", "size", "n"), "node")
+    placed = saved(placed)
+    shape = placed.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
+    # a table of its own: the join can then split a large home, or broadcast the shapes where they are few
+    placed = saved(placed.join(saved(shape), "home").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).drop("n"))
+    own = placed.select(
+        "node",
+        F.explode(
+            F.transform(
+                F.sequence(F.lit(0), F.col("blocks") - 1),
+                lambda other: F.struct(
+                    F.col("home").alias("left_home"), F.least("block", other).alias("left_block"), F.col("home").alias("right_home"), F.greatest("block", other).alias("right_block"),
+                    F.when(F.col("block") == other, 2).when(F.col("block") < other, 0).otherwise(1).alias("side"),
+                ),
+            )
+        ).alias("route"),
+    )
+    # prefixes whose nodes have different homes: each node goes to the blocks of the other homes there
+    at = saved(groups.select("node", "prefix").join(placed.select("node", "home", "block"), "node"))
+    mixed = at.groupBy("prefix").agg(F.min("home").alias("a"), F.max("home").alias("b")).where("a != b").select("prefix")
+    at = saved(at.join(mixed, "prefix"))
+    there = at.select("prefix", F.col("home").alias("home2"), F.col("block").alias("block2")).distinct()
+    across = at.join(there, "prefix").where("home != home2").select("node", "home", "block", "home2", "block2").distinct()
+    first = F.col("home") < F.col("home2")
+    across = across.select(
+        "node",
+        F.when(first, F.struct(F.col("home").alias("left_home"), F.col("block").alias("left_block"), F.col("home2").alias("right_home"), F.col("block2").alias("right_block"), F.lit(0).alias("side")))
+        .otherwise(F.struct(F.col("home2").alias("left_home"), F.col("block2").alias("left_block"), F.col("home").alias("right_home"), F.col("block").alias("right_block"), F.lit(1).alias("side")))
+        .alias("route"),
+    )
+    routes = own.unionByName(across).groupBy("node").agg(F.collect_list("route").alias("routes"))
+    return placed.select("node", "doc_id", "text_key", "size").join(routes, "node")
+
+
+def _with_classes(docs: DataFrame, threshold: float, target: float, id_col: str, text_col: str) -> DataFrame:
+    """The result with text_key (which with the id names the document) and component (null without a word)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     depth = prefix_depth(target, similarity=threshold)
-    signed = rows.mapInArrow(_signer(depth), "doc_id long, node binary, n long, keys array<long>")
-    member = saved(signed.select("doc_id", "node", "n", "keys"))
-    nodes = member.where("n > 0").groupBy("node").agg(F.min_by(F.struct("doc_id", "n", "keys"), F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("r"), F.count("*").alias("size"), F.min("doc_id").alias("least_id"))
-    nodes = saved(nodes.select("node", "size", "least_id", F.col("r.doc_id").alias("doc_id"), F.col("r.n").alias("n"), F.col("r.keys").alias("keys")))
-    # nodes that share a prefix in a tree hang on the least of them
-    paths = nodes.select("node", F.explode("keys").alias("key"))
-    hubs = paths.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("k")).where("k > 1").select("key", "hub")
-    stars = paths.join(hubs, "key").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    where = saved(components(stars))
-    # components in blocks of bounded size; one group of rows for each pair of blocks
-    placed = where.join(nodes, "node")
-    shape = placed.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
-    # a table of its own: the join can then split a large component, or broadcast the shapes where they are few
-    wanted = placed.join(saved(shape), "component").select("node", "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "size", "keys", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"))
-    texts = rows.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).select("_id", "text").join(wanted, "_id")
-    sets = texts.select("node", "component", "blocks", "block", "size", "keys", "text").mapInArrow(_payload, "node binary, component binary, blocks int, block int, size long, keys array<long>, shingles binary")
-    pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("component", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "node", "size", "keys", "shingles")
-    key = ["component", "left", "right"]
-    checked = saved(pairs.repartition(*key).sortWithinPartitions(*key).mapInArrow(_verifier(Fraction(str(threshold))), "node binary, least binary, links long"))
+    member = saved(rows.mapInArrow(_signer(depth), "doc_id long, text_key long, node binary, n long, paths array<binary>"))
+    known = member.where("n > 0")
+    nodes = known.groupBy("node").agg(F.min_by(F.struct("doc_id", "text_key", "n", "paths"), F.struct(F.coalesce("doc_id", F.lit(_NO_ID)), "text_key")).alias("r"), F.count("*").alias("size"), F.min("doc_id").alias("least_id"), F.max(F.col("doc_id").isNull()).alias("no_id"))
+    nodes = saved(nodes.select("node", "size", F.when(~F.col("no_id"), F.col("least_id")).alias("least_id"), "r.doc_id", "r.text_key", "r.n", "r.paths"))
+    routes = _routes(saved(candidate_groups(nodes.select("node", "paths"), depth)), nodes)
+    id_ = F.coalesce("doc_id", F.lit(_NO_ID))
+    wanted = routes.select(id_.alias("id"), "text_key", "node", "size", "routes")
+    texts = rows.select(id_.alias("id"), "text_key", "text").join(wanted, ["id", "text_key"]).select("node", "size", "routes", "text")
+    route = ", ".join(f"{c}: {'binary' if 'home' in c else 'int'}" for c in _GROUP)
+    sets = texts.mapInArrow(_payload, f"node binary, size long, routes array<struct<{route}, side: int>>, shingles binary")
+    sent = sets.select("node", "size", "shingles", F.explode("routes").alias("r")).select(*[f"r.{c}" for c in _GROUP], "r.side", "node", "size", "shingles")
+    sent = sent.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node")
+    checked = saved(sent.mapInArrow(_verifier(Fraction(str(threshold))), "node binary, least binary, links long"))
     groups = components(checked.select(F.col("node").alias("a"), F.col("least").alias("b")))
     degree = checked.groupBy("node").agg(F.sum("links").alias("links"))
     named = nodes.select("node", "size", "least_id").join(groups, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    classes = named.groupBy("component").agg(F.min(F.coalesce("least_id", F.lit(-(1 << 63)))).alias("c"))
-    result = named.join(classes, "component").select("node", "size", F.when(F.col("c") > -(1 << 63), F.col("c")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    some = member.where("n > 0").select("doc_id", "node", "n").join(result, "node")
-    some = some.select("doc_id", "class_id", (F.col("links") + F.col("size") - 1).alias("n_links"), F.col("size").alias("set_size"), F.col("n").alias("n_shingles"))
-    none = member.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("set_size"), F.col("n").alias("n_shingles"))
+    classes = named.groupBy("component").agg(F.min(F.coalesce("least_id", F.lit(_NO_ID))).alias("c"))
+    result = named.join(classes, "component").select("node", "component", "size", F.when(F.col("c") > _NO_ID, F.col("c")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    some = known.select("doc_id", "text_key", "node", "n").join(result, "node")
+    some = some.select("doc_id", "text_key", "component", "class_id", (F.col("links") + F.col("size") - 1).alias("n_links"), F.col("size").alias("set_size"), F.col("n").alias("n_shingles"))
+    none = member.where("n = 0").select("doc_id", "text_key", F.lit(None).cast("binary").alias("component"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("set_size"), F.col("n").alias("n_shingles"))
     return some.unionByName(none)
 
 
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return _with_classes(docs, threshold, target, id_col, text_col).drop("text_key", "component")
+
+
 def representatives(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one whose id names it, with the columns it came with; rows without an id stay."""
-    keep = jaccard_join(docs).where("doc_id = class_id").select(F.col("doc_id").alias("_class_id")).distinct()
-    known = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("_class_id"), "left_semi")
-    return known.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """One document of each class, with the columns it came with: the one with the least id (a null id only where no row
+    has another), of rows that share it the one with the least hash of its text. Documents without a word all stay; of
+    rows that repeat an id and a text, one."""
+    found = _with_classes(docs, THRESHOLD, TARGET, "doc_id", "text")
+    some = found.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("r")).select("r.doc_id", "r.text_key")
+    kept = some.unionByName(found.where("component is null").select("doc_id", "text_key").distinct())
+    id_, none, key = unused(docs, "id", "none", "key")
+    names = {id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), none: F.col("doc_id").cast("long").isNull(), key: F.xxhash64(F.coalesce(F.col("text"), F.lit("")))}
+    kept = kept.select(F.coalesce("doc_id", F.lit(0)).alias(id_), F.col("doc_id").isNull().alias(none), F.col("text_key").alias(key))
+    return docs.withColumns(names).join(kept, [id_, none, key], "left_semi").dropDuplicates([id_, none, key]).select(*docs.columns)

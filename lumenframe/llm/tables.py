@@ -1,33 +1,24 @@
-"""Intermediate tables in the shared folder, and connected components."""
+"""Connected components, and names for helper columns. Intermediate tables are those of the library."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_root
+from ..tables import dropped, saved, scratch  # noqa: F401
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later steps neither repeat its work nor depend on executors."""
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark).rstrip('/')}/lumenframe/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._saved_path = path
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """A column name for each stem that ``df`` does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        while (name := f"_{stem}").lower() in taken:
+            stem = f"_{stem}"
+        taken.add(name.lower())
+        out.append(name)
     return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete a table that ``saved`` wrote and nothing reads any more."""
-    if path := getattr(df, "_saved_path", None):
-        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of an undirected graph; the component's name is its least node.
 

@@ -7,6 +7,7 @@ its own), as one byte buffer plus offsets, without making a Python string per ro
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -128,6 +129,33 @@ def words(buf: np.ndarray, off: np.ndarray, table: np.ndarray = WORDS) -> tuple[
     return norm, starts, ends, span_hashes(norm, starts, ends), np.searchsorted(starts, off)
 
 
+_DIGESTS: dict[bytes, int] = {}
+_MOST_DIGESTS = 1 << 19
+
+
+def strong_words(buf: np.ndarray, off: np.ndarray, table: np.ndarray = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(64 bits of the BLAKE2b digest of every word, index of each document's first word plus the total).
+
+    Words are told apart by their bytes; a worker keeps the digests of words that it has met.
+    """
+    norm = table[buf]
+    starts, ends = spans_of(norm != 0, off)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(norm[norm != 0])]).dictionary_encode()
+    if len(_DIGESTS) > _MOST_DIGESTS:
+        _DIGESTS.clear()
+    out = np.empty(len(coded.dictionary), np.uint64)
+    for k, w in enumerate(coded.dictionary.to_pylist()):
+        if (d := _DIGESTS.get(w)) is None:
+            d = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+            if len(w) <= 64:
+                _DIGESTS[w] = d
+        out[k] = d
+    return out[coded.indices.to_numpy()], np.searchsorted(starts, off)
+
+
 def per_doc(first: np.ndarray) -> np.ndarray:
     """Document number of every word, from the ``first`` that words() returns."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenframe.llm import jaccard_join as J
 from lumenframe.llm import queries
@@ -79,8 +80,8 @@ def test_recall_at_the_threshold():
     for _ in range(200):
         common, a, b = (np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (160, 20, 20))
         sets = [np.sort(np.concatenate([common, x])) for x in (a, b)]
-        k = J.prefixes(np.concatenate(sets), np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])]), J.prefix_depth())
-        hit += bool((k[0] == k[1]).any())
+        k = J.paths(np.concatenate(sets), np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])]), J.prefix_depth())
+        hit += bool((k[0] == k[1]).all(axis=1).any())
     assert hit == 200
 
 
@@ -89,14 +90,68 @@ def test_links_by_matrix_and_by_pair_agree(many):
     r = np.random.default_rng(2)
     base = np.unique(r.integers(0, 1 << 60, 300, dtype=np.uint64))
     sets = [np.sort(np.unique(np.concatenate([r.choice(base, 280, replace=False), r.integers(0, 1 << 60, 5, dtype=np.uint64)]))) for _ in range(40 if many else 5)]
-    keys = np.zeros((len(sets), 2), np.int64)
-    got = J.links(sets, keys, sets, keys, J.Fraction("0.8"))
+    got = J.links(sets, sets, J.Fraction("0.8"))
     want = [[len(set(a.tolist()) & set(b.tolist())) * 10 >= 8 * len(set(a.tolist()) | set(b.tolist())) for b in sets] for a in sets]
     assert (got == np.array(want)).all()
 
 
-def test_one_row_of_each_class_stays(odd_docs):
+def test_one_row_of_each_class_stays(spark, odd_docs, no_docs):
     kept = J.representatives(odd_docs)
-    assert kept.columns == odd_docs.columns
-    ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
-    assert len(ids) == len(set(ids)) and 1 in ids and not {2, 6} & set(ids)
+    assert kept.columns == odd_docs.columns and J.representatives(no_docs).count() == 0
+    rows = [(r.doc_id, r.text or "") for r in kept.collect()]
+    ids = [i for i, _ in rows]
+    assert len(rows) == len(set(rows)) and ids.count(1) == 1 and ids.count(9) == 2 and not {2, 6} & set(ids)
+    assert ids.count(None) == 2  # an empty text, and one that no other is like
+
+
+def test_representatives_with_clashing_names(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, words, "a"), (1, words + " z", "b"), (1, "other words under the same id", "c"), (2, words, "d"), (2, words, "e"), (None, words, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _class_id string")
+    docs = docs.withColumns({c: F.col("_class_id") for c in ("_id", "_none", "_key", "__id", "component", "text_key", "routes", "prefix")})
+    kept = J.representatives(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert sorted(r.doc_id for r in got) == [1, 1] and "c" in [r._class_id for r in got] and all(r._id == r._class_id for r in got)
+
+
+def test_words_that_differ_are_never_taken_for_equal(spark):
+    from test_sentencepiece import thue_morse
+
+    rows = []
+    for k, n in enumerate((1024, 2048, 4096)):
+        for j, w in enumerate(thue_morse(n)):
+            rows.append((10 * k + j, f"one two three four {w} six"))
+    got = sorted((tuple(x) for x in J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == brute(rows)[0] and all(r[2] == 0 for r in got)
+
+
+def test_nodes_end_at_different_depths(spark, monkeypatch):
+    """Few matches: prefixes go on to be shortened. Many: they stop where the target recall is reached."""
+    r = random.Random(8)
+    depth = J.prefix_depth()
+    stem, chars = b"\x00" + bytes(2 * J.SHORTEST), [bytes([0, k]) for k in range(60)]
+    # one tree; a crowd that shares all but the last value, and a pair that shares SHORTEST values only
+    crowd = [(b"c%02d" % k, [stem + b"\x07\x07" * (depth - J.SHORTEST - 1) + chars[k % 2]]) for k in range(40)]
+    pair = [(b"p%d" % k, [b"\x00" + b"\x09" * (2 * J.SHORTEST) + bytes([k]) * (2 * (depth - J.SHORTEST))]) for k in range(2)]
+    got = J.candidate_groups(spark.createDataFrame(crowd + pair, "node binary, paths array<binary>"), depth, few=16).collect()
+    ends = {}
+    for g in got:
+        ends.setdefault(bytes(g.node), set()).add((len(g.prefix) - 1) // 2)
+    assert all(ends[n] == {depth} for n, _ in crowd) and all(ends[n] == {J.SHORTEST} for n, _ in pair)
+    assert {bytes(g.hub) for g in got if g.node.startswith(b"p")} == {b"p0"}
+
+
+def test_groups_of_different_homes_meet(spark, monkeypatch):
+    """Chains of near copies: neighbours are alike, ends are not; small blocks, so that links cross homes and blocks."""
+    monkeypatch.setattr(J, "BLOCK_NODES", 3)
+    r, rows = random.Random(9), []
+    for c in range(6):
+        w = [f"c{c}_{i}" for i in range(80)]
+        for i in range(25):
+            rows.append((100 * c + i, " ".join(w)))
+            w = list(w)
+            for _ in range(r.randint(1, 2)):
+                w[r.randrange(80)] = f"n{r.randrange(10**6)}"
+    got = sorted((tuple(x) for x in J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == brute(rows)[0]
