@@ -3,7 +3,13 @@
 The index is a table bucketed and sorted by digest. New documents are reduced to one
 row per digest, anti-joined with the index by sort-merge (the index side is read in
 bucket order, so it is not shuffled again) and the survivors are appended in the same
-layout. Everything here is DataFrame and SQL work.
+layout. Texts are read and hashed once, into a table of ids and digests. Verdicts go back
+to the rows by a sort-merge join, but for digests that more than one in ``HOT_SHARE`` rows
+have: of those there are fewer than ``HOT_SHARE``, so their verdicts are broadcast and their
+rows are not shuffled. Everything here is DataFrame and SQL work.
+
+A load has an id, given by the caller. A load that is repeated under its id, say by a job
+that failed after the append, has the same verdicts as before: the rows it owns are kept.
 
 Defined results: a null text counts as empty; empty texts are equal to each other and
 form a group; of equal texts in one load the largest id stays (a null id only if there
@@ -20,7 +26,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import saved, unused
+
 BUCKETS = 64
+HOT_SHARE = 1000
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -45,37 +54,50 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", load_id: str | None = None) -> DataFrame:
         """Append the digests of ``docs`` that the index lacks; return one row per document with its verdict.
 
         Columns: doc_id, keep_id, group_size (documents of this load with that text), kept, text_sha256.
         """
-        load, rows = uuid.uuid4().hex, digests(docs, id_col, text_col)
-        groups = rows.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"))
+        load, rows = load_id or uuid.uuid4().hex, saved(digests(docs, id_col, text_col))
+        groups = saved(rows.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
         fresh = groups.join(self.read().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
         # one task per bucket writes one sorted file of that bucket
         self._append(fresh.withColumn("load_id", F.lit(load)).repartition(self.buckets, "text_sha256"))
-        sizes = rows.groupBy("text_sha256").agg(F.count("*").alias("group_size"))
         owners = self.read().select("text_sha256", "keep_id", (F.col("load_id") == load).alias("fresh"))
-        verdict = sizes.join(owners.hint("merge"), "text_sha256")
-        return rows.join(verdict.hint("merge"), "text_sha256").select(
-            "doc_id",
-            "keep_id",
-            "group_size",
-            (F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
-            "text_sha256",
+        verdict = saved(groups.select("text_sha256", "group_size").join(owners.hint("merge"), "text_sha256"))
+        n = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0)).alias("n")).first().n
+        hot = F.col("group_size") * HOT_SHARE > n
+        few = F.broadcast(verdict.where(hot))
+        many = rows.join(few.select("text_sha256"), "text_sha256", "left_anti").join(verdict.where(~hot).hint("merge"), "text_sha256")
+        return (
+            rows.join(few, "text_sha256")
+            .unionByName(many)
+            .select(
+                "doc_id",
+                "keep_id",
+                "group_size",
+                (F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+                "text_sha256",
+            )
         )
 
 
-def exact_dedup(docs: DataFrame, table: str | None = None, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Verdict per document, through a digest index: the named one, or a new one for this call."""
+def exact_dedup(docs: DataFrame, table: str | None = None, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", load_id: str | None = None) -> DataFrame:
+    """Verdict per document, through a digest index: the named one, or one for this call alone, which is dropped."""
     spark = docs.sparkSession
-    return DigestIndex(spark, table or f"digest_index_{uuid.uuid4().hex}", buckets).ingest(docs, id_col, text_col)
+    name = table or f"digest_index_{uuid.uuid4().hex}"
+    out = DigestIndex(spark, name, buckets).ingest(docs, id_col, text_col, load_id)
+    if table is None:  # the verdicts are in a table of their own
+        spark.sql(f"DROP TABLE {name}")
+    return out
 
 
-def deduplicated(docs: DataFrame, table: str | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """The documents that stay, with the columns they came with; of full repeats of the kept row, one."""
+def deduplicated(docs: DataFrame, table: str | None = None, buckets: int = BUCKETS, load_id: str | None = None) -> DataFrame:
+    """The documents that stay, with the columns they came with. A document is its id and text: of rows that repeat
+    both, one stays; rows that share an id but not the text are judged each on its own."""
+    id_, sha = unused(docs, "kept_id", "kept_sha")
     lowest = F.lit(-(1 << 63))  # stands for a null id, which loses to every other id
-    keep = exact_dedup(docs, table, buckets).where("kept").select(F.coalesce("doc_id", lowest).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
-    rows = docs.withColumns({"_kept_sha": F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256), "_kept_id": F.coalesce(F.col("doc_id").cast("long"), lowest)})
-    return rows.join(keep, ["_kept_sha", "_kept_id"], "left_semi").dropDuplicates(["_kept_sha", "_kept_id"]).select(*docs.columns)
+    keep = exact_dedup(docs, table, buckets, load_id=load_id).where("kept").select(F.coalesce("doc_id", lowest).alias(id_), F.col("text_sha256").alias(sha)).distinct()
+    rows = docs.withColumns({sha: F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256), id_: F.coalesce(F.col("doc_id").cast("long"), lowest)})
+    return rows.join(keep, [sha, id_], "left_semi").dropDuplicates([sha, id_]).select(*docs.columns)

@@ -2,6 +2,8 @@ import hashlib
 import uuid
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from lumenframe.llm import exact_dedup as X
 
 
@@ -51,3 +53,33 @@ def test_columns_come_back_once(odd_docs):
     assert kept.columns == odd_docs.columns
     texts = [r.text or "" for r in kept.collect()]
     assert len(texts) == len(set(texts))
+
+
+def test_a_repeated_load_has_the_same_verdicts(spark):
+    index = X.DigestIndex(spark, f"digests_{uuid.uuid4().hex}", 4)
+    docs = spark.createDataFrame([(1, "a"), (5, "a"), (2, "b"), (3, None)], "doc_id long, text string")
+    index.ingest(spark.createDataFrame([(0, "b")], "doc_id long, text string"), load_id="before").collect()
+    first = sorted(index.ingest(docs, load_id="mine").collect())
+    assert [r.kept for r in first] == [False, False, True, True]
+    assert sorted(index.ingest(docs, load_id="mine").collect()) == first and index.read().count() == 3
+    assert not any(r.kept for r in index.ingest(docs, load_id="other").collect())
+
+
+def test_rows_of_hot_and_other_digests(spark, monkeypatch):
+    monkeypatch.setattr(X, "HOT_SHARE", 3)
+    rows = [(i, "hot") for i in range(40)] + [(100 + i, f"text {i // 2}") for i in range(30)]
+    got = sorted((tuple(r) for r in X.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), buckets=4).collect()), key=repr)
+    assert got == brute(rows)
+
+
+def test_nothing_is_left_of_a_single_call(spark, odd_docs):
+    before = {t.name for t in spark.catalog.listTables()}
+    X.exact_dedup(odd_docs, buckets=2).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (2, "b", "z")], "doc_id long, text string, _kept_id string")
+    docs = docs.withColumns({c: F.col("_kept_id") for c in ("_kept_sha", "__kept_id", "group_size", "fresh", "load_id")})
+    kept = X.deduplicated(docs, buckets=2)
+    assert kept.columns == docs.columns and sorted((r.text, r._kept_id, r._kept_sha) for r in kept.collect()) == [("a", "y", "y"), ("b", "z", "z")]
