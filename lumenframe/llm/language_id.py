@@ -9,10 +9,10 @@ with it; the score is the softmax of the cosines at ``TEMPERATURE``.
 Letters are lower-cased; a-z have classes of their own, all other letters share
 ``OTHERS`` classes by code point, and every run of other characters is one gap.
 
-Training counts trigrams by language over the labelled rows that ``train`` selects, each
-text with the same total weight, on the executors; the driver gets one sum for each
-language and trigram class, whatever the number of rows. No label, source or id enters a
-prediction.
+Training bundles the labelled rows that ``train`` selects, each text with the same total
+weight, on the executors: a task sends one vector of ``DIM`` sums for each language, and so
+many reach the driver, 4 KB a language, whatever the number of rows. No label, source or id
+enters a prediction.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; if
 nothing was learned every text is ``und``; ties go to the language that sorts first; rows
@@ -82,69 +82,105 @@ def trigrams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return (before[mid] * CLASSES + cls[mid]) * CLASSES + after[mid], doc[mid], letters
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of trigram shares by language over the rows of a task."""
-    total: dict[str, np.ndarray] = {}
-    for rows, buf, off in chunks(batches):
-        grams, doc, letters = trigrams(buf, off)
-        share = 1.0 / np.maximum(letters, 1)
-        langs = np.array(rows.column("lang").to_pylist(), object)
-        for lang in set(langs):
-            own = (langs == lang)[doc]
-            part = np.bincount(grams[own], share[doc[own]], GRAMS)
-            total[lang] = total[lang] + part if lang in total else part
-    for lang, v in total.items():
-        g = np.flatnonzero(v)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int32)), pa.array(v[g], pa.float64())], names=["lang", "gram", "weight"])
+def _bundle(dim: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sum of the bound vectors of a task's texts, by language."""
+        letters = letter_vectors(dim)
+        total: dict[str, np.ndarray] = {}
+        for rows, buf, off in chunks(batches):
+            grams, doc, count = trigrams(buf, off)
+            share = 1.0 / np.maximum(count, 1)
+            langs, number = np.unique(np.array(rows.column("lang").to_pylist(), object), return_inverse=True)
+            for k, lang in enumerate(langs.tolist()):
+                own = np.flatnonzero((number == k)[doc])
+                seen, place = np.unique(grams[own], return_inverse=True)
+                weight = np.bincount(place, share[doc[own]], len(seen))
+                v = total.setdefault(lang, np.zeros(dim))
+                for x in range(0, len(seen), 8192):
+                    v += weight[x : x + 8192] @ gram_vectors(seen[x : x + 8192], letters)
+        if total:
+            yield _vector_rows(total)
+
+    return run
+
+
+def _vector_rows(total: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["lang", "sums"])
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the vectors of each language; rows come sorted by language, so one sum is held."""
+    lang, v = None, None
+    for b in batches:
+        for name, raw in zip(b.column("lang").to_pylist(), b.column("sums").to_pylist(), strict=True):
+            if name != lang and v is not None:
+                yield _vector_rows({lang: v})
+                v = None
+            x = np.frombuffer(raw, np.float64)
+            lang, v = name, x.copy() if v is None else v + x
+    if v is not None:
+        yield _vector_rows({lang: v})
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", dim: int = DIM) -> dict[str, np.ndarray]:
-    """Unit prototype per language from all rows with a language; the driver gets at most languages x trigram classes sums."""
+    """Unit prototype per language from all rows with a language."""
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sums = rows.mapInArrow(_count, "lang string, gram int, weight double").groupBy("lang", "gram").agg(F.sum("weight").alias("weight")).toArrow()
-    langs, letters, out = np.array(sums.column("lang").to_pylist(), object), letter_vectors(dim), {}
-    grams, weights = sums.column("gram").to_numpy(), sums.column("weight").to_numpy()
-    for lang in sorted(set(langs)):
-        own = langs == lang
-        v = np.zeros(dim)
-        for k in range(0, own.sum(), 8192):
-            v += weights[own][k : k + 8192] @ gram_vectors(grams[own][k : k + 8192], letters)
+    sums = rows.mapInArrow(_bundle(dim), "lang string, sums binary").repartition("lang").sortWithinPartitions("lang", "sums")
+    out = {}
+    for lang, raw in sorted(sums.mapInArrow(_add_up, "lang string, sums binary").toLocalIterator()):
+        v = np.frombuffer(raw, np.float64)
         if (size := np.linalg.norm(v)) > 0:
             out[lang] = (v / size).astype(np.float32)
     return out
 
 
-def _predictor(prototypes: dict[str, np.ndarray], dim: int):
+def judge(prototypes: dict[str, np.ndarray], buf: np.ndarray, off: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(language, score) of every document of a chunk."""
     names = sorted(prototypes)
-    proto = np.array([prototypes[x] for x in names], np.float32).reshape(len(names), dim)
+    n = len(off) - 1
+    grams, doc, count = trigrams(buf, off)
+    pred, score = np.full(n, UNKNOWN, object), np.zeros(n)
+    if not names or not len(grams):
+        return pred, score
+    proto = np.array([prototypes[x] for x in names], np.float32)
+    seen = np.flatnonzero(np.bincount(grams, minlength=GRAMS))
+    place = np.zeros(GRAMS, np.int64)
+    place[seen] = np.arange(len(seen))
+    vectors = gram_vectors(seen, letters).astype(np.float32)
+    for a in range(0, n, 256):  # so many documents' counts at a time
+        b = min(n, a + 256)
+        x, y = np.searchsorted(doc, [a, b])
+        counts = np.bincount((doc[x:y] - a) * len(seen) + place[grams[x:y]], minlength=(b - a) * len(seen)).reshape(b - a, -1).astype(np.float32)
+        v = counts @ vectors
+        cos = (v @ proto.T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        best = cos.argmax(axis=1)
+        p = 1 / np.exp((cos - cos.max(axis=1, keepdims=True)) / TEMPERATURE).sum(axis=1)
+        some = count[a:b] > 0
+        pred[a:b][some] = np.array(names, object)[best][some]
+        score[a:b][some] = p[some]
+    return pred, score
 
+
+def _predictor(prototypes: dict[str, np.ndarray], dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_vectors(dim)
-        for rows, buf, off in chunks(batches, limit=1 << 20):
-            n = rows.num_rows
-            grams, doc, count = trigrams(buf, off)
-            pred, score = np.full(n, UNKNOWN, object), np.zeros(n)
-            if names and len(grams):
-                seen = np.flatnonzero(np.bincount(grams, minlength=GRAMS))
-                place = np.zeros(GRAMS, np.int64)
-                place[seen] = np.arange(len(seen))
-                vectors = gram_vectors(seen, letters).astype(np.float32)
-                for a in range(0, n, 256):  # so many documents' counts at a time
-                    b = min(n, a + 256)
-                    x, y = np.searchsorted(doc, [a, b])
-                    counts = np.bincount((doc[x:y] - a) * len(seen) + place[grams[x:y]], minlength=(b - a) * len(seen)).reshape(b - a, -1).astype(np.float32)
-                    v = counts @ vectors
-                    cos = (v @ proto.T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-                    best = cos.argmax(axis=1)
-                    p = 1 / np.exp((cos - cos.max(axis=1, keepdims=True)) / TEMPERATURE).sum(axis=1)
-                    some = count[a:b] > 0
-                    pred[a:b][some] = np.array(names, object)[best][some]
-                    score[a:b][some] = p[some]
+        for rows, buf, off in chunks(batches):
+            pred, score = judge(prototypes, buf, off, letters)
             yield batch(_ARROW, doc_id=rows.column("doc_id"), held_out=rows.column("held_out"), lang_pred=pred.tolist(), score=score)
 
     return run
 
 
+def _keeper(prototypes: dict[str, np.ndarray], least: float, dim: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = letter_vectors(dim)
+        for rows, buf, off in chunks(batches):
+            pred, score = judge(prototypes, buf, off, letters)
+            yield rows.filter(pa.array((pred != UNKNOWN) & (score >= least)))
+
+    return run
+
+
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", dim: int = DIM) -> DataFrame:
     """Language and score of every row; a narrow pass, nothing is shuffled. The prototypes are a few KB a language."""
     flag = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
@@ -164,8 +200,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def known_language(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """The rows with a language and at least that score, with the columns they came with."""
-    verdict = identify(docs).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_lang_id"), "lang_pred", "score")
-    good = verdict.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_lang_id").distinct()
-    keyed = docs.withColumn("_lang_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    return keyed.join(good, "_lang_id", "left_semi").select(*docs.columns)
+    """The rows with a language and at least that score, with the columns they came with.
+
+    Every row is judged by its own text, also where rows share an id; rows pass through whole, so nothing is joined.
+    """
+    prototypes = train(docs.where(fold() != 0))
+    return docs.mapInArrow(_keeper(prototypes, least, DIM), docs.schema)

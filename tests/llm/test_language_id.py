@@ -50,3 +50,64 @@ def test_vectors_are_bound_and_permuted():
 def test_stage_keeps_columns(odd_docs):
     kept = L.known_language(odd_docs)
     assert kept.columns == odd_docs.columns and {r.doc_id for r in kept.collect()}.isdisjoint({3, 4, 5})
+
+
+def brute(docs, train_ids):
+    """Languages and scores with plain loops over characters; ``docs`` has (doc_id, text, lang)."""
+    letters, cache = L.letter_vectors().astype(int), {}
+
+    def number(c):
+        if not c.isalpha():
+            return 0
+        low = ord(c.lower()[0])
+        return low - 96 if 97 <= low <= 122 else 27 + low % 37
+
+    def bundle(text):
+        k, v = [0, *map(number, text), 0], np.zeros(L.DIM)
+        n = 0
+        for g in zip(k, k[1:], k[2:]):
+            if g[1]:
+                if g not in cache:
+                    cache[g] = np.roll(letters[g[0]], 2) * np.roll(letters[g[1]], 1) * letters[g[2]]
+                v += cache[g]
+                n += 1
+        return v, n
+
+    sums, own = {}, {}
+    for i, text, lang in docs:
+        own[i] = bundle(text or "")
+        if i in train_ids and lang is not None and own[i][1]:
+            sums[lang] = sums.get(lang, 0) + own[i][0] / own[i][1]
+    names = sorted(sums)
+    proto = np.array([sums[k] / np.linalg.norm(sums[k]) for k in names])
+    out = {}
+    for i, (v, n) in own.items():
+        if not n:
+            out[i] = ("und", 0.0)
+            continue
+        cos = proto @ v / max(np.linalg.norm(v), 1e-9)
+        p = np.exp(cos / 0.05) / np.exp(cos / 0.05).sum()
+        out[i] = (names[int(p.argmax())], float(p.max()))
+    return out
+
+
+def test_whole_table_equals_brute_force(spark, data):
+    import zlib
+
+    from lumenframe.llm import queries
+
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    want = brute(rows, {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5})
+    got = {r.doc_id: r for r in queries.op2_language_id(spark, data).collect()}
+    assert got.keys() == want.keys()
+    for i, (lang, score) in want.items():
+        assert abs(got[i].score - score) < 1e-3 and (got[i].lang_pred == lang or score < 0.51), i
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_stage_judges_rows_not_ids(spark):
+    rows = [(k, f"the cat and the dog number {k}", "en") for k in range(20)] + [(7, "123 456", "en"), (7, None, "en"), (None, "the bird", "en"), (None, "--", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.col("text") for c in ("_lang_id", "lang_pred", "score", "held_out")})
+    kept = L.known_language(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.text for r in kept.collect()), key=str) == sorted(t for _, t, _ in rows if t and any(map(str.isalpha, t)))
