@@ -4,19 +4,21 @@ Random indexing: each token has a sparse random index vector (``NONZERO`` entrie
 -1 in ``DIM`` dimensions); a token's word vector is the sum of the index vectors of its
 neighbours within ``REACH`` places, over all documents of the input. Tokens are words
 (lower-cased, each followed by a token for its shape) and runs of marks; they are hashed
-to ``BUCKETS`` rows, so the table has a fixed size. Each task sums its own table and the
-sums are added up by block of rows, in streams.
+to ``BUCKETS`` rows, so the table has a fixed size. At most ``SUM_TASKS`` tasks sum a table
+each and send the rows that they met; those are added up by block of rows, in streams.
 
 A document is the mean of its tokens' word vectors (drawn towards zero for short texts by
-``PRIOR_TOKENS``), with its length, the length of that mean, the share of words that repeat
-the word before, and the share of distinct tokens. A network with one hidden layer, fitted in numpy on at most ``MAX_ROWS``
-labelled rows, gives a logit; a temperature that minimises the log loss on a part of
-those rows kept aside calibrates the probability.
+``PRIOR_TOKENS``) and their spread around it in each dimension; nothing else is known of
+it. A network with one hidden layer, fitted in numpy on at most ``MAX_ROWS`` labelled rows,
+gives a logit; a temperature that minimises the log loss on a part of those rows kept aside
+calibrates the probability.
 
 Defined results: null counts as empty; a text without a token has a vector of zeros and is
-scored as such; labels that are null are ignored; without any label of both classes the
-score is the share of label 1 (0.5 if there is none); rows that repeat an id are scored
-each on its own; columns besides those named are ignored.
+scored as such; labels that are null are ignored; without labels of both classes the score
+is the share of label 1 (0.5 if there is none); with so few that the part kept aside or the
+rest lacks a class, the temperature is 1 and all rows are fitted on; rows that repeat an id
+are scored each on its own, and count as one where they are learned from; columns besides
+those named are ignored.
 """
 
 from __future__ import annotations
@@ -25,19 +27,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import samples
 from .textbuf import batch, chunks, span_hashes, spans_of
 
-DIM, BUCKETS, NONZERO, REACH, BLOCKS = 48, 1 << 14, 2, 2, 64
+DIM, BUCKETS, NONZERO, REACH, BLOCKS = 48, 1 << 16, 2, 2, 64
+SUM_TASKS, HELD_TOKENS = 8192, 2_000_000
 HIDDEN, EPOCHS = 24, 60
 THRESHOLD = 0.7
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
-_FEATURES, PRIOR_TOKENS, GATHER = DIM + 4, 8, 65_536
+_FEATURES, PRIOR_TOKENS, GATHER = 2 * DIM, 8, 65_536
 
 
 def _byte_kinds() -> tuple[np.ndarray, np.ndarray]:
@@ -80,38 +84,60 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The task's sum of neighbours' index vectors by token, and token counts; one row per block of the table."""
     place, sign = index_vectors()
     table, count = np.zeros(BUCKETS * DIM), np.zeros(BUCKETS)
-    for _, buf, off in chunks(batches):
-        tok, doc = tokens(buf, off)
-        count += np.bincount(tok, minlength=BUCKETS)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add() -> None:
+        tok, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+        count[:] += np.bincount(tok, minlength=BUCKETS)
         for gap in range(1, REACH + 1):
             same = doc[gap:] == doc[:-gap]
             a, b = tok[:-gap][same], tok[gap:][same]
             for x, y in ((a, b), (b, a)):
                 for k in range(NONZERO):
-                    table += np.bincount(x * DIM + place[y, k], sign[y, k], BUCKETS * DIM)
-    rows = np.concatenate([table.reshape(BUCKETS, DIM), count[:, None]], axis=1).reshape(BLOCKS, -1)
-    yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["block", "sums"])
+                    table[:] += np.bincount(x * DIM + place[y, k], sign[y, k], BUCKETS * DIM)
+
+    docs = size = 0
+    for rows, buf, off in chunks(batches):
+        tok, doc = tokens(buf, off)
+        held.append((tok, doc + docs))
+        docs, size = docs + rows.num_rows, size + len(tok)
+        if size >= HELD_TOKENS:
+            add()
+            held, size = [], 0
+    if held:
+        add()
+    sums, wide = np.concatenate([table.reshape(BUCKETS, DIM), count[:, None]], axis=1), BUCKETS // BLOCKS
+    for k in range(BLOCKS):
+        met = np.flatnonzero(count[k * wide : (k + 1) * wide])
+        if len(met):
+            yield _sum_row(k, met, sums[k * wide + met].astype(np.float32))
+
+
+_SUMS = "block int, rows binary, sums binary"
+
+
+def _sum_row(block: int, met: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([met.astype(np.int32).tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary())], names=["block", "rows", "sums"])
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sum the rows of each block, one row in memory besides the sums."""
     total: dict[int, np.ndarray] = {}
     for b in batches:
-        for k, v in zip(b.column("block").to_pylist(), b.column("sums"), strict=True):
-            x = np.frombuffer(v.as_buffer(), np.float64)
-            total[k] = total[k] + x if k in total else x.copy()
+        for k, met, v in zip(b.column("block").to_pylist(), b.column("rows"), b.column("sums"), strict=True):
+            sums = total.setdefault(k, np.zeros((BUCKETS // BLOCKS, DIM + 1)))
+            sums[np.frombuffer(met.as_buffer(), np.int32)] += np.frombuffer(v.as_buffer(), np.float32).reshape(-1, DIM + 1)
     for k, v in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["block", "sums"])
+        yield _sum_row(k, np.flatnonzero(v[:, DIM]), v[v[:, DIM] > 0])
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Unit word vector of every bucket, from all documents; the driver gets the one table, of fixed size."""
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sums = rows.mapInArrow(_contexts, "block int, sums binary").repartition(BLOCKS, "block").mapInArrow(_add_up, "block int, sums binary")
-    table = np.zeros((BLOCKS, BUCKETS // BLOCKS * (DIM + 1)))
-    for block, v in sums.toLocalIterator():
-        table[block] = np.frombuffer(v, np.float64)
-    table = table.reshape(BUCKETS, DIM + 1)
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).coalesce(SUM_TASKS)
+    sums = rows.mapInArrow(_contexts, _SUMS).repartition(BLOCKS, "block").mapInArrow(_add_up, _SUMS)
+    table = np.zeros((BUCKETS, DIM + 1))
+    for block, met, v in sums.toLocalIterator():
+        table[block * (BUCKETS // BLOCKS) + np.frombuffer(met, np.int32)] = np.frombuffer(v, np.float64).reshape(-1, DIM + 1)
     v, n = table[:, :DIM], table[:, DIM:]
     # what sets a token's contexts apart from the average context
     v = v / np.maximum(n, 1) - v.sum(axis=0) / max(n.sum(), 1)
@@ -120,36 +146,38 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def pooled(vectors: np.ndarray, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Features of every document of a chunk."""
+    """Mean and spread of the word vectors of every document of a chunk."""
     n = len(off) - 1
     tok, doc = tokens(buf, off)
     out = np.zeros((n, _FEATURES), np.float32)
-    if len(tok):
-        first = np.searchsorted(doc, np.arange(n + 1))
-        size = np.diff(first)
-        a = 0
-        while a < n:
-            # documents of at most GATHER tokens together; a longer one by its counts
-            b = max(a + 1, int(np.searchsorted(first, first[a] + GATHER, "right")) - 1)
-            x, y = first[a], first[b]
-            if y - x > GATHER:
-                out[a, :DIM] = np.bincount(tok[x:y], minlength=BUCKETS) @ vectors / (size[a] + PRIOR_TOKENS)
-            elif x < y:
-                own = np.flatnonzero(size[a:b]) + a
-                out[own, :DIM] = np.add.reduceat(vectors[tok[x:y]], first[own] - x, axis=0) / (size[own, None] + PRIOR_TOKENS)
-            a = b
-        out[:, DIM] = np.log1p(size)
-        out[:, DIM + 1] = np.linalg.norm(out[:, :DIM], axis=1)
-        again = (tok[2:] == tok[:-2]) & (doc[2:] == doc[:-2]) & (tok[2:] >= 64)  # a shape token stands between two words
-        out[:, DIM + 2] = np.bincount(doc[2:][again], minlength=n) / (size + PRIOR_TOKENS)
-        out[:, DIM + 3] = np.bincount(np.unique(doc * BUCKETS + tok) // BUCKETS, minlength=n) / (size + PRIOR_TOKENS)
+    if not len(tok):
+        return out
+    first = np.searchsorted(doc, np.arange(n + 1))
+    size = np.diff(first)[:, None]
+    a = 0
+    while a < n:
+        # documents of at most GATHER tokens together; a longer one by its counts
+        b = max(a + 1, int(np.searchsorted(first, first[a] + GATHER, "right")) - 1)
+        x, y = first[a], first[b]
+        if y - x > GATHER:
+            count = np.bincount(tok[x:y], minlength=BUCKETS).astype(np.float32)
+            out[a, :DIM], out[a, DIM:] = count @ vectors, count @ (vectors * vectors)
+        elif x < y:
+            own = np.flatnonzero(size[a:b]) + a
+            v = vectors[tok[x:y]]
+            out[own, :DIM] = np.add.reduceat(v, first[own] - x, axis=0)
+            out[own, DIM:] = np.add.reduceat(v * v, first[own] - x, axis=0)
+        a = b
+    mean = out[:, :DIM] / np.maximum(size, 1)
+    out[:, DIM:] = np.sqrt(np.maximum(out[:, DIM:] / np.maximum(size, 1) - mean * mean, 0))
+    out[:, :DIM] /= size + PRIOR_TOKENS
     return out
 
 
-def _features(vectors: np.ndarray):
+def _features(vectors: Broadcast):
     def run(batches):
         for rows, buf, off in chunks(batches):
-            f = pooled(vectors, buf, off)
+            f = pooled(vectors.value, buf, off)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("label"), pa.array([x.tobytes() for x in f], pa.binary())], names=["doc_id", "label", "features"])
 
     return run
@@ -160,7 +188,7 @@ class Network:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, seed: int = 3):
         self.temperature, self.constant = 1.0, None
-        if len(y) < 10 or y.min() == y.max():
+        if not len(y) or y.min() == y.max():
             self.constant = float(y.mean()) if len(y) else 0.5
             return
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
@@ -168,6 +196,9 @@ class Network:
         order = r.permutation(len(y))
         cut = max(1, len(y) // 5)
         aside, fit = order[:cut], order[cut:]
+        known = all(len(set(y[own].tolist())) == 2 for own in (aside, fit))
+        if not known:
+            fit = order
         z = (x - self.mean) / self.scale
         self.p = [r.normal(0, z.shape[1] ** -0.5, (z.shape[1], HIDDEN)), np.zeros(HIDDEN), r.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
         m, v, t = [np.zeros_like(a) for a in self.p], [np.zeros_like(a) for a in self.p], 0
@@ -178,6 +209,8 @@ class Network:
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g * g
                     self.p[k] = self.p[k] - 0.003 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+        if not known:
+            return
         logit = self._logit(z[aside])
         grid = np.exp(np.linspace(-1.5, 2.5, 81))
         loss = [np.logaddexp(0, -(2 * y[aside] - 1) * logit / t).mean() for t in grid]
@@ -198,7 +231,7 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self._logit((x - self.mean) / self.scale) / self.temperature, -60, 60)))
 
 
-def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, label_col: str = "quality", most: int = samples.MAX_ROWS) -> Network:
+def train(docs: DataFrame, labels: DataFrame, vectors: Broadcast, label_col: str = "quality", most: int = samples.MAX_ROWS) -> Network:
     """Fit on at most ``most`` of the labelled rows given."""
     known = labels.where(F.col(label_col).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     sample = samples.pick(known, ["doc_id", "label"], most=most)
@@ -209,12 +242,12 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, label_col: st
     return Network(x[order], y[order])
 
 
-def score(docs: DataFrame, vectors: np.ndarray, net: Network, held_out: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, vectors: Broadcast, net: Network, held_out: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Probability of label 1 for every row; a narrow pass, nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, off in chunks(batches):
-            p = net.probability(pooled(vectors, buf, off).astype(np.float64))
+            p = net.probability(pooled(vectors.value, buf, off).astype(np.float64))
             yield batch(_ARROW, doc_id=rows.column("doc_id"), held_out=rows.column("held_out"), score=p, predicted=(p >= threshold).astype(np.int32))
 
     flag = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
@@ -224,6 +257,6 @@ def score(docs: DataFrame, vectors: np.ndarray, net: Network, held_out: Column |
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Word vectors from all documents, labels from the rows whose fold of four is not 2, a score for every row."""
-    vectors = word_vectors(docs)
+    vectors = docs.sparkSession.sparkContext.broadcast(word_vectors(docs))  # BUCKETS x DIM, whatever the input
     net = train(docs, labels.where(samples.fold(4) != 2), vectors)
     return score(docs, vectors, net, samples.fold(4) == 2)

@@ -20,6 +20,11 @@ def pick(rows: DataFrame, columns: list[str], key: str = "doc_id", most: int = M
 
 
 def texts_of(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Texts of the sampled ids. The sample has at most MAX_ROWS rows of a few numbers, so it can be broadcast."""
+    """Texts of the sampled ids, one for each sampled row: of rows that share an id, the one with the least hash of its text.
+
+    The sample has at most MAX_ROWS rows of a few numbers, so it can be broadcast.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.join(F.broadcast(sample), "doc_id")
+    own = sample.columns
+    found = rows.join(F.broadcast(sample), "doc_id").groupBy(*own).agg(F.min(F.struct(F.xxhash64("text").alias("k"), "text")).alias("t"))
+    return found.select(*own, F.col("t.text").alias("text"))

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +67,69 @@ def test_word_vectors_are_neighbours_sums():
     assert len(tok) == 4 and tok[1] == tok[3] and (doc == 0).all()  # word, shape, word, shape
 
 
+def test_few_labels_are_learned_from():
+    x = np.array([[-2.0], [-1.5], [-1.8], [-1.1], [1.2], [1.9], [1.4], [2.0], [1.6]])
+    y = (x[:, 0] > 0).astype(float)
+    net = quality.Network(x, y)
+    assert net.constant is None and ((net.probability(x) > 0.5) == (y == 1)).all()
+    assert quality.Network(x[:2], np.array([0.0, 1.0])).constant is None
+    assert quality.Network(x[:4], y[:4]).probability(x).tolist() == [0.0] * 9 and quality.Network(x[:0], y[:0]).constant == 0.5
+
+
+def test_the_sample_is_bounded_where_ids_repeat(spark):
+    from lumenframe.llm import samples
+
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(5000)] + [(2, "one")], "doc_id long, text string")
+    got = samples.texts_of(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, label int")).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2]
+
+
+def plain_tokens(text):
+    """Tokens of a text, from a regular expression: (bytes, shape or None)."""
+    for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+|[^\x00-\x200-9A-Za-z\x80-\xff]+", text.encode()):
+        w = m.group()
+        if re.match(rb"[0-9A-Za-z\x80-\xff]", w):
+            upper, digit = len(re.findall(rb"[A-Z]", w)), len(re.findall(rb"[0-9]", w))
+            yield w.lower(), (3 if digit else min(upper, 2)) * 3 + (len(w) >= 4) + (len(w) >= 12)
+        else:
+            yield w, None
+
+
+def test_quality_features_equal_brute_force(spark, data):
+    """Word vectors and pooled features of the whole table, token by token."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    texts = [r.text or "" for r in docs.select("text").collect()]
+    place, sign = quality.index_vectors()
+
+    def bucket(w):
+        a = np.frombuffer(w, np.uint8)
+        return int(quality.span_hashes(a, np.array([0]), np.array([len(a)]))[0] % np.uint64(quality.BUCKETS - 64)) + 64
+
+    known, lists = {}, []
+    for t in texts:
+        own = []
+        for w, shape in plain_tokens(t):
+            if w not in known:
+                known[w] = bucket(w)
+            own += [known[w]] if shape is None else [known[w], shape]
+        lists.append(own)
+    table, count = np.zeros((quality.BUCKETS, quality.DIM)), np.zeros(quality.BUCKETS)
+    for own in lists:
+        for i, x in enumerate(own):
+            count[x] += 1
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(own):
+                    np.add.at(table[x], place[own[j]], sign[own[j]])
+    v = table / np.maximum(count, 1)[:, None] - table.sum(axis=0) / count.sum()
+    v[count == 0] = 0
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    vectors = quality.word_vectors(docs)
+    assert np.allclose(vectors, v, atol=1e-4)
+    want = np.array([np.concatenate([v[own].sum(axis=0) / (len(own) + 8), v[own].std(axis=0)]) if own else np.zeros(96) for own in lists])
+    data_, off = "".join(texts).encode(), np.cumsum([0] + [len(t.encode()) for t in texts])
+    assert np.allclose(quality.pooled(vectors, np.frombuffer(data_, np.uint8), off), want, atol=2e-3)
+
+
 def test_positives_hidden_among_the_unlabelled_are_found():
     r = np.random.default_rng(0)
     make = lambda at, n: r.normal(at, 0.3, (n, 3)).astype(np.float32)
