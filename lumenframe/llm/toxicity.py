@@ -1,21 +1,27 @@
 """Toxicity: non-negative positive-unlabelled learning.
 
-Positives are documents with a confirmed toxic label; the unlabelled set is a sample of
-all documents, whatever their label. With class prior p and sigmoid loss, the risk of a
-classifier g is p * R+(positives) + max(0, R-(unlabelled) - p * R-(positives)); where the
-second part turns negative, a step goes against it, so that the classifier cannot gain by
-calling the positives among the unlabelled negative. The prior is the share of toxic rows
-among the labelled ones that may be learned from.
+Positives are documents with a confirmed toxic label; the unlabelled set is the text of
+labelled rows, whatever their label, which is not looked at. With class prior p and sigmoid
+loss, the risk of a classifier g is p * R+(positives) + max(0, R-(unlabelled) - p *
+R-(positives)); where the second part turns negative, a step goes against it, so that the
+classifier cannot gain by calling the positives among the unlabelled negative. The prior is
+the share of toxic rows among the labelled ones that may be learned from, which are the
+rows that the unlabelled set is taken from; it holds for the corpus as far as the labelled
+rows are a fair sample of it.
 
 Features: words (lower-cased) and their beginnings and ends of ``PARTS`` bytes, hashed to
-``BUCKETS``; of those, the ``KEPT`` that stand out most among positives against the
-unlabelled. A document has, for each, the logarithm of one plus its count and its rate per
-word, and the logarithm of its number of words. The fit is on at most ``MAX_POSITIVE``
+``BUCKETS``; of those, the ``KEPT`` whose share of documents among all positives stands out
+most against their share among all documents. Both shares are counted over every document
+that may be learned from, by at most ``SUM_TASKS`` tasks with one table each. A document
+has, for each kept bucket, the logarithm of one plus its count and its rate per word, and
+the logarithm of its number of words. The classifier is fitted on at most ``MAX_POSITIVE``
 positives and ``MAX_UNLABELLED`` unlabelled rows.
 
 Defined results: null counts as empty; a text without a word gets the score of an empty
 vector; labels that are null are ignored; without a positive the score is 0; rows that
-repeat an id are scored each on its own; columns besides those named are ignored.
+repeat an id are scored each on its own, and count as one where they are learned from;
+columns besides those named are ignored. Scores repeat to about 1e-8 between partitionings,
+as sums of floats do.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from .quality import SCHEMA, THRESHOLD
 from .textbuf import BYTE_VALUES, HASH_BLOCK, WORDS, batch, chunks, mix, powers, spans_of
 
 PARTS = (4, 5, 6, 7, 8)
-BUCKETS, KEPT, STEPS = 1 << 20, 300, 500
+BUCKETS, KEPT, STEPS, SUM_TASKS = 1 << 20, 512, 500, 8192
 MAX_POSITIVE, MAX_UNLABELLED = 6_000, 12_000
 _ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
@@ -65,25 +71,36 @@ def word_features(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray
         i = j
 
 
-def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct feature buckets of each sampled document."""
-    for rows, buf, off in chunks(batches):
-        both = [(b, d) for b, d in word_features(buf, off)]
-        key = np.unique(np.concatenate([d * BUCKETS + b for b, d in both])) if both else np.zeros(0, np.int64)
-        cut = np.searchsorted(key, np.arange(rows.num_rows + 1) * BUCKETS)
-        bits = (key % BUCKETS).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(bits))
-        yield pa.RecordBatch.from_arrays([rows.column("positive"), lists], names=["positive", "buckets"])
-
-
-def choose(sample: DataFrame, n_pos: int, n_unl: int) -> np.ndarray:
-    """Buckets whose share among positives exceeds that among the unlabelled by most standard errors."""
-    rows = sample.mapInArrow(_seen, "positive int, buckets array<int>").select("positive", F.explode("buckets").alias("bucket"))
-    counts = rows.groupBy("bucket").agg(F.sum("positive").alias("pos"), F.sum(1 - F.col("positive")).alias("unl"))
-    a, b = F.col("pos") / n_pos, F.col("unl") / n_unl
-    both = (F.col("pos") + F.col("unl")) / (n_pos + n_unl)
-    z = (a - b) / F.sqrt(both * (1 - both) * (1 / n_pos + 1 / n_unl) + 1e-12)
-    top = counts.where((F.col("pos") >= 3) & (a > 1.5 * b)).orderBy(F.round(z, 9).desc(), "bucket").limit(KEPT).select("bucket")
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the buckets that a task meets, the number of its documents that have them."""
+    total = np.zeros(BUCKETS, np.int64)
+    for _, buf, off in chunks(batches):
+        for b, d in _distinct(buf, off):
+            total += np.bincount(b, minlength=BUCKETS)
+    met = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(total[met])], names=["bucket", "n"])
+
+
+def _distinct(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct (bucket, document) of a chunk."""
+    keys = [d * BUCKETS + b for b, d in word_features(buf, off)]
+    if keys:
+        key = np.unique(np.concatenate(keys))
+        yield key % BUCKETS, key // BUCKETS
+
+
+def document_counts(texts: DataFrame) -> DataFrame:
+    """(bucket, n): in how many of the rows' texts a bucket occurs."""
+    return texts.select("text").coalesce(SUM_TASKS).mapInArrow(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
+def choose(positive: DataFrame, every: DataFrame, n_pos: int, n_all: int) -> np.ndarray:
+    """Buckets whose share among positives exceeds that among all documents by most standard errors."""
+    counts = document_counts(positive).withColumnRenamed("n", "pos").where("pos >= 3").join(document_counts(every), "bucket")
+    a, b = F.col("pos") / n_pos, F.col("n") / n_all
+    both = (F.col("pos") + F.col("n")) / (n_pos + n_all)
+    z = (a - b) / F.sqrt(both * (1 - both) * (1 / n_pos + 1 / n_all) + 1e-12)
+    top = counts.where(a > 1.5 * b).orderBy(F.round(z, 9).desc(), "bucket").limit(KEPT).select("bucket")
     return np.array(sorted(r.bucket for r in top.collect()), np.int64)
 
 
@@ -92,11 +109,8 @@ def features(kept: np.ndarray, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     place = np.full(BUCKETS, -1, np.int32)
     place[kept] = np.arange(len(kept))
     n = len(off) - 1
-    out = np.zeros(n * len(kept), np.int64)
-    for b, d in word_features(buf, off):
-        i = place[b]
-        own = i >= 0
-        np.add.at(out, d[own] * len(kept) + i[own], 1)
+    at = [d[own] * len(kept) + i[own] for i, d in ((place[b], d) for b, d in word_features(buf, off)) if (own := i >= 0).any()]
+    out = np.bincount(np.concatenate(at), minlength=n * len(kept)) if at else np.zeros(n * len(kept), np.int64)
     out, words = out.reshape(n, len(kept)), np.diff(np.searchsorted(spans_of(WORDS[buf] != 0, off)[0], off))
     return np.concatenate([np.log1p(out), out / (words[:, None] + 20.0) * 20, np.log1p(words)[:, None] / 4], axis=1).astype(np.float32)
 
@@ -141,23 +155,24 @@ class Classifier:
         return np.zeros(len(x)) if self.w is None else _sigmoid(x @ self.w + self.b).astype(np.float64)
 
 
-def train(docs: DataFrame, labels: DataFrame, unlabelled: DataFrame, label_col: str = "toxic", most: int = MAX_POSITIVE, most_unlabelled: int = MAX_UNLABELLED) -> tuple[np.ndarray, Classifier]:
-    """(kept buckets, classifier) from the labelled rows and the unlabelled ids given."""
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: int = MAX_POSITIVE, most_unlabelled: int = MAX_UNLABELLED) -> tuple[np.ndarray, Classifier]:
+    """(kept buckets, classifier) from the labelled rows and the documents given."""
     known = labels.where(F.col(label_col).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     count = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("pos")).first()
-    prior = min(max(count.pos / count.n, 1e-4), 0.9) if count.n else 0.0
-    pos = samples.pick(known.where("label = 1").select("doc_id"), ["doc_id"], most=most).withColumn("positive", F.lit(1))
-    unl = samples.pick(unlabelled.select(F.col("doc_id").cast("long").alias("doc_id")), ["doc_id"], most=most_unlabelled, seed=23).withColumn("positive", F.lit(0))
-    sample = samples.texts_of(docs, pos.unionByName(unl))
-    sizes = {r.positive: r["count"] for r in pos.unionByName(unl).groupBy("positive").count().collect()}
     empty = np.zeros((0, 0))
-    if not sizes.get(1) or not sizes.get(0):
-        return np.zeros(0, np.int64), Classifier(empty, empty, prior)
-    kept = choose(sample, sizes[1], sizes[0])
-    got = sample.mapInArrow(_vectors(kept), "doc_id long, positive int, features binary").toArrow()
+    if not count.pos:
+        return np.zeros(0, np.int64), Classifier(empty, empty, 0.0)
+    prior = min(max(count.pos / count.n, 1e-4), 0.9)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    toxic = known.where("label = 1").select("doc_id").distinct()
+    positive = rows.join(toxic, "doc_id", "left_semi")
+    kept = choose(positive, rows, max(1, positive.count()), max(1, rows.count()))
+    pos = samples.pick(toxic, ["doc_id"], most=most).withColumn("positive", F.lit(1))
+    unl = samples.pick(known.select("doc_id").distinct(), ["doc_id"], most=most_unlabelled, seed=23).withColumn("positive", F.lit(0))
+    got = samples.texts_of(rows, pos.unionByName(unl)).mapInArrow(_vectors(kept), "doc_id long, positive int, features binary").toArrow()
     x = np.frombuffer(b"".join(got.column("features").to_pylist()), np.float32).reshape(got.num_rows, 2 * len(kept) + 1)
     y, ids = got.column("positive").to_numpy(), got.column("doc_id").to_numpy()
-    order = np.lexsort((x.sum(axis=1), y, ids))
+    order = np.lexsort((y, ids))
     x, y = x[order].astype(np.float32), y[order]
     return kept, Classifier(x[y == 1], x[y == 0], prior)
 
@@ -176,7 +191,7 @@ def score(docs: DataFrame, kept: np.ndarray, model: Classifier, held_out: Column
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labels from the rows whose fold of three is not 1, unlabelled text from the same folds, a score for every row."""
+    """Labels and word counts from the rows whose fold of three is not 1, a score for every row."""
     usable = samples.fold(3) != 1
-    kept, model = train(docs, labels.where(usable), docs.where(usable))
+    kept, model = train(docs.where(usable), labels.where(usable))
     return score(docs, kept, model, samples.fold(3) == 1)

@@ -136,3 +136,69 @@ def test_positives_hidden_among_the_unlabelled_are_found():
     known, hidden, negative = make(1.0, 200), make(1.0, 40), make(0.0, 360)
     c = toxicity.Classifier(known, np.concatenate([hidden, negative]), 0.1)
     assert c.probability(hidden).mean() > 0.9 and c.probability(negative).mean() < 0.1
+
+
+def parts(text):
+    """Words and their beginnings and ends: (kind, bytes)."""
+    for w in re.findall(rb"[0-9a-z\x80-\xff]+", text.encode().lower()):
+        yield 1, w
+        for k, n in enumerate((4, 5, 6, 7, 8)):
+            if len(w) > n:
+                yield 2 + 2 * k, w[:n]
+                yield 3 + 2 * k, w[-n:]
+
+
+def test_toxicity_counts_and_features_equal_brute_force(spark, data, monkeypatch):
+    monkeypatch.setattr(toxicity, "KEPT", 40)
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    known = {}
+
+    def bucket(kind, w):
+        if (kind, w) not in known:  # the polynomial hash of the operator, with integers
+            h, p = 0, 1
+            for c in w:
+                h, p = (h + int(toxicity.BYTE_VALUES[c]) * p) % 2**64, p * 0x9E3779B97F4A7C15 % 2**64
+            known[kind, w] = int(toxicity.mix(np.array([(h + kind) % 2**64], np.uint64))[0] % np.uint64(toxicity.BUCKETS))
+        return known[kind, w]
+
+    lists = {i: [bucket(k, w) for k, w in parts(t)] for i, t in texts.items()}
+    counts = {r.bucket: r.n for r in toxicity.document_counts(docs).collect()}
+    want = {}
+    for own in lists.values():
+        for b in set(own):
+            want[b] = want.get(b, 0) + 1
+    assert counts == want
+    some = sorted(texts)[::5]
+    kept = toxicity.choose(docs.where(F.col("doc_id").isin(some)), docs, len(some), len(texts))
+    z = {}
+    for b, n in want.items():
+        k = sum(b in set(lists[i]) for i in some) if n >= 3 else 0
+        x, y, both = k / len(some), n / len(texts), (k + n) / (len(some) + len(texts))
+        if k >= 3 and x > 1.5 * y:
+            z[b] = (x - y) / (both * (1 - both) * (1 / len(some) + 1 / len(texts)) + 1e-12) ** 0.5
+    assert sorted(kept.tolist()) == sorted(sorted(z, key=lambda b: (-round(z[b], 9), b))[:40])
+    ids = list(texts)[:40]
+    raw, off = "".join(texts[i] for i in ids).encode(), np.cumsum([0] + [len(texts[i].encode()) for i in ids])
+    got = toxicity.features(kept, np.frombuffer(raw, np.uint8), off)
+    for row, i in zip(got, ids):
+        n = [lists[i].count(b) for b in kept.tolist()]
+        words = sum(k == 1 for k, _ in parts(texts[i]))
+        assert np.allclose(row, np.concatenate([np.log1p(n), np.array(n) / (words + 20) * 20, [np.log1p(words) / 4]]), atol=1e-5)
+
+
+def test_scores_are_those_of_the_fitted_model(spark, data):
+    """The whole query, from its own features and weights, row by row."""
+    import zlib
+
+    from lumenframe.llm import queries, samples
+
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    kept, model = toxicity.train(docs.where(samples.fold(3) != 1), labels.where(samples.fold(3) != 1))
+    got = {r.doc_id: r for r in queries.op4_toxicity(spark, data).collect()}
+    for r in docs.collect():
+        raw = (r.text or "").encode()
+        x = toxicity.features(kept, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+        p = 1 / (1 + np.exp(-(x @ model.w + model.b))) if model.w is not None else 0.0
+        assert abs(got[r.doc_id].score - p) < 1e-5 and got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+    assert len(got) == docs.count()
