@@ -9,19 +9,19 @@ first ``LENGTH`` bytes. To distribute it, texts are cut so that suffixes which a
 1. Every window of ``LENGTH`` bytes has an anchor, the first of its grams of ``GRAM`` bytes
    with the least hash. The anchor depends on the window's bytes alone, so equal windows
    have equal grams at equal places. Windows that follow each other mostly share an
-   anchor: a run. One row per run goes out: the hash of its gram (the key), the hash of all
-   its bytes, and its place.
+   anchor: a run. One row per run goes out: the hash of its gram (the key), 128 bits of the
+   BLAKE2b digest of all its bytes (its content), and its place.
    Of equal runs that one task finds, only the first is keyed so; the others are known to
    repeat, so a passage that many documents share reaches its partition a few times only.
 2. Rows arrive sorted by key, content and place, and a task streams over them. All but the
-   first run of equal content (key and content: 112 bits) repeat throughout. A key with one
+   first run of equal key and content repeat throughout. A key with one
    content has nothing else to compare and is dropped, as most keys are.
 3. The bytes of the remaining runs, one for each content, go to the partition of their key.
    They form the text whose suffix array a task builds, a bounded number of bytes at a
    time; equal windows among them are neighbours there, and all but the earliest repeat.
 4. A key with more than ``HOT_BYTES`` of distinct strings is not held in one task: its
-   windows go out as rows of their own, keyed by 128 bits of their content, and are
-   grouped by Spark with partial aggregation.
+   windows go out as rows of their own, keyed by 128 bits of the digest of their bytes, and
+   are grouped by Spark with partial aggregation.
 
 Repeats go back to their documents as runs; the bytes they cover are removed.
 
@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import saved
-from .textbuf import BYTE_VALUES, batch, chunks, mix, span_hashes, spans_of
+from .textbuf import BYTE_VALUES, batch, chunks, mix, spans_of
 
 LENGTH, GRAM = 100, 20
 TEXT_BYTES, HOT_BYTES, GATHER_BYTES = 1 << 20, 8 << 20, 24 << 20
@@ -169,10 +169,17 @@ def anchor_runs(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (h[anchor[first]] >> np.uint64(16)).view(np.int64), doc[first], p[first] - off[doc[first]], np.diff(np.append(first, len(p)))
 
 
-RUN_SCHEMA = "key long, content long, h long, start int, n int"
+RUN_SCHEMA = "key long, content long, content2 long, h long, start int, n int"
 SHARED_SCHEMA = "key long, h long, start int, n int"
 
 
+def digests(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128 bits of the BLAKE2b digest of every stretch of bytes, as two columns of numbers."""
+    data = buf.tobytes()
+    raw = b"".join([hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(raw, np.int64).reshape(-1, 2)
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of all runs. Of runs that a task finds equal among ``GATHER_BYTES`` of text, only the first goes to the
     partition of its key; the others are repeats for certain (``n`` negative) and are spread by document."""
@@ -181,19 +188,19 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> pa.RecordBatch:
         key, content, h, start, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((start, h, content, key))
+        order = np.lexsort((start, h, content[:, 1], content[:, 0], key))
         key, content, h, start, n = key[order], content[order], h[order], start[order], n[order]
         like = np.zeros(len(key), bool)
-        like[1:] = (key[1:] == key[:-1]) & (content[1:] == content[:-1])
+        like[1:] = (key[1:] == key[:-1]) & (content[1:] == content[:-1]).all(axis=1)
         like[1:] &= (h[1:] != h[:-1]) | (start[1:] != start[:-1])  # a row that stands twice is one run
         key = np.where(like, mix(h.view(np.uint64)).view(np.int64), key)
-        columns = (pa.array(key), pa.array(content), pa.array(h), pa.array(start.astype(np.int32)), pa.array(np.where(like, -n, n).astype(np.int32)))
-        return pa.RecordBatch.from_arrays(list(columns), names=["key", "content", "h", "start", "n"])
+        columns = (pa.array(key), pa.array(content[:, 0]), pa.array(content[:, 1]), pa.array(h), pa.array(start.astype(np.int32)), pa.array(np.where(like, -n, n).astype(np.int32)))
+        return pa.RecordBatch.from_arrays(list(columns), names=["key", "content", "content2", "h", "start", "n"])
 
     for rows, buf, off in chunks(batches):
         key, doc, start, n = anchor_runs(buf, off)
         at = off[doc] + start
-        content = span_hashes(buf, at, at + n + LENGTH - 1).view(np.int64)
+        content = digests(buf, at, at + n + LENGTH - 1)
         held.append((key, content, rows.column("h").to_numpy()[doc].astype(np.int64), start, n))
         size += len(buf)
         if size >= GATHER_BYTES:
@@ -215,18 +222,18 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        row = np.array([b.column(c).to_numpy().astype(np.int64) for c in ("key", "content", "h", "start", "n")])
-        if (known := row[4] < 0).any():  # repeats that the sending task has found
-            yield out(None, row[2, known], row[3, known], -row[4, known])
+        row = np.array([b.column(c).to_numpy().astype(np.int64) for c in ("key", "content", "content2", "h", "start", "n")])
+        if (known := row[5] < 0).any():  # repeats that the sending task has found
+            yield out(None, row[3, known], row[4, known], -row[5, known])
             row = row[:, ~known]
             if not row.shape[1]:
                 continue
         before = np.concatenate([row[:, :1] - 1 if last is None else last, row[:, :-1]], axis=1)
         last = row[:, -1:]
-        same = (row[:2] == before[:2]).all(axis=0)
-        again = same & (row[2:4] != before[2:4]).any(axis=0)  # a row that stands twice is one run
+        same = (row[:3] == before[:3]).all(axis=0)
+        again = same & (row[3:5] != before[3:5]).any(axis=0)  # a row that stands twice is one run
         if again.any():
-            yield out(None, row[2, again], row[3, again], row[4, again])
+            yield out(None, row[3, again], row[4, again], row[5, again])
         first = row[:, ~same] if held is None else np.concatenate([held, row[:, ~same]], axis=1)
         if not first.shape[1]:
             continue
@@ -235,9 +242,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, twin = first[:, -1:], bool(keep[-1])
         own = first[:, :-1][:, keep[:-1]]
         if own.shape[1]:
-            yield out(own[0], own[2], own[3], own[4])
+            yield out(own[0], own[3], own[4], own[5])
     if held is not None and twin:
-        yield out(held[0], held[2], held[3], held[4])
+        yield out(held[0], held[3], held[4], held[5])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,17 +307,10 @@ def _earlier(strings: list[bytes], h: list[int], start: list[int]) -> pa.RecordB
 
 
 def _content_keys(strings: list[bytes], h: list[int], start: list[int]) -> pa.RecordBatch:
-    """A row per window, with 128 bits of its content."""
+    """A row per window, with 128 bits of the digest of its bytes."""
     text, at, handle, pos = _windows(strings, h, start)
-    keys = []
-    for seed in (0x9FB21C651E98DF25, 0xE7037ED1A0B428DB):
-        x = mix(BYTE_VALUES[text] * np.uint64(seed))
-        sized = {1: x}
-        for k in (1, 2, 4, 8, 16, 32):
-            x = sized[k]
-            sized[2 * k] = mix(x[: len(x) - k] * np.uint64(seed + 2 * k) + x[k:])
-        keys.append(mix(mix(sized[64][at] * np.uint64(seed) + sized[32][at + 64]) * np.uint64(seed) + sized[4][at + 96]).view(np.int64))
-    return _mark(handle, pos, np.ones(len(at), np.int64), *keys)
+    keys = digests(text, at, at + LENGTH)
+    return _mark(handle, pos, np.ones(len(at), np.int64), keys[:, 0], keys[:, 1])
 
 
 def _matcher(text_bytes: int, hot_bytes: int):
@@ -379,7 +379,7 @@ def suffix_dedup(docs: DataFrame, text_bytes: int = TEXT_BYTES, hot_bytes: int =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = _with_handles(rows)
     texts = rows.select("h", "text")
-    runs = texts.mapInArrow(_runs, RUN_SCHEMA).repartition("key").sortWithinPartitions("key", "content", "h", "start")
+    runs = texts.mapInArrow(_runs, RUN_SCHEMA).repartition("key").sortWithinPartitions("key", "content", "content2", "h", "start")
     shared = saved(runs.mapInArrow(_shared, SHARED_SCHEMA))
     wanted = shared.where("key is not null").groupBy("h").agg(F.collect_set(F.struct("key", "start", "n")).alias("runs"))
     strings = texts.join(wanted, "h").select("h", "text", "runs").mapInArrow(_cut, "key long, bytes binary, h long, start int")

@@ -95,3 +95,12 @@ def test_equal_windows_have_equal_anchors():
         of.append(int(key[own][0]))
     assert len(set(of)) == 1
     assert n.sum() == sum(max(0, len(t) - 99) for t in texts)
+
+
+@pytest.mark.parametrize("hot", [S.HOT_BYTES, 400])
+def test_strings_with_equal_polynomial_hashes(spark, hot):
+    from test_sentencepiece import thue_morse
+
+    a, b = thue_morse(2048)
+    rows = [(1, a), (2, b), (3, a[:1500]), (4, "x" * 150)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string"), hot_bytes=hot) == brute(rows)
