@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 #: Columns that operators might use inside.
-CLASHING = ["node", "key", "h", "n", "size", "block", "label", "runs", "keep_id", "text_sha256", "score", "held_out", "component", "word"]
+CLASHING = ["node", "key", "h", "n", "size", "block", "label", "runs", "keep_id", "text_sha256", "score", "held_out", "component", "word", "_lang_id", "_kept_sha", "_kept_id", "_bad_id", "_bad_key", "_class_id", "_id", "_none", "_key", "row", "text_key", "routes"]
 
 
 @pytest.fixture(scope="session")

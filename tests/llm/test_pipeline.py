@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from lumenframe.llm import language_id
@@ -56,3 +57,15 @@ def test_stages_return_the_columns_of_documents(spark, odd_docs, no_docs, data):
     for _, stage in P.STAGES[:-1]:
         assert stage(spark, odd_docs, data).columns == odd_docs.columns
         assert stage(spark, no_docs, data).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_by_their_text(spark, data):
+    """Every stage but the last, on rows of one id: each text has its own fate, and its own columns."""
+    good = [f"some words of text number {k} that nothing else is like, {k * 7} times over" for k in range(6)]
+    bench = spark.read.parquet(f"{data}/benchmark.parquet").first().text
+    rows = [(1, t, f"v{k}") for k, t in enumerate(good)] + [(1, "12 34", "no letter"), (1, bench, "contaminated"), (1, good[0], "copy"), (None, good[1] + "!", "near copy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _class_id string").withColumns({"lang": F.lit("en"), "_kept_id": F.col("_class_id")})
+    for name, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, data)
+    kept = docs.collect()
+    assert sorted(r.text for r in kept) == sorted(good) and all(r._kept_id == r._class_id for r in kept)
