@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are written as
 Parquet and read back as the next stage's documents. A stage learns and counts on its own
-input. All but the last return the columns of documents. Rows are known by doc_id: rows
-without one, and rows that repeat one, are treated as the operators' docstrings say.
+input. All but the last return the columns of documents. A document is its id and its text:
+rows that share an id, or have none, are judged each by their own text; of rows that repeat
+both, the copy stages keep one. Extra columns come through untouched, whatever their names.
 """
 
 from __future__ import annotations
