@@ -40,8 +40,13 @@ def ceil_div(a: C, b) -> Column:
     return F.floor((col(a) + b - 1) / b).cast("long")
 
 
-def gcd(a: C, b: C, steps: int = 48) -> Column:
-    """Greatest common divisor of longs by Euclid's steps in a fold; 48 are enough below 2**32."""
+def whole_div(a: C, b: C) -> Column:
+    """Quotient of two longs, cut to an integer without passing through doubles."""
+    return F.call_function("div", col(a), col(b))
+
+
+def gcd(a: C, b: C, steps: int = 92) -> Column:
+    """Greatest common divisor of longs by Euclid's steps in a fold; no pair of longs takes more than 92."""
     pair = F.aggregate(
         F.sequence(F.lit(1), F.lit(steps)),
         F.struct(F.abs(col(a)).cast("long").alias("a"), F.abs(col(b)).cast("long").alias("b")),
@@ -51,15 +56,13 @@ def gcd(a: C, b: C, steps: int = 48) -> Column:
 
 
 def lcm(a: C, b: C) -> Column:
-    return F.when((col(a) == 0) | (col(b) == 0), F.lit(0)).otherwise((F.abs(col(a)) / gcd(a, b)).cast("long") * F.abs(col(b)))
+    """Least common multiple of longs, in integers; it has to fit into a long itself."""
+    return F.when((col(a) == 0) | (col(b) == 0), F.lit(0)).otherwise(whole_div(F.abs(col(a)), gcd(a, b)) * F.abs(col(b)))
 
 
 def linspace_index(i: C, n: C, k: C) -> Column:
-    """Place i of k evenly spaced picks from 0 to n - 1, cut to an integer; a single pick is 0.
-
-    Integer arithmetic throughout, so no float is cut just below its value.
-    """
-    return F.when(col(k) <= 1, F.lit(0).cast("long")).otherwise(F.floor(col(i) * (col(n) - 1) / (col(k) - 1) + F.lit(1e-12)).cast("long"))
+    """Place i of k evenly spaced picks from 0 to n - 1, cut to an integer; a single pick is 0. Integers throughout."""
+    return F.when(col(k) <= 1, F.lit(0).cast("long")).otherwise(whole_div(col(i) * (col(n) - 1), F.greatest(col(k) - 1, F.lit(1))))
 
 
 # ---- draws by key

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import C, ceil_div, col, lcm
+from ..functions.scalar import C, ceil_div, col, lcm, whole_div
 
 
 def running_offsets(df: DataFrame, by: list[str], order: list[str], size: str, name: str = "offset") -> DataFrame:
@@ -75,16 +75,18 @@ def gathered_views(df: DataFrame, by: list[str], view: str, columns: list[str])
     return both.select(*by, F.size("_v").alias("views"), *[F.col(f"_v.{c}").alias(c) for c in columns])
 
 
-def tile_starts(length: C, tile: int, overlap: int) -> Column:
-    """Starts of tiles of at most ``tile`` that cover the length and overlap by at least ``overlap``, spread evenly.
+def tile_starts(length: C, tile: int, overlap: int, unit: int = 1) -> Column:
+    """Starts of the fewest tiles that cover the length and overlap by at least ``overlap``.
 
-    The slack goes to the first tiles, one unit each in turn.
+    What the tiles cover beyond the length widens the overlaps, from the first on, one ``unit``
+    each in turn, so that all starts stay on multiples of it; less than a unit is left over and
+    reaches beyond the end. A length of at most one tile has one.
     """
-    n = F.greatest(F.lit(1), ceil_div(F.greatest(col(length) - overlap, F.lit(1)), tile - overlap))
-    room = F.greatest(col(length) - tile, F.lit(0))
-    step = F.when(n > 1, F.floor(room / (n - 1))).otherwise(F.lit(0))
-    rest = F.when(n > 1, room - step * (n - 1)).otherwise(F.lit(0))
-    return F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda i: (i * step + F.least(i, rest)).cast("long"))
+    n = F.when(col(length) <= tile, F.lit(1)).otherwise(ceil_div(col(length) - overlap, tile - overlap)).cast("long")
+    units = whole_div(F.greatest(tile * n - overlap * (n - 1) - col(length), F.lit(0)), F.lit(unit))
+    gaps = F.greatest(n - 1, F.lit(1))
+    share, rest = whole_div(units, gaps), units % gaps
+    return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: i * (tile - overlap) - unit * (i * share + F.least(i, rest)))
 
 
 def sub_ranges(df: DataFrame, keep: list[str], values: str) -> DataFrame:

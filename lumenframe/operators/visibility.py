@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import C, col
+from ..functions.scalar import C, col, whole_div
 
 #: Kinds of tokens.
 CONDITION, CLEAN, NOISY = 0, 1, 2
@@ -96,26 +96,63 @@ def ordered_tiles(tiles: DataFrame, doc: list[str]) -> DataFrame:
     return tiles.withColumn("place", (F.row_number().over(w) - 1).cast("long"))
 
 
-def kept_history(df: DataFrame, by: list[str], order: str, sink: int, window: int) -> DataFrame:
-    """The first ``sink`` rows of each group and the last ``window``."""
-    up = Window.partitionBy(*by).orderBy(order)
-    down = Window.partitionBy(*by).orderBy(F.col(order).desc())
-    return df.withColumns({"_u": F.row_number().over(up), "_d": F.row_number().over(down)}).where((F.col("_u") <= sink) | (F.col("_d") <= window)).drop("_u", "_d")
+def kept_history(df: DataFrame, by: list[str], chunk: str, sink: int, window: int, scope: str | None = None, sink_scope_zero: bool = False) -> DataFrame:
+    """Rows of the first ``sink`` chunks of each group and of the last ``window``, by chunk number: chunks stay or go whole.
 
-
-def kept_history_by_time(df: DataFrame, by: list[str], start: C, end: C, sink: float, window: float) -> DataFrame:
-    """Rows that start before ``sink`` or end within ``window`` of the group's last end."""
-    last = F.max(col(end)).over(Window.partitionBy(*by))
-    return df.withColumn("_last", last).where((col(start) < sink) | (col(end) > F.col("_last") - window)).drop("_last")
+    The window counts back from the newest chunk number, whether or not the numbers between
+    have rows. Without a window (0 or less) everything stays. With ``sink_scope_zero`` only
+    scope 0 has a sink. The newest numbers are aggregated and joined back.
+    """
+    if window <= 0:
+        return df
+    last = df.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(F.max(chunk).alias("_newest"))
+    same = F.lit(True)
+    for c in by:
+        same = F.col(c).eqNullSafe(F.col(f"_g_{c}")) & same
+    early = F.col(chunk) < sink
+    if sink_scope_zero:
+        early = early & (F.col(scope) == 0)
+    return df.join(last, same).where(early | (F.col(chunk) > F.col("_newest") - window)).select(*df.columns)
+
+
+def kept_history_by_time(df: DataFrame, by: list[str], chunk: str, scope: str, intervals: DataFrame, sink: float, window: float, sink_scope_zero: bool = False) -> DataFrame:
+    """Rows whose chunk starts before ``sink``, or ends within ``window`` of the end of the newest chunk.
+
+    ``intervals`` has (by, scope, chunk, start, end), chunks numbered from 0 in each scope. Time
+    runs in each scope on its own; the newest chunk is that of the whole group. Chunk numbers
+    outside a scope's list count as its nearest one. A row of a negative scope is shared: it
+    stays if any scope keeps it.
+    """
+    if window <= 0:
+        return df
+    newest = df.groupBy(*by).agg(F.max(chunk).alias("_newest"))
+    tops = intervals.groupBy(*by, "scope").agg(F.max("chunk").alias("_top"))
+    times = intervals.join(tops, [*by, "scope"]).join(newest, by)
+    ends = times.where(F.col("chunk") == F.greatest(F.lit(0), F.least("_newest", "_top"))).select(*by, "scope", F.col("end").alias("_end"))
+    spans = times.join(ends, [*by, "scope"]).select(*[F.col(c).alias(f"_g_{c}") for c in by], F.col("scope").alias("_scope"), F.col("chunk").alias("_chunk"), "_top", "start", "end", "_end")
+    early = F.col("start") < sink
+    if sink_scope_zero:
+        early = early & (F.col(scope) == 0)
+    hit = ((F.col(scope) == F.col("_scope")) | (F.col(scope) < 0)) & (F.col("_chunk") == F.greatest(F.lit(0), F.least(F.col(chunk), F.col("_top")))) & (early | (F.col("end") > F.col("_end") - window))
+    for c in by:
+        hit = (F.col(c) == F.col(f"_g_{c}")) & hit
+    return df.join(spans, hit, "left_semi")
 
 
 def byte_budget(df: DataFrame, by: list[str], order: str, count: str, unit_bytes: C, budget: int) -> DataFrame:
-    """Newest first, how many of each segment's tokens stay within the budget: ``kept``; the rest is ``moved``.
+    """Newest first, how many of each segment's tokens stay within the budget: ``kept`` of its last ones; the rest is ``moved``.
 
-    A segment that no longer fits is split at a token; later ones may use what is left only
-    if it holds a token of theirs. With tokens of one size the running sum decides alone.
+    A segment that no longer fits is split at a token. Only what is kept uses the budget up, so
+    an older segment of smaller tokens may still find room. What is left depends on every
+    segment before, so the segments of a group (one sequence's cache) are folded in order.
     """
-    w = Window.partitionBy(*by).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    used = F.coalesce(F.sum(F.col(count) * col(unit_bytes)).over(w), F.lit(0))
-    room = F.greatest(F.lit(0), F.floor((F.lit(budget) - used) / col(unit_bytes)))
-    return df.withColumn("kept", F.least(F.col(count), room).cast("long")).withColumn("moved", F.col(count) - F.col("kept"))
+    rows = df.withColumn("_b", col(unit_bytes).cast("long"))
+    segment = F.struct(order, F.col(count).cast("long").alias("_n"), "_b", F.struct(*df.columns).alias("_row"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<long>").alias("kept"))
+
+    def take(s: Column, x: Column) -> Column:
+        fits = F.least(x["_n"], whole_div(F.greatest(F.lit(budget) - s["used"], F.lit(0).cast("long")), x["_b"]))
+        return F.struct((s["used"] + fits * x["_b"]).alias("used"), F.concat(s["kept"], F.array(fits)).alias("kept"))
+
+    each = rows.groupBy(*by).agg(F.sort_array(F.collect_list(segment), asc=False).alias("_s")).select(F.explode(F.arrays_zip("_s", F.aggregate("_s", start, take, lambda s: s["kept"]).alias("_k"))).alias("_z"))
+    return each.select("_z._s._row.*", F.col("_z._k").alias("kept"), (F.col("_z._s._n") - F.col("_z._k")).alias("moved"))

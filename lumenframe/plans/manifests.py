@@ -94,12 +94,12 @@ def late_materialize(spark, sf_dir):
     return J.late_columns(light, f"{sf_dir}/documents.parquet", "doc_id", ["text"]).select("doc_id", "n_chars", F.md5("text").alias("digest"))
 
 
-@query("SELECT doc_id, CAST(file_row_number AS BIGINT) AS row_id FROM (SELECT doc_id, row_number() OVER () - 1 AS file_row_number FROM documents) WHERE doc_id % 2 = 0")
+@query("SELECT doc_id, CAST(file_row_number AS BIGINT) AS row_id FROM (SELECT doc_id, row_number() OVER () - 1 AS file_row_number FROM documents)")
 def physical_rows(spark, sf_dir):
-    """Physical row numbers, tagged before the filter (the test tables are one file each)."""
+    """Physical row numbers of a scan (the test tables are one file each)."""
     from ..sources.manifests import with_row_ids
 
-    return with_row_ids(table(spark, sf_dir, "documents")).where("doc_id % 2 = 0").select("doc_id", "row_id")
+    return with_row_ids(table(spark, sf_dir, "documents")).select("doc_id", "row_id")
 
 
 @query(f"SELECT doc_id, d.source, coalesce(p.fps, 16.0)::DOUBLE AS fps, coalesce(p.kind, 'default') AS kind FROM documents d LEFT JOIN {_PRESET_SQL} ON d.source = p.source")
@@ -174,10 +174,10 @@ def seeded_shuffle(spark, sf_dir):
     return S.shuffled(table(spark, sf_dir, "embeddings").select("vec_id", "label"), ["label"], "vec_id", "epoch 1")
 
 
-@query(f"SELECT i AS draw, i // 32 AS block, i % 32 AS pos, CAST(floor({unit_sql('seed 734', 'i')} * 71) AS BIGINT) AS row FROM range(2000) t(i)")
+@query(f"SELECT i AS draw, i // 32 AS block, i % 32 AS pos, CAST(floor({unit_sql('seed 734', 'i')} * (SELECT count(*) FROM supplier)) AS BIGINT) AS row FROM range((SELECT count(*) FROM orders)) t(i)")
 def replacement_draws(spark, sf_dir):
-    """Sampling with replacement, with the cursor of its blocks."""
-    return S.replacement_sample(spark, 71, 2000, "seed 734")
+    """Suppliers drawn with replacement, as many as there are orders, with the cursor of the blocks of draws."""
+    return S.replacement_sample(spark, table(spark, sf_dir, "supplier").count(), table(spark, sf_dir, "orders").count(), "seed 734")
 
 
 @query(

@@ -187,10 +187,10 @@ def first_match(spark, sf_dir):
     return J.enclosing_block(c, ["conv_id"], "caption", "turn", "block")
 
 
-@query("SELECT l_orderkey, l_partkey, i AS camera, p_name FROM (SELECT l_orderkey, l_partkey, CASE WHEN l_partkey % 3 = 0 THEN -1 ELSE l_partkey END AS i FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 5) LEFT JOIN part ON i = p_partkey AND i >= 0")
+@query("SELECT l_orderkey, l_partkey, i AS camera, p_name FROM (SELECT l_orderkey, l_partkey, CASE WHEN l_partkey % 3 = 0 THEN -1 ELSE l_partkey END AS i FROM lineitem) LEFT JOIN part ON i = p_partkey AND i >= 0")
 def index_join(spark, sf_dir):
     """Rows by number, where -1 is none."""
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_quantity < 5").select(F.lit(0).alias("g"), "l_orderkey", "l_partkey", F.when(F.col("l_partkey") % 3 == 0, F.lit(-1)).otherwise(F.col("l_partkey")).alias("camera"))
+    li = table(spark, sf_dir, "lineitem").select(F.lit(0).alias("g"), "l_orderkey", "l_partkey", F.when(F.col("l_partkey") % 3 == 0, F.lit(-1)).otherwise(F.col("l_partkey")).alias("camera"))
     p = table(spark, sf_dir, "part").select(F.lit(0).alias("g"), F.col("p_partkey").alias("camera"), "p_name")
     return J.indexed(li, p, ["g"], "camera", ["p_name"]).select("l_orderkey", "l_partkey", "camera", "p_name")
 
@@ -241,13 +241,15 @@ def distinct_levels(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT p_partkey, CAST(p_size * 20 AS BIGINT) AS len FROM part), n AS (SELECT *, greatest(1, (greatest(len - 16, 1) + 47) // 48) AS k, greatest(len - 64, 0) AS room FROM p),
-       s AS (SELECT *, CASE WHEN k > 1 THEN room // (k - 1) ELSE 0 END AS step FROM n)
-       SELECT p_partkey, i, i * step + least(i, CASE WHEN k > 1 THEN room - step * (k - 1) ELSE 0 END) AS start FROM (SELECT *, unnest(range(0, k)) AS i FROM s)"""
+    """WITH p AS (SELECT p_partkey, CAST(p_size * 20 AS BIGINT) AS len FROM part),
+       n AS (SELECT *, CASE WHEN len <= 64 THEN 1 ELSE CAST(ceil((len - 16) / 48.0) AS BIGINT) END AS k FROM p),
+       u AS (SELECT *, greatest(64 * k - 16 * (k - 1) - len, 0) // 4 AS units FROM n),
+       o AS (SELECT *, list_transform(range(k - 1), lambda x: 16 + 4 * (units // greatest(k - 1, 1) + CASE WHEN x < units % greatest(k - 1, 1) THEN 1 ELSE 0 END)) AS laps FROM u)
+       SELECT p_partkey, i, CAST(64 * i - coalesce(list_sum(laps[1:i]), 0) AS BIGINT) AS start FROM (SELECT *, unnest(range(0, k)) AS i FROM o)"""
 )
 def tile_layout(spark, sf_dir):
-    """Overlapping tiles that cover a length, the slack dealt in turn."""
-    p = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(K.tile_starts(F.col("p_size") * 20, 64, 16)).alias("i", "start"))
+    """Overlapping tiles that cover a length, their overlaps widened in turn by aligned units."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(K.tile_starts(F.col("p_size").cast("long") * 20, 64, 16, 4)).alias("i", "start"))
     return p.select("p_partkey", F.col("i").cast("long").alias("i"), "start")
 
 
@@ -304,24 +306,43 @@ def tile_counts(spark, sf_dir):
     return V.ordered_tiles(V.tile_counts(_tokens(spark, sf_dir), ["conv_id"], "pos", 2), ["conv_id"])
 
 
-@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS u, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS d FROM events) WHERE u <= 3 OR d <= 10")
+@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, turn // 2 AS chunk, max(turn // 2) OVER (PARTITION BY conv_id) AS newest FROM conversations) WHERE (chunk < 1 AND turn % 2 = 0) OR chunk > newest - 2")
 def history_window(spark, sf_dir):
-    """The first three and last ten events of each user."""
-    return V.kept_history(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), ["user_id"], "ts", 3, 10).select("user_id", "event_id")
+    """The first chunk (of view 0) and the last two of each conversation, two views a chunk."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.floor(F.col("turn") / 2).cast("long").alias("chunk"), (F.col("turn") % 2).alias("scope"))
+    return V.kept_history(t, ["conv_id"], "chunk", 1, 2, "scope", sink_scope_zero=True).select("conv_id", "turn")
 
 
-@query("SELECT source, doc_id FROM (SELECT *, max(doc_id + n_chars // 100) OVER (PARTITION BY source) AS m FROM documents) WHERE doc_id < 40 OR doc_id + n_chars // 100 > m - 120")
+@query(
+    """WITH t AS (SELECT conv_id, turn, turn // 2 AS chunk, CASE WHEN turn % 3 = 0 THEN -1 ELSE turn % 3 - 1 END AS scope FROM conversations),
+       m AS (SELECT conv_id, max(chunk) AS newest FROM t GROUP BY conv_id),
+       s AS (SELECT conv_id, newest, sc, CASE sc WHEN 0 THEN newest ELSE greatest(newest - 1, 0) END AS top FROM m, (VALUES (0), (1)) v(sc))
+       SELECT conv_id, turn FROM t WHERE EXISTS (SELECT 1 FROM s WHERE s.conv_id = t.conv_id AND (t.scope < 0 OR t.scope = s.sc)
+           AND (10 * least(t.chunk, top) + 3 * sc < 8 OR 10 * least(t.chunk, top) + 10 + 3 * sc > 10 * least(newest, top) + 10 + 3 * sc - 15))"""
+)
 def history_by_time(spark, sf_dir):
-    """Rows of the sink and of the last stretch of time."""
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.floor(F.col("n_chars") / 100).alias("w"))
-    return V.kept_history_by_time(d, ["source"], "doc_id", F.col("doc_id") + F.col("w"), 40, 120).select("source", "doc_id")
+    """Rows whose chunk starts early or ends late, by each view's own time; shared rows by any view's."""
+    t = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.floor(F.col("turn") / 2).cast("long").alias("chunk"), F.when(F.col("turn") % 3 == 0, F.lit(-1)).otherwise(F.col("turn") % 3 - 1).cast("long").alias("scope")
+    )
+    # view 1 has a chunk less, and starts a little later
+    views = t.groupBy("conv_id").agg(F.max("chunk").alias("top")).withColumn("scope", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+    i = views.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("top") - F.col("scope"), F.lit(0).cast("long")))))
+    i = i.select("conv_id", "scope", "chunk", (10 * F.col("chunk") + 3 * F.col("scope")).alias("start"), (10 * F.col("chunk") + 10 + 3 * F.col("scope")).alias("end"))
+    return V.kept_history_by_time(t, ["conv_id"], "chunk", "scope", i, 8, 15).select("conv_id", "turn")
 
 
-@query("SELECT source, doc_id, least(n_chars, greatest(0, (100000 - used) // 2)) AS kept, n_chars - least(n_chars, greatest(0, (100000 - used) // 2)) AS moved FROM (SELECT source, doc_id, n_chars, CAST(coalesce(sum(2 * n_chars) OVER (PARTITION BY source ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS used FROM documents)")
+@query(
+    """WITH RECURSIVE s AS (SELECT conv_id, turn, length(text) % 50 + 1 AS n, [2, 8, 4][turn % 3 + 1] AS b, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations),
+       f AS (SELECT conv_id, turn, r, n, least(n, 200 // b) AS kept, least(n, 200 // b) * b AS used FROM s WHERE r = 1
+             UNION ALL SELECT s.conv_id, s.turn, s.r, s.n, least(s.n, (200 - used) // s.b), used + least(s.n, (200 - used) // s.b) * s.b FROM f JOIN s ON s.conv_id = f.conv_id AND s.r = f.r + 1)
+       SELECT conv_id, turn, CAST(kept AS BIGINT) AS kept, CAST(n - kept AS BIGINT) AS moved FROM f"""
+)
 def byte_budget(spark, sf_dir):
-    """Newest first, what fits in a budget of bytes."""
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    return V.byte_budget(d, ["source"], "doc_id", "n_chars", F.lit(2), 100_000).select("source", "doc_id", "kept", "moved")
+    """Newest first, what fits in a budget of bytes, with tokens of different sizes."""
+    size = F.element_at(F.array(F.lit(2), F.lit(8), F.lit(4)), (F.col("turn") % 3 + 1).cast("int"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.length("text") % 50 + 1).alias("n"), size.alias("b"))
+    return V.byte_budget(c, ["conv_id"], "turn", "n", "b", 200).select("conv_id", "turn", "kept", "moved")
 
 
 # ---- statistics
@@ -414,10 +435,10 @@ def wrap_unfold(spark, sf_dir):
     return A.unfolded(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "v", 100).select("o_custkey", "o_orderkey", "unfolded")
 
 
-@query("SELECT l_orderkey, round(l_extendedprice / max(abs(l_extendedprice)) OVER (PARTITION BY l_orderkey), 9) AS scaled, least(1.0::DOUBLE, (l_linenumber + 1) / 5.0::DOUBLE) AS rate FROM lineitem WHERE l_quantity < 10")
+@query("SELECT l_orderkey, round(l_extendedprice / max(abs(l_extendedprice)) OVER (PARTITION BY l_orderkey), 9) AS scaled, least(1.0::DOUBLE, (l_linenumber + 1) / 5.0::DOUBLE) AS rate FROM lineitem")
 def scale_to_one(spark, sf_dir):
     """Values scaled to their group's greatest, and a warm-up ramp."""
-    li = table(spark, sf_dir, "lineitem").where("l_quantity < 10").select("l_orderkey", "l_extendedprice", "l_linenumber")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_linenumber")
     return A.scaled_to_one(li, ["l_orderkey"], "l_extendedprice").select("l_orderkey", F.round("scaled", 9).alias("scaled"), A.warm_up("l_linenumber", 5).alias("rate"))
 
 
@@ -480,24 +501,46 @@ def segments(spark, sf_dir):
     return D.segments(d, ["doc_id"], "n_chars", F.lit(100), 3).select("doc_id", "segment", "start", "stop")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE d AS (SELECT doc_id, [n_chars % 60 + 4, n_chars % 23 + 4] AS ends, greatest(n_chars % 60 + 4, n_chars % 23 + 4) AS total FROM documents),
+        ok(doc_id, total, ends, p) AS (SELECT doc_id, total, ends, total FROM d UNION
+            SELECT doc_id, total, ends, q FROM (SELECT doc_id, total, ends, p - s AS q FROM ok, (SELECT unnest(range(2, 10)) AS s)) WHERE q = 0 OR (q > 0 AND len(list_filter(ends, lambda e: q < e AND q >= least(e - 2, e - 1))) = 0)),
+        good AS (SELECT doc_id, total, list(p) AS good FROM ok GROUP BY doc_id, total),
+        walk AS (SELECT doc_id, total, good, CAST(0 AS BIGINT) AS place, 0 AS i, CAST([] AS BIGINT[]) AS sizes FROM good UNION ALL
+            SELECT doc_id, total, good, place + s, i + 1, list_append(sizes, s) FROM (SELECT *, options[CAST(floor(u * len(options)) AS BIGINT) + 1] AS s
+                FROM (SELECT *, list_filter(range(2, 10), lambda x: list_contains(good, place + x)) AS options, {unit_sql("plan", "doc_id", "i")} AS u FROM walk WHERE place < total)))
+        SELECT doc_id, sizes, CAST(total AS INTEGER) AS latents FROM walk WHERE place = total"""
+)
 def partition_plan(spark, sf_dir):
-    """Joint block sizes of documents, drawn so that every view's end falls well (held to its rules in tests)."""
+    """Joint block sizes of documents, drawn so that every view's end falls well."""
     d = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 60 + 4).alias("a"), (F.col("n_chars") % 23 + 4).alias("b"))
     tail = lambda n: F.struct(F.col(n).alias("latents"), (F.col(n) - 2).alias("requested"))
     return D.plan_blocks(d.select("doc_id", F.array(tail("a"), tail("b")).alias("tails")), ["doc_id"], "tails", 2, 9).select("doc_id", "sizes", F.size(D.block_ids("sizes")).alias("latents"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE g AS (SELECT doc_id, CAST(n_chars % 40 + 1 AS BIGINT) AS n, CAST(n_chars % 40 + 1 AS BIGINT) AS rest, 0 AS i, CAST([] AS BIGINT[]) AS sizes FROM documents UNION ALL
+            SELECT doc_id, n, rest - s, i + 1, list_append(sizes, s) FROM (SELECT *, least(2, rest) + CAST(floor({unit_sql("groups", "doc_id", "i")} * (least(4, rest) - least(2, rest) + 1)) AS BIGINT) AS s FROM g WHERE rest > 0))
+        SELECT doc_id, n, sizes FROM g WHERE rest = 0"""
+)
 def group_plan(spark, sf_dir):
-    """Drawn groups of source blocks with a shorter rest (held to its rules in tests)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 40 + 1).alias("n"))
+    """Drawn groups of source blocks with a shorter rest."""
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 40 + 1).cast("long").alias("n"))
     return D.plan_groups(d, ["doc_id"], "n", 2, 4)
 
 
-@query()
+_PUSH = "sqrt(-2 * ln(1 - {u})) * cos(2 * pi() * {v}) * (2.0 / 6)"
+
+
+@query(
+    f"""WITH RECURSIVE w AS (SELECT p_partkey, CAST(p_size AS BIGINT) AS n, CAST(0 AS BIGINT) AS step, CAST(floor({unit_sql("walk/view", "p_partkey")} * 12) AS BIGINT) AS view, CAST(0 AS BIGINT) AS frame, 0.0::DOUBLE AS v, 0.0::DOUBLE AS f FROM part UNION ALL
+            SELECT p_partkey, n, step + 1, ((view + CAST(round_even(nv, 0) AS BIGINT)) % 12 + 12) % 12, (frame + CAST(round_even(least(greatest(nf, 1.0), 1.0), 0) AS BIGINT)) % n, nv, nf
+            FROM (SELECT *, least(greatest((v + {_PUSH.format(u=unit_sql("walk/u", "p_partkey", "step // 20"), v=unit_sql("walk/v", "p_partkey", "step // 20"))}) * 0.8, -3.0), 3.0) AS nv,
+                            least(greatest((f + {_PUSH.format(u=unit_sql("walk/frames/u", "p_partkey", "step // 20"), v=unit_sql("walk/frames/v", "p_partkey", "step // 20"))}) * 0.8, -3.0), 3.0) AS nf FROM w WHERE step + 1 < n))
+        SELECT p_partkey, step, view, frame FROM w"""
+)
 def momentum_walk(spark, sf_dir):
-    """Smooth walks over a ring of views (held to its rules in tests)."""
+    """Smooth walks over a ring of views, a frame a step."""
     p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("n"))
     return D.momentum_walk(p, ["p_partkey"], "n", 12, "n").select("p_partkey", "step", "view", "frame")
 

@@ -1,5 +1,8 @@
 """Truth tables and properties of the operators."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +112,10 @@ def test_complete_paths(spark):
 def test_half_even_and_wrap(spark):
     df = spark.createDataFrame([(0.5, -1), (1.5, 7), (2.5, 0), (-0.5, -8)], "x double, i long")
     assert values(df, X.half_even("x"), X.wrap("i", 7)) == [(0, 6), (2, 0), (2, 0), (0, 6)]
+    big = spark.createDataFrame([(7540113804746346429, 4660046610375530309), (9007199254740993, 3), (2**62, 2**40), (0, 5)], "a long, b long")
+    assert [r[0] for r in values(big, X.gcd("a", "b"))] == [math.gcd(7540113804746346429, 4660046610375530309), 3 if 9007199254740993 % 3 == 0 else 1, 2**40, 5]
+    assert [r[0] for r in values(big.where("b = 3"), X.lcm("a", "b"))][0] == math.lcm(9007199254740993, 3)
+    assert values(big.limit(1), X.linspace_index(F.lit(2**53 + 1), F.lit(3).cast("long"), F.lit(3).cast("long"))) == [(2**53 + 1,)]
     assert values(df.limit(1), X.lcm(F.lit(12), F.lit(8)), X.lcm(F.lit(0), F.lit(8))) == [(24, 0)]
 
 
@@ -142,9 +149,53 @@ def test_shards_are_a_partition(spark):
 
 
 def test_byte_budget_splits_at_a_token(spark):
-    df = spark.createDataFrame([("s", 1, 10), ("s", 2, 10), ("s", 3, 4)], "s string, o long, n long")
-    got = {r.o: (r.kept, r.moved) for r in visibility.byte_budget(df, ["s"], "o", "n", F.lit(4), 30).collect()}
-    assert got == {3: (4, 0), 2: (3, 7), 1: (0, 10)}
+    df = spark.createDataFrame([("s", 1, 10, 4), ("s", 2, 10, 4), ("s", 3, 4, 4), ("t", 1, 5, 1), ("t", 2, 4, 4), ("t", 3, 0, 4)], "s string, o long, n long, b long")
+    got = {(r.s, r.o): (r.kept, r.moved) for r in visibility.byte_budget(df.where("s = 's'"), ["s"], "o", "n", "b", 30).collect()}
+    assert got == {("s", 3): (4, 0), ("s", 2): (3, 7), ("s", 1): (0, 10)}
+    # what a segment asks for in vain is not used up: smaller tokens of an older one still fit
+    got = {r.o: (r.kept, r.moved) for r in visibility.byte_budget(df.where("s = 't'"), ["s"], "o", "n", "b", 10).collect()}
+    assert got == {3: (0, 0), 2: (2, 2), 1: (2, 3)}
+
+
+def test_history_keeps_whole_chunks(spark):
+    df = spark.createDataFrame([("a", c, v) for c in range(4) for v in range(3)] + [("b", 0, -1), ("b", 7, 0)], "d string, chunk long, scope long")
+    kept = lambda **how: sorted(values(visibility.kept_history(df, ["d"], "chunk", 1, 1, **how), "d", "chunk", "scope"))
+    assert kept() == [("a", 0, 0), ("a", 0, 1), ("a", 0, 2), ("a", 3, 0), ("a", 3, 1), ("a", 3, 2), ("b", 0, -1), ("b", 7, 0)]
+    assert kept(scope="scope", sink_scope_zero=True) == [("a", 0, 0), ("a", 3, 0), ("a", 3, 1), ("a", 3, 2), ("b", 7, 0)]
+    assert visibility.kept_history(df, ["d"], "chunk", 1, 0).count() == df.count()
+
+
+def test_history_by_the_time_of_each_view(spark):
+    df = spark.createDataFrame([("a", c, s) for c in range(5) for s in (-1, 0, 1)], "d string, chunk long, scope long")
+    times = {0: [(0, 5), (5, 10), (10, 30), (30, 32), (32, 40)], 1: [(0, 50), (50, 60)]}
+    i = spark.createDataFrame([("a", s, c, float(x), float(y)) for s, own in times.items() for c, (x, y) in enumerate(own)], "d string, scope long, chunk long, start double, end double")
+    want = set()
+    for c in range(5):
+        for s in (-1, 0, 1):
+            for view, own in times.items():
+                x, y = own[min(c, len(own) - 1)]
+                if s in (-1, view) and (x < 5 or y > own[min(4, len(own) - 1)][1] - 9):
+                    want.add(("a", c, s))
+    assert set(values(visibility.kept_history_by_time(df, ["d"], "chunk", "scope", i, 5, 9), "d", "chunk", "scope")) == want and len(want) < 15
+
+
+def test_tiles_widen_the_first_overlaps(spark):
+    def starts(length, tile, overlap, unit):
+        if tile >= length:
+            return [0]
+        n = 2
+        while tile * n - overlap * (n - 1) < length:
+            n += 1
+        spare, gaps = tile * n - overlap * (n - 1) - length, [overlap] * (n - 1)
+        for k in range(spare // unit):
+            gaps[k % (n - 1)] += unit
+        return [tile * k - sum(gaps[:k]) for k in range(n)]
+
+    df = spark.range(1, 400).withColumnRenamed("id", "n")
+    for unit in (1, 8):
+        got = dict(values(df.select("n", packing.tile_starts("n", 64, 16, unit).alias("t")), "n", "t"))
+        assert got == {n: starts(n, 64, 16, unit) for n in range(1, 400)}
+    assert starts(180, 64, 16, 1) == [0, 38, 77, 116]
 
 
 def test_row_padding_repeats_or_is_null(spark):
@@ -153,29 +204,58 @@ def test_row_padding_repeats_or_is_null(spark):
     assert sorted(values(packing.padded_rows(df, ["g"], "i", 2, repeat_last=False).where("pad"), "g", "i", "v")) == [("b", 1, None)]
 
 
-@pytest.mark.parametrize("seed", range(16))
-@pytest.mark.parametrize("count", [1, 2, 3, 5, 8, 13, 21, 34, 55])
-def test_group_sizes(seed, count):
-    sizes = partitioning.group_sizes(count, 2, 4, partitioning.Draws(seed, count))
-    assert sum(sizes) == count and all(2 <= s <= 4 for s in sizes[:-1]) and 1 <= sizes[-1] <= 4
-
-
-@pytest.mark.parametrize("seed", range(20))
-def test_feasible_sizes_fit_every_view(seed):
-    d = partitioning.Draws("t", seed)
-    tails = [(int(10 + d.unit() * 40), 0) for _ in range(3)]
-    tails = [(n, n - 2) for n, _ in tails]
-    sizes = partitioning.feasible_sizes(tails, 2, 12, partitioning.Draws(seed))
-    ends = [sum(sizes[: i + 1]) for i in range(len(sizes))]
-    assert ends[-1] == max(n for n, _ in tails) and max(sizes) <= 12
-    for n, requested in tails:
-        inside = [e for e in ends if e < n]
-        assert not inside or inside[-1] < requested  # the last block of a view has a requested latent
-
-
-def test_infeasible_plan_is_refused():
-    with pytest.raises(ValueError):
-        partitioning.feasible_sizes([(10, 5)], 3, 3, partitioning.Draws(0))
+def test_group_sizes(spark):
+    df = spark.createDataFrame([(seed, count) for seed in range(16) for count in (0, 1, 2, 3, 5, 8, 13, 21, 34, 55)], "k long, n long")
+    drawn = set()
+    for r in partitioning.plan_groups(df, ["k", "n"], "n", 2, 4).collect():
+        assert sum(r.sizes) == r.n and all(2 <= x <= 4 for x in r.sizes[:-1]) and all(1 <= x <= 4 for x in r.sizes[-1:])
+        drawn.add(tuple(r.sizes))
+    assert len(drawn) > 60
+
+
+def plans(total, tails, least, most, at=0):
+    """All sound plans, by trying every size: each block holds enough of every view that it meets, and no view's support is cut off."""
+    if at == total:
+        return [[]]
+    out = []
+    for b in range(at + min(least, total), min(at + most, total) + 1):
+        if all(a_end <= at or (min(b, a_end) - at >= min(least, a_end) and not requested <= b < a_end) for a_end, requested in tails):
+            out += [[b - at, *rest] for rest in plans(total, tails, least, most, b)]
+    return out
+
+
+def test_planned_blocks_are_the_sound_ones(spark):
+    r = random.Random(4)
+    rows = []
+    for k in range(60):
+        tails = [(n, n - r.randint(0, 3)) for n in (r.randint(1, 14) for _ in range(r.randint(1, 3)))]
+        if plans(max(n for n, _ in tails), tails, 2, 5):
+            rows.append((k, tails))
+    assert len(rows) > 30
+    df = spark.createDataFrame([(k, s, tails) for k, tails in rows for s in range(12)], "k long, s long, tails array<struct<latents: int, requested: int>>")
+    found = {}
+    for x in partitioning.plan_blocks(df, ["k", "s"], "tails", 2, 5).collect():
+        found.setdefault(x.k, set()).add(tuple(x.sizes))
+    for k, tails in rows:
+        sound = set(map(tuple, plans(max(n for n, _ in tails), tails, 2, 5)))
+        assert found[k] <= sound and (len(sound) == 1 or len(found[k]) > 1)
+
+
+def test_infeasible_plan_is_refused(spark):
+    df = spark.createDataFrame([(1, [(10, 5)])], "k long, tails array<struct<latents: int, requested: int>>")
+    with pytest.raises(Exception, match="no blocks cover a document of latents 10"):
+        partitioning.plan_blocks(df, ["k"], "tails", 3, 3).collect()
+
+
+def test_walks_of_frames(spark):
+    df = spark.createDataFrame([(k, 60) for k in range(8)], "k long, n long")
+    back = partitioning.momentum_walk(df, ["k"], "n", 5, "n", frame_speed=(-2.0, -1.0)).collect()
+    both = partitioning.momentum_walk(df, ["k"], "n", 5, "n", frame_speed=(-2.0, 2.0), frame_push=(-6.0, 6.0)).collect()
+    walks = lambda rows: {k: [x.frame for x in sorted(rows, key=lambda x: x.step) if x.k == k] for k in range(8)}
+    for frames in walks(back).values():
+        assert frames[0] == 59 and all((a - b) % 60 in (1, 2) for a, b in zip(frames, frames[1:]))
+    assert len({f[0] for f in walks(both).values()}) > 1
+    assert {(b - a + 30) % 60 - 30 for f in walks(both).values() for a, b in zip(f, f[1:])} >= {-2, 0, 2}
 
 
 def test_walk_moves_smoothly(spark):
