@@ -140,7 +140,7 @@ def window_length(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", P.effective_length(c % 120, end, k % 250, k % 250 + c % 4 - 1).alias("length"))
 
 
-@query("SELECT doc_id, clip, clip * 77 AS start, least((clip + 1) * 77, n_chars) AS stop FROM (SELECT doc_id, n_chars, unnest(range(0, least(greatest((n_chars + 76) // 77, 1), 1000))) AS clip FROM documents)")
+@query("SELECT doc_id, clip, clip * 77 AS start, least((clip + 1) * 77, n_chars) AS stop FROM (SELECT doc_id, n_chars, unnest(range(0, greatest((n_chars + 76) // 77, 1))) AS clip FROM documents)")
 def short_clips(spark, sf_dir):
     """Documents cut into windows of 77 units."""
     return P.short_clips(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars").drop("n_chars")

@@ -30,7 +30,7 @@ def temporal_layout(spark, sf_dir):
     return out.select("p_partkey", "latent", "camera_frame", "start", "valid", F.round(T.rotary_clock("latent", F.lit(24.0)), 9).alias("clock"))
 
 
-_LATENTS = "SELECT o_orderkey, o_custkey % 150 + 1 AS frames, unnest(range(0, 5 * greatest(0, CAST(ceil((o_custkey % 150 - 4) / 17.0) AS BIGINT)) + 2)) AS latent FROM orders WHERE o_custkey % 150 > 0 AND o_orderkey % 4 = 0"
+_LATENTS = "SELECT o_orderkey, o_custkey % 150 + 1 AS frames, unnest(range(0, CASE WHEN o_custkey % 150 = 0 THEN 1 ELSE 5 * greatest(0, CAST(ceil((o_custkey % 150 - 4) / 17.0) AS BIGINT)) + 2 END)) AS latent FROM orders"
 
 
 @query(
@@ -462,7 +462,7 @@ def fingerprints(spark, sf_dir):
     return A.fingerprint(table(spark, sf_dir, "part"), ["p_brand"], ["p_partkey", "p_name"])
 
 
-@query("SELECT p_size % 5 AS rate, list(p_partkey ORDER BY p_partkey) AS members, count(*) AS n FROM part WHERE p_partkey < 200 GROUP BY 1")
+@query("SELECT p_size % 5 AS rate, list(p_partkey ORDER BY p_partkey) AS members, count(*) AS n FROM part GROUP BY p_size % 5, p_partkey // 10000")
 def rate_groups(spark, sf_dir):
     """Members by rate."""
     p = table(spark, sf_dir, "part").select((F.col("p_size") % 5).alias("rate"), "p_partkey")

@@ -1,4 +1,4 @@
-"""Queries whose SQL covers a part of the table are held to the whole one."""
+"""Queries over whole tables, held to brute force besides their SQL."""
 
 import __spark_entry__ as entry
 
@@ -25,14 +25,6 @@ def test_block_intervals_of_every_order(spark, tmp_path):
     assert [r for r in got if r[0] == 150] == [(150, 0, 0, 0, 1)]
 
 
-def test_block_intervals_equal_the_sql_on_its_orders(spark, data):
-    from duck import same
-    from lumenframe.plans.registry import ORACLES, table
-
-    own = table(spark, data, "orders").where("o_custkey % 150 > 0 and o_orderkey % 4 = 0").select("o_orderkey")
-    same(entry.queries()["block_intervals"](spark, data).join(own, "o_orderkey", "left_semi"), ORACLES["block_intervals"], data)
-
-
 def test_rate_groups_and_walks_of_every_part(spark, tmp_path):
     parts = [(i, i % 7 + 1) for i in range(12_000)]
     d = written(spark, tmp_path, "part", parts, "p_partkey long, p_size int")
