@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import C, col
 
-#: Rows up to which a dimension side is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 100_000
+#: Bytes up to which a dimension side is broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """The frame with a broadcast hint if it has at most ``most`` rows, counted; else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The frame with a broadcast hint if Spark's own estimate of its size is at most ``most`` bytes; else as it is.
+
+    Nothing runs. A frame of unknown size gets no hint: adaptive execution measures it when it is there.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= most else df
 
 
 def with_presets(df: DataFrame, key: str, presets: DataFrame, preset_key: str, defaults: dict[str, object]) -> DataFrame:
@@ -73,22 +80,42 @@ def bucket_of(df: DataFrame, by: list[str], position: str, runs: DataFrame, orde
     return found.where(F.col(position) < F.col("run_start") + F.col(length))
 
 
-def largest_distance(df: DataFrame, by: list[str], key: str, vector: str, blocks: int = 8) -> DataFrame:
+#: Vectors of a block, of which two are compared at a time.
+BLOCK_VECTORS = 1024
+
+
+def largest_distance(df: DataFrame, by: list[str], key: str, vector: str, block_vectors: int = BLOCK_VECTORS) -> DataFrame:
     """Largest distance between two vectors of each group, 0 for a single one.
 
-    Each group is cut into ``blocks`` by key; every pair of blocks is one row of vectors
-    compared inside an expression, so a large group is spread over blocks * (blocks + 1) / 2
-    rows and no row stands for a pair.
+    A counted group is cut into blocks of about ``block_vectors`` vectors by its keys' hash;
+    every pair of blocks is a group of rows of bounded size, in which a task compares all
+    vectors by matrix products. A large group is spread over many tasks, and no row stands for
+    a pair. Null vectors do not count; vectors of a group have one length.
     """
-    cut = df.select(*by, F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_b"), F.col(vector).alias("_v")).groupBy(*by, "_b").agg(F.collect_list("_v").alias("_vs"))
-    a = cut.select(*by, F.col("_b").alias("_b1"), F.col("_vs").alias("_v1"))
-    b = cut.select(*[F.col(c).alias(f"_r_{c}") for c in by], F.col("_b").alias("_b2"), F.col("_vs").alias("_v2"))
-    same = F.col("_b1") <= F.col("_b2")
+    rows = df.where(F.col(vector).isNotNull()).select(*by, F.xxhash64(key).alias("_h"), F.transform(vector, lambda x: x.cast("double")).alias("_v"))
+    shape = rows.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(F.ceil(F.count("*") / block_vectors).cast("int").alias("_blocks"))
+    same = F.lit(True)
     for c in by:
-        same = F.col(c).eqNullSafe(F.col(f"_r_{c}")) & same
-    distance = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double"))), F.lit(0.0), lambda s, d: s + d)
-    most = F.array_max(F.transform("_v1", lambda x: F.array_max(F.transform("_v2", lambda y: distance(x, y)))))
-    return a.join(b, same).groupBy(*by).agg(F.sqrt(F.max(most)).alias("span"))
+        same = F.col(c).eqNullSafe(F.col(f"_g_{c}")) & same
+    rows = rows.join(shape, same).withColumn("_b", F.pmod("_h", "_blocks").cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    pairs = rows.select(*by, F.least("_b", "_o").alias("_x"), F.greatest("_b", "_o").alias("_y"), (F.col("_b") > F.col("_o")).alias("_right"), "_v")
+
+    def most(keys: tuple, table: pa.Table) -> pa.Table:
+        v = table.column("_v").combine_chunks()
+        m = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+        right = table.column("_right").to_numpy()
+        a, b = (m[~right], m[right]) if keys[-2].as_py() != keys[-1].as_py() else (m, m)
+        best = 0.0
+        for i in range(0, len(a) if len(b) else 0, 256):
+            x = a[i : i + 256]
+            square = (x * x).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * x @ b.T
+            # the product cancels digits: the farthest are measured directly
+            p, q = np.nonzero(square >= square.max() * (1 - 1e-9) - 1e-9)
+            best = max(best, float(((x[p] - b[q]) ** 2).sum(axis=1).max()))
+        return pa.table([pa.array([k.as_py()], k.type) for k in keys[: len(by)]] + [pa.array([best], pa.float64())], names=[*by, "_s"])
+
+    out = T.StructType([*[df.schema[c] for c in by], T.StructField("_s", T.DoubleType())])
+    return pairs.groupBy(*by, "_x", "_y").applyInArrow(most, out).groupBy(*by).agg(F.sqrt(F.max("_s")).alias("span"))
 
 
 def key_diff(planned: DataFrame, actual: DataFrame, key: str) -> DataFrame:

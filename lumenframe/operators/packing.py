@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import C, ceil_div, col, lcm, whole_div
+from .sampling import numbered, running_in_groups
 
 
 def running_offsets(df: DataFrame, by: list[str], order: list[str], size: str, name: str = "offset") -> DataFrame:
-    """Exclusive running sum of sizes in each group."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.coalesce(F.sum(size).over(w), F.lit(0)).cast("long"))
+    """Exclusive running sum of sizes in each group; a large group is summed in parts."""
+    return running_in_groups(df, by, order, F.col(size).cast("long"), name)
 
 
 def padding(length: C, multiple: C) -> Column:
@@ -52,7 +52,6 @@ def dense_levels(df: DataFrame, columns: list[str], name: str = "level") -> Data
     Distinct combinations are numbered on their own and joined back, so only they are sorted.
     """
     from .joins import small
-    from .sampling import numbered
 
     keys = numbered(df.select(*columns).distinct(), columns, name)
     side = keys.withColumnsRenamed({c: f"_k_{c}" for c in columns})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -43,10 +45,33 @@ def strided_shard(df: DataFrame, order: list[str], shard: int, shards: int) -> D
     return numbered(df, order, "_n").where(F.pmod(F.col("_n") - shard, F.lit(shards)) == 0).drop("_n")
 
 
+def running_in_groups(df: DataFrame, by: list[str], order: list[str], size: Column, name: str, parts: int = 0) -> DataFrame:
+    """Exclusive running sum of ``size`` inside each group, without bringing a group to one task.
+
+    Rows are range-partitioned by group and order, so a large group has many parts; sums of a
+    group's parts (a row each) are summed up and joined to the sums inside the parts.
+    """
+    names = df.columns
+    rows, _ = _dealt(df.withColumn("_size", size), [*by, *order], parts)
+    inside = Window.partitionBy(*by, "_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.withColumn("_own", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*by, "_part").agg(F.sum("_size").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    side = sums.where("_before <> 0").select(*[F.col(c).alias(f"_g_{c}") for c in by], F.col("_part").alias("_p"), "_before")  # most groups lie in one part
+    same = F.col("_part") == F.col("_p")
+    for c in by:
+        same = F.col(c).eqNullSafe(F.col(f"_g_{c}")) & same
+    return own.join(side, same, "left").select(*names, (F.col("_own") + F.coalesce("_before", F.lit(0))).alias(name))
+
+
+def place_in_groups(df: DataFrame, by: list[str], order: list[str], name: str = "place", parts: int = 0) -> DataFrame:
+    """Number of each row in its group, from 0, in the order; dealt as in ``running_in_groups``."""
+    return running_in_groups(df, by, order, F.lit(1).cast("long"), name, parts)
+
+
 def shape_shard(df: DataFrame, shape: list[str], order: list[str], shards: int, name: str = "shard") -> DataFrame:
     """Shard of each row, dealt in turn inside each shape, so that shapes stay balanced over shards."""
-    w = Window.partitionBy(*shape).orderBy(*order)
-    return df.withColumn(name, F.pmod(F.row_number().over(w) - 1, F.lit(shards)).cast("long"))
+    return place_in_groups(df, shape, order, name).withColumn(name, F.pmod(F.col(name), F.lit(shards)).cast("long"))
 
 
 def effective_samples(df: DataFrame, source: str, frames: C, fps: C, model_fps: float, latents: int) -> DataFrame:
@@ -96,8 +121,8 @@ def choose_shape(key: list[C], shapes: list[tuple[int, int]], cameras: C, salt:
 
 def shuffled(df: DataFrame, group: list[str], key: str, salt: str = "", name: str = "place") -> DataFrame:
     """Place of each row in a shuffle of its group: the order of a digest of salt and key, then of the key."""
-    w = Window.partitionBy(*group).orderBy(F.md5(F.concat_ws("|", F.lit(salt), F.col(key).cast("string"))), key)
-    return df.withColumn(name, F.row_number().over(w).cast("long") - 1)
+    digest = F.md5(F.concat_ws("|", F.lit(salt), F.col(key).cast("string")))
+    return place_in_groups(df.withColumn("_d", digest), group, ["_d", key], name).drop("_d")
 
 
 def replacement_sample(spark, rows: int, draws: int, seed: str, block: int = 32) -> DataFrame:
@@ -117,17 +142,15 @@ def window_start(n: C, length: C, *key: C, salt: str = "start") -> Column:
     return F.when(room >= 0, F.floor(unit(*key, salt=salt) * (room + 1)).cast("long"))
 
 
-def first_fit(df: DataFrame, tiers: DataFrame, fits: Column, order: str, columns: list[str], by: list[str]) -> DataFrame:
-    """For each row the first tier, in order, that fits; null columns if none does.
+def first_fit(df: DataFrame, tiers: DataFrame, fits: Callable[[Column], Column], order: str, columns: list[str]) -> DataFrame:
+    """Add the columns of the first tier, in order, that fits each row; null if none does.
 
-    Tiers are a priority list of a recipe (a handful of rows): they become one array, and
-    ``fits`` may use the row's columns and the tier's fields through ``F.col('tier.x')``.
+    Tiers are a priority list of a recipe (a handful of rows): they become one array that is
+    looked through in place, so nothing is exploded or shuffled. ``fits`` gets a tier.
     """
-    names = tiers.columns
-    table = tiers.agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in names if c != order]))).alias("_tiers"))
-    each = df.join(F.broadcast(table)).withColumn("tier", F.explode_outer("_tiers")).withColumn("_fits", F.coalesce(fits, F.lit(False)))
-    best = each.groupBy(*by).agg(F.min(F.when(F.col("_fits"), F.col("tier"))).alias("tier"))
-    return best.select(*by, *[F.col(f"tier.{c}").alias(c) for c in columns])
+    table = tiers.agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in tiers.columns if c != order]))).alias("_tiers"))
+    found = F.get(F.filter("_tiers", lambda t: F.coalesce(fits(t), F.lit(False))), F.lit(0))
+    return df.join(F.broadcast(table)).withColumn("_tier", found).select(*df.columns, *[F.col(f"_tier.{c}").alias(c) for c in columns])
 
 
 def text_dropped(text: C, rate: float, *key: C, salt: str = "text") -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import C, col, gamma_exponent
+from .sampling import place_in_groups, running_in_groups
 
 
 def exact(x: C, scale: int = 9) -> Column:
@@ -39,10 +40,28 @@ def replica_reduce(df: DataFrame, step: list[str], worst: list[str] = (), mean:
     return df.groupBy(*step).agg(*aggs)
 
 
+def exact_percentiles(df: DataFrame, by: list[str], value: C, shares: dict[str, float]) -> DataFrame:
+    """Interpolated percentiles of each group under the given names, exact; nulls do not count.
+
+    Equal values are counted first, the counts are summed up in order in parts of a group, and
+    each percentile picks the two values around its rank: no task holds the values of a group.
+    """
+    counts = df.where(col(value).isNotNull()).groupBy(*by, col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    total = counts.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(F.sum("_c").alias("_n"))
+    same = F.lit(True)
+    for c in by:
+        same = F.col(c).eqNullSafe(F.col(f"_g_{c}")) & same
+    placed = running_in_groups(counts, by, ["_v"], F.col("_c"), "_before").join(total, same)
+    rank = {n: (F.col("_n") - 1) * F.lit(share) for n, share in shares.items()}
+    at = lambda r: F.max(F.when((F.col("_before") <= r) & (r < F.col("_before") + F.col("_c")), F.col("_v")))
+    picked = placed.groupBy(*by).agg(F.max("_n").alias("_n"), *[at(F.floor(r)).alias(f"_lo_{n}") for n, r in rank.items()], *[at(F.ceil(r)).alias(f"_hi_{n}") for n, r in rank.items()])
+    between = {n: F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * (r - F.floor(r)) for n, r in rank.items()}
+    return picked.select(*by, *[c.alias(n) for n, c in between.items()])
+
+
 def exposure_gamma(df: DataFrame, by: list[str], value: C, band: dict[str, float] | None = None) -> DataFrame:
     """Median, 95th percentile (interpolated) and the exponent that corrects the exposure of each group."""
-    stats = df.groupBy(*by).agg(F.percentile(col(value), F.lit(0.5)).alias("median"), F.percentile(col(value), F.lit(0.95)).alias("p95"))
-    return stats.withColumn("gamma", gamma_exponent("median", "p95", band))
+    return exact_percentiles(df, by, value, {"median": 0.5, "p95": 0.95}).withColumn("gamma", gamma_exponent("median", "p95", band))
 
 
 def signal_metrics(df: DataFrame, by: list[str], a: C, b: C) -> DataFrame:
@@ -105,14 +124,24 @@ def rate_groups(df: DataFrame, rate: str, member: str, block: int = 10_000) -> D
 def moving_average(df: DataFrame, by: list[str], order: list[str], value: str, decay: float, warm_up: bool = False, name: str = "ema") -> DataFrame:
     """Exponential moving average at the end of each group: d * average + (1 - d) * value, from the first value on.
 
-    With warm-up the decay at update n is min(d, (1 + n) / (10 + n)). Values of a group are
-    folded in order inside an expression.
+    With warm-up the decay at update n is min(d, (1 + n) / (10 + n)). A value's weight is what
+    the decays behind it leave of it, so the average is a sum of weighted values: rows are
+    numbered, and the logarithms of the decays summed, in parts of a group, and no task holds
+    a whole group.
     """
-    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v")))).alias("_s"))
-    start = F.struct(F.element_at("_s", 1)["_v"].alias("a"), F.lit(0).alias("n"))
-    d = lambda s: F.least(F.lit(decay), (s["n"] + 2) / (s["n"] + 11)) if warm_up else F.lit(decay)
-    fold = F.aggregate(F.slice("_s", 2, F.greatest(F.size("_s") - 1, F.lit(0))), start, lambda s, x: F.struct((d(s) * s["a"] + (1 - d(s)) * x["_v"]).alias("a"), (s["n"] + 1).alias("n")))
-    return rows.select(*by, fold["a"].alias(name), F.size("_s").cast("long").alias("n"))
+    rows = place_in_groups(df.select(*by, *order, F.col(value).cast("double").alias("_v")), by, order, "_i")
+    d = F.least(F.lit(decay), (F.col("_i") + 1) / (F.col("_i") + 10)) if warm_up else F.lit(decay)
+    log_d = F.when(F.col("_i") > 0, F.log(d)).otherwise(0.0)
+    if warm_up:
+        rows = running_in_groups(rows, by, order, log_d, "_l").withColumn("_l", F.col("_l") + log_d)
+    else:
+        rows = rows.withColumn("_l", F.col("_i") * F.log(F.lit(decay)))
+    last = rows.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(F.count("*").alias("n"), F.min("_l").alias("_end"))
+    same = F.lit(True)
+    for c in by:
+        same = F.col(c).eqNullSafe(F.col(f"_g_{c}")) & same
+    share = F.when(F.col("_i") > 0, 1 - d).otherwise(1.0) * F.exp(F.col("_end") - F.col("_l"))
+    return rows.join(last, same).groupBy(*by, "n").agg(F.sum(share * F.col("_v")).alias(name)).select(*by, name, "n")
 
 
 def warm_up(step: C, steps: int) -> Column:
@@ -129,13 +158,12 @@ def unfolded(df: DataFrame, by: list[str], order: list[str], value: str, base: i
 
 
 def fingerprint(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """One digest of all rows of each group, whatever their order: digests of rows, sorted, digested."""
-    row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]), 256)
-    return df.groupBy(*by).agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(row))), 256).alias("fingerprint"), F.count("*").alias("n"))
+    """One digest of all rows of each group, whatever their order: (by, fingerprint, n).
 
-
-def distinct_with_inverse(df: DataFrame, value: str, name: str = "number") -> DataFrame:
-    """Each row with the number of its value among the sorted distinct values."""
-    from .packing import dense_levels
-
-    return dense_levels(df, [value], name)
+    Digests of rows are sorted and digested in ranges by their first four hex digits, and those
+    of a group's ranges, in order, once more: a row holds a 65,536th of a group.
+    """
+    row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]), 256)
+    parts = df.select(*by, row.alias("_r")).groupBy(*by, F.substring("_r", 1, 4).alias("_k")).agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("_r"))), 256).alias("_d"), F.count("*").alias("_n"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_k", "_d"))), lambda x: x["_d"])
+    return parts.groupBy(*by).agg(F.sha2(F.concat_ws(",", ordered), 256).alias("fingerprint"), F.sum("_n").alias("n"))

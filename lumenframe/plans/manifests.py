@@ -189,8 +189,8 @@ def tier_fallback(spark, sf_dir):
     """The first tier of a priority list that a clip fits."""
     tiers = spark.createDataFrame(TIERS, "ord long, tier string, views long, least double")
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    fits = (F.col("n_chars") >= F.col("tier.views") * F.col("tier.least")) & (F.col("n_chars") >= 50)
-    return S.first_fit(docs, tiers, fits, "ord", ["tier", "views"], ["doc_id"])
+    fits = lambda t: (F.col("n_chars") >= t["views"] * t["least"]) & (F.col("n_chars") >= 50)
+    return S.first_fit(docs, tiers, fits, "ord", ["tier", "views"]).drop("n_chars")
 
 
 @query(f"SELECT doc_id, CASE WHEN n_chars >= 500 THEN CAST(floor({unit_sql('start', 'doc_id')} * (n_chars - 500 + 1)) AS BIGINT) END AS start FROM documents")

@@ -456,7 +456,11 @@ def cache_report(spark, sf_dir):
     return A.cache_statistics(d, ["source"], "key", "hit")
 
 
-@query("SELECT p_brand, sha256(string_agg(r, ',' ORDER BY r)) AS fingerprint, count(*) AS n FROM (SELECT p_brand, sha256(concat_ws(chr(31), CAST(p_partkey AS VARCHAR), p_name)) AS r FROM part) GROUP BY p_brand")
+@query(
+    """WITH r AS (SELECT p_brand, sha256(concat_ws(chr(31), CAST(p_partkey AS VARCHAR), p_name)) AS r FROM part),
+       k AS (SELECT p_brand, r[1:4] AS k, sha256(string_agg(r, ',' ORDER BY r)) AS d, count(*) AS n FROM r GROUP BY 1, 2)
+       SELECT p_brand, sha256(string_agg(d, ',' ORDER BY k)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY p_brand"""
+)
 def fingerprints(spark, sf_dir):
     """One digest of each group's rows, whatever their order."""
     return A.fingerprint(table(spark, sf_dir, "part"), ["p_brand"], ["p_partkey", "p_name"])
