@@ -10,12 +10,12 @@ rows that the unlabelled set is taken from; it holds for the corpus as far as th
 rows are a fair sample of it.
 
 Features: words (lower-cased) and their beginnings and ends of ``PARTS`` bytes, hashed to
-``BUCKETS``; of those, the ``KEPT`` whose share of documents among all positives stands out
-most against their share among all documents. Both shares are counted over every document
-that may be learned from, by at most ``SUM_TASKS`` tasks with one table each. A document
-has, for each kept bucket, the logarithm of one plus its count and its rate per word, and
-the logarithm of its number of words. The classifier is fitted on at most ``MAX_POSITIVE``
-positives and ``MAX_UNLABELLED`` unlabelled rows.
+``BUCKETS``; of those, the ``KEPT`` whose share among the positives stands out most against
+their share among all documents that may be learned from, which at most ``SUM_TASKS`` tasks
+count with one table each. A document has, for each kept bucket, the logarithm of one plus
+its count and its rate per word, and the logarithm of its number of words. The classifier
+is fitted, and its buckets chosen, with at most ``MAX_POSITIVE`` of the labelled positives
+and ``MAX_UNLABELLED`` unlabelled rows.
 
 Defined results: null counts as empty; a text without a word gets the score of an empty
 vector; labels that are null are ignored; without a positive the score is 0; rows that
@@ -35,10 +35,11 @@ from pyspark.sql import functions as F
 
 from . import samples
 from .quality import SCHEMA, THRESHOLD
+from .tables import saved
 from .textbuf import BYTE_VALUES, HASH_BLOCK, WORDS, batch, chunks, mix, powers, spans_of
 
 PARTS = (4, 5, 6, 7, 8)
-BUCKETS, KEPT, STEPS, SUM_TASKS = 1 << 20, 512, 500, 8192
+BUCKETS, KEPT, STEPS, SUM_TASKS = 1 << 20, 300, 500, 8192
 MAX_POSITIVE, MAX_UNLABELLED = 6_000, 12_000
 _ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
@@ -164,12 +165,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: in
         return np.zeros(0, np.int64), Classifier(empty, empty, 0.0)
     prior = min(max(count.pos / count.n, 1e-4), 0.9)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    toxic = known.where("label = 1").select("doc_id").distinct()
-    positive = rows.join(toxic, "doc_id", "left_semi")
-    kept = choose(positive, rows, max(1, positive.count()), max(1, rows.count()))
-    pos = samples.pick(toxic, ["doc_id"], most=most).withColumn("positive", F.lit(1))
+    pos = samples.pick(known.where("label = 1").select("doc_id").distinct(), ["doc_id"], most=most).withColumn("positive", F.lit(1))
     unl = samples.pick(known.select("doc_id").distinct(), ["doc_id"], most=most_unlabelled, seed=23).withColumn("positive", F.lit(0))
-    got = samples.texts_of(rows, pos.unionByName(unl)).mapInArrow(_vectors(kept), "doc_id long, positive int, features binary").toArrow()
+    sample = saved(samples.texts_of(rows, pos.unionByName(unl)))
+    positive = sample.where("positive = 1")
+    kept = choose(positive, rows, max(1, positive.count()), max(1, rows.count()))
+    got = sample.mapInArrow(_vectors(kept), "doc_id long, positive int, features binary").toArrow()
     x = np.frombuffer(b"".join(got.column("features").to_pylist()), np.float32).reshape(got.num_rows, 2 * len(kept) + 1)
     y, ids = got.column("positive").to_numpy(), got.column("doc_id").to_numpy()
     order = np.lexsort((y, ids))
