@@ -174,3 +174,60 @@ def dropout_pairs(df: DataFrame, key: list[str], blocks: str, rate: float) -> Da
     pair = df.withColumn("i", F.explode(F.sequence(F.lit(0), F.col(blocks).cast("int") - 1))).where("i > 0")
     pair = pair.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("i") - 1)))
     return pair.withColumn("dropped", unit(*key, "i", "j", salt="history") < rate)
+
+
+def redirected_shape(views: C, latents: C, key: list[C], shapes: list[tuple[int, int]], cameras: C, attempt: C | None = None) -> Column:
+    """The shape that a row has; where its cameras do not allow it, one drawn from those that they do.
+
+    Each attempt is a draw of its own.
+    """
+    own = F.struct(col(views).cast("long").alias("views"), col(latents).cast("long").alias("latents"))
+    return F.when(col(views) <= col(cameras), own).otherwise(choose_shape([*key, *([] if attempt is None else [attempt])], shapes, cameras))
+
+
+def first_attempt(place: Callable[[Column], Column], fits: Callable[[Column], Column], most: int = 20) -> Column:
+    """(attempt, place) of the first of at most ``most`` drawn places that fits; null if none does."""
+    tries = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda a: F.struct(a.alias("attempt"), place(a).alias("place")))
+    return F.get(F.filter(tries, lambda t: F.coalesce(fits(t["place"]), F.lit(False))), F.lit(0))
+
+
+def drawn_rows(draws: DataFrame, rows: DataFrame, group: list[str], draw: str, key: str, salt: str = "") -> DataFrame:
+    """The row of each numbered draw of a group: without replacement while the group lasts, then with.
+
+    Draws 0 to n - 1 go through a shuffle of the group's n rows; later ones are independent. A
+    group without rows gives null.
+    """
+    places = shuffled(rows.select(*group, key), group, key, salt, "_place").select(*[F.col(c).alias(f"_g_{c}") for c in group], F.col(key).alias("_key"), "_place")
+    size = rows.groupBy(*[F.col(c).alias(f"_s_{c}") for c in group]).agg(F.count("*").alias("_n"))
+    same = lambda p: [F.col(c).eqNullSafe(F.col(f"_{p}_{c}")) for c in group]
+    out = draws.join(size, same("s"), "left").withColumn("_at", F.when(F.col(draw) < F.col("_n"), F.col(draw)).otherwise(integer_draw("_n", *group, draw, salt=f"{salt}/again")))
+    return out.join(places, [*same("g"), F.col("_at") == F.col("_place")], "left").select(*draws.columns, F.col("_key").alias(key))
+
+
+def conditioning_views(views: C, key: list[C], dropped: float, others: float, each: float) -> Column:
+    """Views of a sample that condition it: view 0, and with probability ``others`` each further one with probability
+    ``each``; with probability ``dropped`` none at all. An array of view numbers."""
+    more = F.filter(F.sequence(F.lit(0), F.greatest(col(views) - 1, F.lit(0)).cast("int")), lambda v: (v == 0) | ((unit(*key, salt="other views") < others) & (unit(*key, v, salt="view") < each)))
+    return F.when(unit(*key, salt="no views") < dropped, F.array().cast("array<int>")).otherwise(more)
+
+
+def two_range_level(levels: int, boundary: int, step: C, *key: C) -> Column:
+    """Noise level number drawn from one of two ranges: a coin by step, the same for all samples of it, says which."""
+    high = unit(step, salt="high") < 0.5
+    low = F.when(high, F.lit(0)).otherwise(F.lit(boundary))
+    return low + integer_draw(F.when(high, F.lit(boundary)).otherwise(F.lit(levels - boundary)), step, *key, salt="level")
+
+
+def ring_offsets(views: C, ring: C, spread: float, *key: C) -> Column:
+    """Places of views spread evenly over a ring of cameras, each jittered (as a share of the ring); the first stays at 0."""
+    from ..functions.scalar import normal_draw
+
+    jittered = lambda v: F.pmod(F.floor((v / col(views) + normal_draw(*key, v, salt="ring") * spread) * col(ring) + 0.5).cast("long"), col(ring).cast("long"))
+    return F.transform(F.sequence(F.lit(0), col(views).cast("int") - 1), lambda v: F.when(v == 0, F.lit(0).cast("long")).otherwise(jittered(v)))
+
+
+def shared_walk(walk: DataFrame, views: DataFrame, key: list[str], ring: int, offsets: str) -> DataFrame:
+    """Every view of a sample along one walk of (key, step, view, frame): its camera is the walk's, turned by the view's
+    offset; frames are shared, so views stay in step. (key, step, place, camera, frame)."""
+    each = views.select(*key, F.posexplode(offsets).alias("place", "_offset"))
+    return walk.join(each, key).select(*key, "step", F.col("place").cast("long").alias("place"), F.pmod(F.col("view") + F.col("_offset"), F.lit(ring)).alias("camera"), "frame")

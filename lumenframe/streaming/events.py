@@ -5,6 +5,7 @@ Zone-less timestamps are cast to TIMESTAMP first, as watermarks need; run sessio
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import checkpoint_root
+from ..tables import saved
+
 
 def event_stream(spark: SparkSession, path: str, schema: str, time: str = "ts", files_per_trigger: int = 1000) -> DataFrame:
     """A folder of Parquet files as a stream, its time column as TIMESTAMP."""
@@ -67,24 +71,25 @@ def changed_tokens(df: DataFrame, kind: str, token: str, order: str) -> DataFram
 def consumption(df: DataFrame, key: str, order: str) -> DataFrame:
     """Cursor of each consumer from events ``issued`` and ``consumed`` of running indices: (key, generated, consumed, outstanding).
 
-    The state holds how many indices were issued and which of them are still out, so a restart
-    from the checkpoint replays exactly those.
+    The state holds how many indices were issued and which of them are still out, oldest first,
+    so a restart from the checkpoint replays exactly those. It is as large as what is out.
     """
 
     def step(k, frames, state):
-        generated, consumed, out = state.get if state.exists else (0, 0, "")
-        waiting = [int(x) for x in out.split(",") if x]
-        for row in pd.concat(frames).sort_values(order).itertuples():
-            if row.action == "issued":
+        generated, consumed, out = state.get if state.exists else (0, 0, [])
+        waiting = dict.fromkeys(out)
+        rows = pd.concat(frames).sort_values(order)
+        for action, index in zip(rows["action"], rows["index_no"], strict=True):
+            if action == "issued":
                 generated += 1
-                waiting.append(int(row.index_no))
-            elif int(row.index_no) in waiting:
-                waiting.remove(int(row.index_no))
+                waiting[int(index)] = None
+            elif int(index) in waiting:
+                del waiting[int(index)]
                 consumed += 1
-        state.update((generated, consumed, ",".join(map(str, waiting))))
-        yield pd.DataFrame({"key": [str(k[0])], "generated": [generated], "consumed": [consumed], "outstanding": [",".join(map(str, waiting))]})
+        state.update((generated, consumed, list(waiting)))
+        yield pd.DataFrame({"key": [str(k[0])], "generated": [generated], "consumed": [consumed], "outstanding": [list(waiting)]})
 
-    return _stateful(df, key, "key string, generated long, consumed long, outstanding string", "generated long, consumed long, outstanding string", step, "update")
+    return _stateful(df, key, "key string, generated long, consumed long, outstanding array<long>", "generated long, consumed long, outstanding array<long>", step, "update")
 
 
 def reuse_limited(df: DataFrame, key: str, order: str, eligible: str, depth: int) -> DataFrame:
@@ -110,6 +115,54 @@ def fresh_values(df: DataFrame, key: str, time: str, value: str, now: str, inter
     return clock.join(last, key, "left").select(key, F.when(age <= int(3 * interval * 1e6), F.col("value")).alias("value"), "now")
 
 
+def replayed(df: DataFrame, order: list[str], parts: int = 4, files_per_trigger: int = 1) -> DataFrame:
+    """A table as a stream: its rows, in order, in ``parts`` files of the shared folder, some files a batch."""
+    rows = saved(df.repartitionByRange(parts, *order).sortWithinPartitions(*order))
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(rows._saved_path)
+
+
+def finished(df: DataFrame, mode: str = "append", key: list[str] = ()) -> DataFrame:
+    """Drive a stream over all available input into the shared folder, and read the outcome.
+
+    Every batch overwrites a folder of its own, so that a repeated batch counts once. The
+    outcome is all rows (append), the last batch (complete), or the last row of each key (update).
+    """
+    spark = df.sparkSession
+    root = f"{checkpoint_root(spark).rstrip('/')}/lumenframe/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    write = lambda rows, n: rows.write.mode("overwrite").parquet(f"{root}/rows/batch={n}")
+    q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    out = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, batch long").parquet(f"{root}/rows")
+    if mode == "complete":
+        last = out.agg(F.max("batch")).first()[0]
+        return out.where(F.col("batch") == last).drop("batch")
+    if mode == "update":
+        row = F.max_by(F.struct(*df.columns), "batch").alias("_r")
+        return out.groupBy(*[F.col(k).alias(f"_k_{k}") for k in key]).agg(row).select("_r.*")
+    return out.drop("batch")
+
+
+def guarded(df: DataFrame, order: list[str], path: str) -> DataFrame:
+    """The table, after a check that it is the one that a saved cursor was made for.
+
+    The first call records the number of rows and a digest of their order in ``path``; later
+    calls raise where either differs, as a cursor would then point to other rows.
+    """
+    from ..operators.sampling import numbered
+    from ..operators.stats import fingerprint
+
+    now = fingerprint(numbered(df.select(*order), order, "_n").withColumn("_g", F.lit(0)), ["_g"], [*order, "_n"]).select("n", "fingerprint")
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        now.coalesce(1).write.json(path)
+        return df
+    row, old = now.first(), spark.read.schema("n long, fingerprint string").json(path).first()
+    if row is None or (row.n, row.fingerprint) != (old.n, old.fingerprint):
+        raise ValueError(f"the source has changed since its cursor was saved: {old.n} rows then, {row.n if row else 0} now, or another order")
+    return df
+
+
 def run_to_end(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Drive a stream over all available input into an in-memory table, for tests and small reports."""
     w = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
