@@ -96,6 +96,24 @@ def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     return found.groupBy(parent.alias("parent")).agg(F.array_sort(F.collect_list(F.substring_index("path", "/", -1))).alias("files"))
 
 
+def first_of_folder(df: DataFrame, path: str, files: DataFrame, name: str = "file", missing: str = "error") -> DataFrame:
+    """Add the file that each path stands for: itself, or with ``.mp4`` if that is what there is, or the first of a folder.
+
+    ``files`` has (parent, files) as ``listing`` gives it. Paths without a file fail, when run, or
+    give null (``missing="null"``). The listing is exploded and joined, so it may be large.
+    """
+    each = files.select("parent", F.explode("files").alias("f")).select(F.concat_ws("/", "parent", "f").alias("_there"))
+    folders = files.select(F.col("parent").alias("_folder"), F.concat_ws("/", "parent", F.get("files", F.lit(0))).alias("_first"))
+    p = F.regexp_replace(col(path), "/+$", "")
+    out = df.withColumn("_p", p).join(each.withColumn("_own", F.lit(True)), F.col("_p") == F.col("_there"), "left").drop("_there")
+    out = out.withColumn("_q", F.concat("_p", F.lit(".mp4"))).join(each.withColumn("_named", F.lit(True)), F.col("_q") == F.col("_there"), "left").drop("_there")
+    out = out.join(folders, F.col("_p") == F.col("_folder"), "left")
+    found = F.when(F.col("_own"), F.col("_p")).when(F.col("_named"), F.col("_q")).otherwise(F.col("_first"))
+    if missing == "error":
+        found = F.coalesce(found, F.raise_error(F.concat(F.lit("no file for "), F.coalesce(col(path), F.lit("null")))).cast("string"))
+    return out.withColumn(name, found).select(*df.columns, name)
+
+
 def camera_yaml(spark: SparkSession, path: str) -> DataFrame:
     """Matrices of OpenCV-style camera files: (path, name, rows, cols, data), one row per matrix.
 

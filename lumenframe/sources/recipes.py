@@ -50,33 +50,68 @@ def for_stage(config: dict, stage: str, key: str = "dataset") -> dict:
     return out
 
 
-def faults(config: dict) -> list[str]:
+def _number(v: object) -> bool:
+    return isinstance(v, (int, float)) and not isinstance(v, bool)
+
+
+def _whole(v: object) -> bool:
+    return isinstance(v, int) and not isinstance(v, bool)
+
+
+#: What a value can be asked to be: name -> (test with an argument, what is said of one that fails).
+TESTS: dict[str, tuple[Callable[[object, object], bool], str]] = {
+    "flag": (lambda v, _: isinstance(v, bool), "is not a flag"),
+    "count": (lambda v, least: _whole(v) and v >= least, "is not a whole number of at least {}"),
+    "positive": (lambda v, _: _number(v) and v > 0, "is not positive"),
+    "share": (lambda v, _: _number(v) and 0 <= v <= 1, "is not a probability"),
+    "decay": (lambda v, _: _number(v) and 0 <= v < 1, "is not a decay below one"),
+    "number": (lambda v, _: _number(v), "is not a number"),
+    "choice": (lambda v, names: v in names, "is none of {}"),
+    "range": (lambda v, least: isinstance(v, (list, tuple)) and len(v) == 2 and all(map(_whole, v)) and least <= v[0] <= v[1], "is not an ordered pair"),
+    "sizes": (lambda v, unit: isinstance(v, (list, tuple)) and len(v) == 2 and all(_whole(x) and x > 0 and x % unit == 0 for x in v), "is not a pair of multiples of {}"),
+    "equals": (lambda v, want: v == want, "is not {}"),
+    "unset": (lambda v, _: not v, "is no longer supported"),
+}
+
+#: The rules for values that a recipe gives: (dotted path, test, argument). A path that is absent is sound.
+RULES: list[tuple[str, str, object]] = [
+    ("update_threads", "count", 1), ("batch_size", "count", 1), ("steps", "count", 1), ("chunk_size", "count", 1), ("model_fps", "positive", None),
+    ("clean_prefix_probability", "share", None), ("caption_overlap", "share", None), ("text_dropout", "share", None), ("history_dropout", "share", None), ("condition_noise", "share", None),
+    ("chunk_group_range", "range", 1), ("chunk_size_range", "range", 1), ("attention_block", "sizes", 128), ("average_decay", "decay", None),
+    ("single_sequence", "flag", None), ("grouped_backward", "flag", None), ("compile_checkpoints", "flag", None),
+    ("noise", "choice", ("two_ranges", "shifted_uniform")), ("training_shift", "positive", None), ("sampling_shift", "positive", None),
+    ("inference_weights", "choice", ("auto", "raw", "average")), ("validation_weights", "choice", ("auto", "raw", "average")),
+    ("stage", "choice", (1, 2)), ("first_stage_steps", "count", 1), ("short_frames", "count", 1), ("accumulation", "equals", 1), ("camera_encoding", "choice", ("matrix", "decomposed")),
+    ("strides", "equals", [4, 8, 8]), ("caption_mode", "unset", None), ("dataset.batch_size", "equals", 1),
+    ("buckets.tokens", "count", 1), ("buckets.timesteps", "count", 1), ("buckets.cameras", "count", 1), ("buckets.chunks", "count", 1),
+]
+
+#: Rules between values: (what must hold, what is said otherwise).
+TOGETHER: list[tuple[Callable[[dict], bool], str]] = [
+    (lambda c: c.get("chunk_size_range") is None or bool(c.get("single_sequence")), "chunk_size_range needs single_sequence"),
+    (lambda c: c.get("chunk_size_range") is None or c.get("chunk_group_range") is None, "chunk_size_range and chunk_group_range exclude each other"),
+    (lambda c: "average" not in (c.get("inference_weights"), c.get("validation_weights")) or bool(c.get("average_decay")), "average weights need an average_decay"),
+    (lambda c: not isinstance(c.get("buckets", {}), dict) or not set(c.get("buckets", {})) - {"tokens", "timesteps", "cameras", "chunks"}, "buckets has an unknown name"),
+    (lambda c: isinstance(c.get("buckets", {}), dict), "buckets is not a map"),
+    (lambda c: c.get("solver") != "euler" or (c.get("guidance", 1) == 1 and not c.get("rescale")), "the euler solver takes no guidance"),
+]
+
+
+def faults(config: dict, rules: list[tuple[str, str, object]] = RULES) -> list[str]:
     """What is wrong with a recipe: an empty list for a sound one."""
     out = []
-    number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)
-    known = ("tokens", "timesteps", "cameras", "chunks")
-    buckets = config.get("buckets", {})
-    if not isinstance(buckets, dict):
-        out.append("buckets is not a map")
-    else:
-        for k, v in buckets.items():
-            if k not in known:
-                out.append(f"buckets.{k} is unknown")
-            elif not isinstance(v, int) or isinstance(v, bool) or v < 1:
-                out.append(f"buckets.{k} is not a positive integer")
-    for k in ("model_fps", "chunk_size", "batch_size", "steps"):
-        if k in config and not (number(config[k]) and config[k] > 0):
-            out.append(f"{k} is not positive")
-    for k in ("clean_prefix_probability", "text_dropout", "history_dropout"):
-        if k in config and not (number(config[k]) and 0 <= config[k] <= 1):
-            out.append(f"{k} is not a probability")
-    size = config.get("chunk_size_range")
-    if size is not None and not (isinstance(size, (list, tuple)) and len(size) == 2 and all(isinstance(x, int) for x in size) and 1 <= size[0] <= size[1]):
-        out.append("chunk_size_range is not an ordered pair")
+    for path, name, want in rules:
+        value: object = config
+        for k in path.split("."):
+            value = value.get(k) if isinstance(value, dict) else None
+        test, said = TESTS[name]
+        if value is not None and not test(value, want):
+            out.append(f"{path} {said.format(want)}")
+    out += [said for holds, said in TOGETHER if not holds(config)]
     for i, s in enumerate(config.get("dataset", {}).get("sources", [])):
         if "type" not in s:
             out.append(f"dataset.sources[{i}] has no type")
-        if not number(s.get("sampling_weight_power", 0.8)):
+        if not _number(s.get("sampling_weight_power", 0.8)):
             out.append(f"dataset.sources[{i}].sampling_weight_power is not a number")
     return out
 

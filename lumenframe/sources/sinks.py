@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,8 +57,46 @@ def shard_numbers(df: DataFrame, order: list[str], size: str, most: int) -> Data
     return running_total(df, order, size, "_before").withColumn("shard", F.floor(F.col("_before") / most).cast("long")).drop("_before")
 
 
+def write_shards(df: DataFrame, order: list[str], size: str, most: int, path: str) -> DataFrame:
+    """Write rows in shards of about ``most`` units and an index of them: (shard, name, rows, units), which is returned.
+
+    Rows of a shard share a folder named ``shard=i``; the index is written last, so that a reader
+    who goes by it sees complete shards only. Names say which of how many (``bounded_name``).
+    """
+    from ..tables import saved
+
+    rows = saved(shard_numbers(df, order, size, most))
+    rows.repartition("shard").sortWithinPartitions("shard", *order).write.mode("overwrite").partitionBy("shard").parquet(f"{path}/data")
+    index = rows.groupBy("shard").agg(F.count("*").alias("rows"), F.sum(size).alias("units"))
+    n = F.lit(index.agg(F.coalesce(F.max("shard") + 1, F.lit(0)).alias("n")).first().n)
+    index = index.select("shard", bounded_name("shard", n).alias("name"), "rows", "units")
+    index.coalesce(1).write.mode("overwrite").json(f"{path}/index")
+    return df.sparkSession.read.schema(index.schema).json(f"{path}/index")
+
+
+def write_file(spark: SparkSession, text: str, path: str) -> None:
+    """Write a small text as one file, whole or not at all: under another name first, then renamed over the old one."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    whole, part = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}.part"))
+    fs = whole.getFileSystem(conf)
+    stream = fs.create(part, True)
+    try:
+        stream.write(text.encode())
+    finally:
+        stream.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole.toUri(), conf)
+    over = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = over
+    context.rename(part, whole, options)
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 and size of every file below a folder."""
+    """SHA-256 and size of every file below a folder, in any store that Spark reads.
+
+    Spark hands a file on as one value, so a file of 2 GB or more fails; provenance files are code and recipes.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 

@@ -96,7 +96,7 @@ def test_bad_buckets(buckets):
 
 
 def test_sound_recipe():
-    assert recipes.faults({"buckets": {"tokens": 2048}, "chunk_size": 5, "text_dropout": 0.1, "chunk_size_range": [2, 9], "dataset": {"sources": [{"type": "manifest"}]}}) == []
+    assert recipes.faults({"buckets": {"tokens": 2048}, "chunk_size": 5, "text_dropout": 0.1, "chunk_size_range": [2, 9], "single_sequence": True, "dataset": {"sources": [{"type": "manifest"}]}}) == []
 
 
 def test_committed_generations(spark, tmp_path):
@@ -133,3 +133,55 @@ def test_other_sinks(spark, tmp_path):
     assert json.loads(spark.createDataFrame([(1, [2])], "a long, b array<long>").select(sinks.scalar_json(spark.createDataFrame([(1, [2])], "a long, b array<long>"))).first()[0]) == {"a": 1}
     done = sinks.acknowledgements(spark.createDataFrame([("t",), ("u",)], "token string"), spark.createDataFrame([("t", "ok")], "token string, status string"), "token")
     assert {r.token: r.status for r in done.collect()} == {"t": "ok", "u": "pending"}
+
+
+def test_recipe_rules_each_catch_their_fault():
+    bad = {
+        "update_threads": 0, "batch_size": True, "model_fps": -1, "clean_prefix_probability": 1.5, "chunk_group_range": [3, 2], "attention_block": [128, 100], "average_decay": 1,
+        "single_sequence": 1, "noise": "white", "stage": 3, "accumulation": 2, "strides": [4, 8], "caption_mode": "x", "dataset": {"batch_size": 2}, "buckets": {"tokens": 0},
+    }
+    for k, v in bad.items():
+        assert len(recipes.faults({k: v})) == 1, k
+    assert recipes.faults({"chunk_size_range": [1, 2]}) == ["chunk_size_range needs single_sequence"]
+    assert len(recipes.faults({"chunk_size_range": [1, 2], "chunk_group_range": [1, 2], "single_sequence": True})) == 1
+    assert recipes.faults({"inference_weights": "average"}) and not recipes.faults({"inference_weights": "average", "average_decay": 0.9})
+    assert recipes.faults({"buckets": {"rows": 1}}) and recipes.faults({"buckets": 3}) and recipes.faults({"solver": "euler", "guidance": 2})
+    assert recipes.faults({"model_fps": 16, "stage": 1, "strides": [4, 8, 8], "buckets": {"tokens": 2048}, "noise": "two_ranges"}) == []
+
+
+def test_first_of_folder(spark):
+    files = spark.createDataFrame([("/a", ["x.mp4", "y.mp4"]), ("/b/c", ["z.mp4"])], "parent string, files array<string>")
+    df = spark.createDataFrame([(1, "/a/y.mp4"), (2, "/a/x"), (3, "/b/c/"), (4, "/a"), (5, "/no"), (6, None)], "k long, p string")
+    got = {r.k: r.file for r in manifests.first_of_folder(df, "p", files, missing="null").collect()}
+    assert got == {1: "/a/y.mp4", 2: "/a/x.mp4", 3: "/b/c/z.mp4", 4: "/a/x.mp4", 5: None, 6: None}
+    with pytest.raises(Exception, match="no file for /no"):
+        manifests.first_of_folder(df.where("k = 5"), "p", files).collect()
+
+
+def test_shards_have_an_index(spark, tmp_path):
+    df = spark.createDataFrame([(i, i % 7 + 1) for i in range(100)], "k long, n long")
+    index = sinks.write_shards(df, ["k"], "n", 40, str(tmp_path / "out")).orderBy("shard").collect()
+    rows = spark.read.parquet(str(tmp_path / "out" / "data"))
+    want, before = {}, 0
+    for i in range(100):
+        want.setdefault(before // 40, []).append(i)
+        before += i % 7 + 1
+    assert {r.shard: sorted(x.k for x in rows.where(f"shard = {r.shard}").collect()) for r in index} == want
+    assert [(r.name, r.rows) for r in index] == [(f"{k + 1:05d}-of-{len(want):05d}", len(v)) for k, v in want.items()]
+
+
+def test_one_file_is_replaced_whole(spark, tmp_path):
+    path = tmp_path / "state.json"
+    for text in ("first", "second, longer"):
+        sinks.write_file(spark, text, f"file://{path}")
+        assert path.read_text() == text
+    assert [p.name for p in tmp_path.iterdir() if p.name.endswith(".part")] == []
+
+
+def test_digests_of_files(spark, tmp_path):
+    import hashlib
+
+    for k in range(3):
+        (tmp_path / f"f{k}").write_bytes(bytes([k]) * 5_000_000)
+    got = {r.path.rsplit("/", 1)[1]: (r.length, r.sha256) for r in sinks.file_digests(spark, str(tmp_path)).collect()}
+    assert got == {f"f{k}": (5_000_000, hashlib.sha256(bytes([k]) * 5_000_000).hexdigest()) for k in range(3)}

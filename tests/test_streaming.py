@@ -51,7 +51,7 @@ def test_outstanding_indices(spark, tmp_path):
     write(spark, p, [("w", "issued", i, i) for i in range(5)] + [("w", "consumed", 0, 10), ("w", "consumed", 2, 11), ("w", "consumed", 99, 12)], "key string, action string, index_no long, n long")
     s = spark.readStream.schema("key string, action string, index_no long, n long").parquet(str(p))
     r = E.run_to_end(E.consumption(s, "key", "n"), "cursor_out", "update").first()
-    assert (r.generated, r.consumed, r.outstanding) == (5, 2, "1,3,4")
+    assert (r.generated, r.consumed, r.outstanding) == (5, 2, [1, 3, 4])
 
 
 def test_reuse_is_limited(spark, tmp_path):
@@ -60,3 +60,22 @@ def test_reuse_is_limited(spark, tmp_path):
     s = spark.readStream.schema("key string, n long, ok boolean").parquet(str(p))
     r = E.run_to_end(E.reuse_limited(s, "key", "n", "ok", 2), "reuse_out", "update").first()
     assert (r.uses, r.again) == (0, False)
+
+
+def test_cursor_survives_batches(spark):
+    rows = [("w", "issued", i, 2 * i) for i in range(50)] + [("w", "consumed", i, 100 + i) for i in range(0, 50, 2)]
+    df = spark.createDataFrame(rows, "key string, action string, index_no long, n long")
+    r = E.finished(E.consumption(E.replayed(df, ["n"], files_per_trigger=10), "key", "n"), "update", ["key"]).collect()
+    assert [(x.generated, x.consumed, x.outstanding) for x in r] == [(50, 25, list(range(1, 50, 2)))]
+
+
+def test_a_changed_source_is_refused(spark, tmp_path):
+    import pytest
+
+    path = f"file://{tmp_path}/cursor"
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    for _ in range(2):
+        assert E.guarded(df, ["k", "v"], path).count() == 2
+    for other in (df.where("k = 1"), df.withColumn("k", 3 - df.k), df.where("k = 9")):
+        with pytest.raises(ValueError, match="has changed"):
+            E.guarded(other, ["k", "v"], path)
