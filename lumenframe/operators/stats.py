@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import C, col, gamma_exponent
+from ..functions.scalar import C, col, gamma_exponent, psnr
 from .sampling import place_in_groups, running_in_groups
 
 
@@ -68,7 +68,7 @@ def signal_metrics(df: DataFrame, by: list[str], a: C, b: C) -> DataFrame:
     """Mean squared error, PSNR and mean absolute error of two signals in [0, 1]."""
     d = col(a) - col(b)
     out = df.groupBy(*by).agg((F.sum(exact(d * d, 12)).cast("double") / F.count(d)).alias("mse"), (F.sum(exact(F.abs(d), 12)).cast("double") / F.count(d)).alias("mae"))
-    return out.withColumn("psnr", F.when(F.col("mse") > 0, -10.0 * F.log10("mse")))
+    return out.withColumn("psnr", psnr("mse"))
 
 
 def improvement(df: DataFrame, by: list[str], step: str, value: str, needed: float) -> DataFrame:
