@@ -13,7 +13,7 @@ from ..operators import stats as A
 from .registry import query, table, unit_sql
 
 #: A small recipe for the test tables.
-SHAPES = {"2x50": "2x45", "4x30": "4x25", "7x50": "6x45", "8x15": "6x15"}
+SHAPES = {"2x46": "2x41", "5x44": "4x40", "7x49": "5x47", "6x50": "6x33"}
 POOL = [(1, 21), (2, 13), (4, 9), (6, 5)]
 TIERS = [(0, "primary", 2, 4000.0), (1, "native", 2, 2000.0), (2, "fewer views", 1, 2000.0), (3, "long single", 1, 500.0), (4, "any", 1, 0.0)]
 PRESETS = [("src0", 24.0, "a"), ("src1", 30.0, "b"), ("src5", 60.0, "c"), ("src9", 25.0, "a")]
@@ -58,7 +58,7 @@ def viable_at_rate(spark, sf_dir):
 
 @query(
     """WITH s AS (SELECT l_orderkey, count(*) AS mv, CAST(max(l_quantity) AS BIGINT) AS gen, l_orderkey % 3 = 0 AS iso FROM lineitem GROUP BY l_orderkey),
-       r AS (SELECT s.*, coalesce(t.a, mv) AS tv, coalesce(t.b, gen) AS tl FROM s LEFT JOIN (VALUES (2, 50, 2, 45), (4, 30, 4, 25), (7, 50, 6, 45), (8, 15, 6, 15)) AS t(v, g, a, b) ON t.v = mv AND t.g = gen)
+       r AS (SELECT s.*, coalesce(t.a, mv) AS tv, coalesce(t.b, gen) AS tl FROM s LEFT JOIN (VALUES (2, 46, 2, 41), (5, 44, 4, 40), (7, 49, 5, 47), (6, 50, 6, 33)) AS t(v, g, a, b) ON t.v = mv AND t.g = gen)
        SELECT l_orderkey, mv, gen, greatest(1, least(CASE WHEN iso THEN tv ELSE least(tv, 6) END, mv)) AS rt_views, greatest(1, least(least(tl, 48), gen)) AS rt_latents FROM r"""
 )
 def shape_remap(spark, sf_dir):

@@ -84,10 +84,10 @@ def test_inactive_tokens_see_only_themselves(spark):
 
 
 def test_runtime_shapes(spark):
-    table = {"2x50": "2x45", "4x30": "4x25", "8x15": "6x15", "14x10": "12x10", "3x9": 20}
-    df = spark.createDataFrame([(2, 50, False), (4, 30, False), (8, 15, True), (14, 10, False), (1, 7, False), (3, 9, False)], "v long, g long, iso boolean")
+    table = {"5x33": "5x28", "3x12": "2x12", "9x21": "9x18", "12x7": "10x7", "4x6": 11}
+    df = spark.createDataFrame([(5, 33, False), (3, 12, False), (9, 21, True), (12, 7, False), (1, 7, False), (4, 6, False)], "v long, g long, iso boolean")
     got = {(r.v, r.g): (r.rt_views, r.rt_latents) for r in filters.runtime_shape(df, "v", "g", table, "iso", 8).collect()}
-    assert got == {(2, 50): (2, 45), (4, 30): (4, 25), (8, 15): (6, 15), (14, 10): (8, 10), (1, 7): (1, 7), (3, 9): (3, 9)}
+    assert got == {(5, 33): (5, 28), (3, 12): (2, 12), (9, 21): (9, 18), (12, 7): (8, 7), (1, 7): (1, 7), (4, 6): (4, 11)}
 
 
 def test_rates(spark):

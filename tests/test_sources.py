@@ -28,11 +28,11 @@ def test_heavy_column_is_not_read(spark, tmp_path):
 
 
 def test_file_metadata(spark, tmp_path):
-    t = pa.table({"k": [1]}).replace_schema_metadata({"shape_ranges": '{"2x50": [0, 1]}', "other": "x"})
+    t = pa.table({"k": [1]}).replace_schema_metadata({"shape_ranges": '{"3x12": [0, 1]}', "other": "x"})
     pq.write_table(t, tmp_path / "m.parquet")
     path = str(tmp_path / "m.parquet")
     assert {r.key for r in manifests.file_metadata(spark, path).collect()} == {"shape_ranges", "other"}
-    assert manifests.json_metadata(spark, path, "ranges", "shape_ranges") == {"2x50": [0, 1]}
+    assert manifests.json_metadata(spark, path, "ranges", "shape_ranges") == {"3x12": [0, 1]}
     assert manifests.json_metadata(spark, path, "absent") is None
 
 
@@ -85,8 +85,8 @@ def test_recipes():
     assert recipes.load("top", files.get, ["a.x=5", "name=run"]) == {"a": {"x": 5, "y": 3}, "l": [2], "name": "run"}
     with pytest.raises(ValueError):
         recipes.load("loop", files.get)
-    config = {"dataset": {"remap": {"2x50": "2x45"}, "k": {"a": 1}}, "stages": {"two": {"dataset": {"remap": {}, "k": {"b": 2}}}}}
-    assert recipes.for_stage(config, "two") == {"remap": {}, "k": {"a": 1, "b": 2}} and recipes.for_stage(config, "one")["remap"] == {"2x50": "2x45"}
+    config = {"dataset": {"remap": {"3x12": "2x12"}, "k": {"a": 1}}, "stages": {"two": {"dataset": {"remap": {}, "k": {"b": 2}}}}}
+    assert recipes.for_stage(config, "two") == {"remap": {}, "k": {"a": 1, "b": 2}} and recipes.for_stage(config, "one")["remap"] == {"3x12": "2x12"}
     assert recipes.digest({"a": 1, "b": {"c": 2}}, ["b.c"]) == recipes.digest({"b": {}, "a": 1})
 
 
