@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: name(parameters) -> (type, body)
 FUNCTIONS = {
@@ -24,6 +28,18 @@ def register(spark: SparkSession, sf_dir: str | None = None, tables: list[str] =
     """Make the functions known to ``spark.sql``, and the named tables of a folder known as views."""
     for head, (kind, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS {kind} RETURN {body}")
+    spark.udf.register("trimmed_mean", trimmed_mean)
     for t in tables:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     return spark
+
+
+@F.pandas_udf(DoubleType())
+def trimmed_mean(values: pd.Series) -> float:
+    """Mean without the lowest and the highest tenth: an aggregate function of our own, for SQL as well.
+
+    Spark hands a group's values to it as a whole, so it is for groups that fit one task.
+    """
+    v = np.sort(values.dropna().to_numpy(float))
+    k = len(v) // 10
+    return float(v[k : len(v) - k].mean()) if len(v) else None

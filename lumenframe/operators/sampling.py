@@ -105,11 +105,19 @@ def choose_weighted(df: DataFrame, key: list[str], choices: DataFrame, label: st
     w = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, 0)
     bounds = choices.where(F.col(weight) > 0).select(F.col(label).alias("l"), F.sum(weight).over(w).alias("hi"))
     table = bounds.agg(F.array_sort(F.collect_list(F.struct("hi", "l"))).alias("_bounds"))
-    u = unit(*key, salt=salt)
-    top = F.element_at(F.col("_bounds"), -1)
-    hit = F.filter(F.col("_bounds"), lambda b: b["hi"] > F.col("_u") * top["hi"])
-    picked = F.when(F.size(hit) > 0, F.element_at(hit, 1)["l"]).otherwise(top["l"])
-    return df.withColumn("_u", u).join(F.broadcast(table)).withColumn(name, F.when(F.size("_bounds") > 0, picked)).drop("_u", "_bounds")
+    size = F.size("_bounds")
+    bound = lambda i: F.element_at("_bounds", i)
+
+    def halve(s: Column, _: Column) -> Column:  # the first bound above the draw lies from lo to hi
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        above = bound(mid)["hi"] > F.col("_x")
+        return F.struct(F.when(above, s["lo"]).otherwise(F.least(mid + 1, s["hi"])).alias("lo"), F.when(above, mid).otherwise(s["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(size)).cast("int"))
+    at = F.aggregate(steps, F.struct(F.lit(1).alias("lo"), size.alias("hi")), halve, lambda s: s["lo"])
+    rows = df.withColumn("_u", unit(*key, salt=salt)).join(F.broadcast(table))
+    out = rows.withColumn("_x", F.when(size > 0, F.col("_u") * bound(-1)["hi"]))
+    return out.withColumn(name, F.when(size > 0, bound(at)["l"])).drop("_u", "_x", "_bounds")
 
 
 def choose_shape(key: list[C], shapes: list[tuple[int, int]], cameras: C, salt: str = "shape_pool") -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as X
+from ..functions.sql import register
 from ..operators import filters as P
 from ..operators import packing as K
 from ..operators import partitioning as D
@@ -81,3 +82,13 @@ def cuts_and_epochs(spark, sf_dir):
     epoch, row = S.epoch_of(k, 1000)
     counts = F.when(c % 9 > 0, F.array(k % 50, c % 40, F.lit(30).cast("long"))).otherwise(F.array().cast("array<bigint>"))
     return table(spark, sf_dir, "orders").select("o_orderkey", D.promoted(k % 6, c % 4 + 1).alias("cut"), epoch.alias("epoch"), row.alias("row"), P.least_frames(counts).alias("frames"))
+
+
+@query(
+    """WITH r AS (SELECT p_brand, p_retailprice AS v, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice) - 1 AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
+       SELECT p_brand, round(avg(v), 6) AS price FROM r WHERE i >= n // 10 AND i < n - n // 10 GROUP BY p_brand"""
+)
+def trimmed_means(spark, sf_dir):
+    """An aggregate function of our own, from SQL."""
+    register(spark, sf_dir, ["part"])
+    return spark.sql("SELECT p_brand, round(trimmed_mean(p_retailprice), 6) AS price FROM part GROUP BY p_brand")
