@@ -86,9 +86,9 @@ def cuts_and_epochs(spark, sf_dir):
 
 @query(
     """WITH r AS (SELECT p_brand, p_retailprice AS v, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice) - 1 AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
-       SELECT p_brand, round(avg(v), 6) AS price FROM r WHERE i >= n // 10 AND i < n - n // 10 GROUP BY p_brand"""
+       SELECT p_brand, round(avg(v), 9) AS price FROM r WHERE i >= n // 10 AND i < n - n // 10 GROUP BY p_brand"""
 )
 def trimmed_means(spark, sf_dir):
     """An aggregate function of our own, from SQL."""
     register(spark, sf_dir, ["part"])
-    return spark.sql("SELECT p_brand, round(trimmed_mean(p_retailprice), 6) AS price FROM part GROUP BY p_brand")
+    return spark.sql("SELECT p_brand, round(trimmed_mean(p_retailprice), 9) AS price FROM part GROUP BY p_brand")
