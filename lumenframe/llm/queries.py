@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import chat_format, decontaminate, exact_dedup, fill_middle, jaccard_join, language_id, quality, secrets, sentencepiece_bpe, suffix_dedup, toxicity
+from . import chat_format, decontaminate, exact_dedup, fill_middle, jaccard_join, language_id, quality, secrets, sentencepiece_bpe, suffix_dedup, toxicity, word_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def word_vocabulary_path() -> str:
+    """The public vocabulary file with word ends; any file of its kind can be given to the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -63,11 +70,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.digests(word_bpe.encode_decode(table(spark, sf_dir, "documents"), word_vocabulary_path()))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_quality, op4_toxicity, op5_sentencepiece, op6_jaccard_join, op7_suffix_dedup, op8_decontamination, op9_chat_format, op10_secret_scan, op13_fill_middle)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_quality, op4_toxicity, op5_sentencepiece, op6_jaccard_join, op7_suffix_dedup, op8_decontamination, op9_chat_format, op10_secret_scan, op11_word_bpe, op13_fill_middle)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD_LIST = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
