@@ -108,11 +108,9 @@ class WordBpe:
         return dict(zip(self.key.tolist(), self.rank.tolist(), strict=True))
 
     @cached_property
-    def _unassigned(self) -> re.Pattern:
-        """Characters that Python's edition of Unicode does not assign."""
-        free = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)] + [False])
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], free]).astype(np.int8)))
-        return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2).tolist()) + "]")
+    def _unassigned(self) -> np.ndarray:
+        """For each character, whether Python's edition of Unicode does not assign it."""
+        return np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
 
     @cached_property
     def _library(self):
@@ -122,7 +120,7 @@ class WordBpe:
 
     def _cut(self, text: str) -> list[str]:
         """The words of a text without special tokens."""
-        if text.isascii() or not self._unassigned.search(text):
+        if text.isascii() or not self._unassigned[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any():
             return self.words(self.normal(text))
         found = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))
         return [bytes(map(self.byte_of.__getitem__, w)).decode() for w, _ in found]
