@@ -6,15 +6,16 @@ Zone-less timestamps are cast to TIMESTAMP first, as watermarks need; run sessio
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from ..session import checkpoint_root
 from ..tables import saved
+from .state import agreed_reuse, carried_over, changed_tokens, consumption, outstanding, queued_documents, reuse_limited  # noqa: F401
 
 
 def event_stream(spark: SparkSession, path: str, schema: str, time: str = "ts", files_per_trigger: int = 1000) -> DataFrame:
@@ -41,6 +42,12 @@ def first_of_each(df: DataFrame, key: list[str], time: str, late: str) -> DataFr
     return df.withWatermark(time, late).dropDuplicatesWithinWatermark(key)
 
 
+def span_of(df: DataFrame, time: str) -> str:
+    """The time between a table's first and last row, rounded up: a lateness bound that drops none of its rows, in any order."""
+    r = df.agg(F.min(F.unix_seconds(time)).alias("a"), F.max(F.unix_seconds(time)).alias("b")).first()
+    return f"{(r.b or 0) - (r.a or 0) + 1} seconds"
+
+
 def joined_streams(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, within: str, late: str) -> DataFrame:
     """Rows of two streams of the same key, the right one at most ``within`` after the left."""
     l, r = left.withWatermark(left_time, late).alias("l"), right.withWatermark(right_time, late).alias("r")  # noqa: E741
@@ -48,96 +55,97 @@ def joined_streams(left: DataFrame, right: DataFrame, key: str, left_time: str,
     return l.join(r, near)
 
 
-def _stateful(df: DataFrame, key: str, out: str, state: str, f: Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]], mode: str = "append") -> DataFrame:
-    return df.groupBy(key).applyInPandasWithState(f, out, state, mode, GroupStateTimeout.NoTimeout)
+def fresh_values(df: DataFrame, key: str, time: str, value: str, now: str, interval: float) -> DataFrame:
+    """Latest value of each key, or null if it is older than three intervals at its key's ``now``; never 0 for want of a value."""
+    last = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.max_by(value, time).alias("value"), F.max(time).alias("at"))
+    clock = df.groupBy(key).agg(F.max(now).alias("now"))
+    age = F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp"))
+    return clock.join(last, key, "left").select(key, F.when(age <= int(3 * interval * 1e6), F.col("value")).alias("value"), "now")
 
 
-def changed_tokens(df: DataFrame, kind: str, token: str, order: str) -> DataFrame:
-    """Requests whose token differs from the last one of their kind: (kind, token); the same token again is no request."""
+#: Bytes of a file of a replayed table, by Spark's estimate; so many are a batch, which a key's task holds.
+FILE_BYTES = 64 << 20
+_STORE = "spark.sql.streaming.stateStore.providerClass"
 
-    def step(key, frames, state):
-        last = state.get[0] if state.exists else None
-        out = []
-        for t in pd.concat(frames).sort_values(order)[token]:
-            if t != last:
-                out.append(t)
-                last = t
-        state.update((last,))
-        yield pd.DataFrame({"kind": [key[0]] * len(out), "token": out})
 
-    return _stateful(df, kind, "kind string, token string", "token string", step)
+@contextmanager
+def rocks_store(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which maps and timers need; the session's own setting comes back."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(_STORE, before) if before else spark.conf.unset(_STORE)
 
 
-def consumption(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Cursor of each consumer from events ``issued`` and ``consumed`` of running indices: (key, generated, consumed, outstanding).
+def _in_order(spark: SparkSession, path: str) -> int:
+    """Give the files of a folder ascending times in the order of their names, by which a stream takes them; the number of files.
 
-    The state holds how many indices were issued and which of them are still out, oldest first,
-    so a restart from the checkpoint replays exactly those. It is as large as what is out.
+    One call a file, from the driver; no data is moved. A store that keeps no times of its own is refused.
     """
-
-    def step(k, frames, state):
-        generated, consumed, out = state.get if state.exists else (0, 0, [])
-        waiting = dict.fromkeys(out)
-        rows = pd.concat(frames).sort_values(order)
-        for action, index in zip(rows["action"], rows["index_no"], strict=True):
-            if action == "issued":
-                generated += 1
-                waiting[int(index)] = None
-            elif int(index) in waiting:
-                del waiting[int(index)]
-                consumed += 1
-        state.update((generated, consumed, list(waiting)))
-        yield pd.DataFrame({"key": [str(k[0])], "generated": [generated], "consumed": [consumed], "outstanding": [list(waiting)]})
-
-    return _stateful(df, key, "key string, generated long, consumed long, outstanding array<long>", "generated long, consumed long, outstanding array<long>", step, "update")
-
-
-def reuse_limited(df: DataFrame, key: str, order: str, eligible: str, depth: int) -> DataFrame:
-    """How often each sample was used again in a row: (key, uses, again); an ineligible row or the depth resets the count."""
-
-    def step(k, frames, state):
-        uses = state.get[0] if state.exists else 0
-        again = True
-        for e in pd.concat(frames).sort_values(order)[eligible]:
-            again = bool(e) and uses < depth
-            uses = uses + 1 if again else 0
-        state.update((uses,))
-        yield pd.DataFrame({"key": [str(k[0])], "uses": [uses], "again": [again]})
-
-    return _stateful(df, key, "key string, uses long, again boolean", "uses long", step, "update")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(hadoop) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    first = fs.getFileStatus(hadoop).getModificationTime() - 1000 * len(files)
+    for i, f in enumerate(files):
+        fs.setTimes(f, first + 1000 * i, -1)
+    times = [fs.getFileStatus(f).getModificationTime() for f in files]
+    if any(a >= b for a, b in zip(times, times[1:])):
+        raise ValueError(f"{path}: the store keeps no modification times, so the files cannot be replayed in order")
+    return len(files)
+
+
+def replayed(df: DataFrame, order: list[str], parts: int = 0, files_per_trigger: int = 1) -> DataFrame:
+    """A table as a stream: its rows, in order, in files of the shared folder, some files a batch.
+
+    Each file has a range of the order and a time after that of the file before, so batches are in order
+    and hold ranges that do not overlap. The files are as many as the table's bytes ask for, four at least.
+    """
+    if not parts:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        # Spark has no estimate for some inputs, and says something beyond any table
+        parts = max(4, size // FILE_BYTES if size < 1 << 60 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = saved(df.repartitionByRange(parts, *order).sortWithinPartitions(*order))
+    _in_order(df.sparkSession, rows._saved_path)
+    # ages are not looked at: a replayed table is read from its first file, however long ago that was written
+    reader = df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_trigger).option("maxFileAge", "36500d")
+    return reader.parquet(rows._saved_path)
 
 
-def fresh_values(df: DataFrame, key: str, time: str, value: str, now: str, interval: float) -> DataFrame:
-    """Latest value of each key, or null if it is older than three intervals at its key's ``now``; never 0 for want of a value."""
-    last = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.max_by(value, time).alias("value"), F.max(time).alias("at"))
-    clock = df.groupBy(key).agg(F.max(now).alias("now"))
-    age = F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp"))
-    return clock.join(last, key, "left").select(key, F.when(age <= int(3 * interval * 1e6), F.col("value")).alias("value"), "now")
+def started(df: DataFrame, root: str, mode: str = "append") -> StreamingQuery:
+    """Start a stream that writes every batch into a folder of its own under ``root``/rows, its state under ``root``/state."""
+    write = lambda rows, n: rows.write.mode("overwrite").parquet(f"{root}/rows/batch={n}")
+    with rocks_store(df.sparkSession):
+        return df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
 
 
-def replayed(df: DataFrame, order: list[str], parts: int = 4, files_per_trigger: int = 1) -> DataFrame:
-    """A table as a stream: its rows, in order, in ``parts`` files of the shared folder, some files a batch."""
-    rows = saved(df.repartitionByRange(parts, *order).sortWithinPartitions(*order))
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(rows._saved_path)
+def new_root(spark: SparkSession) -> str:
+    """A new folder for a stream, in the shared folder."""
+    return f"{checkpoint_root(spark).rstrip('/')}/lumenframe/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def finished(df: DataFrame, mode: str = "append", key: list[str] = ()) -> DataFrame:
+def finished(df: DataFrame, mode: str = "append", key: list[str] = (), root: str | None = None) -> DataFrame:
     """Drive a stream over all available input into the shared folder, and read the outcome.
 
     Every batch overwrites a folder of its own, so that a repeated batch counts once. The
-    outcome is all rows (append), the last batch (complete), or the last row of each key (update).
+    outcome is all rows (append), the last batch (complete), or the last row of each key (update). With a ``root`` of
+    an earlier run, the stream goes on from where that one stopped.
     """
     spark = df.sparkSession
-    root = f"{checkpoint_root(spark).rstrip('/')}/lumenframe/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    write = lambda rows, n: rows.write.mode("overwrite").parquet(f"{root}/rows/batch={n}")
-    q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    out = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, batch long").parquet(f"{root}/rows")
+    root = root or new_root(spark)
+    started(df, root, mode).awaitTermination()
+    return outcome(spark, df.schema, root, mode, key)
+
+
+def outcome(spark: SparkSession, schema, root: str, mode: str = "append", key: list[str] = ()) -> DataFrame:
+    """What a stream has written under ``root`` so far, as ``finished`` reads it."""
+    out = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, batch long").parquet(f"{root}/rows")
     if mode == "complete":
         last = out.agg(F.max("batch")).first()[0]
         return out.where(F.col("batch") == last).drop("batch")
     if mode == "update":
-        row = F.max_by(F.struct(*df.columns), "batch").alias("_r")
+        row = F.max_by(F.struct(*schema.names), "batch").alias("_r")
         return out.groupBy(*[F.col(k).alias(f"_k_{k}") for k in key]).agg(row).select("_r.*")
     return out.drop("batch")
 
@@ -166,11 +174,13 @@ def guarded(df: DataFrame, order: list[str], path: str) -> DataFrame:
 def run_to_end(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Drive a stream over all available input into an in-memory table, for tests and small reports."""
     w = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    q = (w.option("checkpointLocation", checkpoint) if checkpoint else w).start()
+    with rocks_store(df.sparkSession):
+        q = (w.option("checkpointLocation", checkpoint) if checkpoint else w).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
 
 
 def to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Write a stream as Parquet, each batch committed once."""
-    return df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with rocks_store(df.sparkSession):
+        return df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
