@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import C, col, strip
+from ..tables import prefix
+from .ranged import Ranged, listed
 
 
 def read_manifest(spark: SparkSession, path: str, schema: str | None = None, heavy: list[str] = ()) -> DataFrame:
@@ -35,6 +37,58 @@ def with_row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
     return df.select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias(name))
 
 
+def row_groups(spark: SparkSession, path: str, files_per_task: int = 64) -> DataFrame:
+    """(path, file_name, row_group, first_row, n_rows) of every row group under a path, from the footers, which tasks read.
+
+    ``first_row`` counts inside the file, as ``with_row_ids`` does.
+    """
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column("path").to_pylist():
+                with Ranged(file) as f:
+                    meta = pq.read_metadata(f)
+                n = [meta.row_group(i).num_rows for i in range(meta.num_row_groups)]
+                first = [sum(n[:i]) for i in range(len(n))]
+                yield pa.record_batch([[file] * len(n), [file.rsplit("/", 1)[-1]] * len(n), pa.array(range(len(n)), pa.int64()), pa.array(first, pa.int64()), pa.array(n, pa.int64())], names=["path", "file_name", "row_group", "first_row", "n_rows"])
+
+    files = [(p,) for p, _ in listed(path, (".parquet", ".pq"))]
+    parts = max(1, -(-len(files) // files_per_task))
+    return spark.createDataFrame(files, "path string").repartition(parts).mapInArrow(footers, "path string, file_name string, row_group long, first_row long, n_rows long")
+
+
+def rows_at(spark: SparkSession, path: str, wanted: DataFrame, columns: list[str], file: str = "file_name", row: str = "row_id") -> DataFrame:
+    """(file, row, columns) of the wanted physical rows: a scan that reads their row groups and no others, and of these the columns asked for.
+
+    Row ids become (file, row group, place) by a join with the footers; wanted rows are then dealt by row group, so that each
+    group is read by one task, once; the pages of one group at a time are in memory. Wanted rows that repeat come once; files and rows that are not there, and nulls, give nothing.
+    """
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    schema = spark.read.parquet(path).select(*columns).schema
+    groups = row_groups(spark, path)
+    # a file's groups are a short list, looked through in place
+    table = groups.groupBy("path", "file_name").agg(F.array_sort(F.collect_list(F.struct("first_row", "n_rows", "row_group"))).alias("groups"))
+    asked = wanted.select(F.col(file).alias("asked_file"), F.col(row).cast("long").alias("asked_row")).where("asked_row >= 0").distinct()
+    found = asked.join(table, F.col("asked_file") == F.col("file_name")).withColumn("g", F.get(F.filter("groups", lambda g: (F.col("asked_row") >= g["first_row"]) & (F.col("asked_row") < g["first_row"] + g["n_rows"])), F.lit(0))).where("g IS NOT NULL")
+    lists = found.groupBy("path", "asked_file", F.col("g.row_group").alias("row_group"), F.col("g.first_row").alias("first_row")).agg(F.array_sort(F.collect_list("asked_row")).alias("rows"))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                with Ranged(r["path"]) as f, pq.ParquetFile(f, pre_buffer=False) as part:
+                    places = pa.array([x - r["first_row"] for x in r["rows"]], pa.int64())
+                    t = part.read_row_group(r["row_group"], columns=columns).select(columns).take(places)
+                names = pa.array([r["asked_file"]] * t.num_rows, pa.string())
+                yield from t.add_column(0, row, pa.array(r["rows"], pa.int64())).add_column(0, file, names).to_batches()
+
+    out = f"`{file}` string, `{row}` long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    return lists.repartition("path", "row_group").mapInArrow(fetch, out)
+
+
 def file_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Key-value metadata of a Parquet file's footer: (path, key, value); of a folder, that of its first data file.
 
@@ -102,13 +156,14 @@ def first_of_folder(df: DataFrame, path: str, files: DataFrame, name: str = "fil
     ``files`` has (parent, files) as ``listing`` gives it. Paths without a file fail, when run, or
     give null (``missing="null"``). The listing is exploded and joined, so it may be large.
     """
-    each = files.select("parent", F.explode("files").alias("f")).select(F.concat_ws("/", "parent", "f").alias("_there"))
-    folders = files.select(F.col("parent").alias("_folder"), F.concat_ws("/", "parent", F.get("files", F.lit(0))).alias("_first"))
+    hid = prefix(df, files)
+    each = files.select("parent", F.explode("files").alias("f")).select(F.concat_ws("/", "parent", "f").alias(f"{hid}there"))
+    folders = files.select(F.col("parent").alias(f"{hid}folder"), F.concat_ws("/", "parent", F.get("files", F.lit(0))).alias(f"{hid}first"))
     p = F.regexp_replace(col(path), "/+$", "")
-    out = df.withColumn("_p", p).join(each.withColumn("_own", F.lit(True)), F.col("_p") == F.col("_there"), "left").drop("_there")
-    out = out.withColumn("_q", F.concat("_p", F.lit(".mp4"))).join(each.withColumn("_named", F.lit(True)), F.col("_q") == F.col("_there"), "left").drop("_there")
-    out = out.join(folders, F.col("_p") == F.col("_folder"), "left")
-    found = F.when(F.col("_own"), F.col("_p")).when(F.col("_named"), F.col("_q")).otherwise(F.col("_first"))
+    out = df.withColumn(f"{hid}p", p).join(each.withColumn(f"{hid}own", F.lit(True)), F.col(f"{hid}p") == F.col(f"{hid}there"), "left").drop(f"{hid}there")
+    out = out.withColumn(f"{hid}q", F.concat(f"{hid}p", F.lit(".mp4"))).join(each.withColumn(f"{hid}named", F.lit(True)), F.col(f"{hid}q") == F.col(f"{hid}there"), "left").drop(f"{hid}there")
+    out = out.join(folders, F.col(f"{hid}p") == F.col(f"{hid}folder"), "left")
+    found = F.when(F.col(f"{hid}own"), F.col(f"{hid}p")).when(F.col(f"{hid}named"), F.col(f"{hid}q")).otherwise(F.col(f"{hid}first"))
     if missing == "error":
         found = F.coalesce(found, F.raise_error(F.concat(F.lit("no file for "), F.coalesce(col(path), F.lit("null")))).cast("string"))
     return out.withColumn(name, found).select(*df.columns, name)

@@ -66,49 +66,85 @@ TESTS: dict[str, tuple[Callable[[object, object], bool], str]] = {
     "share": (lambda v, _: _number(v) and 0 <= v <= 1, "is not a probability"),
     "decay": (lambda v, _: _number(v) and 0 <= v < 1, "is not a decay below one"),
     "number": (lambda v, _: _number(v), "is not a number"),
-    "choice": (lambda v, names: v in names, "is none of {}"),
+    "choice": (lambda v, names: any(v == n and type(v) is type(n) for n in names), "is none of {}"),
     "range": (lambda v, least: isinstance(v, (list, tuple)) and len(v) == 2 and all(map(_whole, v)) and least <= v[0] <= v[1], "is not an ordered pair"),
     "sizes": (lambda v, unit: isinstance(v, (list, tuple)) and len(v) == 2 and all(_whole(x) and x > 0 and x % unit == 0 for x in v), "is not a pair of multiples of {}"),
-    "equals": (lambda v, want: v == want, "is not {}"),
+    "equals": (lambda v, want: v == want and type(v) is type(want), "is not {}"),
+    "map of counts": (lambda v, names: isinstance(v, dict) and not set(v) - set(names) and all(_whole(x) and x > 0 for x in v.values()), "is not a map of whole numbers above 0, by the names {}"),
     "unset": (lambda v, _: not v, "is no longer supported"),
 }
 
-#: The rules for values that a recipe gives: (dotted path, test, argument). A path that is absent is sound.
+# Names that recipes of this kind use, and what they may be. A path that begins with ``*`` is looked for in
+# every map at the top, as the section of the model has a name of its own in each recipe; an absent path is sound.
 RULES: list[tuple[str, str, object]] = [
-    ("update_threads", "count", 1), ("batch_size", "count", 1), ("steps", "count", 1), ("chunk_size", "count", 1), ("model_fps", "positive", None),
-    ("clean_prefix_probability", "share", None), ("caption_overlap", "share", None), ("text_dropout", "share", None), ("history_dropout", "share", None), ("condition_noise", "share", None),
-    ("chunk_group_range", "range", 1), ("chunk_size_range", "range", 1), ("attention_block", "sizes", 128), ("average_decay", "decay", None),
-    ("single_sequence", "flag", None), ("grouped_backward", "flag", None), ("compile_checkpoints", "flag", None),
-    ("noise", "choice", ("two_ranges", "shifted_uniform")), ("training_shift", "positive", None), ("sampling_shift", "positive", None),
-    ("inference_weights", "choice", ("auto", "raw", "average")), ("validation_weights", "choice", ("auto", "raw", "average")),
-    ("stage", "choice", (1, 2)), ("first_stage_steps", "count", 1), ("short_frames", "count", 1), ("accumulation", "equals", 1), ("camera_encoding", "choice", ("matrix", "decomposed")),
-    ("strides", "equals", [4, 8, 8]), ("caption_mode", "unset", None), ("dataset.batch_size", "equals", 1),
-    ("buckets.tokens", "count", 1), ("buckets.timesteps", "count", 1), ("buckets.cameras", "count", 1), ("buckets.chunks", "count", 1),
-]
-
-#: Rules between values: (what must hold, what is said otherwise).
-TOGETHER: list[tuple[Callable[[dict], bool], str]] = [
-    (lambda c: c.get("chunk_size_range") is None or bool(c.get("single_sequence")), "chunk_size_range needs single_sequence"),
-    (lambda c: c.get("chunk_size_range") is None or c.get("chunk_group_range") is None, "chunk_size_range and chunk_group_range exclude each other"),
-    (lambda c: "average" not in (c.get("inference_weights"), c.get("validation_weights")) or bool(c.get("average_decay")), "average weights need an average_decay"),
-    (lambda c: not isinstance(c.get("buckets", {}), dict) or not set(c.get("buckets", {})) - {"tokens", "timesteps", "cameras", "chunks"}, "buckets has an unknown name"),
-    (lambda c: isinstance(c.get("buckets", {}), dict), "buckets is not a map"),
-    (lambda c: c.get("solver") != "euler" or (c.get("guidance", 1) == 1 and not c.get("rescale")), "the euler solver takes no guidance"),
+    ("cpu_update_threads", "count", 1),
+    ("gradient_accumulation_steps", "equals", 1),
+    ("ema_weight", "decay", None),
+    ("inference_weights", "choice", ("auto", "raw", "ema")),
+    ("validation_weights", "choice", ("auto", "raw", "ema")),
+    ("timestep_shift", "positive", None),
+    ("model.timestep_shift", "positive", None),
+    ("model.vae_stride", "equals", [4, 8, 8]),
+    ("model.prope_mode", "choice", ("matrix", "decomposed")),
+    ("model.mv_prope_mode", "choice", ("matrix", "decomposed")),
+    ("dataset.batch_size", "equals", 1),
+    ("*.checkpoint_outside_compile", "flag", None),
+    ("*.single_sequence", "flag", None),
+    ("*.grouped_attention_backward", "flag", None),
+    ("*.caption_mode", "unset", None),
+    ("*.clean_prefix_probability", "share", None),
+    ("*.caption_overlap_threshold", "share", None),
+    ("*.condition_noise", "share", None),
+    ("*.chunk_group_range", "range", 1),
+    ("*.chunk_size_range", "range", 1),
+    ("*.training_attention_block_size", "sizes", 128),
+    ("*.stage", "choice", (1, 2)),
+    ("*.short_frames", "count", 1),
+    ("*.stage1_steps", "count", 1),
+    ("*.training_shape_buckets", "map of counts", ("tokens", "timesteps", "cameras", "chunks")),
 ]
 
+#: Rules between values: (what must hold of a lookup of paths, what is said otherwise).
+TOGETHER: list[tuple[Callable[[Callable[[str], object]], bool], str]] = [
+    (lambda at: at("*.chunk_size_range") is None or at("*.single_sequence") is True, "chunk_size_range needs single_sequence"),
+    (lambda at: at("*.chunk_size_range") is None or at("*.chunk_group_range") is None, "chunk_size_range and chunk_group_range exclude each other"),
+    (lambda at: "ema" not in (at("inference_weights"), at("validation_weights")) or bool(at("ema_weight")), "averaged weights need an ema_weight"),
+]
+
+
+def value_at(config: object, path: str) -> object:
+    """The value at a dotted path; ``*`` stands for the first top map that has the rest of it. None where there is none."""
+    head, _, rest = path.partition(".")
+    if head == "*":
+        sections = [v for v in config.values() if isinstance(v, dict)] if isinstance(config, dict) else []
+        return next((x for v in sections if (x := value_at(v, rest)) is not None), None)
+    value = config.get(head) if isinstance(config, dict) else None
+    return value_at(value, rest) if rest else value
+
+
+def faults(config: object, rules: list[tuple[str, str, object]] = RULES, together: list[tuple[Callable, str]] = TOGETHER) -> list[str]:
+    """What is wrong with a recipe, of whatever shape: an empty list for a sound one.
 
-def faults(config: dict, rules: list[tuple[str, str, object]] = RULES) -> list[str]:
-    """What is wrong with a recipe: an empty list for a sound one."""
+    Callers bring rules of their own for their own keys.
+    """
+    if not isinstance(config, dict):
+        return ["the recipe is not a map"]
     out = []
     for path, name, want in rules:
-        value: object = config
-        for k in path.split("."):
-            value = value.get(k) if isinstance(value, dict) else None
-        test, said = TESTS[name]
+        value, (test, said) = value_at(config, path), TESTS[name]
         if value is not None and not test(value, want):
             out.append(f"{path} {said.format(want)}")
-    out += [said for holds, said in TOGETHER if not holds(config)]
-    for i, s in enumerate(config.get("dataset", {}).get("sources", [])):
+    out += [said for holds, said in together if not holds(lambda path: value_at(config, path))]
+    dataset = config.get("dataset", {})
+    if not isinstance(dataset, dict):
+        return [*out, "dataset is not a map"]
+    sources = dataset.get("sources", [])
+    if not isinstance(sources, (list, tuple)):
+        return [*out, "dataset.sources is not a list"]
+    for i, s in enumerate(sources):
+        if not isinstance(s, dict):
+            out.append(f"dataset.sources[{i}] is not a map")
+            continue
         if "type" not in s:
             out.append(f"dataset.sources[{i}] has no type")
         if not _number(s.get("sampling_weight_power", 0.8)):

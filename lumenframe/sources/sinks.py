@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import C, col
+from ..tables import prefix
 
 
 def append_metrics(df: DataFrame, path: str) -> None:
@@ -41,8 +42,9 @@ def latest(spark: SparkSession, root: str) -> DataFrame | None:
 
 def retained(generations: DataFrame, step: str, newest: int, protected: list[int] = ()) -> DataFrame:
     """Generations with whether they stay: the newest n, and those protected."""
-    top = generations.select(F.col(step).alias("_s")).distinct().orderBy(F.col("_s").desc()).limit(newest)
-    return generations.join(F.broadcast(top), F.col(step) == F.col("_s"), "left").withColumn("kept", F.col("_s").isNotNull() | F.col(step).isin(*protected) if protected else F.col("_s").isNotNull()).drop("_s")
+    hid = prefix(generations)
+    top = generations.select(F.col(step).alias(f"{hid}s")).distinct().orderBy(F.col(f"{hid}s").desc()).limit(newest)
+    return generations.join(F.broadcast(top), F.col(step) == F.col(f"{hid}s"), "left").withColumn("kept", F.col(f"{hid}s").isNotNull() | F.col(step).isin(*protected) if protected else F.col(f"{hid}s").isNotNull()).drop(f"{hid}s")
 
 
 def cache_writes(requests: DataFrame, key: str, rank: str, present: DataFrame) -> DataFrame:
@@ -52,9 +54,10 @@ def cache_writes(requests: DataFrame, key: str, rank: str, present: DataFrame) -
 
 def shard_numbers(df: DataFrame, order: list[str], size: str, most: int) -> DataFrame:
     """Shard of each row when shards are cut by running size: the number of whole limits before the row."""
+    hid = prefix(df)
     from ..operators.sampling import running_total
 
-    return running_total(df, order, size, "_before").withColumn("shard", F.floor(F.col("_before") / most).cast("long")).drop("_before")
+    return running_total(df, order, size, f"{hid}before").withColumn("shard", F.floor(F.col(f"{hid}before") / most).cast("long")).drop(f"{hid}before")
 
 
 def write_shards(df: DataFrame, order: list[str], size: str, most: int, path: str) -> DataFrame:
@@ -103,8 +106,9 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 
 def unexpected(actual: DataFrame, expected: DataFrame, key: str, value: str) -> DataFrame:
     """Expected rows whose actual value differs or is absent."""
-    a = actual.select(F.col(key).alias("_k"), F.col(value).alias("actual"))
-    return expected.join(a, F.col(key) == F.col("_k"), "left").where(~F.col(value).eqNullSafe(F.col("actual"))).drop("_k")
+    hid = prefix(actual, expected)
+    a = actual.select(F.col(key).alias(f"{hid}k"), F.col(value).alias("actual"))
+    return expected.join(a, F.col(key) == F.col(f"{hid}k"), "left").where(~F.col(value).eqNullSafe(F.col("actual"))).drop(f"{hid}k")
 
 
 def routed(metrics: DataFrame, name: str, value: str, step: str, offset: int = 0) -> tuple[DataFrame, DataFrame]:
