@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import C, col, half_even, normal_path, strip
+from ..tables import prefix
 
 
 def _blank(p: Column) -> Column:
@@ -69,14 +70,15 @@ def least_frames(num_frames: C) -> Column:
 
 def slice_rows(df: DataFrame, order: list[str], start: int | None = None, stop: int | None = None, step: int = 1) -> DataFrame:
     """Rows start, start + step, ... before stop, counted from 0 in the given total order."""
+    hid = prefix(df)
     from .sampling import numbered
 
-    df = numbered(df, order, "_n")
+    df = numbered(df, order, f"{hid}n")
     lo = start or 0
-    keep = (F.col("_n") >= lo) & (F.pmod(F.col("_n") - lo, F.lit(step)) == 0)
+    keep = (F.col(f"{hid}n") >= lo) & (F.pmod(F.col(f"{hid}n") - lo, F.lit(step)) == 0)
     if stop is not None:
-        keep &= F.col("_n") < stop
-    return df.where(keep).drop("_n")
+        keep &= F.col(f"{hid}n") < stop
+    return df.where(keep).drop(f"{hid}n")
 
 
 def window_bounds(frame_start: C, frame_end: C) -> tuple[Column, Column]:
@@ -97,22 +99,23 @@ def runtime_shape(df: DataFrame, views: str, latents: str, table: dict[str, str
 
     The remap table has one entry per shape of a recipe, a few dozen rows, and is broadcast as such.
     """
+    hid = prefix(df)
     spark = df.sparkSession
     rows = []
     for k, v in table.items():
         a, b = (int(x) for x in k.split("x"))
         to = [int(x) for x in v.split("x")] if isinstance(v, str) and "x" in v else [a, int(v)]
         rows.append((a, b, to[0], to[1]))
-    remap = spark.createDataFrame(rows, "_v long, _l long, _tv long, _tl long")
-    out = df.join(F.broadcast(remap), (F.col(views) == F.col("_v")) & (F.col(latents) == F.col("_l")), "left")
-    v, g = F.coalesce("_tv", F.col(views).cast("long")), F.coalesce("_tl", F.col(latents).cast("long"))
+    remap = spark.createDataFrame(rows, f"{hid}v long, {hid}l long, {hid}tv long, {hid}tl long")
+    out = df.join(F.broadcast(remap), (F.col(views) == F.col(f"{hid}v")) & (F.col(latents) == F.col(f"{hid}l")), "left")
+    v, g = F.coalesce(f"{hid}tv", F.col(views).cast("long")), F.coalesce(f"{hid}tl", F.col(latents).cast("long"))
     if max_views > 0:
         capped = F.least(v, F.lit(max_views))
         v = F.when(F.coalesce(F.col(isolated), F.lit(False)), v).otherwise(capped) if isolated else capped
     if max_latents > 0:
         g = F.least(g, F.lit(max_latents))
     shape = {"rt_views": F.greatest(F.lit(1), F.least(v, F.col(views))), "rt_latents": F.greatest(F.lit(1), F.least(g, F.col(latents)))}
-    return out.withColumns(shape).drop("_v", "_l", "_tv", "_tl")
+    return out.withColumns(shape).drop(f"{hid}v", f"{hid}l", f"{hid}tv", f"{hid}tl")
 
 
 def truncated(values: C, n: C) -> Column:

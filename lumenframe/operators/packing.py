@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import C, ceil_div, col, lcm, whole_div
-from .sampling import numbered, running_in_groups
+from ..functions.scalar import C, ceil_div, col, half_even, lcm, whole_div
+from ..tables import prefix
+from .sampling import MOST_CHOICES, bounded, numbered, running_in_groups
 
 
 def running_offsets(df: DataFrame, by: list[str], order: list[str], size: str, name: str = "offset") -> DataFrame:
@@ -28,9 +29,10 @@ def padded_length(length: C, parallel: C, bucket: C) -> Column:
 
 def padded_rows(df: DataFrame, by: list[str], order: str, multiple: int, repeat_last: bool = True) -> DataFrame:
     """Add rows until each group's count is a multiple: copies of its last row, or rows of nulls. ``pad`` marks them."""
-    last = df.groupBy(*by).agg(F.count("*").alias("_n"), F.max_by(F.struct(*df.columns), order).alias("_last"), F.max(order).alias("_top"))
-    more = last.withColumn("_add", F.pmod(-F.col("_n"), F.lit(multiple))).where("_add > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_add"))))
-    values = [F.col(c) if c in by else (F.col("_top") + F.col("_k")).alias(c) if c == order else (F.col(f"_last.{c}") if repeat_last else F.lit(None)).alias(c) for c in df.columns]
+    hid = prefix(df)
+    last = df.groupBy(*by).agg(F.count("*").alias(f"{hid}n"), F.max_by(F.struct(*df.columns), order).alias(f"{hid}last"), F.max(order).alias(f"{hid}top"))
+    more = last.withColumn(f"{hid}add", F.pmod(-F.col(f"{hid}n"), F.lit(multiple))).where(f"{hid}add > 0").withColumn(f"{hid}k", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{hid}add"))))
+    values = [F.col(c) if c in by else (F.col(f"{hid}top") + F.col(f"{hid}k")).alias(c) if c == order else (F.col(f"{hid}last.{c}") if repeat_last else F.lit(None)).alias(c) for c in df.columns]
     return df.withColumn("pad", F.lit(False)).unionByName(more.select(*values, F.lit(True).alias("pad")))
 
 
@@ -51,27 +53,51 @@ def dense_levels(df: DataFrame, columns: list[str], name: str = "level") -> Data
 
     Distinct combinations are numbered on their own and joined back, so only they are sorted.
     """
+    hid = prefix(df)
     from .joins import small
 
     keys = numbered(df.select(*columns).distinct(), columns, name)
-    side = keys.withColumnsRenamed({c: f"_k_{c}" for c in columns})
+    side = keys.withColumnsRenamed({c: f"{hid}k_{c}" for c in columns})
     same = F.lit(True)
     for c in columns:
-        same = F.col(c).eqNullSafe(F.col(f"_k_{c}")) & same
-    return df.join(small(side), same).drop(*[f"_k_{c}" for c in columns])
+        same = F.col(c).eqNullSafe(F.col(f"{hid}k_{c}")) & same
+    return df.join(small(side), same).drop(*[f"{hid}k_{c}" for c in columns])
 
 
 def exploded_views(df: DataFrame, keep: list[str], lists: list[str], views: str | None = None) -> DataFrame:
     """One row per sample and view from per-view lists, sample-major; a list whose length is not the view count gives nulls."""
+    hid = prefix(df)
     n = F.col(views) if views else F.size(lists[0])
     zipped = F.arrays_zip(*[F.when(F.size(c) == n, F.col(c)).otherwise(F.array()).alias(c) for c in lists])
-    return df.select(*keep, F.posexplode(zipped).alias("view", "_v")).select(*keep, F.col("view").cast("long").alias("view"), *[F.col(f"_v.{c}").alias(c) for c in lists])
+    return df.select(*keep, F.posexplode(zipped).alias("view", f"{hid}v")).select(*keep, F.col("view").cast("long").alias("view"), *[F.col(f"{hid}v.{c}").alias(c) for c in lists])
+
+
+def untiled(df: DataFrame, canvas: str, width: int, height: int, layout: DataFrame, frames: int = 1) -> DataFrame:
+    """The views of a packed canvas: a row (view, view_height, view_width, pixels) for each view of each row.
+
+    ``canvas`` is a flat array of ``frames`` images of ``height`` by ``width``; ``layout`` has (view, scale, x, y), the share of the
+    canvas' sides that a view takes and where it begins, as a recipe gives it (some tens of rows). Sides and places are rounded half to even, and
+    a view ends where the canvas does. ``pixels`` is flat again, frame by frame, row by row. A null canvas gives nulls.
+    """
+    hid = prefix(df)
+    side = lambda share, n: half_even(F.col(share) * n).cast("int")
+    box = layout.select(F.col("view").cast("long").alias("view"), side("x", width).alias("x"), side("y", height).alias("y"), side("scale", width).alias("w"), side("scale", height).alias("h"))
+    box = box.withColumns({"w": F.greatest(F.least("w", F.lit(width) - F.col("x")), F.lit(0)), "h": F.greatest(F.least("h", F.lit(height) - F.col("y")), F.lit(0))})
+    table = bounded(box, MOST_CHOICES, "views").agg(F.array_sort(F.collect_list(F.struct("view", "x", "y", "w", "h"))).alias(f"{hid}boxes"))
+    keep = [c for c in df.columns if c not in ("view", "view_height", "view_width", "pixels")]
+    rows = df.join(F.broadcast(table)).select(*df.columns, F.explode(f"{hid}boxes").alias(f"{hid}b"))
+    b = F.col(f"{hid}b")
+    line = lambda t, r: F.slice(F.col(canvas), (t * height + r) * width + b["x"] + 1, b["w"])
+    lines = F.when(b["h"] > 0, F.sequence(b["y"], b["y"] + b["h"] - 1)).otherwise(F.array().cast("array<int>"))
+    pixels = F.flatten(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(frames - 1)), lambda t: F.transform(lines, lambda r: line(t, r)))))
+    return rows.select(*keep, b["view"].alias("view"), b["h"].cast("long").alias("view_height"), b["w"].cast("long").alias("view_width"), F.when(F.col(canvas).isNotNull(), pixels).alias("pixels"))
 
 
 def gathered_views(df: DataFrame, by: list[str], view: str, columns: list[str]) -> DataFrame:
     """The reverse: one row per sample with per-view lists in view order."""
-    both = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(view, *columns))).alias("_v"))
-    return both.select(*by, F.size("_v").alias("views"), *[F.col(f"_v.{c}").alias(c) for c in columns])
+    hid = prefix(df)
+    both = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(view, *columns))).alias(f"{hid}v"))
+    return both.select(*by, F.size(f"{hid}v").alias("views"), *[F.col(f"{hid}v.{c}").alias(c) for c in columns])
 
 
 def tile_starts(length: C, tile: int, overlap: int, unit: int = 1) -> Column:

@@ -6,10 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 from ..functions.scalar import C, col, integer_draw, unit
-from ..tables import saved
+from ..tables import saved, unused
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "n", parts: int = 0) -> DataFrame:
@@ -18,50 +17,61 @@ def numbered(df: DataFrame, order: list[str], name: str = "n", parts: int = 0) -
     Rows are range-partitioned, sorted and numbered inside their partition; that table is
     written once, so that partition sizes (one row each) and rows agree on who is where.
     """
-    rows, before = _dealt(df, order, parts)
-    sizes = rows.groupBy("_part").agg(F.count("*").alias("_size")).select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.join(F.broadcast(sizes), "_part").withColumn(name, place + F.col("_before")).drop("_part", "_id", "_before")
+    names, size, start = df.columns, *unused(df, "size", "before")
+    rows, row, part = _dealt(df, order, parts)
+    sizes = rows.groupBy(part).agg(F.count("*").alias(size)).select(part, _sum_before(size, part).alias(start))
+    place = F.col(row).bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(sizes), part).select(*[c for c in names if c != name], (place + F.col(start)).alias(name))
 
 
 def running_total(df: DataFrame, order: list[str], size: str, name: str = "before", parts: int = 0) -> DataFrame:
     """Exclusive running sum of sizes over the whole table in a total order, dealt as in ``numbered``; null sizes add nothing."""
-    rows, before = _dealt(df, order, parts)
-    sizes = rows.groupBy("_part").agg(F.sum(size).alias("_size")).select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_parts_before"))
-    inside = Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
-    own = rows.withColumn("_own", F.coalesce(F.sum(size).over(inside), F.lit(0)))
-    return own.join(F.broadcast(sizes), "_part").withColumn(name, (F.col("_own") + F.col("_parts_before")).cast("long")).drop("_part", "_id", "_own", "_parts_before")
+    names, whole, start, own = df.columns, *unused(df, "size", "before", "own")
+    rows, row, part = _dealt(df, order, parts)
+    sizes = rows.groupBy(part).agg(F.sum(size).alias(whole)).select(part, _sum_before(whole, part).alias(start))
+    inside = Window.partitionBy(part).orderBy(row).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn(own, F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    return rows.join(F.broadcast(sizes), part).select(*[c for c in names if c != name], (F.col(own) + F.col(start)).cast("long").alias(name))
 
 
-def _dealt(df: DataFrame, order: list[str], parts: int) -> tuple[DataFrame, WindowSpec]:
-    """Range-partitioned, sorted rows with the number of their part, and the window over the parts before one."""
+def _sum_before(size: str, part: str) -> Column:
+    """The sizes of all parts before one; a row a part, so one task has few rows."""
+    return F.coalesce(F.sum(size).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _dealt(df: DataFrame, order: list[str], parts: int) -> tuple[DataFrame, str, str]:
+    """Range-partitioned, sorted rows, and the names of the columns with a row's number and its part's, which ``df`` does not have."""
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = saved(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
-    return rows.withColumn("_part", F.shiftright("_id", 33)), Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    row, part = unused(df, "id", "part")
+    rows = saved(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(row, F.monotonically_increasing_id()))
+    return rows.withColumn(part, F.shiftright(row, 33)), row, part
 
 
 def strided_shard(df: DataFrame, order: list[str], shard: int, shards: int) -> DataFrame:
     """Every ``shards``-th row from row ``shard`` in the total order."""
-    return numbered(df, order, "_n").where(F.pmod(F.col("_n") - shard, F.lit(shards)) == 0).drop("_n")
+    (n,) = unused(df, "n")
+    return numbered(df, order, n).where(F.pmod(F.col(n) - shard, F.lit(shards)) == 0).drop(n)
 
 
 def running_in_groups(df: DataFrame, by: list[str], order: list[str], size: Column, name: str, parts: int = 0) -> DataFrame:
     """Exclusive running sum of ``size`` inside each group, without bringing a group to one task.
 
     Rows are range-partitioned by group and order, so a large group has many parts; sums of a
-    group's parts (a row each) are summed up and joined to the sums inside the parts.
+    group's parts (a row each) are summed up and joined to the sums inside the parts. A column of
+    the result's name is replaced; no other column of the table is touched.
     """
     names = df.columns
-    rows, _ = _dealt(df.withColumn("_size", size), [*by, *order], parts)
-    inside = Window.partitionBy(*by, "_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
-    own = rows.withColumn("_own", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(*by, "_part").agg(F.sum("_size").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-    side = sums.where("_before <> 0").select(*[F.col(c).alias(f"_g_{c}") for c in by], F.col("_part").alias("_p"), "_before")  # most groups lie in one part
-    same = F.col("_part") == F.col("_p")
-    for c in by:
-        same = F.col(c).eqNullSafe(F.col(f"_g_{c}")) & same
-    return own.join(side, same, "left").select(*names, (F.col("_own") + F.coalesce("_before", F.lit(0))).alias(name))
+    own_size, own, total, start, other, *groups = unused(df, "size", "own", "sum", "before", "p", *[f"g_{c}" for c in by])
+    rows, row, part = _dealt(df.withColumn(own_size, size), [*by, *order], parts)
+    inside = Window.partitionBy(*by, part).orderBy(row).rowsBetween(Window.unboundedPreceding, -1)
+    rows_before = rows.withColumn(own, F.coalesce(F.sum(own_size).over(inside), F.lit(0)))
+    before = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*by, part).agg(F.sum(own_size).alias(total)).withColumn(start, F.coalesce(F.sum(total).over(before), F.lit(0)))
+    side = sums.where(F.col(start) != 0).select(*[F.col(c).alias(g) for c, g in zip(by, groups, strict=True)], F.col(part).alias(other), start)  # most groups lie in one part
+    same = F.col(part) == F.col(other)
+    for c, g in zip(by, groups, strict=True):
+        same = F.col(c).eqNullSafe(F.col(g)) & same
+    return rows_before.join(side, same, "left").select(*[c for c in names if c != name], (F.col(own) + F.coalesce(start, F.lit(0))).alias(name))
 
 
 def place_in_groups(df: DataFrame, by: list[str], order: list[str], name: str = "place", parts: int = 0) -> DataFrame:
@@ -92,8 +102,9 @@ def mixture_weights(sources: DataFrame, eff: str = "eff", power: C = 0.8) -> Dat
     """
     p = F.lit(power) if isinstance(power, float) else col(power)
     raw = F.when(F.col(eff) > 0, F.pow(F.col(eff).cast("double"), p)).otherwise(F.lit(0.0))
-    total = F.sum("_w").over(Window.partitionBy())
-    return sources.withColumn("_w", raw).withColumn("weight", F.coalesce(F.col("_w") / F.nullif(total, F.lit(0.0)), F.lit(0.0))).drop("_w")
+    (w,) = unused(sources, "w")
+    total = F.sum(w).over(Window.partitionBy())
+    return sources.withColumn(w, raw).withColumn("weight", F.coalesce(F.col(w) / F.nullif(total, F.lit(0.0)), F.lit(0.0))).drop(w)
 
 
 def choose_weighted(df: DataFrame, key: list[str], choices: DataFrame, label: str, weight: str, salt: str = "", name: str = "choice") -> DataFrame:
@@ -103,21 +114,33 @@ def choose_weighted(df: DataFrame, key: list[str], choices: DataFrame, label: st
     order, so a row's choice is a lookup and nothing is joined row by row.
     """
     w = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, 0)
+    all_bounds, draw, at = unused(df, "bounds", "u", "x")
     bounds = choices.where(F.col(weight) > 0).select(F.col(label).alias("l"), F.sum(weight).over(w).alias("hi"))
-    table = bounds.agg(F.array_sort(F.collect_list(F.struct("hi", "l"))).alias("_bounds"))
-    size = F.size("_bounds")
-    bound = lambda i: F.element_at("_bounds", i)
+    table = bounded(bounds, MOST_CHOICES, "choices").agg(F.array_sort(F.collect_list(F.struct("hi", "l"))).alias(all_bounds))
+    size = F.size(all_bounds)
+    bound = lambda i: F.element_at(all_bounds, i)
 
     def halve(s: Column, _: Column) -> Column:  # the first bound above the draw lies from lo to hi
         mid = F.shiftright(s["lo"] + s["hi"], 1)
-        above = bound(mid)["hi"] > F.col("_x")
+        above = bound(mid)["hi"] > F.col(at)
         return F.struct(F.when(above, s["lo"]).otherwise(F.least(mid + 1, s["hi"])).alias("lo"), F.when(above, mid).otherwise(s["hi"]).alias("hi"))
 
     steps = F.sequence(F.lit(0), F.ceil(F.log2(size)).cast("int"))
-    at = F.aggregate(steps, F.struct(F.lit(1).alias("lo"), size.alias("hi")), halve, lambda s: s["lo"])
-    rows = df.withColumn("_u", unit(*key, salt=salt)).join(F.broadcast(table))
-    out = rows.withColumn("_x", F.when(size > 0, F.col("_u") * bound(-1)["hi"]))
-    return out.withColumn(name, F.when(size > 0, bound(at)["l"])).drop("_u", "_x", "_bounds")
+    found = F.aggregate(steps, F.struct(F.lit(1).alias("lo"), size.alias("hi")), halve, lambda s: s["lo"])
+    rows = df.withColumn(draw, unit(*key, salt=salt)).join(F.broadcast(table))
+    out = rows.withColumn(at, F.when(size > 0, F.col(draw) * bound(-1)["hi"]))
+    return out.withColumn(name, F.when(size > 0, bound(found)["l"])).drop(draw, at, all_bounds)
+
+
+#: The most rows of a table that becomes one array and is broadcast: choices of a draw, tiers of a recipe.
+MOST_CHOICES = 100_000
+
+
+def bounded(df: DataFrame, most: int, what: str) -> DataFrame:
+    """The table, if it has at most ``most`` rows; an error where it is run if it has more."""
+    n, stop = unused(df, "n", "stop")
+    few = F.when(F.col(n) > most, F.raise_error(F.concat(F.lit(f"too many {what} for one array: "), F.col(n).cast("string")))).otherwise(F.lit(True))
+    return df.withColumn(n, F.count("*").over(Window.partitionBy())).withColumn(stop, few.cast("boolean")).where(stop).select(*df.columns)
 
 
 def choose_shape(key: list[C], shapes: list[tuple[int, int]], cameras: C, salt: str = "shape_pool") -> Column:
@@ -130,7 +153,8 @@ def choose_shape(key: list[C], shapes: list[tuple[int, int]], cameras: C, salt:
 def shuffled(df: DataFrame, group: list[str], key: str, salt: str = "", name: str = "place") -> DataFrame:
     """Place of each row in a shuffle of its group: the order of a digest of salt and key, then of the key."""
     digest = F.md5(F.concat_ws("|", F.lit(salt), F.col(key).cast("string")))
-    return place_in_groups(df.withColumn("_d", digest), group, ["_d", key], name).drop("_d")
+    (d,) = unused(df, "d")
+    return place_in_groups(df.withColumn(d, digest), group, [d, key], name).drop(d)
 
 
 def replacement_sample(spark, rows: int, draws: int, seed: str, block: int = 32) -> DataFrame:
@@ -156,9 +180,10 @@ def first_fit(df: DataFrame, tiers: DataFrame, fits: Callable[[Column], Column],
     Tiers are a priority list of a recipe (a handful of rows): they become one array that is
     looked through in place, so nothing is exploded or shuffled. ``fits`` gets a tier.
     """
-    table = tiers.agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in tiers.columns if c != order]))).alias("_tiers"))
-    found = F.get(F.filter("_tiers", lambda t: F.coalesce(fits(t), F.lit(False))), F.lit(0))
-    return df.join(F.broadcast(table)).withColumn("_tier", found).select(*df.columns, *[F.col(f"_tier.{c}").alias(c) for c in columns])
+    every, first = unused(df, "tiers", "tier")
+    table = bounded(tiers, MOST_CHOICES, "tiers").agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in tiers.columns if c != order]))).alias(every))
+    found = F.get(F.filter(every, lambda t: F.coalesce(fits(t), F.lit(False))), F.lit(0))
+    return df.join(F.broadcast(table)).withColumn(first, found).select(*df.columns, *[F.col(f"{first}.{c}").alias(c) for c in columns])
 
 
 def text_dropped(text: C, rate: float, *key: C, salt: str = "text") -> Column:
@@ -205,11 +230,14 @@ def drawn_rows(draws: DataFrame, rows: DataFrame, group: list[str], draw: str, k
     Draws 0 to n - 1 go through a shuffle of the group's n rows; later ones are independent. A
     group without rows gives null.
     """
-    places = shuffled(rows.select(*group, key), group, key, salt, "_place").select(*[F.col(c).alias(f"_g_{c}") for c in group], F.col(key).alias("_key"), "_place")
-    size = rows.groupBy(*[F.col(c).alias(f"_s_{c}") for c in group]).agg(F.count("*").alias("_n"))
-    same = lambda p: [F.col(c).eqNullSafe(F.col(f"_{p}_{c}")) for c in group]
-    out = draws.join(size, same("s"), "left").withColumn("_at", F.when(F.col(draw) < F.col("_n"), F.col(draw)).otherwise(integer_draw("_n", *group, draw, salt=f"{salt}/again")))
-    return out.join(places, [*same("g"), F.col("_at") == F.col("_place")], "left").select(*draws.columns, F.col("_key").alias(key))
+    k, at_row, at, n, *names = unused(draws, "key", "place", "at", "n", *[f"g_{c}" for c in group], *[f"s_{c}" for c in group])
+    g, s = names[: len(group)], names[len(group) :]
+    place = unused(rows.select(*group, key), "place")[0]
+    places = shuffled(rows.select(*group, key), group, key, salt, place).select(*[F.col(c).alias(x) for c, x in zip(group, g, strict=True)], F.col(key).alias(k), F.col(place).alias(at_row))
+    size = rows.groupBy(*[F.col(c).alias(x) for c, x in zip(group, s, strict=True)]).agg(F.count("*").alias(n))
+    same = lambda xs: [F.col(c).eqNullSafe(F.col(x)) for c, x in zip(group, xs, strict=True)]
+    out = draws.join(size, same(s), "left").withColumn(at, F.when(F.col(draw) < F.col(n), F.col(draw)).otherwise(integer_draw(n, *group, draw, salt=f"{salt}/again")))
+    return out.join(places, [*same(g), F.col(at) == F.col(at_row)], "left").select(*[c for c in draws.columns if c != key], F.col(k).alias(key))
 
 
 def conditioning_views(views: C, key: list[C], dropped: float, others: float, each: float) -> Column:
@@ -237,5 +265,6 @@ def ring_offsets(views: C, ring: C, spread: float, *key: C) -> Column:
 def shared_walk(walk: DataFrame, views: DataFrame, key: list[str], ring: int, offsets: str) -> DataFrame:
     """Every view of a sample along one walk of (key, step, view, frame): its camera is the walk's, turned by the view's
     offset; frames are shared, so views stay in step. (key, step, place, camera, frame)."""
-    each = views.select(*key, F.posexplode(offsets).alias("place", "_offset"))
-    return walk.join(each, key).select(*key, "step", F.col("place").cast("long").alias("place"), F.pmod(F.col("view") + F.col("_offset"), F.lit(ring)).alias("camera"), "frame")
+    (turn,) = unused(walk, "offset")
+    each = views.select(*key, F.posexplode(offsets).alias("place", turn))
+    return walk.select(*key, "step", "view", "frame").join(each, key).select(*key, "step", F.col("place").cast("long").alias("place"), F.pmod(F.col("view") + F.col(turn), F.lit(ring)).alias("camera"), "frame")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import prefix
+
 
 def union_sources(parts: dict[str, DataFrame], name: str = "origin") -> DataFrame:
     """All sources as one, columns matched by name, absent ones null, with the source's name and rank."""
@@ -34,7 +36,8 @@ def common(a: DataFrame, b: DataFrame, keep_copies: bool = False) -> DataFrame:
 
 def in_requested_order(df: DataFrame, key: str, wanted: list) -> DataFrame:
     """Rows of the wanted keys, each as often as asked, with its place in the list; the list is the caller's, so it is small."""
+    hid = prefix(df)
     spark = df.sparkSession
     kind = dict(df.dtypes)[key]
-    ask = spark.createDataFrame(list(enumerate(wanted)), f"place long, _k {kind}")
-    return df.join(F.broadcast(ask), F.col(key) == F.col("_k")).drop("_k")
+    ask = spark.createDataFrame(list(enumerate(wanted)), f"place long, {hid}k {kind}")
+    return df.join(F.broadcast(ask), F.col(key) == F.col(f"{hid}k")).drop(f"{hid}k")

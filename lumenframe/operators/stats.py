@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import C, col, gamma_exponent, psnr
+from ..tables import prefix, unused
 from .sampling import place_in_groups, running_in_groups
 
 
@@ -46,16 +47,17 @@ def exact_percentiles(df: DataFrame, by: list[str], value: C, shares: dict[str,
     Equal values are counted first, the counts are summed up in order in parts of a group, and
     each percentile picks the two values around its rank: no task holds the values of a group.
     """
-    counts = df.where(col(value).isNotNull()).groupBy(*by, col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
-    total = counts.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(F.sum("_c").alias("_n"))
+    hid = prefix(df)
+    counts = df.where(col(value).isNotNull()).groupBy(*by, col(value).cast("double").alias(f"{hid}v")).agg(F.count("*").alias(f"{hid}c"))
+    total = counts.groupBy(*[F.col(c).alias(f"{hid}g_{c}") for c in by]).agg(F.sum(f"{hid}c").alias(f"{hid}n"))
     same = F.lit(True)
     for c in by:
-        same = F.col(c).eqNullSafe(F.col(f"_g_{c}")) & same
-    placed = running_in_groups(counts, by, ["_v"], F.col("_c"), "_before").join(total, same)
-    rank = {n: (F.col("_n") - 1) * F.lit(share) for n, share in shares.items()}
-    at = lambda r: F.max(F.when((F.col("_before") <= r) & (r < F.col("_before") + F.col("_c")), F.col("_v")))
-    picked = placed.groupBy(*by).agg(F.max("_n").alias("_n"), *[at(F.floor(r)).alias(f"_lo_{n}") for n, r in rank.items()], *[at(F.ceil(r)).alias(f"_hi_{n}") for n, r in rank.items()])
-    between = {n: F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * (r - F.floor(r)) for n, r in rank.items()}
+        same = F.col(c).eqNullSafe(F.col(f"{hid}g_{c}")) & same
+    placed = running_in_groups(counts, by, [f"{hid}v"], F.col(f"{hid}c"), f"{hid}before").join(total, same)
+    rank = {n: (F.col(f"{hid}n") - 1) * F.lit(share) for n, share in shares.items()}
+    at = lambda r: F.max(F.when((F.col(f"{hid}before") <= r) & (r < F.col(f"{hid}before") + F.col(f"{hid}c")), F.col(f"{hid}v")))
+    picked = placed.groupBy(*by).agg(F.max(f"{hid}n").alias(f"{hid}n"), *[at(F.floor(r)).alias(f"{hid}lo_{n}") for n, r in rank.items()], *[at(F.ceil(r)).alias(f"{hid}hi_{n}") for n, r in rank.items()])
+    between = {n: F.col(f"{hid}lo_{n}") + (F.col(f"{hid}hi_{n}") - F.col(f"{hid}lo_{n}")) * (r - F.floor(r)) for n, r in rank.items()}
     return picked.select(*by, *[c.alias(n) for n, c in between.items()])
 
 
@@ -85,20 +87,21 @@ def evaluation_grid(df: DataFrame, a: str, b: str, value: str) -> DataFrame:
 
 def first_occurrences(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key, in the given order; min over rows, so that copies shrink before they move."""
-    row = F.min(F.struct(*order, *[c for c in df.columns if c not in order])).alias("_r")
-    return df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in key]).agg(row).select(*[F.col(f"_r.{c}").alias(c) for c in df.columns])
+    hid = prefix(df)
+    row = F.min(F.struct(*order, *[c for c in df.columns if c not in order])).alias(f"{hid}r")
+    return df.groupBy(*[F.col(k).alias(f"{hid}k_{k}") for k in key]).agg(row).select(*[F.col(f"{hid}r.{c}").alias(c) for c in df.columns])
 
 
 def consecutive_distinct(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """Rows whose value differs from the row before."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("_p", F.lag(value).over(w)).withColumn("_n", F.row_number().over(w)).where((F.col("_n") == 1) | ~F.col("_p").eqNullSafe(F.col(value))).drop("_p", "_n")
+    w, (p, n) = Window.partitionBy(*by).orderBy(*order), unused(df, "p", "n")
+    return df.withColumn(p, F.lag(value).over(w)).withColumn(n, F.row_number().over(w)).where((F.col(n) == 1) | ~F.col(p).eqNullSafe(F.col(value))).drop(p, n)
 
 
 def scaled_to_one(df: DataFrame, by: list[str], value: str, name: str = "scaled") -> DataFrame:
     """Values divided by the greatest absolute value of their group; unchanged if that is 0."""
-    top = F.max(F.abs(F.col(value))).over(Window.partitionBy(*by))
-    return df.withColumn("_top", top).withColumn(name, F.when(F.col("_top") > 0, F.col(value) / F.col("_top")).otherwise(F.col(value))).drop("_top")
+    most, (top,) = F.max(F.abs(F.col(value))).over(Window.partitionBy(*by)), unused(df, "top")
+    return df.withColumn(top, most).withColumn(name, F.when(F.col(top) > 0, F.col(value) / F.col(top)).otherwise(F.col(value))).drop(top)
 
 
 def spans(df: DataFrame, by: list[str], frame: str) -> DataFrame:
@@ -117,8 +120,9 @@ def running_peak(df: DataFrame, by: list[str], order: list[str], value: str, nam
 
 def rate_groups(df: DataFrame, rate: str, member: str, block: int = 10_000) -> DataFrame:
     """Members by learning rate, in order, with their number; a row for each range of ``block`` ids, so that no row holds a large group."""
+    hid = prefix(df)
     ids = F.col(member) - F.pmod(F.col(member), F.lit(block))
-    return df.groupBy(rate, ids.alias("_b")).agg(F.array_sort(F.collect_list(member)).alias("members"), F.count("*").alias("n")).drop("_b")
+    return df.groupBy(rate, ids.alias(f"{hid}b")).agg(F.array_sort(F.collect_list(member)).alias("members"), F.count("*").alias("n")).drop(f"{hid}b")
 
 
 def moving_average(df: DataFrame, by: list[str], order: list[str], value: str, decay: float, warm_up: bool = False, name: str = "ema") -> DataFrame:
@@ -129,19 +133,25 @@ def moving_average(df: DataFrame, by: list[str], order: list[str], value: str, d
     numbered, and the logarithms of the decays summed, in parts of a group, and no task holds
     a whole group.
     """
-    rows = place_in_groups(df.select(*by, *order, F.col(value).cast("double").alias("_v")), by, order, "_i")
-    d = F.least(F.lit(decay), (F.col("_i") + 1) / (F.col("_i") + 10)) if warm_up else F.lit(decay)
-    log_d = F.when(F.col("_i") > 0, F.log(d)).otherwise(0.0)
+    hid = prefix(df)
+    if not 0 <= decay <= 1:
+        raise ValueError("a decay lies from 0 to 1")
+    if decay == 0:  # nothing is left of the values before the last
+        last = F.max_by(F.col(value).cast("double"), F.struct(*order))
+        return df.groupBy(*by).agg(last.alias(name), F.count("*").alias("n"))
+    rows = place_in_groups(df.select(*by, *order, F.col(value).cast("double").alias(f"{hid}v")), by, order, f"{hid}i")
+    d = F.least(F.lit(decay), (F.col(f"{hid}i") + 1) / (F.col(f"{hid}i") + 10)) if warm_up else F.lit(decay)
+    log_d = F.when(F.col(f"{hid}i") > 0, F.log(d)).otherwise(0.0)
     if warm_up:
-        rows = running_in_groups(rows, by, order, log_d, "_l").withColumn("_l", F.col("_l") + log_d)
+        rows = running_in_groups(rows, by, order, log_d, f"{hid}l").withColumn(f"{hid}l", F.col(f"{hid}l") + log_d)
     else:
-        rows = rows.withColumn("_l", F.col("_i") * F.log(F.lit(decay)))
-    last = rows.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(F.count("*").alias("n"), F.min("_l").alias("_end"))
+        rows = rows.withColumn(f"{hid}l", F.col(f"{hid}i") * F.log(F.lit(decay)))
+    last = rows.groupBy(*[F.col(c).alias(f"{hid}g_{c}") for c in by]).agg(F.count("*").alias("n"), F.min(f"{hid}l").alias(f"{hid}end"))
     same = F.lit(True)
     for c in by:
-        same = F.col(c).eqNullSafe(F.col(f"_g_{c}")) & same
-    share = F.when(F.col("_i") > 0, 1 - d).otherwise(1.0) * F.exp(F.col("_end") - F.col("_l"))
-    return rows.join(last, same).groupBy(*by, "n").agg(F.sum(share * F.col("_v")).alias(name)).select(*by, name, "n")
+        same = F.col(c).eqNullSafe(F.col(f"{hid}g_{c}")) & same
+    share = F.when(F.col(f"{hid}i") > 0, 1 - d).otherwise(1.0) * F.exp(F.col(f"{hid}end") - F.col(f"{hid}l"))
+    return rows.join(last, same).groupBy(*by, "n").agg(F.sum(share * F.col(f"{hid}v")).alias(name)).select(*by, name, "n")
 
 
 def warm_up(step: C, steps: int) -> Column:
@@ -151,10 +161,10 @@ def warm_up(step: C, steps: int) -> Column:
 
 def unfolded(df: DataFrame, by: list[str], order: list[str], value: str, base: int, name: str = "unfolded") -> DataFrame:
     """A ring position made continuous: each jump of more than half the ring turns the direction, and turned parts are reflected."""
-    w = Window.partitionBy(*by).orderBy(*order)
+    w, (j, t) = Window.partitionBy(*by).orderBy(*order), unused(df, "j", "t")
     jump = F.coalesce(F.abs(F.col(value) - F.lag(value).over(w)) > base / 2, F.lit(False)).cast("long")
-    turned = F.sum("_j").over(w.rowsBetween(Window.unboundedPreceding, 0)) % 2
-    return df.withColumn("_j", jump).withColumn("_t", turned).withColumn(name, F.when(F.col("_t") == 1, base - F.col(value)).otherwise(F.col(value))).drop("_j", "_t")
+    turned = F.sum(j).over(w.rowsBetween(Window.unboundedPreceding, 0)) % 2
+    return df.withColumn(j, jump).withColumn(t, turned).withColumn(name, F.when(F.col(t) == 1, base - F.col(value)).otherwise(F.col(value))).drop(j, t)
 
 
 def fingerprint(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
@@ -163,7 +173,9 @@ def fingerprint(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     Digests of rows are sorted and digested in ranges by their first four hex digits, and those
     of a group's ranges, in order, once more: a row holds a 65,536th of a group.
     """
-    row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]), 256)
-    parts = df.select(*by, row.alias("_r")).groupBy(*by, F.substring("_r", 1, 4).alias("_k")).agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("_r"))), 256).alias("_d"), F.count("*").alias("_n"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_k", "_d"))), lambda x: x["_d"])
-    return parts.groupBy(*by).agg(F.sha2(F.concat_ws(",", ordered), 256).alias("fingerprint"), F.sum("_n").alias("n"))
+    hid = prefix(df)
+    text = [F.col(c).cast("string") for c in columns]  # each value with its length in front, so that no two rows read alike; a null has none
+    row = F.sha2(F.concat(*[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-:")) for t in text]).cast("binary"), 256)
+    parts = df.select(*by, row.alias(f"{hid}r")).groupBy(*by, F.substring(f"{hid}r", 1, 4).alias(f"{hid}k")).agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(f"{hid}r"))), 256).alias(f"{hid}d"), F.count("*").alias(f"{hid}n"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(f"{hid}k", f"{hid}d"))), lambda x: x[f"{hid}d"])
+    return parts.groupBy(*by).agg(F.sha2(F.concat_ws(",", ordered), 256).alias("fingerprint"), F.sum(f"{hid}n").alias("n"))

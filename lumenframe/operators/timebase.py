@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import C, clamp, clean_ratio, col, half_even, linspace_index
+from ..tables import prefix
 
 #: Fixed values of the latent clock: frames that the latents of a group of five cover, and where each begins.
 STEPS = (1, 4, 4, 4, 4)
@@ -79,11 +80,12 @@ def run_starts(df: DataFrame, by: list[str], order: list[str], value: str, name:
 
 def block_intervals(df: DataFrame, by: list[str], order: str, block: str, time: str, duration: str) -> DataFrame:
     """One row per run of a block: from its first time to the next run's, the last to the duration."""
+    hid = prefix(df)
     runs = run_starts(df, by, [order], block).where("first_of_run")
     w = Window.partitionBy(*by).orderBy(order)
     place = (F.row_number().over(w) - 1).cast("long")
-    return runs.select(*by, place.alias("run"), F.col(block).alias("block"), F.col(time).alias("start"), F.lead(time, 1).over(w).alias("_next"), F.col(duration).alias("_end")).select(
-        *by, "run", "block", "start", F.coalesce("_next", "_end").alias("stop")
+    return runs.select(*by, place.alias("run"), F.col(block).alias("block"), F.col(time).alias("start"), F.lead(time, 1).over(w).alias(f"{hid}next"), F.col(duration).alias(f"{hid}end")).select(
+        *by, "run", "block", "start", F.coalesce(f"{hid}next", f"{hid}end").alias("stop")
     )
 
 
@@ -95,9 +97,10 @@ def strided_frames(df: DataFrame, count: C, ratio: C, length: C, start: C | None
 
 def even_picks(df: DataFrame, length: str, picks: int) -> DataFrame:
     """At most ``picks`` evenly spaced places from 0 to length - 1: (i, place)."""
+    hid = prefix(df)
     k = F.greatest(F.lit(1), F.least(F.lit(picks), F.col(length))).cast("long")
-    out = df.withColumn("_k", k).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)))
-    return out.withColumn("place", linspace_index("i", length, "_k")).drop("_k")
+    out = df.withColumn(f"{hid}k", k).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{hid}k") - 1)))
+    return out.withColumn("place", linspace_index("i", length, f"{hid}k")).drop(f"{hid}k")
 
 
 def clip_index(i: C, n: C) -> Column:

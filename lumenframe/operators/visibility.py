@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import C, col, whole_div
+from ..tables import prefix
+from .joins import matched
 
 #: Kinds of tokens.
 CONDITION, CLEAN, NOISY = 0, 1, 2
@@ -46,13 +48,14 @@ def classes(tokens: DataFrame, doc: list[str]) -> DataFrame:
 
 def class_pairs(tokens: DataFrame, doc: list[str], **how) -> DataFrame:
     """Pairs of classes of a document of which the first sees the second: the relation on classes, never on tokens."""
+    hid = prefix(tokens)
     c = classes(tokens, doc)
     q = c.select(*doc, *[F.col(x).alias(f"q_{x}") for x in ("kind", "chunk", "scope", "n")])
-    k = c.select(*[F.col(d).alias(f"_d_{d}") for d in doc], *[F.col(x).alias(f"k_{x}") for x in ("kind", "chunk", "scope", "n")])
+    k = c.select(*[F.col(d).alias(f"{hid}d_{d}") for d in doc], *[F.col(x).alias(f"k_{x}") for x in ("kind", "chunk", "scope", "n")])
     same = visible("q", "k", **how)
     for d in doc:
-        same = (F.col(d) == F.col(f"_d_{d}")) & same
-    return q.join(k, same).drop(*[f"_d_{d}" for d in doc])
+        same = (F.col(d) == F.col(f"{hid}d_{d}")) & same
+    return q.join(k, same).drop(*[f"{hid}d_{d}" for d in doc])
 
 
 def visible_counts(tokens: DataFrame, doc: list[str], **how) -> DataFrame:
@@ -60,17 +63,19 @@ def visible_counts(tokens: DataFrame, doc: list[str], **how) -> DataFrame:
 
     An inactive token sees itself, so each adds one pair.
     """
-    pairs = class_pairs(tokens, doc, **how).groupBy(*doc).agg(F.sum(F.col("q_n") * F.col("k_n")).alias("_p"))
-    alone = tokens.groupBy(*doc).agg(F.sum(F.when(F.col("active"), 1).otherwise(0)).alias("tokens"), F.sum(F.when(F.col("active"), 0).otherwise(1)).alias("_i"))
-    return alone.join(pairs, doc, "left").select(*doc, "tokens", (F.coalesce("_p", F.lit(0)) + F.col("_i")).alias("pairs"))
+    hid = prefix(tokens)
+    pairs = class_pairs(tokens, doc, **how).groupBy(*doc).agg(F.sum(F.col("q_n") * F.col("k_n")).alias(f"{hid}p"))
+    alone = tokens.groupBy(*doc).agg(F.sum(F.when(F.col("active"), 1).otherwise(0)).alias("tokens"), F.sum(F.when(F.col("active"), 0).otherwise(1)).alias(f"{hid}i"))
+    return alone.join(pairs, doc, "left").select(*doc, "tokens", (F.coalesce(f"{hid}p", F.lit(0)) + F.col(f"{hid}i")).alias("pairs"))
 
 
 def visibility_groups(tokens: DataFrame, doc: list[str], **how) -> DataFrame:
     """Queries that see the same keys, as groups: (doc, group, queries, keys). Works on classes; groups are numbered by their least class."""
+    hid = prefix(tokens)
     key = F.concat_ws(":", "k_kind", "k_chunk", "k_scope")
     seen = class_pairs(tokens, doc, **how).groupBy(*doc, "q_kind", "q_chunk", "q_scope", "q_n").agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(key))), 256).alias("sees"), F.sum("k_n").alias("keys"))
-    grouped = seen.groupBy(*doc, "sees").agg(F.min(F.struct("q_kind", "q_chunk", "q_scope")).alias("_first"), F.sum("q_n").alias("queries"), F.first("keys").alias("keys"))
-    w = Window.partitionBy(*doc).orderBy("_first")
+    grouped = seen.groupBy(*doc, "sees").agg(F.min(F.struct("q_kind", "q_chunk", "q_scope")).alias(f"{hid}first"), F.sum("q_n").alias("queries"), F.first("keys").alias("keys"))
+    w = Window.partitionBy(*doc).orderBy(f"{hid}first")
     return grouped.select(*doc, (F.row_number().over(w) - 1).cast("long").alias("group"), "queries", "keys")
 
 
@@ -79,13 +84,14 @@ def tile_counts(tokens: DataFrame, doc: list[str], position: str, tile: int, **h
 
     Tokens are counted per tile and class before classes meet, so tiles and classes are joined, not tokens.
     """
+    hid = prefix(tokens)
     part = tokens.where("active").groupBy(*doc, F.floor(F.col(position) / tile).cast("long").alias("tile"), "kind", "chunk", "scope").agg(F.count("*").alias("n"))
     names = ("tile", "kind", "chunk", "scope", "n")
     q = part.select(*doc, *[F.col(x).alias(f"q_{x}") for x in names])
-    k = part.select(*[F.col(d).alias(f"_d_{d}") for d in doc], *[F.col(x).alias(f"k_{x}") for x in names])
+    k = part.select(*[F.col(d).alias(f"{hid}d_{d}") for d in doc], *[F.col(x).alias(f"k_{x}") for x in names])
     same = visible("q", "k", **how)
     for d in doc:
-        same = (F.col(d) == F.col(f"_d_{d}")) & same
+        same = (F.col(d) == F.col(f"{hid}d_{d}")) & same
     found = q.join(k, same).groupBy(*doc, "q_tile", "k_tile").agg(F.sum(F.col("q_n") * F.col("k_n")).alias("visible"))
     return found.withColumn("status", F.when(F.col("visible") == tile * tile, "full").otherwise("partial"))
 
@@ -103,16 +109,17 @@ def kept_history(df: DataFrame, by: list[str], chunk: str, sink: int, window: in
     have rows. Without a window (0 or less) everything stays. With ``sink_scope_zero`` only
     scope 0 has a sink. The newest numbers are aggregated and joined back.
     """
+    hid = prefix(df)
     if window <= 0:
         return df
-    last = df.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(F.max(chunk).alias("_newest"))
+    last = df.groupBy(*[F.col(c).alias(f"{hid}g_{c}") for c in by]).agg(F.max(chunk).alias(f"{hid}newest"))
     same = F.lit(True)
     for c in by:
-        same = F.col(c).eqNullSafe(F.col(f"_g_{c}")) & same
+        same = F.col(c).eqNullSafe(F.col(f"{hid}g_{c}")) & same
     early = F.col(chunk) < sink
     if sink_scope_zero:
         early = early & (F.col(scope) == 0)
-    return df.join(last, same).where(early | (F.col(chunk) > F.col("_newest") - window)).select(*df.columns)
+    return df.join(last, same).where(early | (F.col(chunk) > F.col(f"{hid}newest") - window)).select(*df.columns)
 
 
 def kept_history_by_time(df: DataFrame, by: list[str], chunk: str, scope: str, intervals: DataFrame, sink: float, window: float, sink_scope_zero: bool = False) -> DataFrame:
@@ -121,21 +128,22 @@ def kept_history_by_time(df: DataFrame, by: list[str], chunk: str, scope: str, i
     ``intervals`` has (by, scope, chunk, start, end), chunks numbered from 0 in each scope. Time
     runs in each scope on its own; the newest chunk is that of the whole group. Chunk numbers
     outside a scope's list count as its nearest one. A row of a negative scope is shared: it
-    stays if any scope keeps it.
+    stays if any scope keeps it. A null group is a group of its own.
     """
+    hid = prefix(df, intervals)
     if window <= 0:
         return df
-    newest = df.groupBy(*by).agg(F.max(chunk).alias("_newest"))
-    tops = intervals.groupBy(*by, "scope").agg(F.max("chunk").alias("_top"))
-    times = intervals.join(tops, [*by, "scope"]).join(newest, by)
-    ends = times.where(F.col("chunk") == F.greatest(F.lit(0), F.least("_newest", "_top"))).select(*by, "scope", F.col("end").alias("_end"))
-    spans = times.join(ends, [*by, "scope"]).select(*[F.col(c).alias(f"_g_{c}") for c in by], F.col("scope").alias("_scope"), F.col("chunk").alias("_chunk"), "_top", "start", "end", "_end")
+    newest = df.groupBy(*by).agg(F.max(chunk).alias(f"{hid}newest"))
+    tops = intervals.groupBy(*by, "scope").agg(F.max("chunk").alias(f"{hid}top"))
+    times = matched(matched(intervals, tops, [*by, "scope"]), newest, by)
+    ends = times.where(F.col("chunk") == F.greatest(F.lit(0), F.least(f"{hid}newest", f"{hid}top"))).select(*by, "scope", F.col("end").alias(f"{hid}end"))
+    spans = matched(times, ends, [*by, "scope"]).select(*[F.col(c).alias(f"{hid}g_{c}") for c in by], F.col("scope").alias(f"{hid}scope"), F.col("chunk").alias(f"{hid}chunk"), f"{hid}top", "start", "end", f"{hid}end")
     early = F.col("start") < sink
     if sink_scope_zero:
         early = early & (F.col(scope) == 0)
-    hit = ((F.col(scope) == F.col("_scope")) | (F.col(scope) < 0)) & (F.col("_chunk") == F.greatest(F.lit(0), F.least(F.col(chunk), F.col("_top")))) & (early | (F.col("end") > F.col("_end") - window))
+    hit = ((F.col(scope) == F.col(f"{hid}scope")) | (F.col(scope) < 0)) & (F.col(f"{hid}chunk") == F.greatest(F.lit(0), F.least(F.col(chunk), F.col(f"{hid}top")))) & (early | (F.col("end") > F.col(f"{hid}end") - window))
     for c in by:
-        hit = (F.col(c) == F.col(f"_g_{c}")) & hit
+        hit = F.col(c).eqNullSafe(F.col(f"{hid}g_{c}")) & hit
     return df.join(spans, hit, "left_semi")
 
 
@@ -143,16 +151,18 @@ def byte_budget(df: DataFrame, by: list[str], order: str, count: str, unit_bytes
     """Newest first, how many of each segment's tokens stay within the budget: ``kept`` of its last ones; the rest is ``moved``.
 
     A segment that no longer fits is split at a token. Only what is kept uses the budget up, so
-    an older segment of smaller tokens may still find room. What is left depends on every
+    an older segment of smaller tokens may still find room; tokens of 0 bytes always do. What is left depends on every
     segment before, so the segments of a group (one sequence's cache) are folded in order.
     """
-    rows = df.withColumn("_b", col(unit_bytes).cast("long"))
-    segment = F.struct(order, F.col(count).cast("long").alias("_n"), "_b", F.struct(*df.columns).alias("_row"))
+    hid = prefix(df)
+    rows = df.withColumn(f"{hid}b", col(unit_bytes).cast("long"))
+    segment = F.struct(order, F.col(count).cast("long").alias(f"{hid}n"), f"{hid}b", F.struct(*df.columns).alias(f"{hid}row"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<long>").alias("kept"))
 
     def take(s: Column, x: Column) -> Column:
-        fits = F.least(x["_n"], whole_div(F.greatest(F.lit(budget) - s["used"], F.lit(0).cast("long")), x["_b"]))
-        return F.struct((s["used"] + fits * x["_b"]).alias("used"), F.concat(s["kept"], F.array(fits)).alias("kept"))
+        room = whole_div(F.greatest(F.lit(budget) - s["used"], F.lit(0).cast("long")), F.greatest(x[f"{hid}b"], F.lit(1).cast("long")))
+        fits = F.when(x[f"{hid}b"] > 0, F.least(x[f"{hid}n"], room)).otherwise(x[f"{hid}n"])
+        return F.struct((s["used"] + fits * x[f"{hid}b"]).alias("used"), F.concat(s["kept"], F.array(fits)).alias("kept"))
 
-    each = rows.groupBy(*by).agg(F.sort_array(F.collect_list(segment), asc=False).alias("_s")).select(F.explode(F.arrays_zip("_s", F.aggregate("_s", start, take, lambda s: s["kept"]).alias("_k"))).alias("_z"))
-    return each.select("_z._s._row.*", F.col("_z._k").alias("kept"), (F.col("_z._s._n") - F.col("_z._k")).alias("moved"))
+    each = rows.groupBy(*by).agg(F.sort_array(F.collect_list(segment), asc=False).alias(f"{hid}s")).select(F.explode(F.arrays_zip(f"{hid}s", F.aggregate(f"{hid}s", start, take, lambda s: s["kept"]).alias(f"{hid}k"))).alias(f"{hid}z"))
+    return each.select(f"{hid}z.{hid}s.{hid}row.*", F.col(f"{hid}z.{hid}k").alias("kept"), (F.col(f"{hid}z.{hid}s.{hid}n") - F.col(f"{hid}z.{hid}k")).alias("moved"))

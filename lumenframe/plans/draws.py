@@ -72,9 +72,46 @@ def ring_offsets(spark, sf_dir):
     return p.select("p_partkey", F.col("place").cast("long").alias("place"), "offset")
 
 
-@query()
-def walked_views(spark, sf_dir):
-    """Several views of each part along one shared walk (held to its rules in tests)."""
+def _walk_sql(name: str, rows: str, keys: str, salt: str, speed: float) -> str:
+    """A recursive table (keys, n, step, view) of walks over a ring of twelve views, each with its keys."""
+    names = keys.split(", ")
+    push = f'sqrt(-2 * ln(1 - {unit_sql(f"{salt}/u", *names, "step // 20")})) * cos(2 * pi() * {unit_sql(f"{salt}/v", *names, "step // 20")}) * (2.0 / 6)'
+    return f"""{name} AS (
+        SELECT {keys}, n, CAST(0 AS BIGINT) AS step, CAST(floor({unit_sql(f"{salt}/view", *names)} * 12) AS BIGINT) AS view, 0.0::DOUBLE AS v FROM {rows} UNION ALL
+        SELECT {keys}, n, step + 1, ((view + CAST(round_even(least(greatest(nv, -{speed}), {speed}), 0) AS BIGINT)) % 12 + 12) % 12, nv
+        FROM (SELECT *, least(greatest((v + {push}) * 0.8, -3.0), 3.0) AS nv FROM {name} WHERE step + 1 < n))"""
+
+
+def _turns_sql(views: int) -> str:
+    """Offsets of the views on the ring: (p_partkey, n, place, turn)."""
+    jitter = f'sqrt(-2 * ln(1 - {unit_sql("ring/u", "p_partkey", "place")})) * cos(2 * pi() * {unit_sql("ring/v", "p_partkey", "place")}) * 0.05'
+    return f"turns AS (SELECT *, CASE WHEN place = 0 THEN 0 ELSE CAST(floor((place / {views}.0 + {jitter}) * 12 + 0.5) AS BIGINT) END AS turn FROM (SELECT *, unnest(range(0, {views})) AS place FROM p))"
+
+
+_PARTS = "p AS (SELECT p_partkey, CAST(p_size AS BIGINT) AS n FROM part)"
+
+
+def _parts(spark, sf_dir, views):
     p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("n"))
-    walk = D.momentum_walk(p, ["p_partkey"], "n", 12, "n").drop("n")
-    return S.shared_walk(walk, p.withColumn("o", S.ring_offsets(F.lit(3), F.lit(12), 0.05, "p_partkey")), ["p_partkey"], 12, "o")
+    return p.withColumn("o", S.ring_offsets(F.lit(views), F.lit(12), 0.05, "p_partkey"))
+
+
+@query(
+    f"""WITH RECURSIVE {_PARTS}, {_walk_sql("w", "p", "p_partkey", "walk", 3.0)}, {_turns_sql(3)}
+        SELECT p_partkey, step, place, ((view + turn) % 12 + 12) % 12 AS camera, step AS frame FROM w JOIN turns USING (p_partkey)"""
+)
+def walked_views(spark, sf_dir):
+    """Several views of each part along one shared walk."""
+    p = _parts(spark, sf_dir, 3)
+    return S.shared_walk(D.momentum_walk(p.drop("o"), ["p_partkey"], "n", 12, "n"), p, ["p_partkey"], 12, "o")
+
+
+@query(
+    f"""WITH RECURSIVE {_PARTS}, {_turns_sql(3)}, {_walk_sql("w", "p", "p_partkey", "walk", 3.0)}, {_walk_sql("own", "turns", "p_partkey, place", "walk/own", 0.75)},
+        first AS (SELECT p_partkey, place, view AS begin FROM own WHERE step = 0)
+        SELECT p_partkey, place, step, ((w.view + own.view - begin + turn) % 12 + 12) % 12 AS camera, step AS frame
+        FROM w JOIN own USING (p_partkey, step) JOIN first USING (p_partkey, place) JOIN turns USING (p_partkey, place)"""
+)
+def view_chaos(spark, sf_dir):
+    """Several views of each part, each with a small walk of its own around the shared one."""
+    return D.chaotic_walks(_parts(spark, sf_dir, 3), ["p_partkey"], "n", 12, "n", "o", 0.25)

@@ -457,7 +457,7 @@ def cache_report(spark, sf_dir):
 
 
 @query(
-    """WITH r AS (SELECT p_brand, sha256(concat_ws(chr(31), CAST(p_partkey AS VARCHAR), p_name)) AS r FROM part),
+    """WITH r AS (SELECT p_brand, sha256(coalesce(strlen(CAST(p_partkey AS VARCHAR)) || ':' || CAST(p_partkey AS VARCHAR), '-:') || coalesce(strlen(p_name) || ':' || p_name, '-:')) AS r FROM part),
        k AS (SELECT p_brand, r[1:4] AS k, sha256(string_agg(r, ',' ORDER BY r)) AS d, count(*) AS n FROM r GROUP BY 1, 2)
        SELECT p_brand, sha256(string_agg(d, ',' ORDER BY k)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY p_brand"""
 )

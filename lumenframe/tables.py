@@ -13,6 +13,25 @@ from .session import checkpoint_root
 _OPEN: list[list[DataFrame]] = []
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """A column name for each stem that ``df`` does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        while (name := f"_{stem}").lower() in taken:
+            stem = f"_{stem}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def prefix(*frames: DataFrame) -> str:
+    """A prefix that no column of the tables begins with, for the helper columns of an operator."""
+    out = "_"
+    while any(c.startswith(out) for df in frames for c in df.columns):
+        out += "_"
+    return out
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps neither repeat its work nor depend on executors."""
     spark = df.sparkSession

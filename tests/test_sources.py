@@ -92,11 +92,11 @@ def test_recipes():
 
 @pytest.mark.parametrize("buckets", [{"tokens": 0}, {"tokens": True}, {"cameras": -1}, {"unknown": 8}, [8]])
 def test_bad_buckets(buckets):
-    assert recipes.faults({"buckets": buckets})
+    assert recipes.faults({"own": {"training_shape_buckets": buckets}})
 
 
 def test_sound_recipe():
-    assert recipes.faults({"buckets": {"tokens": 2048}, "chunk_size": 5, "text_dropout": 0.1, "chunk_size_range": [2, 9], "single_sequence": True, "dataset": {"sources": [{"type": "manifest"}]}}) == []
+    assert recipes.faults({"own": {"training_shape_buckets": {"tokens": 2048}, "chunk_size_range": [2, 9], "single_sequence": True}, "dataset": {"sources": [{"type": "manifest"}]}}) == []
 
 
 def test_committed_generations(spark, tmp_path):
@@ -137,16 +137,22 @@ def test_other_sinks(spark, tmp_path):
 
 def test_recipe_rules_each_catch_their_fault():
     bad = {
-        "update_threads": 0, "batch_size": True, "model_fps": -1, "clean_prefix_probability": 1.5, "chunk_group_range": [3, 2], "attention_block": [128, 100], "average_decay": 1,
-        "single_sequence": 1, "noise": "white", "stage": 3, "accumulation": 2, "strides": [4, 8], "caption_mode": "x", "dataset": {"batch_size": 2}, "buckets": {"tokens": 0},
+        "cpu_update_threads": 0, "gradient_accumulation_steps": 2, "ema_weight": 1, "timestep_shift": 0, "inference_weights": "mean", "dataset": {"batch_size": True},
+        "model": {"vae_stride": [4, 8]}, "a": {"clean_prefix_probability": 1.5}, "b": {"chunk_group_range": [3, 2]}, "c": {"training_attention_block_size": [128, 100]}, "d": {"single_sequence": 1},
+        "e": {"stage": 3}, "f": {"caption_mode": "x"}, "g": {"training_shape_buckets": {"tokens": 0}}, "h": {"training_shape_buckets": {"rows": 1}}, "i": {"training_shape_buckets": 3}, "j": {"stage": True},
     }
     for k, v in bad.items():
         assert len(recipes.faults({k: v})) == 1, k
-    assert recipes.faults({"chunk_size_range": [1, 2]}) == ["chunk_size_range needs single_sequence"]
-    assert len(recipes.faults({"chunk_size_range": [1, 2], "chunk_group_range": [1, 2], "single_sequence": True})) == 1
-    assert recipes.faults({"inference_weights": "average"}) and not recipes.faults({"inference_weights": "average", "average_decay": 0.9})
-    assert recipes.faults({"buckets": {"rows": 1}}) and recipes.faults({"buckets": 3}) and recipes.faults({"solver": "euler", "guidance": 2})
-    assert recipes.faults({"model_fps": 16, "stage": 1, "strides": [4, 8, 8], "buckets": {"tokens": 2048}, "noise": "two_ranges"}) == []
+    assert recipes.faults({"x": {"chunk_size_range": [1, 2]}}) == ["chunk_size_range needs single_sequence"]
+    assert len(recipes.faults({"x": {"chunk_size_range": [1, 2], "chunk_group_range": [1, 2], "single_sequence": True}})) == 1
+    assert recipes.faults({"inference_weights": "ema"}) and not recipes.faults({"inference_weights": "ema", "ema_weight": 0.9})
+    assert recipes.faults({"ema_weight": 0, "x": {"stage": 1, "training_shape_buckets": {"tokens": 2048}}, "model": {"vae_stride": [4, 8, 8], "prope_mode": "matrix"}}) == []
+    assert recipes.faults({"own": "y"}, [("own", "choice", ("x",))], []) == ["own is none of ('x',)"]
+
+
+@pytest.mark.parametrize("recipe", [None, [], {"dataset": None}, {"dataset": 3}, {"dataset": {"sources": ["x"]}}, {"dataset": {"sources": 3}}, {"dataset": {"sources": [None, {"type": "table"}]}}])
+def test_recipes_of_odd_shapes_have_a_fault(recipe):
+    assert len(recipes.faults(recipe)) == 1
 
 
 def test_first_of_folder(spark):
