@@ -17,7 +17,8 @@ prefixes and a higher recall, nodes in crowded parts at the length that the targ
 for, and never below the target. Parts of a trie in which a node is alone are cut off first.
 
 Candidates are verified exactly before anything is linked. A node's home is the least node
-that its prefixes lead to; a home's nodes are cut into blocks of bounded size. Pairs of
+of the most crowded of its prefixes, so the nodes of a crowded prefix have other homes only where still more
+crowded ones lead there; a home's nodes are cut into blocks of bounded size. Pairs of
 blocks of one home, and pairs of blocks of different homes that share a prefix, are groups
 of rows in which a task compares the shingle sets; a pair of nodes meets in one group only.
 A node goes to another home's block only if it has a candidate there, so candidates that
@@ -37,6 +38,7 @@ text are ignored, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -52,7 +54,6 @@ WORDS, THRESHOLD = 5, 0.8
 TREES, DEEPEST, SHORTEST, TARGET = 24, 8, 3, 0.9999
 FEW = 16
 BLOCK_NODES, BLOCK_SHINGLES = 1024, 1_000_000
-_STEP = np.uint64(0xC6BC279692B5C323)
 _NO_ID = -(1 << 63)
 
 
@@ -128,12 +129,9 @@ def _signer(depth: int):
 
 
 def _node_names(sets: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """128 bits that name the set, from two sums over its members."""
-    total = np.zeros((2, len(sets) + 1), np.uint64)
-    np.cumsum(mix(sets ^ np.uint64(0x0F1E2D3C4B5A6978)), out=total[0, 1:])
-    np.cumsum(mix(sets * _STEP + np.uint64(7)), out=total[1, 1:])
-    pair = total[:, first[1:]] - total[:, first[:-1]]
-    return [x.tobytes() for x in np.ascontiguousarray(pair.T.astype(">u8"))]
+    """128 bits of the BLAKE2b digest of each sorted set."""
+    raw, cut = memoryview(sets.astype("<u8", copy=False)).cast("B"), (8 * first).tolist()
+    return [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +250,7 @@ def _prefix(depth: int, path: str = "path"):
 
 
 def candidate_groups(nodes: DataFrame, depth: int, shortest: int = SHORTEST, few: int = FEW) -> DataFrame:
-    """(node, prefix, hub) of every prefix that two nodes or more share and that one of them is to look at.
+    """(node, prefix, hub, members) of every prefix that two nodes or more share and that one of them is to look at.
 
     ``nodes`` has node and paths. All nodes look at prefixes of ``depth`` values; those with few matches at shorter ones too.
     """
@@ -274,12 +272,13 @@ def candidate_groups(nodes: DataFrame, depth: int, shortest: int = SHORTEST, few
         ends = steps.groupBy("node").agg(*matches).select("node", reach.alias("end")).where(F.col("end") < depth)
         asked = steps.where(F.col("level") < depth).join(ends, "node").where("level >= end").select("prefix").distinct()
         steps = steps.where(F.col("level") == depth).unionByName(steps.where(F.col("level") < depth).join(asked, "prefix", "left_semi").select(*steps.columns))
-    return steps.select("node", "prefix", "hub")
+    return steps.select("node", "prefix", "hub", "members")
 
 
 def _routes(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, doc_id, text_key, size and the groups of the verification that it goes to."""
-    placed = groups.groupBy("node").agg(F.min("hub").alias("home")).join(nodes.select("node", "doc_id", "text_key", "size", "n"), "node")
+    home = F.min(F.struct(-F.col("members"), "hub"))["hub"].alias("home")
+    placed = groups.groupBy("node").agg(home).join(nodes.select("node", "doc_id", "text_key", "size", "n"), "node")
     placed = saved(placed)
     shape = placed.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
     # a table of its own: the join can then split a large home, or broadcast the shapes where they are few

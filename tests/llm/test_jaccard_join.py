@@ -155,3 +155,27 @@ def test_groups_of_different_homes_meet(spark, monkeypatch):
                 w[r.randrange(80)] = f"n{r.randrange(10**6)}"
     got = sorted((tuple(x) for x in J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
     assert got == brute(rows)[0]
+
+
+@pytest.mark.parametrize("n", [100, 400])
+def test_a_crowded_prefix_of_nodes_with_closer_copies_has_few_routes(spark, n):
+    """N nodes of one prefix, each with a closer copy whose name is less: routes grow with N, not with its square."""
+    page = [(b"x%04d" % i, b"page", b"x0000", n) for i in range(n)]
+    close = [(node, b"close%04d" % i, b"a%04d" % i, 2) for i in range(n) for node in (b"x%04d" % i, b"a%04d" % i)]
+    groups = spark.createDataFrame(page + close, "node binary, prefix binary, hub binary, members long")
+    names = sorted({g[0] for g in page + close})
+    nodes = spark.createDataFrame([(x, i, 0, 1, 50) for i, x in enumerate(names)], "node binary, doc_id long, text_key long, size long, n long")
+    routes = J._routes(groups, nodes).select("node", F.explode("routes").alias("r")).select("node", "r.*").collect()
+    assert len(routes) <= 5 * n
+    met = {}
+    for r in routes:
+        met.setdefault((bytes(r.left_home), r.left_block, bytes(r.right_home), r.right_block), set()).add(bytes(r.node))
+    assert all(any({b"x%04d" % i, b"a%04d" % i} <= m for m in met.values()) for i in range(n))
+    assert any({x for x, *_ in page} <= m for m in met.values())
+
+
+def test_a_larger_table_equals_sql(spark):
+    from duck import same
+
+    path = "/root/testdata/sf0.01"
+    same(queries.op6_jaccard_join(spark, path), queries.ORACLES["op6_jaccard_join"], path)
