@@ -10,6 +10,8 @@ rows are not shuffled. Everything here is DataFrame and SQL work.
 
 A load has an id, given by the caller. A load that is repeated under its id, say by a job
 that failed after the append, has the same verdicts as before: the rows it owns are kept.
+Loads are meant to come one after another. Where two read the index before either appends, both append
+a digest, and both may keep its text; whoever reads it later has one row for it, owned by the lesser load id.
 
 Defined results: a null text counts as empty; empty texts are equal to each other and
 form a group; of equal texts in one load the largest id stays (a null id only if there
@@ -64,8 +66,10 @@ class DigestIndex:
         fresh = groups.join(self.read().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
         # one task per bucket writes one sorted file of that bucket
         self._append(fresh.withColumn("load_id", F.lit(load)).repartition(self.buckets, "text_sha256"))
-        owners = self.read().select("text_sha256", "keep_id", (F.col("load_id") == load).alias("fresh"))
-        verdict = saved(groups.select("text_sha256", "group_size").join(owners.hint("merge"), "text_sha256"))
+        owners = groups.select("text_sha256", "group_size").join(self.read().hint("merge"), "text_sha256")
+        # a digest that two loads appended at once has one owner; the join has dealt rows by digest, so nothing moves
+        one = owners.groupBy("text_sha256", "group_size").agg(F.min(F.struct("load_id", "keep_id")).alias("o"))
+        verdict = saved(one.select("text_sha256", "group_size", "o.keep_id", (F.col("o.load_id") == load).alias("fresh")))
         n = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0)).alias("n")).first().n
         hot = F.col("group_size") * HOT_SHARE > n
         few = F.broadcast(verdict.where(hot))

@@ -4,8 +4,8 @@ Random indexing: each token has a sparse random index vector (``NONZERO`` entrie
 -1 in ``DIM`` dimensions); a token's word vector is the sum of the index vectors of its
 neighbours within ``REACH`` places, over all documents of the input. Tokens are words
 (lower-cased, each followed by a token for its shape) and runs of marks; they are hashed
-to ``BUCKETS`` rows, so the table has a fixed size. At most ``SUM_TASKS`` tasks sum a table
-each and send the rows that they met; those are added up by block of rows, in streams.
+to ``BUCKETS`` rows, so the table has a fixed size. Each task of the scan sums a table
+and sends the rows that it met; those are added up by block of rows, in streams, first in ``FAN_IN`` parts and then once more.
 
 A document is the mean of its tokens' word vectors (drawn towards zero for short texts by
 ``PRIOR_TOKENS``) and their spread around it in each dimension; nothing else is known of
@@ -35,7 +35,7 @@ from . import samples
 from .textbuf import batch, chunks, span_hashes, spans_of
 
 DIM, BUCKETS, NONZERO, REACH, BLOCKS = 48, 1 << 16, 2, 2, 64
-SUM_TASKS, HELD_TOKENS = 8192, 2_000_000
+FAN_IN, HELD_TOKENS = 64, 2_000_000
 HIDDEN, EPOCHS = 24, 60
 THRESHOLD = 0.7
 
@@ -120,21 +120,26 @@ def _sum_row(block: int, met: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([met.astype(np.int32).tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary())], names=["block", "rows", "sums"])
 
 
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum the rows of each block, one row in memory besides the sums."""
-    total: dict[int, np.ndarray] = {}
-    for b in batches:
-        for k, met, v in zip(b.column("block").to_pylist(), b.column("rows"), b.column("sums"), strict=True):
-            sums = total.setdefault(k, np.zeros((BUCKETS // BLOCKS, DIM + 1)))
-            sums[np.frombuffer(met.as_buffer(), np.int32)] += np.frombuffer(v.as_buffer(), np.float32).reshape(-1, DIM + 1)
-    for k, v in total.items():
-        yield _sum_row(k, np.flatnonzero(v[:, DIM]), v[v[:, DIM] > 0])
+def _adder(kind: type):
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sum the rows of each block, one row in memory besides the sums."""
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, met, v in zip(b.column("block").to_pylist(), b.column("rows"), b.column("sums"), strict=True):
+                sums = total.setdefault(k, np.zeros((BUCKETS // BLOCKS, DIM + 1)))
+                sums[np.frombuffer(met.as_buffer(), np.int32)] += np.frombuffer(v.as_buffer(), kind).reshape(-1, DIM + 1)
+        for k, v in total.items():
+            yield _sum_row(k, np.flatnonzero(v[:, DIM]), v[v[:, DIM] > 0])
+
+    return add_up
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Unit word vector of every bucket, from all documents; the driver gets the one table, of fixed size."""
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).coalesce(SUM_TASKS)
-    sums = rows.mapInArrow(_contexts, _SUMS).repartition(BLOCKS, "block").mapInArrow(_add_up, _SUMS)
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # the scan keeps its tasks; their sums are added in two levels, so that no task reads those of all
+    parts = rows.mapInArrow(_contexts, _SUMS).repartition("block", F.pmod(F.spark_partition_id(), F.lit(FAN_IN))).mapInArrow(_adder(np.float32), _SUMS)
+    sums = parts.repartition(BLOCKS, "block").mapInArrow(_adder(np.float64), _SUMS)
     table = np.zeros((BUCKETS, DIM + 1))
     for block, met, v in sums.toLocalIterator():
         table[block * (BUCKETS // BLOCKS) + np.frombuffer(met, np.int32)] = np.frombuffer(v, np.float64).reshape(-1, DIM + 1)

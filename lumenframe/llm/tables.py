@@ -5,18 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import dropped, saved, scratch  # noqa: F401
-
-
-def unused(df: DataFrame, *stems: str) -> list[str]:
-    """A column name for each stem that ``df`` does not have."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for stem in stems:
-        while (name := f"_{stem}").lower() in taken:
-            stem = f"_{stem}"
-        taken.add(name.lower())
-        out.append(name)
-    return out
+from ..tables import dropped, saved, scratch, unused  # noqa: F401
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

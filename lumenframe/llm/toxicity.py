@@ -11,8 +11,8 @@ rows are a fair sample of it.
 
 Features: words (lower-cased) and their beginnings and ends of ``PARTS`` bytes, hashed to
 ``BUCKETS``; of those, the ``KEPT`` whose share among the positives stands out most against
-their share among all documents that may be learned from, which at most ``SUM_TASKS`` tasks
-count with one table each. A document has, for each kept bucket, the logarithm of one plus
+their share among all documents that may be learned from, which each task of a scan
+counts with one table. A document has, for each kept bucket, the logarithm of one plus
 its count and its rate per word, and the logarithm of its number of words. The classifier
 is fitted, and its buckets chosen, with at most ``MAX_POSITIVE`` of the labelled positives
 and ``MAX_UNLABELLED`` unlabelled rows.
@@ -39,7 +39,7 @@ from .tables import saved
 from .textbuf import BYTE_VALUES, HASH_BLOCK, WORDS, batch, chunks, mix, powers, spans_of
 
 PARTS = (4, 5, 6, 7, 8)
-BUCKETS, KEPT, STEPS, SUM_TASKS = 1 << 20, 300, 500, 8192
+BUCKETS, KEPT, STEPS = 1 << 20, 300, 500
 MAX_POSITIVE, MAX_UNLABELLED = 6_000, 12_000
 _ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
@@ -92,7 +92,7 @@ def _distinct(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np
 
 def document_counts(texts: DataFrame) -> DataFrame:
     """(bucket, n): in how many of the rows' texts a bucket occurs."""
-    return texts.select("text").coalesce(SUM_TASKS).mapInArrow(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def choose(positive: DataFrame, every: DataFrame, n_pos: int, n_all: int) -> np.ndarray:

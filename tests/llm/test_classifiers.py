@@ -202,3 +202,80 @@ def test_scores_are_those_of_the_fitted_model(spark, data):
         p = 1 / (1 + np.exp(-(x @ model.w + model.b))) if model.w is not None else 0.0
         assert abs(got[r.doc_id].score - p) < 1e-5 and got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
     assert len(got) == docs.count()
+
+
+def test_the_network_goes_down_its_gradient():
+    """Gradients by finite differences of the loss, written out."""
+    r = np.random.default_rng(0)
+    z, y = r.normal(size=(40, 6)), (r.random(40) < 0.4).astype(float)
+    net = quality.Network(z, y)
+    p = [r.normal(size=a.shape) for a in net.p]
+
+    def loss(q):
+        logit = np.tanh(z @ q[0] + q[1]) @ q[2] + q[3]
+        return np.mean(np.log1p(np.exp(-np.where(y == 1, logit, -logit)))) + 5e-5 * ((q[0] ** 2).sum() + (q[2] ** 2).sum())
+
+    net.p = p
+    for k, g in enumerate(net._gradient(z, y)):
+        for at in list(np.ndindex(*p[k].shape))[:9]:
+            up, down = ([a.copy() for a in p] for _ in range(2))
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            assert abs((loss(up) - loss(down)) / 2e-5 - g[at]) < 1e-6
+
+
+def test_the_temperature_calibrates_the_rows_kept_aside():
+    """Labels drawn with probabilities that the features give: no other temperature of a fine grid has a lower loss aside."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(1500, 4))
+    y = (r.random(1500) < 1 / (1 + np.exp(-0.7 * x[:, 0]))).astype(float)
+    net = quality.Network(x, y)
+    aside = np.random.default_rng(3).permutation(1500)[:300]
+    logit = net._logit((x[aside] - net.mean) / net.scale)
+
+    def loss(t):
+        p = 1 / (1 + np.exp(-logit / t))
+        return -np.mean(np.where(y[aside] == 1, np.log(p), np.log(1 - p)))
+
+    assert net.temperature > 1  # the network is too sure of itself on so few rows
+    assert loss(net.temperature) <= min(loss(t) for t in np.linspace(0.25, 10, 300)) + 1e-4
+    assert abs(net.probability(x[aside]).mean() - y[aside].mean()) < 0.06
+
+
+def nn_pu_fit(positive, unlabelled, prior, steps):
+    """The non-negative PU risk of a linear model, written out: sigmoid losses, and a step up where the negative part is below 0."""
+    w = np.concatenate([np.full(positive.shape[1], 0.05), [-1.0]])
+    ones = lambda x: np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    xp, xu, m, v = ones(positive), ones(unlabelled), np.zeros(len(w)), np.zeros(len(w))
+    risk = {
+        "called positive": lambda x, w: np.mean(1 / (1 + np.exp(-x @ w))),  # the loss of a row that is taken for negative
+        "called negative": lambda x, w: np.mean(1 / (1 + np.exp(x @ w))),
+    }
+
+    def slope(f):
+        out = np.zeros(len(w))
+        for k in range(len(w)):
+            a, b = w.copy(), w.copy()
+            a[k] += 1e-6
+            b[k] -= 1e-6
+            out[k] = (f(a) - f(b)) / 2e-6
+        return out
+
+    for t in range(1, steps + 1):
+        negative = lambda w: risk["called positive"](xu, w) - prior * risk["called positive"](xp, w)
+        g = slope(lambda w: prior * risk["called negative"](xp, w) + negative(w)) if negative(w) >= 0 else slope(lambda w: -negative(w))
+        g += 1e-5 * np.concatenate([w[:-1], [0]])
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+def test_the_pu_fit_is_the_risk_written_out():
+    r = np.random.default_rng(7)
+    hidden = r.normal(1.5, 1, (60, 3))
+    unlabelled = np.concatenate([hidden[:20], r.normal(-1, 1, (100, 3))])
+    positive = hidden[20:]
+    for steps, prior in ((60, 0.15), (120, 0.6)):  # with the second prior the negative part falls below 0 on the way
+        model = toxicity.Classifier(positive.astype(np.float32), unlabelled.astype(np.float32), prior, steps)
+        want = nn_pu_fit(positive, unlabelled, prior, steps)
+        assert np.allclose([*model.w, model.b], want, atol=2e-2), (model.w, model.b, want)

@@ -83,3 +83,16 @@ def test_clashing_names(spark):
     docs = docs.withColumns({c: F.col("_kept_id") for c in ("_kept_sha", "__kept_id", "group_size", "fresh", "load_id")})
     kept = X.deduplicated(docs, buckets=2)
     assert kept.columns == docs.columns and sorted((r.text, r._kept_id, r._kept_sha) for r in kept.collect()) == [("a", "y", "y"), ("b", "z", "z")]
+
+
+def test_a_digest_that_two_loads_appended_has_one_owner(spark):
+    """Two loads that read the index before either appends; rows of later loads come out once each."""
+    index = X.DigestIndex(spark, f"digests_{uuid.uuid4().hex}", 4)
+    docs = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string")
+    (sha,) = {r.text_sha256 for r in X.digests(docs).collect()}
+    for load, keep in (("m", 7), ("k", 9)):
+        index._append(spark.createDataFrame([(sha, keep, load)], "text_sha256 string, keep_id long, load_id string"))
+    got = sorted(index.ingest(docs, load_id="later").collect())
+    assert [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got] == [(1, 9, 2, False), (2, 9, 2, False)]
+    again = index.ingest(spark.createDataFrame([(9, "a")], "doc_id long, text string"), load_id="k").collect()
+    assert [(r.doc_id, r.keep_id, r.kept) for r in again] == [(9, 9, True)]
