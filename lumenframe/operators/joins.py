@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import C, col
 from ..tables import prefix
+from .scans import scanned
 
 #: Bytes up to which a dimension side is broadcast.
 BROADCAST_BYTES = 64 << 20
@@ -81,8 +82,8 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str,
     keep = [*on, f"{hid}t", f"{hid}side", f"{hid}r"]
     row_type = l.schema[f"{hid}row"].dataType
     both = l.select(*keep, f"{hid}row").unionByName(r.select(*keep).withColumn(f"{hid}row", F.lit(None).cast(row_type)))
-    w = Window.partitionBy(*on).orderBy(f"{hid}t", f"{hid}side", F.col(f"{hid}r").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn(f"{hid}last", F.last(f"{hid}r", ignorenulls=True).over(w)).where(F.col(f"{hid}row").isNotNull())
+    # a scan in parts: a key with a third of the rows has many tasks
+    out = scanned(both, on, [f"{hid}t", f"{hid}side", f"{hid}r"], F.col(f"{hid}r"), f"{hid}last", "last").where(F.col(f"{hid}row").isNotNull())
     return out.select(f"{hid}row.*", *[F.col(f"{hid}last.{c}").alias(c if c not in left.columns else f"right_{c}") for c in [right_time, *columns]])
 
 

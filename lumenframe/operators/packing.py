@@ -121,13 +121,12 @@ def sub_ranges(df: DataFrame, keep: list[str], values: str) -> DataFrame:
     return out.select(*keep, F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), F.slice(values, F.col("start") + 1, F.col("stop") - F.col("start")).alias("part"))
 
 
-def patch_index(height: int, width: int) -> list[tuple[int, int, int]]:
-    """(row, column, place) of a grid in the order of its 2 x 2 patches."""
-    out = []
-    for p in range((height // 2) * (width // 2)):
-        r, c = divmod(p, width // 2)
-        out += [(2 * r + a, 2 * c + b, 4 * p + 2 * a + b) for a in range(2) for b in range(2)]
-    return out
+def patch_places(height: str, width: str) -> Column:
+    """A grid's pixels with their place in the order of its 2 x 2 patches: an array of (row, col, place). A last odd row or column is in no patch."""
+    h, w = (F.floor(F.col(n) / 2).cast("long") for n in (height, width))
+    axis = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), 2 * n - 1)).otherwise(F.array().cast("array<bigint>"))
+    place = lambda r, c: 4 * (whole_div(r, F.lit(2)) * w + whole_div(c, F.lit(2))) + 2 * (r % 2) + c % 2
+    return F.flatten(F.transform(axis(h), lambda r: F.transform(axis(w), lambda c: F.struct(r.alias("row"), c.alias("col"), place(r, c).cast("long").alias("place")))))
 
 
 def spatial_grid(height: str, width: str) -> Column:

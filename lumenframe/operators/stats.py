@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import C, col, gamma_exponent, psnr
 from ..tables import prefix, unused
 from .sampling import place_in_groups, running_in_groups
+from .scans import scanned
 
 
 def exact(x: C, scale: int = 9) -> Column:
@@ -93,9 +94,10 @@ def first_occurrences(df: DataFrame, key: list[str], order: list[str]) -> DataFr
 
 
 def consecutive_distinct(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
-    """Rows whose value differs from the row before."""
-    w, (p, n) = Window.partitionBy(*by).orderBy(*order), unused(df, "p", "n")
-    return df.withColumn(p, F.lag(value).over(w)).withColumn(n, F.row_number().over(w)).where((F.col(n) == 1) | ~F.col(p).eqNullSafe(F.col(value))).drop(p, n)
+    """Rows whose value differs from the row before; the first row of a group stays."""
+    (p,) = unused(df, "p")
+    rows = scanned(df, by, order, F.col(value), p, "previous")
+    return rows.where(F.col(p).isNull() | ~F.col(f"{p}.value").eqNullSafe(F.col(value))).drop(p)
 
 
 def scaled_to_one(df: DataFrame, by: list[str], value: str, name: str = "scaled") -> DataFrame:
@@ -115,7 +117,8 @@ def cache_statistics(df: DataFrame, by: list[str], key: str, hit: C) -> DataFram
 
 
 def running_peak(df: DataFrame, by: list[str], order: list[str], value: str, name: str = "peak") -> DataFrame:
-    return df.withColumn(name, F.max(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    """The greatest value of a group so far, in parts of the group."""
+    return scanned(df, by, order, F.col(value), name, "greatest")
 
 
 def rate_groups(df: DataFrame, rate: str, member: str, block: int = 10_000) -> DataFrame:
@@ -161,10 +164,12 @@ def warm_up(step: C, steps: int) -> Column:
 
 def unfolded(df: DataFrame, by: list[str], order: list[str], value: str, base: int, name: str = "unfolded") -> DataFrame:
     """A ring position made continuous: each jump of more than half the ring turns the direction, and turned parts are reflected."""
-    w, (j, t) = Window.partitionBy(*by).orderBy(*order), unused(df, "j", "t")
-    jump = F.coalesce(F.abs(F.col(value) - F.lag(value).over(w)) > base / 2, F.lit(False)).cast("long")
-    turned = F.sum(j).over(w.rowsBetween(Window.unboundedPreceding, 0)) % 2
-    return df.withColumn(j, jump).withColumn(t, turned).withColumn(name, F.when(F.col(t) == 1, base - F.col(value)).otherwise(F.col(value))).drop(j, t)
+    p, j, t = unused(df, "p", "j", "t")
+    rows = scanned(df, by, order, F.col(value), p, "previous")
+    jump = F.coalesce(F.abs(F.col(value) - F.col(f"{p}.value")) > base / 2, F.lit(False)).cast("long")
+    rows = running_in_groups(rows.withColumn(j, jump).drop(p), by, order, F.col(j), t)
+    turned = (F.col(t) + F.col(j)) % 2
+    return rows.withColumn(name, F.when(turned == 1, base - F.col(value)).otherwise(F.col(value))).drop(j, t)
 
 
 def fingerprint(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:

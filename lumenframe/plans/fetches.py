@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import gather as G
+from ..operators import joins as J
 from ..operators import packing as K
 from ..sources import containers as C
+from ..sources import archives as A
 from ..sources import manifests as M
+from ..sources import sinks as W
 from ..streaming.events import new_root
 from .registry import query, table
 
@@ -93,3 +97,58 @@ def untiled_views(spark, sf_dir):
     p = F.col("pixels")
     text = F.array_join(F.transform(p, lambda x: F.floor(1000 * x.cast("double")).cast("string")), ",")
     return v.select("vec_id", "view", "view_height", "view_width", F.size(p).cast("long").alias("n"), p[0].cast("double").alias("first"), F.element_at(p, -1).cast("double").alias("last"), F.md5(text).alias("digest"))
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, CAST(s_acctbal AS DOUBLE) AS s_acctbal FROM supplier")
+def json_manifest(spark, sf_dir):
+    """A manifest in JSON lines, written and read again by its suffix, without a heavy column."""
+    path = f"{new_root(spark)}/manifest.jsonl"
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", F.col("s_acctbal").cast("double").alias("s_acctbal"), F.repeat("s_name", F.lit(50)).alias("heavy"))
+    W.append_metrics(rows, path)
+    return M.read_manifest(spark, path, rows.schema, heavy=["heavy"])
+
+
+@query("SELECT o_orderpriority, count(*) AS n, CAST(2 AS BIGINT) AS step FROM orders GROUP BY o_orderpriority")
+def latest_generation(spark, sf_dir):
+    """Two committed generations of a report and a third that was not committed: readers see the second."""
+    root, orders = new_root(spark), table(spark, sf_dir, "orders")
+    for step, rows in ((1, orders.where("o_orderkey < 100")), (2, orders)):
+        W.commit_generation(rows.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.lit(step).cast("long").alias("step")), root, step, rows="all")
+    orders.limit(1).write.parquet(f"{root}/step={3:012d}")
+    return W.latest(spark, root)
+
+
+@query(
+    """WITH b AS (SELECT o_orderkey, 1 + o_orderkey % 7 AS u FROM orders), s AS (SELECT *, sum(u) OVER (ORDER BY o_orderkey) - u AS before FROM b),
+       i AS (SELECT CAST(before // 500 AS BIGINT) AS shard, count(*) AS rows, CAST(sum(u) AS BIGINT) AS units FROM s GROUP BY 1)
+       SELECT shard, rows, units, count(*) OVER () AS shards FROM i"""
+)
+def sharded_rows(spark, sf_dir):
+    """Orders written in shards of about 500 units; the index that readers go by."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (1 + F.col("o_orderkey") % 7).alias("u"))
+    index = W.write_shards(rows, ["o_orderkey"], "u", 500, new_root(spark))
+    return index.select("shard", "rows", "units", F.lit(index.count()).cast("long").alias("shards"))
+
+
+@query("SELECT o_orderkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey")
+def required_match(spark, sf_dir):
+    """A join that fails on an order without a customer."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    return J.required(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), c, ["o_custkey"]).select("o_orderkey", "c_nationkey")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS files, true AS whole, true AS trees FROM supplier")
+def archived_files(spark, sf_dir):
+    """A file for each supplier, archived with an index and told apart by trees of digests: every file lies where the index says."""
+    folder, archive = new_root(spark), new_root(spark)
+    one = F.array(F.struct(F.lit(10).cast("long").alias("n"), F.lit(512).cast("long").alias("ticks")))
+    s = table(spark, sf_dir, "supplier")
+    C.write_containers(s.select(F.format_string("%012d.mp4", "s_suppkey").alias("name"), (16 + F.col("s_suppkey") % 100).alias("width"), F.lit(8).cast("long").alias("height"), F.lit(100).cast("long").alias("timescale"), one.alias("runs"), F.array(F.lit(0).cast("long")).alias("keyframes"), (F.col("s_suppkey") % 5000).cast("long").alias("payload")), folder)
+    files = A.files_below(spark, folder)
+    index = A.write_archive(files, archive, 50_000)
+    trees = A.file_trees(A.range_digests(files, 1 << 30))
+    # a file of one range has the digest of its digest as the root of its tree
+    both = index.join(trees, "path")
+    after = F.lead("offset").over(Window.partitionBy("part").orderBy("offset"))
+    both = both.withColumn("whole", F.coalesce(F.col("offset") + index["bytes"] == after, F.lit(True)) & (index["bytes"] == trees["bytes"]))
+    return both.agg(F.count("*").alias("files"), F.bool_and("whole").alias("whole"), F.bool_and(F.sha2(F.col("sha256").cast("binary"), 256) == F.col("root")).alias("trees"))

@@ -174,10 +174,16 @@ def seeded_shuffle(spark, sf_dir):
     return S.shuffled(table(spark, sf_dir, "embeddings").select("vec_id", "label"), ["label"], "vec_id", "epoch 1")
 
 
-@query(f"SELECT i AS draw, i // 32 AS block, i % 32 AS pos, CAST(floor({unit_sql('seed 734', 'i')} * (SELECT count(*) FROM supplier)) AS BIGINT) AS row FROM range((SELECT count(*) FROM orders)) t(i)")
+@query(
+    f"""WITH s AS (SELECT s_suppkey, s_nationkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS row FROM supplier),
+        d AS (SELECT i AS draw, i // 32 AS block, i % 32 AS pos, CAST(floor({unit_sql('seed 734', 'i')} * (SELECT count(*) FROM supplier)) AS BIGINT) AS row FROM range((SELECT count(*) FROM orders)) t(i))
+        SELECT draw, block, pos, row, s_suppkey, s_nationkey FROM d JOIN s USING (row)"""
+)
 def replacement_draws(spark, sf_dir):
-    """Suppliers drawn with replacement, as many as there are orders, with the cursor of the blocks of draws."""
-    return S.replacement_sample(spark, table(spark, sf_dir, "supplier").count(), table(spark, sf_dir, "orders").count(), "seed 734")
+    """Suppliers drawn with replacement, as many as there are orders, with the cursor of the blocks of draws and the rows drawn."""
+    suppliers = S.numbered(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), ["s_suppkey"], "row")
+    draws = S.replacement_sample(spark, suppliers.count(), table(spark, sf_dir, "orders").count(), "seed 734")
+    return draws.join(suppliers, "row").select("draw", "block", "pos", "row", "s_suppkey", "s_nationkey")
 
 
 @query(
@@ -235,12 +241,15 @@ def first_dedup(spark, sf_dir):
     return A.first_occurrences(d, ["text_md5"], ["doc_id"])
 
 
-@query("SELECT * FROM (SELECT p_partkey AS key, 'missing' AS status FROM part WHERE p_partkey % 3 = 0 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 20) UNION ALL SELECT DISTINCT l_partkey, 'extra' FROM lineitem WHERE l_quantity > 20 AND l_partkey % 3 <> 0)")
+@query(
+    """WITH a AS (SELECT DISTINCT CASE WHEN l_linenumber = 7 THEN -l_partkey - 1 ELSE l_partkey END AS key FROM lineitem WHERE l_quantity > 20)
+       SELECT p_partkey AS key, 'missing' AS status FROM part WHERE p_partkey NOT IN (SELECT key FROM a) UNION ALL SELECT key, 'extra' FROM a WHERE key NOT IN (SELECT p_partkey FROM part)"""
+)
 def key_plan_diff(spark, sf_dir):
-    """Keys planned but absent, and present but not planned."""
-    planned = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("key"))
-    actual = table(spark, sf_dir, "lineitem").where("l_quantity > 20").select(F.col("l_partkey").alias("key"))
-    return J.key_diff(planned, actual, "key")
+    """Keys planned (all parts) but absent, and present but not planned."""
+    planned = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"))
+    key = F.when(F.col("l_linenumber") == 7, -F.col("l_partkey") - 1).otherwise(F.col("l_partkey"))
+    return J.key_diff(planned, table(spark, sf_dir, "lineitem").where("l_quantity > 20").select(key.alias("key")), "key")
 
 
 @query("SELECT l_suppkey AS key, min(l_linenumber)::BIGINT AS owner FROM lineitem GROUP BY l_suppkey")

@@ -65,11 +65,15 @@ def spatial_grid(spark, sf_dir):
     return each.select("p_partkey", F.col("place").cast("long").alias("place"), F.round("g.y", 6).alias("y"), F.round("g.x", 6).alias("x"))
 
 
-@query("SELECT s_suppkey, r AS row, c AS col, CAST(4 * ((r // 2) * 3 + c // 2) + 2 * (r % 2) + c % 2 AS BIGINT) AS place FROM supplier, range(4) t(r), range(6) u(c)")
+@query(
+    """WITH g AS (SELECT p_partkey, 2 * (p_size % 6) + p_partkey % 2 AS h, p_partkey % 11 AS w FROM part),
+       r AS (SELECT *, unnest(range(0, h // 2 * 2)) AS r FROM g), c AS (SELECT *, unnest(range(0, w // 2 * 2)) AS c FROM r)
+       SELECT p_partkey, CAST(r AS BIGINT) AS row, CAST(c AS BIGINT) AS col, CAST(4 * ((r // 2) * (w // 2) + c // 2) + 2 * (r % 2) + c % 2 AS BIGINT) AS place FROM c"""
+)
 def patch_order(spark, sf_dir):
-    """Pixels of a grid in the order of its 2 x 2 patches, for every supplier."""
-    grid = F.array(*[F.struct(F.lit(r).cast("long").alias("row"), F.lit(c).cast("long").alias("col"), F.lit(p).cast("long").alias("place")) for r, c, p in K.patch_index(4, 6)])
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.inline(grid))
+    """Pixels of every part's grid, each of a size of its own, in the order of its 2 x 2 patches."""
+    p = table(spark, sf_dir, "part").select("p_partkey", (2 * (F.col("p_size") % 6) + F.col("p_partkey") % 2).alias("h"), (F.col("p_partkey") % 11).alias("w"))
+    return p.select("p_partkey", F.inline(K.patch_places("h", "w")))
 
 
 @query(

@@ -570,17 +570,16 @@ def plan_violations(spark, sf_dir):
 @query(
     """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
        a AS (SELECT vec_id, v[1] AS x, v[2] AS y, v[3] AS z, v[4] AS tx, v[5] AS ty, v[6] + 5 AS tz, v[7] AS px, v[8] AS py, v[9] AS pz, sqrt(v[1] * v[1] + v[2] * v[2] + v[3] * v[3]) AS t FROM e),
-       k AS (SELECT *, sin(t) / t AS s, (1 - cos(t)) / (t * t) AS c FROM a),
+       k AS (SELECT *, CASE WHEN t < 0.001 THEN 1 - t * t / 6 ELSE sin(t) / t END AS s, CASE WHEN t < 0.001 THEN 0.5 - t * t / 24 ELSE (1 - cos(t)) / (t * t) END AS c FROM a),
        r AS (SELECT *, (1 - c * (y * y + z * z)) * px + (c * x * y - s * z) * py + (c * x * z + s * y) * pz + tx AS qx,
                        (c * x * y + s * z) * px + (1 - c * (x * x + z * z)) * py + (c * y * z - s * x) * pz + ty AS qy,
                        (c * x * z - s * y) * px + (c * y * z + s * x) * py + (1 - c * (x * x + y * y)) * pz + tz AS qz FROM k)
-       SELECT vec_id, round(500 * qx / qz + 320, 4) AS u, round(500 * qy / qz + 240, 4) AS v, round(qz, 6) AS depth FROM r WHERE t > 0.01"""
+       SELECT vec_id, round(500 * qx / qz + 320, 4) AS u, round(500 * qy / qz + 240, 4) AS v, round(qz, 6) AS depth FROM r"""
 )
 def pose_project(spark, sf_dir):
     """Points seen through cameras with rotation vectors."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     v = lambda i: F.col("v")[i]
-    e = e.where(F.sqrt(v(0) * v(0) + v(1) * v(1) + v(2) * v(2)) > 0.01)
     # each step is a column of its own, so that it is computed once
     e = e.select("vec_id", X.rodrigues(v(0), v(1), v(2)).alias("r"), F.array(v(3), v(4), v(5) + 5).alias("t"), F.array(v(6), v(7), v(8)).alias("x"))
     e = e.withColumn("p", X.projected(F.lit(500.0), F.lit(500.0), F.lit(320.0), F.lit(240.0), F.col("r"), F.col("t"), F.col("x")))

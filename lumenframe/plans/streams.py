@@ -139,3 +139,16 @@ def stream_queue(spark, sf_dir):
     rows = o.select("o_custkey", F.col("o_orderkey").alias("item"), (F.col("o_orderkey") % 3).alias("parts"), F.explode(F.array(F.lit("next"), F.lit("item"))).alias("action"))
     rows = rows.withColumn("at", F.col("item") * 2 + F.when(F.col("action") == "item", 1).otherwise(0))
     return E.finished(E.queued_documents(E.replayed(rows, ["at"]), "o_custkey", "at"))
+
+
+@query(
+    """WITH e AS (SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 5 AS chunk FROM events)
+       SELECT CAST(user_id AS VARCHAR) AS key, chunk, event_id AS row FROM (SELECT *, max(chunk) OVER (PARTITION BY user_id) AS newest FROM e) WHERE chunk < 1 OR chunk > newest - 3"""
+)
+def stream_history(spark, sf_dir):
+    """The events that a sliding history of each user holds at the end of a stream: the first chunk and the last three."""
+    e = place_in_groups(table(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id"], ["event_id"], "place")
+    rows = e.select("user_id", "event_id", F.floor(F.col("place") / 5).cast("long").alias("chunk"))
+    root = E.new_root(spark)
+    E.finished(E.sliding_history(E.replayed(rows, ["event_id"]), "user_id", "chunk", "event_id", 1, 3), "update", ["key"], root)
+    return E.held_rows(spark, f"{root}/state").select(F.col("user_id").cast("string").alias("key"), "chunk", "row")

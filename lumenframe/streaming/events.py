@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..session import checkpoint_root
 from ..tables import saved
-from .state import agreed_reuse, carried_over, changed_tokens, consumption, outstanding, queued_documents, reuse_limited  # noqa: F401
+from .state import agreed_reuse, carried_over, changed_tokens, consumption, held_rows, outstanding, queued_documents, reuse_limited, sliding_history  # noqa: F401
 
 
 def event_stream(spark: SparkSession, path: str, schema: str, time: str = "ts", files_per_trigger: int = 1000) -> DataFrame:

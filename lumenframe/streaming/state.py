@@ -270,3 +270,54 @@ def queued_documents(df: DataFrame, key: str, order: str) -> DataFrame:
     """
     rows = df.select(key, order, "action", F.col("item").cast("long").alias("item"), F.col("parts").cast("long").alias("parts"))
     return _with_state(rows, key, _Queues(order), "key string, place long, item long, part long", "Append")
+
+
+class _History(StatefulProcessor):
+    def __init__(self, chunk: str, row: str, sink: int, window: int):
+        self.chunk, self.row, self.sink, self.window = chunk, row, sink, window
+
+    def init(self, handle):
+        self.newest = handle.getValueState("newest", "chunk long, rows long")
+        self.chunks = handle.getMapState("chunks", "chunk long", "rows array<long>")
+
+    def handleInputRows(self, key, rows, timer):
+        newest, held = self.newest.get() if self.newest.exists() else (None, 0)
+        frames = [f for f in rows if len(f)]
+        if not frames:
+            return
+        f = pd.concat(frames)
+        seen = int(f[self.chunk].max())
+        newest = seen if newest is None else max(newest, seen)
+        stays = lambda c: c < self.sink or c > newest - self.window
+        # what has fallen out of the window goes first; the state never has more chunks than sink and window
+        for (c,) in list(self.chunks.keys()):
+            if not stays(c):
+                held -= len(self.chunks.getValue((c,))[0])
+                self.chunks.removeKey((c,))
+        for c, own in f.groupby(self.chunk)[self.row]:
+            if stays(int(c)):  # a late row of a chunk that is gone is not kept
+                before = list(self.chunks.getValue((int(c),))[0]) if self.chunks.containsKey((int(c),)) else []
+                self.chunks.updateValue((int(c),), (sorted([*before, *own.astype(int).tolist()]),))
+                held += len(own)
+        self.newest.update((newest, held))
+        yield pd.DataFrame({"key": [str(key[0])], "newest": [newest], "held": [held]})
+
+    def close(self):
+        pass
+
+
+def sliding_history(df: DataFrame, key: str, chunk: str, row: str, sink: int, window: int) -> DataFrame:
+    """History that is kept while a sequence grows: (key, newest, held) by batch, the newest chunk and the number of rows held.
+
+    Rows of the first ``sink`` chunks and of the last ``window`` chunk numbers stay, as in ``visibility.kept_history``; what falls out is taken from
+    the state. ``held_rows`` reads from a checkpoint which rows they are. Rows may come in any order within a window.
+    """
+    if window <= 0:
+        raise ValueError("a history without a window keeps everything")
+    rows = df.select(key, F.col(chunk).cast("long").alias(chunk), F.col(row).cast("long").alias(row)).where(F.col(chunk).isNotNull() & F.col(row).isNotNull())
+    return _with_state(rows, key, _History(chunk, row, sink, window), "key string, newest long, held long", "Update")
+
+
+def held_rows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(key, chunk, row) of what a stopped ``sliding_history`` holds."""
+    return _entries(spark, checkpoint, "chunks").select(F.expr("key.*"), F.col("user_map_key.chunk").alias("chunk"), F.explode("user_map_value.rows").alias("row"))

@@ -182,6 +182,22 @@ def test_a_late_replica_holds_the_sample(spark, tmp_path):
     assert run(("a", 0, 1, False), ("b", 0, 0, False), ("b", 0, 1, True)) == [*done, ("b", 0, False, 0), ("b", 1, True, 1)]  # a settled round stays
 
 
+def test_a_sliding_history_is_the_batch_operator_on_all_rows(spark):
+    import random
+
+    from lumenframe.operators.visibility import kept_history
+
+    r = random.Random(3)
+    rows = [(k, i // 4 * r.choice([1, 1, 2]), i) for i in range(160) for k in ("a", "b")]
+    df = spark.createDataFrame(rows, "k string, chunk long, row long")
+    ordered = df.orderBy("chunk")
+    root = E.new_root(spark)
+    got = E.finished(E.sliding_history(E.replayed(ordered, ["chunk", "row"], parts=6), "k", "chunk", "row", 2, 5), "update", ["key"], root).collect()
+    want = sorted(tuple(x) for x in kept_history(df, ["k"], "chunk", 2, 5).select("k", "chunk", "row").collect())
+    assert sorted(tuple(x) for x in E.held_rows(spark, f"{root}/state").collect()) == want and batches(root) == 6
+    assert {x.key: x.held for x in got} == {k: sum(w[0] == k for w in want) for k in "ab"}
+
+
 def test_documents_queue_over_restarts(spark, tmp_path):
     schema = "key string, n long, action string, item long, parts long"
     p, root = tmp_path / "in", E.new_root(spark)
