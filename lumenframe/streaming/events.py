@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..session import checkpoint_root
-from ..tables import saved
+from ..tables import dropped, saved
 from .state import agreed_reuse, carried_over, changed_tokens, consumption, held_rows, outstanding, queued_documents, reuse_limited, sliding_history  # noqa: F401
 
 
@@ -63,7 +63,7 @@ def fresh_values(df: DataFrame, key: str, time: str, value: str, now: str, inter
     return clock.join(last, key, "left").select(key, F.when(age <= int(3 * interval * 1e6), F.col("value")).alias("value"), "now")
 
 
-#: Bytes of a file of a replayed table, by Spark's estimate; so many are a batch, which a key's task holds.
+#: Bytes of a file of a replayed table; so many are a batch, which a key's task holds.
 FILE_BYTES = 64 << 20
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 
@@ -102,11 +102,13 @@ def replayed(df: DataFrame, order: list[str], parts: int = 0, files_per_trigger:
     Each file has a range of the order and a time after that of the file before, so batches are in order
     and hold ranges that do not overlap. The files are as many as the table's bytes ask for, four at least.
     """
+    given = df
     if not parts:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        # Spark has no estimate for some inputs, and says something beyond any table
-        parts = max(4, size // FILE_BYTES if size < 1 << 60 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        df = saved(df)  # only of files does Spark know the bytes; its guess for a join is the product of its sides
+        parts = max(4, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // FILE_BYTES)
     rows = saved(df.repartitionByRange(parts, *order).sortWithinPartitions(*order))
+    if df is not given:
+        dropped(df)
     _in_order(df.sparkSession, rows._saved_path)
     # ages are not looked at: a replayed table is read from its first file, however long ago that was written
     reader = df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_trigger).option("maxFileAge", "36500d")
