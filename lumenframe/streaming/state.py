@@ -1,10 +1,11 @@
-"""Stateful operators: what a stream knows lies in maps and values of the state store, by key.
+"""Stateful operators: what a stream knows lies in maps and values of the state store, by bucket of keys.
 
-Each operator takes the rows of a key and a batch in the order of a column;
-it touches only the state entries that the batch changes, so neither state nor output grows with the stream. A
-key's rows of one batch are in one task: bound the batch (``maxFilesPerTrigger``), not the stream. A batch comes after
-all earlier ones: an operator cannot put rows of different batches in order, so a source must hand them out in order
-(``events.replayed`` does). Keys, kinds and tokens may be null; a null is a value of its own.
+Keys are dealt by hash over ``BUCKETS`` buckets, which are the groups of the stream: an access to the store is a message to the JVM and
+a group costs some ms, so a group of its own for every key would cost more than the rows do. A bucket's step takes the rows of a
+batch in the order of a column; it reads and writes the few numbers of each of its keys at once, and of numbered entries the blocks that the batch
+touches, so neither state nor output grows with the stream. A bucket's rows of one batch are in one task: bound the batch
+(``maxFilesPerTrigger``), not the stream. A batch comes after all earlier ones: an operator cannot put rows of different batches in order, so a
+source must hand them out in order (``events.replayed`` does). Keys, kinds and tokens may be null; a null is a value of its own.
 
 The state store must be the RocksDB one; ``events`` sets it for the queries that it starts.
 """
@@ -13,132 +14,190 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import TimerValues
+from pyspark.sql.types import IntegralType
 
-#: Numbers in a block of state entries.
+from ..tables import unused
+
+#: Buckets of keys; a stream keeps the number that it began with, as its checkpoint does.
+BUCKETS = 1024
+#: Entries that a block of state entries is to have, at the density of a bucket's first batch.
 BLOCK = 256
 
 
-class _Ordered(StatefulProcessor):
-    """A processor that gets a key's rows of a batch in order."""
+class _Bucketed(StatefulProcessor):
+    """A processor that gets the rows of a bucket and a batch, in order if there is one, with their keys as plain values."""
 
-    def __init__(self, order: str):
-        self.order = order
+    order: str | None = None
+
+    def bind(self, name: str, kind: str, integral: bool) -> None:
+        self.name, self.kind, self.integral = name, kind, integral
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.open(handle)
 
+    def keys(self, rows: pd.DataFrame) -> list:
+        """Keys as the state has them; whole numbers come as texts, since pandas would make floats of them beside a null."""
+        values = rows[self.name].astype(object).where(rows[self.name].notna(), None).tolist()
+        if self.integral:
+            return [None if k is None else int(k) for k in values]
+        return [k.to_pydatetime() if isinstance(k, pd.Timestamp) else k for k in values]
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer: TimerValues) -> Iterator[pd.DataFrame]:
         frames = [f for f in rows if len(f)]
         if frames:
-            yield self.step(key[0], pd.concat(frames).sort_values(self.order, kind="stable", ignore_index=True))
+            f = pd.concat(frames, ignore_index=True)
+            if self.order:
+                f = f.sort_values(self.order, kind="stable", ignore_index=True)
+            yield self.step(self.keys(f), f)
 
     def close(self) -> None:
         pass
 
 
-def _with_state(df: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str, initial: DataFrame | None = None) -> DataFrame:
-    start = initial.groupBy(key) if initial is not None else None
-    return df.groupBy(key).transformWithStateInPandas(processor, schema, mode, "None", start)
+def _with_state(df: DataFrame, key: str, processor: _Bucketed, schema: str, mode: str, initial: DataFrame | None = None) -> DataFrame:
+    (bucket,) = unused(df, "bucket")
+    kind = df.schema[key].dataType
+    processor.bind(key, kind.simpleString(), isinstance(kind, IntegralType))
 
+    def dealt(rows: DataFrame):
+        sent = F.col(key).cast("string") if processor.integral else F.col(key)
+        return rows.withColumn(bucket, F.pmod(F.xxhash64(F.col(key).cast(kind)), F.lit(BUCKETS)).cast("int")).withColumn(key, sent).groupBy(bucket)
 
-class _Tokens(_Ordered):
-    def __init__(self, kind: str, token: str, order: str):
-        super().__init__(order)
-        self.kind, self.token = kind, token
+    return dealt(df).transformWithStateInPandas(processor, schema, mode, "None", dealt(initial) if initial is not None else None)
 
-    def open(self, handle):
-        self.last = handle.getValueState("last", "token string")
 
-    def step(self, kind, rows):
-        token = rows[self.token].astype(object).where(rows[self.token].notna(), None)
-        before = token.shift(1)
-        known = self.last.exists()
-        before.iloc[0] = self.last.get()[0] if known else None
-        new = np.array([a != b for a, b in zip(token, before, strict=True)])
-        new[0] |= not known
-        self.last.update((token.iloc[-1],))
-        return pd.DataFrame({"kind": [kind] * int(new.sum()), "token": token[new].to_numpy()})
+class _Values:
+    """The numbers of each key of a bucket, read and written together."""
 
+    def __init__(self, handle: StatefulProcessorHandle, name: str, key: _Bucketed, *columns: str):
+        self.state = handle.getValueState(name, ", ".join(f"`{c}` array<{t}>" for c, t in ((key.name, key.kind), *(c.split() for c in columns))))
 
-def changed_tokens(df: DataFrame, kind: str, token: str, order: str) -> DataFrame:
-    """Requests whose token differs from the last one of their kind: (kind, token); the same token again is no request.
+    def read(self) -> dict:
+        return {k: list(v) for k, *v in zip(*self.state.get(), strict=True)} if self.state.exists() else {}
 
-    The first token of a kind is a request, null or not.
-    """
-    return _with_state(df.select(kind, token, order), kind, _Tokens(kind, token, order), "kind string, token string", "Append")
+    def write(self, values: dict) -> None:
+        self.state.update(tuple(list(c) for c in zip(*((k, *v) for k, v in values.items()), strict=True)))
 
 
 class _Blocks:
-    """Numbered entries in the state store, in blocks of ``BLOCK`` numbers: a batch reads and writes the blocks that it touches, once each.
+    """Numbered entries of the keys of a bucket, in blocks of a range of numbers: a batch reads and writes the blocks that it touches, once each.
 
-    An access to the store is a message to the JVM, so an entry of its own for every number would cost one each.
+    A block's range is chosen by the first numbers that a bucket sees, so that it has some ``BLOCK`` entries whether keys number
+    their entries each for itself or all together.
     """
 
-    def __init__(self, handle: StatefulProcessorHandle, name: str, columns: tuple[str, ...]):
-        self.state = handle.getMapState(name, "block long", ", ".join(f"{c} array<long>" for c in ("number", *columns)))
-        self.open: dict[int, dict[int, tuple[int, ...]]] = {}
+    def __init__(self, handle: StatefulProcessorHandle, name: str, key: _Bucketed, columns: tuple[str, ...]):
+        self.state = handle.getMapState(name, "block long", ", ".join((f"`{key.name}` array<{key.kind}>", *(f"{c} array<long>" for c in ("number", *columns)))))
+        self.range = handle.getValueState(f"{name}_range", "width long")
+        self.width = 0
+        self.open: dict[int, dict[tuple, tuple[int, ...]]] = {}
         self.touched: set[int] = set()
 
-    def block(self, number: int) -> dict[int, tuple[int, ...]]:
-        b = number // BLOCK
-        if b not in self.open:
+    def begin(self, numbers) -> None:
+        """Before a batch: its numbers, for a bucket that has none yet."""
+        if self.range.exists():
+            self.width = int(self.range.get()[0])
+        elif len(numbers):
+            self.width = max(1, (int(max(numbers)) - int(min(numbers)) + 1) * BLOCK // len(numbers))
+            self.range.update((self.width,))
+
+    def block(self, number: int) -> dict[tuple, tuple[int, ...]]:
+        b = number // self.width
+        if (found := self.open.get(b)) is None:
             stored = self.state.getValue((b,)) if self.state.containsKey((b,)) else None
-            self.open[b] = {} if stored is None else {int(x[0]): tuple(map(int, x[1:])) for x in zip(*stored, strict=True)}
-        return self.open[b]
+            found = self.open[b] = {} if stored is None else {(k, n): tuple(v) for k, n, *v in zip(*stored, strict=True)}
+        return found
 
-    def get(self, number: int) -> tuple[int, ...] | None:
-        return self.block(number).get(number)
+    def get(self, key, number: int) -> tuple[int, ...] | None:
+        return self.block(number).get((key, number))
 
-    def put(self, number: int, *value: int) -> None:
-        self.block(number)[number] = value
-        self.touched.add(number // BLOCK)
+    def put(self, key, number: int, *value: int) -> None:
+        self.block(number)[key, number] = value
+        self.touched.add(number // self.width)
 
-    def pop(self, number: int) -> None:
-        self.block(number).pop(number, None)
-        self.touched.add(number // BLOCK)
+    def pop(self, key, number: int) -> None:
+        self.block(number).pop((key, number), None)
+        self.touched.add(number // self.width)
 
     def write(self) -> None:
-        """Store what has changed, and forget what was read: the next key comes."""
+        """Store what has changed, and forget what was read: the next bucket comes."""
         for b in self.touched:
             if own := self.open[b]:
-                columns = zip(*((k, *own[k]) for k in sorted(own)), strict=True)
+                columns = zip(*((*k, *v) for k, v in own.items()), strict=True)
                 self.state.updateValue((b,), tuple(list(c) for c in columns))
-            else:
+            elif self.state.containsKey((b,)):
                 self.state.removeKey((b,))
         self.open, self.touched = {}, set()
 
 
-class _Cursor(_Ordered):
+class _Tokens(_Bucketed):
+    def __init__(self, token: str, order: str):
+        self.token, self.order = token, order
+
+    def open(self, handle):
+        self.last = _Values(handle, "last", self, "token string")
+
+    def step(self, kinds, rows):
+        last, out = self.last.read(), []
+        for kind, token in zip(kinds, rows[self.token].astype(object).where(rows[self.token].notna(), None).tolist(), strict=True):
+            if kind not in last or last[kind][0] != token:
+                out.append((kind, token))
+                last[kind] = [token]
+        self.last.write(last)
+        return pd.DataFrame(out, columns=["kind", "token"])
+
+
+def changed_tokens(df: DataFrame, kind: str, token: str, order: str) -> DataFrame:
+    """Requests whose token differs from the last one of their kind: (kind, token); the same token again is no request.
+
+    The first token of a kind is a request, null or not.
+    """
+    return _with_state(df.select(kind, token, order), kind, _Tokens(token, order), "kind string, token string", "Append")
+
+
+class _Cursor(_Bucketed):
+    def __init__(self, order: str):
+        self.order = order
+
     def open(self, handle):
-        self.counts = handle.getValueState("counts", "generated long, consumed long")
-        self.waiting = _Blocks(handle, "waiting", ("at",))
+        self.counts = _Values(handle, "counts", self, "generated long", "consumed long")
+        self.waiting = _Blocks(handle, "waiting", self, ("at",))
 
     def handleInitialState(self, key, initial, timer):
+        # the rows of a bucket may come in several frames
+        counts = self.counts.read()
+        for k, generated, consumed in zip(self.keys(initial), initial["generated"].tolist(), initial["consumed"].tolist(), strict=True):
+            counts[k] = [int(generated), int(consumed)]
+        self.counts.write(counts)
         own = initial.dropna(subset=["index_no"])
-        for i, at in zip(own["index_no"].astype(int).tolist(), own["at"].astype(int).tolist(), strict=True):
-            self.waiting.put(i, at)
+        index = own["index_no"].astype(int).tolist()
+        self.waiting.begin(index)
+        for k, i, at in zip(self.keys(own), index, own["at"].astype(int).tolist(), strict=True):
+            self.waiting.put(k, i, at)
         self.waiting.write()
-        self.counts.update((int(initial["generated"].max()), int(initial["consumed"].max())))
 
-    def step(self, key, rows):
-        generated, consumed = self.counts.get() if self.counts.exists() else (0, 0)
-        for index, issued, at in zip(rows["index_no"].tolist(), (rows["action"] == "issued").tolist(), rows[self.order].tolist(), strict=True):
-            held = self.waiting.get(index) is not None
-            generated += issued
+    def step(self, keys, rows):
+        counts, seen, waiting = self.counts.read(), {}, self.waiting
+        waiting.begin(rows["index_no"])
+        for key, index, issued, at in zip(keys, rows["index_no"].tolist(), (rows["action"] == "issued").tolist(), rows[self.order].tolist(), strict=True):
+            own = seen.get(key)
+            if own is None:
+                own = seen[key] = counts.setdefault(key, [0, 0])
+            held = waiting.get(key, index) is not None
+            own[0] += issued
             if issued and not held:  # what waits already keeps its place
-                self.waiting.put(index, at)
+                waiting.put(key, index, at)
             elif held and not issued:
-                self.waiting.pop(index)
-                consumed += 1
-        self.waiting.write()
-        self.counts.update((generated, consumed))
-        return pd.DataFrame({"key": [str(key)], "generated": [generated], "consumed": [consumed]})
+                waiting.pop(key, index)
+                own[1] += 1
+        waiting.write()
+        self.counts.write(counts)
+        return pd.DataFrame([(str(k), *v) for k, v in seen.items()], columns=["key", "generated", "consumed"])
 
 
 def consumption(df: DataFrame, key: str, order: str, carried: DataFrame | None = None) -> DataFrame:
@@ -152,39 +211,39 @@ def consumption(df: DataFrame, key: str, order: str, carried: DataFrame | None =
 
 
 def _entries(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
-    return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load()
+    """The entries of a state variable, a row for each place of its arrays."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load()
+    value = "value" if "value" in state.columns else "user_map_value"
+    return state.select(F.inline(F.arrays_zip(*[f"{value}.`{f}`" for f in state.schema[value].dataType.names])))
 
 
 def outstanding(spark: SparkSession, checkpoint: str) -> DataFrame:
     """(key, index_no, at) of what was issued and not consumed when the stream stopped; ``at`` is the order of issue."""
-    blocks = _entries(spark, checkpoint, "waiting").select(F.expr("key.*"), F.explode(F.arrays_zip("user_map_value.number", "user_map_value.at")).alias("_e"))
-    return blocks.select("*", F.col("_e.number").alias("index_no"), F.col("_e.at").alias("at")).drop("_e")
+    return _entries(spark, checkpoint, "waiting").withColumnRenamed("number", "index_no")
 
 
 def carried_over(spark: SparkSession, checkpoint: str, key: str) -> DataFrame:
     """The state of a stopped ``consumption``, for the stream that goes on with it: a row for each index that is out, or one without."""
-    counts = _entries(spark, checkpoint, "counts").select(F.expr("key.*"), F.col("value.generated").alias("generated"), F.col("value.consumed").alias("consumed"))
     out = outstanding(spark, checkpoint).withColumnRenamed(key, "_key")
-    return counts.join(out, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, "index_no", "at", "generated", "consumed")
+    return _entries(spark, checkpoint, "counts").join(out, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, "index_no", "at", "generated", "consumed")
 
 
-class _Reuse(_Ordered):
+class _Reuse(_Bucketed):
     def __init__(self, order: str, eligible: str, depth: int):
-        super().__init__(order)
-        self.eligible, self.depth = eligible, depth
+        self.order, self.eligible, self.depth = order, eligible, depth
 
     def open(self, handle):
-        self.uses = handle.getValueState("uses", "uses long")
+        self.uses = _Values(handle, "uses", self, "uses long")
 
-    def step(self, key, rows):
-        before = self.uses.get()[0] if self.uses.exists() else 0
-        ok = rows[self.eligible].fillna(False).to_numpy(bool)
-        stop = np.flatnonzero(~ok)
-        # a row that is not eligible sets the count to 0, and so does one that finds the depth reached
-        run = len(ok) - 1 - int(stop[-1]) if len(stop) else before + len(ok)
-        uses = run % (self.depth + 1)
-        self.uses.update((uses,))
-        return pd.DataFrame({"key": [str(key)], "uses": [uses], "again": [bool(ok[-1]) and uses > 0]})
+    def step(self, keys, rows):
+        uses, seen = self.uses.read(), {}
+        for key, ok in zip(keys, rows[self.eligible].fillna(False).astype(bool).tolist(), strict=True):
+            # a row that is not eligible sets the count to 0, and so does one that finds the depth reached
+            own = uses.setdefault(key, [0])
+            own[0] = own[0] + 1 if ok and own[0] < self.depth else 0
+            seen[key] = own[0]
+        self.uses.write(uses)
+        return pd.DataFrame([(str(k), n, n > 0) for k, n in seen.items()], columns=["key", "uses", "again"])
 
 
 def reuse_limited(df: DataFrame, key: str, order: str, eligible: str, depth: int) -> DataFrame:
@@ -192,37 +251,38 @@ def reuse_limited(df: DataFrame, key: str, order: str, eligible: str, depth: int
     return _with_state(df.select(key, order, eligible), key, _Reuse(order, eligible, depth), "key string, uses long, again boolean", "Update")
 
 
-class _Agreement(StatefulProcessor):
+class _Agreement(_Bucketed):
     """Rounds of a sample wait until every replica has spoken, and are settled in order."""
 
     def __init__(self, replicas: int, depth: int):
         self.replicas, self.depth = replicas, depth
 
-    def init(self, handle):
-        self.place = handle.getValueState("place", "next long, uses long")
-        self.rounds = _Blocks(handle, "rounds", ("heard", "no"))
+    def open(self, handle):
+        self.place = _Values(handle, "place", self, "next long", "uses long")
+        self.rounds = _Blocks(handle, "rounds", self, ("heard", "no"))
 
-    def handleInputRows(self, key, rows, timer):
-        nxt, uses = self.place.get() if self.place.exists() else (0, 0)
+    def step(self, keys, rows):
+        place, seen, rounds = self.place.read(), {}, self.rounds
+        rounds.begin(rows["round"])
         # a bit for each replica: who has spoken, and who would not use the sample again
-        for f in rows:
-            for r, replica, ok in zip(f["round"].tolist(), f["replica"].tolist(), f["ok"].fillna(False).tolist(), strict=True):
-                if r >= nxt:  # others are settled already
-                    heard, no = self.rounds.get(r) or (0, 0)
-                    self.rounds.put(r, heard | 1 << replica, no if ok else no | 1 << replica)
+        for key, r, replica, ok in zip(keys, rows["round"].tolist(), rows["replica"].tolist(), rows["ok"].fillna(False).astype(bool).tolist(), strict=True):
+            own = seen.get(key)
+            if own is None:
+                own = seen[key] = place.setdefault(key, [0, 0])
+            if r >= own[0]:  # others are settled already
+                heard, no = rounds.get(key, r) or (0, 0)
+                rounds.put(key, r, heard | 1 << replica, no if ok else no | 1 << replica)
         done = []
-        while (said := self.rounds.get(nxt)) and said[0] == (1 << self.replicas) - 1:
-            again = not said[1] and uses < self.depth
-            uses = uses + 1 if again else 0
-            done.append((str(key[0]), nxt, again, uses))
-            self.rounds.pop(nxt)
-            nxt += 1
-        self.rounds.write()
-        self.place.update((nxt, uses))
-        yield pd.DataFrame(done, columns=["key", "round", "again", "uses"])
-
-    def close(self):
-        pass
+        for key, own in seen.items():
+            while (said := rounds.get(key, own[0])) and said[0] == (1 << self.replicas) - 1:
+                again = not said[1] and own[1] < self.depth
+                own[1] = own[1] + 1 if again else 0
+                done.append((str(key), own[0], again, own[1]))
+                rounds.pop(key, own[0])
+                own[0] += 1
+        rounds.write()
+        self.place.write(place)
+        return pd.DataFrame(done, columns=["key", "round", "again", "uses"])
 
 
 def agreed_reuse(df: DataFrame, key: str, replicas: int, depth: int) -> DataFrame:
@@ -238,28 +298,39 @@ def agreed_reuse(df: DataFrame, key: str, replicas: int, depth: int) -> DataFram
     return _with_state(rows, key, _Agreement(replicas, depth), "key string, round long, again boolean, uses long", "Append")
 
 
-class _Queues(_Ordered):
+class _Queues(_Bucketed):
+    def __init__(self, order: str):
+        self.order = order
+
     def open(self, handle):
-        self.counts = handle.getValueState("counts", "head long, tail long, asked long, served long")
-        self.items = _Blocks(handle, "items", ("item", "part"))
+        self.counts = _Values(handle, "counts", self, "tail long", "asked long", "served long")
+        self.items = _Blocks(handle, "items", self, ("item", "part"))
 
-    def step(self, key, rows):
-        head, tail, asked, served = self.counts.get() if self.counts.exists() else (0, 0, 0, 0)
-        out = []
-        for action, item, parts in zip(rows["action"].tolist(), rows["item"].fillna(-1).astype(int).tolist(), rows["parts"].fillna(0).astype(int).tolist(), strict=True):
+    def step(self, keys, rows):
+        counts, items, out, fresh = self.counts.read(), self.items, [], {}
+        for key, action, item, parts in zip(keys, rows["action"].tolist(), rows["item"].tolist(), rows["parts"].tolist(), strict=True):
+            own = counts.setdefault(key, [0, 0, 0])
             if action == "next":
-                asked += 1
+                own[1] += 1
             else:
                 for p in range(parts):
-                    self.items.put(tail, item, p)
-                    tail += 1
-            while served < asked and head < tail:
-                out.append((str(key), served, *self.items.get(head)))
-                self.items.pop(head)
-                head, served = head + 1, served + 1
-        self.items.write()
-        self.counts.update((head, tail, asked, served))
-        return pd.DataFrame(out, columns=["key", "place", "item", "part"])
+                    fresh[key, own[0]] = item, p
+                    own[0] += 1
+            ready = min(own[0], own[1])
+            out += [(key, n) for n in range(own[2], ready)]  # one place is served after the other
+            own[2] = ready
+        # only what lay in the queue before, or stays in it, is a matter of the store
+        served, old = set(out), [(k, n) for k, n in out if (k, n) not in fresh]
+        stay = {k: v for k, v in fresh.items() if k not in served}
+        items.begin([n for _, n in (*old, *stay)])
+        for place in old:
+            fresh[place] = items.get(*place)
+            items.pop(*place)
+        for place, value in stay.items():
+            items.put(*place, *value)
+        items.write()
+        self.counts.write(counts)
+        return pd.DataFrame([(str(k), n, *fresh[k, n]) for k, n in out], columns=["key", "place", "item", "part"])
 
 
 def queued_documents(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -268,42 +339,34 @@ def queued_documents(df: DataFrame, key: str, order: str) -> DataFrame:
     Rows are (key, ``order``, action, item, parts): an ``item`` brings ``parts`` documents, a ``next`` asks for one. What
     has not been asked for stays queued, and a request that finds the queue empty waits for the next item, over batches and restarts.
     """
-    rows = df.select(key, order, "action", F.col("item").cast("long").alias("item"), F.col("parts").cast("long").alias("parts"))
-    return _with_state(rows, key, _Queues(order), "key string, place long, item long, part long", "Append")
+    whole = lambda c, none: F.coalesce(F.col(c).cast("long"), F.lit(none).cast("long")).alias(c)
+    return _with_state(df.select(key, order, "action", whole("item", -1), whole("parts", 0)), key, _Queues(order), "key string, place long, item long, part long", "Append")
 
 
-class _History(StatefulProcessor):
+class _History(_Bucketed):
     def __init__(self, chunk: str, row: str, sink: int, window: int):
         self.chunk, self.row, self.sink, self.window = chunk, row, sink, window
 
-    def init(self, handle):
-        self.newest = handle.getValueState("newest", "chunk long, rows long")
-        self.chunks = handle.getMapState("chunks", "chunk long", "rows array<long>")
-
-    def handleInputRows(self, key, rows, timer):
-        newest, held = self.newest.get() if self.newest.exists() else (None, 0)
-        frames = [f for f in rows if len(f)]
-        if not frames:
-            return
-        f = pd.concat(frames)
-        seen = int(f[self.chunk].max())
-        newest = seen if newest is None else max(newest, seen)
-        stays = lambda c: c < self.sink or c > newest - self.window
-        # what has fallen out of the window goes first; the state never has more chunks than sink and window
-        for (c,) in list(self.chunks.keys()):
-            if not stays(c):
-                held -= len(self.chunks.getValue((c,))[0])
-                self.chunks.removeKey((c,))
-        for c, own in f.groupby(self.chunk)[self.row]:
-            if stays(int(c)):  # a late row of a chunk that is gone is not kept
-                before = list(self.chunks.getValue((int(c),))[0]) if self.chunks.containsKey((int(c),)) else []
-                self.chunks.updateValue((int(c),), (sorted([*before, *own.astype(int).tolist()]),))
-                held += len(own)
-        self.newest.update((newest, held))
-        yield pd.DataFrame({"key": [str(key[0])], "newest": [newest], "held": [held]})
-
-    def close(self):
-        pass
+    def open(self, handle):
+        self.newest = _Values(handle, "newest", self, "chunk long")
+        self.chunks = handle.getValueState("chunks", f"`{self.name}` array<{self.kind}>, chunk array<long>, row array<long>")
+
+    def step(self, keys, rows):
+        newest, seen = self.newest.read(), set(keys)
+        chunks, numbers = rows[self.chunk].tolist(), rows[self.row].tolist()
+        for key, c in zip(keys, chunks, strict=True):
+            own = newest.setdefault(key, [c])
+            own[0] = max(own[0], c)
+        before = zip(*self.chunks.get(), strict=True) if self.chunks.exists() else ()
+        # what has fallen out of the window goes, and a late row of a chunk that is gone is not kept
+        stays = [(k, c, n) for k, c, n in (*before, *zip(keys, chunks, numbers, strict=True)) if c < self.sink or c > newest[k][0] - self.window]
+        held = dict.fromkeys(seen, 0)
+        for k, _, _ in stays:
+            if k in held:
+                held[k] += 1
+        self.chunks.update(tuple(list(c) for c in zip(*stays, strict=True)))
+        self.newest.write(newest)
+        return pd.DataFrame([(str(k), newest[k][0], n) for k, n in held.items()], columns=["key", "newest", "held"])
 
 
 def sliding_history(df: DataFrame, key: str, chunk: str, row: str, sink: int, window: int) -> DataFrame:
@@ -320,4 +383,4 @@ def sliding_history(df: DataFrame, key: str, chunk: str, row: str, sink: int, wi
 
 def held_rows(spark: SparkSession, checkpoint: str) -> DataFrame:
     """(key, chunk, row) of what a stopped ``sliding_history`` holds."""
-    return _entries(spark, checkpoint, "chunks").select(F.expr("key.*"), F.col("user_map_key.chunk").alias("chunk"), F.explode("user_map_value.rows").alias("row"))
+    return _entries(spark, checkpoint, "chunks")

@@ -211,6 +211,25 @@ def test_documents_queue_over_restarts(spark, tmp_path):
     assert run(("a", 4, "next", None, None), ("a", 5, "next", None, None), ("a", 6, "item", 11, 0), ("a", 7, "item", 12, 1)) == [("a", 0, 10, 0), ("a", 1, 10, 1), ("a", 2, 10, 2), ("a", 3, 12, 0)]
 
 
+def test_many_keys_share_groups_of_the_state_store(spark):
+    """A group of the stream is a bucket of keys, never a key; keys beside a null stay whole numbers."""
+    from lumenframe.streaming import state
+
+    who = [None, *range((1 << 60) + 1, (1 << 60) + 3000)]
+    rows = [(k, n, a, n, 1) for n, a in enumerate(["next", "item", "item", "next"]) for k in who]
+    df = spark.createDataFrame(rows, "who long, n long, action string, item long, parts long")
+    root = E.new_root(spark)
+    got = E.finished(E.queued_documents(E.replayed(df, ["n"], parts=3), "who", "n"), root=root).collect()
+    assert sorted(map(tuple, got)) == sorted((str(k), i, i + 1, 0) for k in who for i in range(2))
+    groups = spark.read.format("statestore").option("path", f"{root}/state").option("stateVarName", "counts").load().count()
+    assert groups <= state.BUCKETS < len(who)
+
+    events = spark.createDataFrame([(k, a, 7, n) for n, a in enumerate(["issued", "consumed", "issued"]) for k in who], "who long, action string, index_no long, n long")
+    root = E.new_root(spark)
+    E.finished(E.consumption(E.replayed(events, ["n"], parts=3), "who", "n"), "update", ["key"], root)
+    assert left(spark, root, "who") == {k: [7] for k in who}
+
+
 def test_control_files(spark, tmp_path):
     from lumenframe.sources.control import control_stream
 
