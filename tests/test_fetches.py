@@ -156,6 +156,20 @@ def test_a_long_walk_takes_linear_time(spark):
     assert took(200_000) < 20
 
 
+def test_chaotic_walks_join_nothing_and_have_tasks_for_every_core(spark):
+    from lumenframe.operators import partitioning as D
+
+    p = spark.createDataFrame([(i, 3 + i % 4) for i in range(64)], "k long, n long").coalesce(1).withColumn("o", F.array(F.lit(0), F.lit(5)))
+    out = D.chaotic_walks(p, ["k"], "n", 12, "n", "o", 0.0)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    # without chaos every view follows the shared walk, its offset apart
+    shared = {(r.k, r.step): (r.view, r.frame) for r in D.momentum_walk(p.drop("o"), ["k"], "n", 12, "n").collect()}
+    rows = out.collect()
+    assert len(rows) == 2 * len(shared)
+    assert all((r.camera, r.frame) == ((shared[r.k, r.step][0] + 5 * r.place) % 12, shared[r.k, r.step][1]) for r in rows)
+
+
 def test_walks_are_those_of_a_loop(spark):
     from lumenframe.functions.scalar import normal_draw
     from lumenframe.operators import partitioning as D
