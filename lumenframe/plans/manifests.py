@@ -96,10 +96,10 @@ def late_materialize(spark, sf_dir):
 
 @query("SELECT doc_id, CAST(file_row_number AS BIGINT) AS row_id FROM (SELECT doc_id, row_number() OVER () - 1 AS file_row_number FROM documents)")
 def physical_rows(spark, sf_dir):
-    """Physical row numbers of a scan (the test tables are one file each)."""
-    from ..sources.manifests import with_row_ids
+    """Physical row numbers of a scan, over all files of the table."""
+    from ..sources.manifests import numbered_scan
 
-    return with_row_ids(table(spark, sf_dir, "documents")).select("doc_id", "row_id")
+    return numbered_scan(spark, f"{sf_dir}/documents.parquet", ["doc_id"])
 
 
 @query(f"SELECT doc_id, d.source, coalesce(p.fps, 16.0)::DOUBLE AS fps, coalesce(p.kind, 'default') AS kind FROM documents d LEFT JOIN {_PRESET_SQL} ON d.source = p.source")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import C, col, strip
-from ..tables import prefix
+from ..tables import prefix, unused
 from .ranged import Ranged, listed
 
 
@@ -37,6 +37,22 @@ def with_row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
     return df.select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias(name))
 
 
+def numbered_scan(spark: SparkSession, path: str, columns: list[str], name: str = "row_id") -> DataFrame:
+    """The columns and the physical number of each row in the whole table: its files follow one another by their paths, from 0.
+
+    A file's first number is the rows of the files before it, counted in a scan of no columns; no row is sorted or moved. The driver holds a number a file.
+    """
+    df = spark.read.parquet(path)
+    file, row, start = unused(df, "file", "row", "start")
+    first, before = [], 0
+    for f in sorted(df.groupBy(F.col("_metadata.file_path").alias(file)).count().collect()):
+        first.append((f[0], before))
+        before += f[1]
+    starts = F.broadcast(spark.createDataFrame(first, f"`{file}` string, `{start}` long"))
+    rows = df.select(*columns, F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+    return rows.join(starts, file).select(*columns, (F.col(start) + F.col(row)).alias(name))
+
+
 def row_groups(spark: SparkSession, path: str, files_per_task: int = 64) -> DataFrame:
     """(path, file_name, row_group, first_row, n_rows) of every row group under a path, from the footers, which tasks read.
 
