@@ -43,9 +43,7 @@ _LATENTS = "SELECT o_orderkey, o_custkey % 150 + 1 AS frames, unnest(range(0, CA
 def block_intervals(spark, sf_dir):
     """Blocks of clips as intervals, from their latents."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 150 + 1).alias("frames"))
-    l = T.temporal_layout(o, "frames").withColumn("raw", T.source_block("start", F.lit(5)))  # noqa: E741
-    l = l.withColumn("block", T.clamped_block("raw", "valid", ["o_orderkey"]))  # noqa: E741
-    return T.block_intervals(l, ["o_orderkey"], "latent", "block", "start", "frames")
+    return T.block_intervals(o, ["o_orderkey"], "frames", F.lit(5))
 
 
 @query("SELECT p_partkey, i, least(CAST(round_even(i * 1.5, 0) AS BIGINT), p_size - 1) AS frame FROM (SELECT p_partkey, p_size, unnest(range(0, p_size)) AS i FROM part)")
