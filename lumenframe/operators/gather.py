@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import C, col
-from ..tables import unused
+from ..tables import parts, unused
 
 
 def in_clip(frame: C, n: C) -> Column:
@@ -43,9 +43,12 @@ def wanted_frames(requests: DataFrame, key: list[str], clip: str, frames: str, c
     """
     n, ticks, keys, there = unused(requests, "n_frames", "frame_ticks", "keyframes", "clip")
     side = clips.select(F.col(clip).alias(there), F.col("n_frames").alias(n), F.col("frame_ticks").alias(ticks), F.col("keyframes").alias(keys))
-    rows = requests.join(side, F.col(clip) == F.col(there), "left").select(*key, clip, n, ticks, keys, F.posexplode(frames).alias("place", "_f"))
+    # an index with its lists of keyframes is larger than Spark takes it for, so it is not left to it to send it to every task
+    dealt = parts(requests)
+    rows = requests.repartition(dealt, clip).join(side.hint("merge"), F.col(clip) == F.col(there), "left").select(*key, clip, n, ticks, keys, F.posexplode(frames).alias("place", "_f"))
     rows = rows.withColumn("frame", in_clip("_f", n).cast("long"))
-    return rows.select(*key, clip, F.col("place").cast("long").alias("place"), "frame", (F.col("frame") * F.col(ticks)).alias("ticks"), F.when(F.col("frame").isNotNull(), F.coalesce(last_at_most(keys, "frame"), F.lit(0))).cast("long").alias("keyframe"))
+    rows = rows.select(*key, clip, F.col("place").cast("long").alias("place"), "frame", (F.col("frame") * F.col(ticks)).alias("ticks"), F.when(F.col("frame").isNotNull(), F.coalesce(last_at_most(keys, "frame"), F.lit(0))).cast("long").alias("keyframe"))
+    return rows.repartition(dealt, *key)  # by request, for its plan and its slots, which then need no further shuffle
 
 
 def gather_slots(wanted: DataFrame, key: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from ..sources import archives as A
 from ..sources import manifests as M
 from ..sources import sinks as W
 from ..streaming.events import new_root
+from ..tables import parts
 from .registry import query, table
 
 
@@ -51,6 +52,7 @@ def _requests(spark, sf_dir):
     """Frames that an order's lines want of its customer's clip, some negative or beyond the end."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 500 - 100).alias("frame"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    lines = lines.repartition(parts(lines), "l_orderkey")  # the join and the grouping keep it
     asked = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_orderkey", "o_custkey").agg(F.array_sort(F.collect_list("frame")).alias("frames"))
     c, n = table(spark, sf_dir, "customer"), F.col("c_custkey") % 300
     keys = F.when(n > 0, F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0)), 5 + F.col("c_custkey") % 20))

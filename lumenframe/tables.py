@@ -52,6 +52,20 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+#: Bytes of the files below a table for each partition of its shuffles.
+PART_BYTES = 8 << 20
+
+
+def parts(df: DataFrame) -> int:
+    """Partitions for a shuffle of a table: as many as the bytes of the files that it comes from ask for, the session's number at least.
+
+    Sorts then hold as much in a task for a large table as for a small one. Only of files does Spark know the bytes; its guess for a join is the product of its sides.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    found = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()) if "LogicalRelation" in leaves.apply(i).getClass().getName())
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-found // PART_BYTES))
+
+
 @contextmanager
 def scratch() -> Iterator[None]:
     """Tables that ``saved`` writes inside are deleted at the end; results that read them must be written before."""

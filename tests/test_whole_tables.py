@@ -25,6 +25,24 @@ def test_block_intervals_of_every_order(spark, tmp_path):
     assert [r for r in got if r[0] == 150] == [(150, 0, 0, 0, 1)]
 
 
+def test_block_intervals_sort_nothing(spark, data):
+    plan = entry.queries()["block_intervals"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan  # a clip's runs are found in its row
+
+
+def test_partitions_grow_with_the_files(spark, tmp_path, monkeypatch):
+    from lumenframe import tables
+
+    d = written(spark, tmp_path, "lineitem", [(i // 4, i % 700) for i in range(4000)], "l_orderkey long, l_partkey long")
+    written(spark, tmp_path, "orders", [(i, i % 90) for i in range(1000)], "o_orderkey long, o_custkey long")
+    written(spark, tmp_path, "customer", [(i,) for i in range(90)], "c_custkey long")
+    few = {n: sorted(map(tuple, entry.queries()[n](spark, d).collect())) for n in ("frame_gather", "frame_slots")}
+    monkeypatch.setattr(tables, "PART_BYTES", 100)
+    for n, want in few.items():
+        q = entry.queries()[n](spark, d)
+        assert q.rdd.getNumPartitions() > 50 and sorted(map(tuple, q.collect())) == want
+
+
 def test_rate_groups_and_walks_of_every_part(spark, tmp_path):
     parts = [(i, i % 7 + 1) for i in range(12_000)]
     d = written(spark, tmp_path, "part", parts, "p_partkey long, p_size int")
